@@ -139,53 +139,48 @@ def _name_hit(names: Column, pattern: str) -> Column:
     return F.array_contains(names, low)
 
 
-def firewall_hits(cookie_names: Column, header_names: Column, server: Column, text: Column, signals: dict,
-                  min_confidence: float) -> Column:
-    """Array of (profile, confidence, signals), best first, ties in profile order; inputs are lower-cased."""
-    scored = []
-    for order, (profile, spec) in enumerate(signals.items()):
-        found = matching(
-            [(f"cookie:{p}", _name_hit(cookie_names, p)) for p in spec.get("cookie", [])]
-            + [(f"header:{p}", _name_hit(header_names, p)) for p in spec.get("header", [])]
-            + [(f"server:{p}", server.contains(p.lower())) for p in spec.get("server", [])]
-            + [(f"body:{p}", text.contains(p.lower())) for p in spec.get("body", [])]
-        )
-        n = F.size(found)
-        confidence = (
-            F.when(n >= spec.get("strong", rules.STRONG_SIGNALS), 0.9)
-            .when(n >= spec.get("weak", rules.WEAK_SIGNALS), 0.6).otherwise(0.3))
-        scored.append(F.struct(
-            (-confidence).alias("_rank"), F.lit(order).alias("_order"), F.lit(profile).alias("profile"),
-            confidence.alias("confidence"), found.alias("signals")))
-    hits = F.array_sort(F.filter(
-        F.array(*scored), lambda h: (F.size(h["signals"]) > 0) & (h["confidence"] >= min_confidence)))
-    shaped = F.transform(hits, lambda h: F.struct(h["profile"], h["confidence"], h["signals"]))
-    none = F.array(F.struct(
-        F.lit("unknown_challenge").alias("profile"), F.lit(0.1).alias("confidence"),
-        F.array(F.lit("fallback")).alias("signals")))
-    return F.when(F.size(shaped) > 0, shaped).otherwise(none)
-
-
 def detect_waf(responses: DataFrame, signals: dict | None = None, min_confidence: float = 0.0,
                headers: str = "headers", cookies: str = "cookies", body: str = "body") -> DataFrame:
     """Firewall products seen per response, one row per hit with its ``rank`` (block-rate diagnostics).
 
-    The rule list is part of the expression, so responses are neither exploded nor shuffled.
+    Best confidence first, ties in profile order.  The rule list is part of the expression, so responses are
+    neither exploded nor shuffled.
     """
+    signals = signals or rules.FIREWALL_SIGNALS
     no_names = F.array().cast("array<string>")
-    hits = firewall_hits(
-        F.col("_cookies"), F.col("_headers"), F.col("_server"), F.col("_low"), signals or rules.FIREWALL_SIGNALS,
-        min_confidence)
+    # Each step is a projection of its own, so no value is computed twice.
+    seen = responses.withColumns({
+        "_cookies": F.transform(F.coalesce(F.map_keys(cookies), no_names), F.lower),
+        "_headers": F.transform(F.coalesce(F.map_keys(headers), no_names), F.lower),
+        "_server": _header(F.col(headers), "server"),
+        "_low": F.lower(F.coalesce(F.col(body), F.lit(""))),
+    }).withColumns({
+        f"_found{i}": matching(
+            [(f"cookie:{p}", _name_hit(F.col("_cookies"), p)) for p in spec.get("cookie", [])]
+            + [(f"header:{p}", _name_hit(F.col("_headers"), p)) for p in spec.get("header", [])]
+            + [(f"server:{p}", F.col("_server").contains(p.lower())) for p in spec.get("server", [])]
+            + [(f"body:{p}", F.col("_low").contains(p.lower())) for p in spec.get("body", [])])
+        for i, spec in enumerate(signals.values())
+    })
+    scored = []
+    for i, (profile, spec) in enumerate(signals.items()):
+        found = F.col(f"_found{i}")
+        confidence = (
+            F.when(F.size(found) >= spec.get("strong", rules.STRONG_SIGNALS), 0.9)
+            .when(F.size(found) >= spec.get("weak", rules.WEAK_SIGNALS), 0.6).otherwise(0.3))
+        scored.append(F.struct(
+            (-confidence).alias("order"), F.lit(i).alias("no"), F.lit(profile).alias("profile"),
+            confidence.alias("confidence"), found.alias("signals")))
+    fallback = F.array(F.struct(
+        F.lit(-0.1).alias("order"), F.lit(0).alias("no"), F.lit("unknown_challenge").alias("profile"),
+        F.lit(0.1).alias("confidence"), F.array(F.lit("fallback")).alias("signals")))
+    hits = F.array_sort(F.filter(
+        F.array(*scored), lambda h: (F.size(h["signals"]) > 0) & (h["confidence"] >= min_confidence)))
     return (
-        responses.withColumns({
-            "_cookies": F.transform(F.coalesce(F.map_keys(cookies), no_names), F.lower),
-            "_headers": F.transform(F.coalesce(F.map_keys(headers), no_names), F.lower),
-            "_server": _header(F.col(headers), "server"),
-            "_low": F.lower(F.coalesce(F.col(body), F.lit(""))),
-        })
-        .withColumn("_hits", hits)
+        seen.withColumn("_hits", hits)
+        .withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(fallback))
         .select(*responses.columns, F.posexplode("_hits").alias("_i", "_hit"))
-        .select(*responses.columns, (F.col("_i") + 1).alias("rank"), "_hit.*")
+        .select(*responses.columns, (F.col("_i") + 1).alias("rank"), "_hit.profile", "_hit.confidence", "_hit.signals")
     )
 
 

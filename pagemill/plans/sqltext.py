@@ -28,7 +28,7 @@ MARKUP = rf"<!--.*?-->|{_SKIP}|<[!?][^>]*>|</?[a-z](?:[^'"">]|""[^""]*""|'[^']*'
 def visible_text(html: str) -> str:
     chunks = f"string_split(regexp_replace({html}, {lit(MARKUP)}, chr(1), 'gis'), chr(1))"
     return (
-        f"array_to_string(list_filter(list_transform({chunks}, c -> {strip(unescape('c'))}), c -> c <> ''), chr(10))"
+        f"array_to_string(list_filter(list_transform({chunks}, lambda c: {strip(unescape('c'))}), lambda c: c <> ''), chr(10))"
     )
 
 
