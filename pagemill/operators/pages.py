@@ -90,7 +90,7 @@ def extract_embedded_json(pages: DataFrame, html: str = "html") -> DataFrame:
         F.col(html), F.lit(r"(?is)<script(?=[\s/>])[^>]*>(.*?)</script\s*>"), F.lit(1))
     braces = F.transform(scripts, lambda s: truthy(F.regexp_extract(s, r"(?s)\{.*\}", 0)))
     return (
-        pages.select(*[c for c in pages.columns if c != html], F.posexplode(braces).alias("script_no", "json_text"))
+        pages.select(*[c for c in pages.columns if c != html], F.posexplode_outer(braces).alias("script_no", "json_text"))
         .withColumn("payload", F.try_parse_json("json_text"))
         .filter(F.col("payload").isNotNull())
     )

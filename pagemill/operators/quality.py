@@ -179,7 +179,8 @@ def detect_waf(responses: DataFrame, signals: dict | None = None, min_confidence
     return (
         seen.withColumn("_hits", hits)
         .withColumn("_hits", F.when(F.size("_hits") > 0, F.col("_hits")).otherwise(fallback))
-        .select(*responses.columns, F.posexplode("_hits").alias("_i", "_hit"))
+        # The outer form: for an inner one Spark would test the array's size below, computing it a second time.
+        .select(*responses.columns, F.posexplode_outer("_hits").alias("_i", "_hit"))
         .select(*responses.columns, (F.col("_i") + 1).alias("rank"), "_hit.profile", "_hit.confidence", "_hit.signals")
     )
 

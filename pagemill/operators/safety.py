@@ -97,7 +97,7 @@ def scan_lines(df: DataFrame, text: str = "text", deny: list[str] | None = None,
     keys = keys or [c for c in df.columns if c != text]
     lines = F.split(
         F.regexp_replace(F.col(text), r"\r\n|[\r\x0B\f\x1C-\x1E\x85  ]", "\n"), "\n")
-    rows = df.select(*keys, F.posexplode(lines).alias("_i", "line"))
+    rows = df.select(*keys, F.posexplode_outer(lines).alias("_i", "line"))
     if exempt_markers:
         rows = rows.filter(~contains_any(F.col("line"), exempt_markers))
     lowered = F.lower("line")

@@ -164,7 +164,8 @@ def official_routes(df: DataFrame, url: str = "url") -> DataFrame:
                 F.lit("https://syndication.twitter.com/srv/timeline-profile/screen-name/"), handle))))
         .when(is_video, F.array(route(1, "yt-dlp", u)))
     )
-    return df.withColumn("site", site).withColumn("_r", F.explode(routes)).select("*", "_r.*").drop("_r")
+    return df.withColumn("site", site).withColumn("_r", F.explode_outer(routes)).filter("_r is not null").select(
+        "*", "_r.*").drop("_r")
 
 
 def _transform(name: str, u: Column) -> Column:
@@ -196,7 +197,7 @@ def expand_url_variants(df: DataFrame, url: str = "url", order: list[str] | None
     usable = F.filter(made, lambda v: v["variant_url"].isNotNull())
     urls = F.transform(usable, lambda v: v["variant_url"])
     first = F.filter(usable, lambda v, i: F.array_position(urls, v["variant_url"]) == i + 1)
-    return df.withColumn("_v", F.explode(first)).select(*df.columns, "_v.*")
+    return df.withColumn("_v", F.explode_outer(first)).filter("_v is not null").select(*df.columns, "_v.*")
 
 
 def redact_urls(df: DataFrame, cols: list[str], secrets: dict[str, str | None] | None = None,
