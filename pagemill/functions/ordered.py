@@ -42,19 +42,20 @@ def ordered_values(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    chunk: Column,
+    chunk: Column | str,
     running: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Attach running sums (current row included) and the last non-null value of the rows before.
 
-    ``chunk`` must not decrease along ``order``; ``order`` must be unique inside a key.
+    ``chunk`` must not decrease along ``order``; ``order`` must be unique inside a key.  A chunk given as a column
+    name stays in the result, and a following call on it finds the rows already partitioned.
     """
     running, previous = running or {}, previous or {}
-    chunked = df.withColumn("_chunk", chunk)
-    for n, c in {**running, **previous}.items():
-        chunked = chunked.withColumn(f"_in_{n}", c)
-    on = [*keys, "_chunk"]
+    name = chunk if isinstance(chunk, str) else "_chunk"
+    chunked = df if isinstance(chunk, str) else df.withColumn("_chunk", chunk)
+    chunked = chunked.withColumns({f"_in_{n}": c for n, c in {**running, **previous}.items()})
+    on = [*keys, name]
     position = [F.col(o) for o in order]
 
     def latest(n: str) -> Column:
@@ -64,7 +65,7 @@ def ordered_values(
     summary = chunked.groupBy(*on).agg(
         *[F.sum(f"_in_{n}").alias(n) for n in running], *[latest(n).alias(n) for n in previous]
     )
-    earlier = W.partitionBy(*keys).orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy(name).rowsBetween(W.unboundedPreceding, -1)
     prefix = summary.select(
         *on,
         *[F.sum(n).over(earlier).alias(f"_pre_{n}") for n in running],
@@ -72,7 +73,7 @@ def ordered_values(
     )
     here = W.partitionBy(*on).orderBy(*order)
     so_far, before = here.rowsBetween(W.unboundedPreceding, 0), here.rowsBetween(W.unboundedPreceding, -1)
-    out = chunked.join(prefix, on, "left").select(
+    return chunked.join(prefix, on, "left").select(
         *[F.col(c) for c in df.columns],
         *[(F.sum(f"_in_{n}").over(so_far) + F.coalesce(F.col(f"_pre_{n}"), F.lit(0))).alias(n) for n in running],
         *[
@@ -80,7 +81,6 @@ def ordered_values(
             for n in previous
         ],
     )
-    return out
 
 
 def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFrame:

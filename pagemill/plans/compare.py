@@ -45,8 +45,8 @@ def difference(df: DataFrame, con, sql: str) -> str | None:
     if len(ours) != len(theirs):
         extra = [r for r in ours if r not in set(theirs)][:2]
         return f"rows {len(ours)} != {len(theirs)}; only in ours e.g. {extra!r:.600}"
-    for a, b in zip(ours, theirs):
-        if a != b:
-            bad = [(c, x, y) for c, x, y in zip(order, a, b) if x != y]
-            return f"{sum(x != y for x, y in zip(ours, theirs))} rows differ: {bad!r:.800} | {a!r:.300}"
-    return None
+    if ours == theirs:
+        return None
+    mine, other = set(ours), set(theirs)
+    return f"{len(mine - other)} rows differ of {len(ours)}; ours {order} {sorted(mine - other, key=repr)[:2]!r:.600} " \
+        f"theirs {sorted(other - mine, key=repr)[:2]!r:.600}"

@@ -81,6 +81,41 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN page_id % 3 = 0 THEN 'TS01abc' WHEN page_id % 3 = 1 THEN 'DATADOME' ELSE 'sid' END AS cookie",
         "CASE WHEN page_id % 4 = 0 THEN 'X-Akamai-Edge' WHEN page_id % 4 = 1 THEN 'CF-Ray' ELSE 'Date' END "
         "AS header"]),
+    # Twelve or so attempts per request; every eleventh got no response.
+    "attempts": ("events", [
+        "user_id * 8 + event_id % 8 AS request_id", "event_id AS seq",
+        "CASE event_id % 7 WHEN 0 THEN 'phase0' WHEN 1 THEN 'probe' WHEN 6 THEN 'fallback' ELSE 'grid' END AS phase",
+        "CASE event_id % 7 WHEN 0 THEN 'phase0' WHEN 6 THEN 'playwright_real_chrome' ELSE 'curl_cffi' END AS executor",
+        f"concat('https://h', {_U}, '.example.com/', {_E}) AS url",
+        "CASE event_id % 3 WHEN 0 THEN 'original' WHEN 1 THEN 'mobile_subdomain' ELSE 'drop_www' END AS url_transform",
+        "CASE event_id % 7 WHEN 0 THEN NULL WHEN 6 THEN NULL ELSE CASE event_id % 2 WHEN 0 THEN 'a' ELSE 'b' END END "
+        "AS impersonate",
+        "'self_root' AS referer",
+        "CASE event_type WHEN 'signup' THEN 'weak_ok' WHEN 'view' THEN 'challenge' WHEN 'click' THEN 'suspect_ok' "
+        "WHEN 'error' THEN 'blocked' ELSE CASE WHEN event_id % 5 = 0 THEN 'not_found' ELSE 'rate_limited' END END "
+        "AS verdict",
+        "CASE WHEN event_id % 11 = 0 THEN 'timeout' END AS error",
+        "CASE user_id % 3 WHEN 0 THEN 'aws_waf' WHEN 1 THEN 'unknown_challenge' END AS profile"]),
+    "outcomes": ("events", [
+        f"concat('h', {_U}, '.example.com::', CASE WHEN event_id % 2 = 0 THEN 'mobile' ELSE 'desktop' END) AS key",
+        "ts", "event_id", "event_type IN ('signup', 'purchase') AS ok",
+        "CASE event_type WHEN 'error' THEN 'blocked' WHEN 'view' THEN CASE event_id % 2 WHEN 0 THEN 'rate_limited' "
+        "ELSE 'exhausted' END ELSE 'budget' END AS stop_reason",
+        "CASE WHEN value < 20 THEN 'r1' ELSE 'r2' END AS route"]),
+    "requests": ("events", [
+        "event_id", f"concat('https://H', {_U}, '.example.com/p/', {_E}) AS url",
+        "CASE event_id % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'auto' ELSE 'desktop' END AS device"]),
+    "provider_calls": ("events", [
+        "user_id AS session", "event_id AS seq",
+        "CASE event_id % 4 WHEN 0 THEN 'gemini' WHEN 1 THEN 'nim_gemma4' WHEN 2 THEN 'nim_nemotron' ELSE 'groq' END "
+        "AS provider",
+        "CASE event_type WHEN 'signup' THEN 200 WHEN 'view' THEN 429 WHEN 'click' THEN 403 WHEN 'error' THEN 500 "
+        "ELSE 402 END AS http_status",
+        "CASE WHEN event_id % 9 = 0 THEN '{\"error\":{\"details\":[{\"@type\":\"x.QuotaFailure\",\"violations\":"
+        "[{\"quotaId\":\"GenerateRequestsPerDayPerProject\"}]}]}} RESOURCE_EXHAUSTED' "
+        "WHEN event_id % 9 = 1 THEN '{\"error\":{\"details\":[{\"@type\":\"x.QuotaFailure\",\"violations\":"
+        "[{\"quotaId\":\"GenerateRequestsPerMinute\"}]}]}}' WHEN event_id % 9 = 2 THEN 'no Credit left' "
+        "WHEN event_id % 9 = 3 THEN '{\"text\":\"hello\"}' ELSE 'plain' END AS body"]),
     "media_files": ("documents", [
         "doc_id", "text",
         "concat('/data/', source, '/doc', CAST(doc_id AS STRING), CASE doc_id % 10 WHEN 0 THEN '.TXT' "
