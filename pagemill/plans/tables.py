@@ -47,6 +47,8 @@ GUARD_URL = f"""CASE event_id % 13
   WHEN 11 THEN 'http://100.64.0.1/'
   ELSE concat('http://192.168.', CAST(event_id % 256 AS STRING), '.9/') END"""
 
+_V, _T = "CAST(conv_id AS STRING)", "CAST(turn AS STRING)"
+
 # name -> (base table, expressions)
 DERIVED: dict[str, tuple[str, list[str]]] = {
     "post_urls": ("orders", ["o_orderkey AS id", f"{POST_URL} AS url"]),
@@ -116,6 +118,47 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
         "WHEN event_id % 9 = 1 THEN '{\"error\":{\"details\":[{\"@type\":\"x.QuotaFailure\",\"violations\":"
         "[{\"quotaId\":\"GenerateRequestsPerMinute\"}]}]}}' WHEN event_id % 9 = 2 THEN 'no Credit left' "
         "WHEN event_id % 9 = 3 THEN '{\"text\":\"hello\"}' ELSE 'plain' END AS body"]),
+    # A conversation is a thread: turn 0 is its root.  Every fourth thread lost its root.
+    "thread_posts": ("conversations", [
+        "conv_id AS thread_id", f"concat('https://t.example.com/', {_V}) AS source", f"concat('k', {_V}, '_0') AS root_code",
+        "turn AS seq", f"concat('p', {_V}, '_', {_T}) AS id",
+        f"concat('k', {_V}, '_', CAST(CASE WHEN conv_id % 4 = 3 AND turn = 0 THEN 99 ELSE turn END AS STRING)) AS code",
+        "role AS author", "CASE WHEN turn % 6 = 5 THEN NULL ELSE text END AS text",
+        "CASE WHEN turn % 5 = 4 THEN NULL ELSE length(text) % 50 END AS likes",
+        "CASE WHEN turn = 0 THEN length(text) % 6 ELSE turn % 3 END AS reply_count",
+        "CASE WHEN turn % 2 = 0 THEN concat('i', CAST(turn AS STRING)) END AS image",
+        "CASE WHEN turn % 3 = 0 THEN concat('v', CAST(turn AS STRING)) END AS video",
+        f"CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN concat('/m/', {_V}, '_', {_T}, '.jpg') END AS saved"]),
+    # The same post is seen several times under three ids per conversation.
+    "sightings": ("conversations", [
+        "conv_id AS thread_id", "turn AS seq",
+        f"CASE WHEN turn % 7 = 6 THEN NULL ELSE concat('p', CAST(turn % 3 AS STRING)) END AS id", "role AS author",
+        "text", "length(text) AS likes"]),
+    "leads": ("conversations", [
+        "conv_id AS crawl_id", "turn AS seq", "role AS author",
+        "CASE WHEN turn % 5 = 4 THEN NULL ELSE concat('c', CAST(turn % 4 AS STRING)) END AS code",
+        "CASE WHEN turn % 6 = 5 THEN 0 ELSE 1 + turn END AS reply_count"]),
+    "visited_pages": ("conversations", [
+        "conv_id AS crawl_id", "concat('https://www.threads.net/@', role, '/post/c', CAST(turn AS STRING)) AS url",
+        "turn"]),
+    # A page per turn of a conversation; its posts lead to the pages of the next turns.
+    "page_posts": ("conversations", [
+        f"concat('https://www.threads.net/@u/post/', {_V}, '-', {_T}) AS page_url", "1 AS seq",
+        f"concat('p', {_V}, '-', CAST(turn + 1 AS STRING)) AS id", "'u' AS author",
+        f"concat({_V}, '-', CAST(turn + 1 AS STRING)) AS code", "1 AS reply_count", "role AS text", "conv_id", "turn"]),
+    "payloads": ("conversations", [
+        "conv_id", "turn",
+        f"concat('{{\"data\":{{\"edges\":[{{\"node\":{{\"thread_items\":[{{\"post\":{{\"id\":\"', {_V}, '-', {_T}, "
+        f"'\",\"code\":\"k', {_T}, '\",\"user\":', CASE WHEN turn % 7 = 6 THEN 'null' ELSE concat('{{\"username\":\"', "
+        f"role, '\"}}') END, ',\"caption\":{{\"text\":\"t', CAST(length(text) AS STRING), '\"}},', "
+        f"CASE WHEN turn % 3 = 0 THEN '' ELSE concat('\"like_count\":', {_T}, ',') END, '\"text_post_app_info\":', "
+        f"CASE WHEN turn % 5 = 4 THEN 'null' ELSE concat('{{\"direct_reply_count\":', {_T}, '}}') END, "
+        f"',\"image_versions2\":{{\"candidates\":[{{\"url\":\"a\",\"width\":100}},{{\"url\":\"b\",\"width\":200}},"
+        f"{{\"url\":\"c\",\"width\":200}},{{\"width\":900}}]}},\"quoted\":{{\"post\":{{\"id\":\"q', {_V}, '-', {_T}, "
+        f"'\",\"user\":{{\"username\":\"q\"}},\"carousel_media\":[{{\"video_versions\":[{{\"url\":\"v1\",\"width\":null}},"
+        f"{{\"url\":\"v2\",\"width\":0}}],\"image_versions2\":{{\"candidates\":[{{\"url\":\"cover\",\"width\":9}}]}}}},"
+        f"{{\"image_versions2\":{{\"candidates\":[{{\"url\":\"d\",\"width\":1}}]}}}}]}}}}}}}}]}}}}],"
+        f"\"relatedPosts\":{{\"items\":[{{\"post\":{{\"id\":\"r', {_V}, '\"}}}}]}}}}}}') AS body"]),
     "media_files": ("documents", [
         "doc_id", "text",
         "concat('/data/', source, '/doc', CAST(doc_id AS STRING), CASE doc_id % 10 WHEN 0 THEN '.TXT' "
