@@ -17,9 +17,16 @@ def media_kind(path: Column) -> Column:
     return F.when(ext.isin(rules.IMAGE_EXTS), "image").when(ext.isin(rules.AV_EXTS), "av").otherwise("other")
 
 
-def explode_media(docs: DataFrame, doc_key: str = "source") -> DataFrame:
+def record_keys(docs: DataFrame, doc_key: str | list[str] | None) -> list[str]:
+    """Columns that name a record row: the given ones, else source and, where present, part_no."""
+    if doc_key is None:
+        return ["source", "part_no"] if "part_no" in docs.columns else ["source"]
+    return [doc_key] if isinstance(doc_key, str) else list(doc_key)
+
+
+def explode_media(docs: DataFrame, doc_key: str | list[str] | None = None) -> DataFrame:
     """one row per media path with its ``kind`` and position; documents without media keep one empty row."""
-    rows = docs.select(doc_key, F.posexplode_outer("media_paths").alias("position", "media_path"))
+    rows = docs.select(*record_keys(docs, doc_key), F.posexplode_outer("media_paths").alias("position", "media_path"))
     return rows.withColumn("kind", F.when(F.col("media_path").isNotNull(), media_kind(F.col("media_path"))))
 
 
@@ -159,14 +166,14 @@ def _label(total: Column, done: Column, skipped: str, available: bool) -> Column
         F.when(total == 0, "none").when(done == total, "done").when(done == 0, "failed").otherwise("partial"))
 
 
-def _found(docs: DataFrame, doc_key: str, kind: str, results: DataFrame, fields: list[str]) -> DataFrame:
+def _found(docs: DataFrame, doc_key: list[str], kind: str, results: DataFrame, fields: list[str]) -> DataFrame:
     """Per document: number of paths of a kind and the results found for them, in media order."""
     paths = explode_media(docs, doc_key).filter(F.col("kind") == kind)
     joined = ordered.lookup(
         paths, results.select("media_path", F.struct(*fields).alias("_r")), ["media_path"],
-        ordered.spread_of(doc_key, "position"))
+        ordered.spread_of(*doc_key, "position"))
     hit = F.when(F.col("_r").isNotNull(), F.struct("position", "media_path", F.col("_r")))
-    return joined.groupBy(doc_key).agg(
+    return joined.groupBy(*doc_key).agg(
         F.count("*").alias("_total"), F.array_sort(F.collect_list(hit)).alias("_hits"))
 
 
@@ -176,13 +183,13 @@ def _with_meta(meta: Column, **fields: Column) -> Column:
     return meta
 
 
-def enrich_ocr(docs: DataFrame, ocr: DataFrame | None, doc_key: str = "source") -> DataFrame:
+def enrich_ocr(docs: DataFrame, ocr: DataFrame | None, doc_key: str | list[str] | None = None) -> DataFrame:
     """fill ``ocr_text`` from an (media_path, text, model, status) table, unique per path; ``None`` = no provider.
 
     The label counts all images of a document; one whose text is missing is not done.  A document's paths come from
     one row, so the regrouped lists are no larger than that row.
     """
-    own = list(docs.columns)
+    own, doc_key = list(docs.columns), record_keys(docs, doc_key)
     available = ocr is not None
     results = ocr.filter(F.col("status") == "ok") if available else docs.sparkSession.createDataFrame(
         [], "media_path string, text string, model string")
@@ -241,12 +248,13 @@ def choose_transcript(calls: DataFrame) -> DataFrame:
         F.when(F.col("_w").isNull(), F.when(limited, "rate_limited").otherwise("error")).alias("error"))
 
 
-def enrich_transcribe(docs: DataFrame, transcripts: DataFrame | None, doc_key: str = "source") -> DataFrame:
+def enrich_transcribe(docs: DataFrame, transcripts: DataFrame | None,
+                      doc_key: str | list[str] | None = None) -> DataFrame:
     """fill ``transcript`` from (media_path, text, model, backend, status); ``None`` = no backend.
 
     A document that already has a transcript passes unchanged, label included.
     """
-    own = list(docs.columns)
+    own, doc_key = list(docs.columns), record_keys(docs, doc_key)
     available = transcripts is not None
     results = transcripts.filter(F.col("status") == "ok") if available else docs.sparkSession.createDataFrame(
         [], "media_path string, text string, model string, backend string")

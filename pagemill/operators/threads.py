@@ -286,7 +286,7 @@ def assemble_threads(posts: DataFrame, downloaded: bool = False, part_size: int
             F.lit(None).cast("int").alias("max_pages")),
         fetched_at=F.lit(None) if fetched_at is None else fetched_at,
         extra={
-            "post_id": root["id"], "image_count": F.col("image_count"), "video_count": F.col("video_count"),
+            "post_id": root["id"], "local_media_count": F.col("got"), "image_count": F.col("image_count"), "video_count": F.col("video_count"),
             "media_label": thread_media_label(total, F.col("got"), F.lit(downloaded)),
         })
     whole = whole.withColumn("part_count", F.ceil(F.col("n") / part_size).cast("int")).filter(

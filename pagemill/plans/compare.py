@@ -43,7 +43,8 @@ def difference(df: DataFrame, con, sql: str) -> str | None:
         (tuple(_plain(r[names.index(c)]) for c in order) for r in cur.fetchall()), key=repr)
     ours = sorted((tuple(_plain(r[c]) for c in order) for r in df.collect()), key=repr)
     if len(ours) != len(theirs):
-        extra = [r for r in ours if r not in set(theirs)][:2]
+        other = set(theirs)
+        extra = [r for r in ours if r not in other][:2]
         return f"rows {len(ours)} != {len(theirs)}; only in ours e.g. {extra!r:.600}"
     if ours == theirs:
         return None

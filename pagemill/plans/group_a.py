@@ -76,10 +76,10 @@ _PLATFORM = "CASE " + " ".join(
 ) + " WHEN regexp_matches(s, '^https?://', 'i') THEN 'web' END"
 
 
-@query("a3_route_urls", ctes("post_urls") + f""",
+@query("a3_route_urls", ctes("post_urls", "local_paths") + f""",
 u AS (SELECT id, url FROM post_urls UNION ALL SELECT page_id + 10000000, url FROM pages),
 s AS (SELECT *, {strip("url")} AS s FROM u),
-local AS (SELECT url AS p FROM post_urls WHERE id % 16 = 11 AND id % 3 = 0)
+local AS (SELECT path AS p FROM local_paths)
 SELECT id, url, CASE WHEN p IS NOT NULL THEN 'local' ELSE {_PLATFORM} END AS platform,
   CASE WHEN p IS NOT NULL THEN NULL WHEN s = '' OR s IS NULL THEN 'empty'
        WHEN ({_PLATFORM}) IS NULL THEN 'unsupported' END AS route_error
@@ -87,8 +87,7 @@ FROM s LEFT JOIN (SELECT DISTINCT p FROM local) ON url = p""")
 def a3(spark, sf):
     posts = table(spark, sf, "post_urls")
     pages = table(spark, sf, "pages").select((F.col("page_id") + 10000000).alias("id"), "url")
-    local = posts.filter("id % 16 = 11 AND id % 3 = 0").select(F.col("url").alias("path"))
-    return urls.route_urls(posts.unionByName(pages), "url", local)
+    return urls.route_urls(posts.unionByName(pages), "url", table(spark, sf, "local_paths"))
 
 
 @query("a4_parse_post_keys", ctes("post_urls") + f""",

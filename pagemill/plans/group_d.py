@@ -86,17 +86,17 @@ def d5_orders(spark, sf):
 
 
 @query("d6_expand_frontier", ctes("leads", "visited_pages") + """,
-v AS (SELECT DISTINCT crawl_id, url FROM visited_pages WHERE turn < 2),
+v AS (SELECT DISTINCT crawl_id, url FROM visited_pages),
 f AS (SELECT crawl_id, concat('https://www.threads.net/@', author, '/post/', code) AS url, min(seq) AS found_at
   FROM leads WHERE reply_count > 0 AND code IS NOT NULL GROUP BY ALL),
 n AS (SELECT f.* FROM f ANTI JOIN v USING (crawl_id, url)),
 r AS (SELECT *, row_number() OVER (PARTITION BY crawl_id ORDER BY found_at, url) AS visit_no FROM n)
 SELECT crawl_id, url, CAST(visit_no AS INT) AS visit_no FROM r
 LEFT JOIN (SELECT crawl_id, count(*) AS used FROM v GROUP BY crawl_id) USING (crawl_id)
-WHERE visit_no <= 5 - coalesce(used, 0)""")
+WHERE visit_no <= 8 - coalesce(used, 0)""")
 def d6(spark, sf):
-    visited = table(spark, sf, "visited_pages").filter("turn < 2").select("crawl_id", "url").distinct()
-    return threads.expand_frontier(table(spark, sf, "leads"), visited, 5).drop("found_at")
+    visited = table(spark, sf, "visited_pages").distinct()
+    return threads.expand_frontier(table(spark, sf, "leads"), visited, 8).drop("found_at")
 
 
 _D7 = ctes("page_posts").replace("WITH ", "WITH RECURSIVE ", 1) + """,
@@ -125,12 +125,12 @@ def d7_pages(spark, sf):
 fast AS (SELECT * FROM thread_posts WHERE seq < 2),
 a AS (SELECT thread_id, bool_or(code = root_code) AND count(*) FILTER (code <> root_code)
   < coalesce(max(CASE WHEN code = root_code THEN reply_count END), 0) AS inc FROM fast GROUP BY thread_id),
-sw AS (SELECT thread_id FROM a WHERE inc AND thread_id % 5 <> 0)
+sw AS (SELECT thread_id FROM a WHERE inc)
 SELECT thread_id, seq, id, 'fast' AS scrape_mode FROM fast ANTI JOIN sw USING (thread_id)
 UNION ALL SELECT thread_id, seq, id, 'deep' FROM thread_posts SEMI JOIN sw USING (thread_id)""")
 def d8(spark, sf):
     deep = table(spark, sf, "thread_posts")
-    return threads.escalate(deep.filter("seq < 2"), deep.filter("thread_id % 5 <> 0")).select(
+    return threads.escalate(deep.filter("seq < 2"), deep).select(
         "thread_id", "seq", "id", "scrape_mode")
 
 

@@ -52,6 +52,8 @@ _V, _T = "CAST(conv_id AS STRING)", "CAST(turn AS STRING)"
 # name -> (base table, expressions)
 DERIVED: dict[str, tuple[str, list[str]]] = {
     "post_urls": ("orders", ["o_orderkey AS id", f"{POST_URL} AS url"]),
+    "local_paths": ("orders", [
+        f"CASE WHEN o_orderkey % 48 = 11 THEN concat('not a url ', {_K}) ELSE concat('/files/', {_K}) END AS path"]),
     "guard_urls": ("events", ["event_id AS id", f"{GUARD_URL} AS url"]),
     # One host in four has an inner address; one user in seven is not resolved at all.
     "resolved": ("events", [
@@ -139,8 +141,8 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
         "CASE WHEN turn % 5 = 4 THEN NULL ELSE concat('c', CAST(turn % 4 AS STRING)) END AS code",
         "CASE WHEN turn % 6 = 5 THEN 0 ELSE 1 + turn END AS reply_count"]),
     "visited_pages": ("conversations", [
-        "conv_id AS crawl_id", "concat('https://www.threads.net/@', role, '/post/c', CAST(turn AS STRING)) AS url",
-        "turn"]),
+        "conv_id AS crawl_id", "concat('https://www.threads.net/@', CASE WHEN turn < 2 THEN role ELSE 'else' END, "
+        "'/post/c', CAST(turn AS STRING)) AS url"]),
     # A page per turn of a conversation; its posts lead to the pages of the next turns.
     "page_posts": ("conversations", [
         f"concat('https://www.threads.net/@u/post/', {_V}, '-', {_T}) AS page_url", "1 AS seq",
@@ -159,6 +161,158 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
         f"{{\"url\":\"v2\",\"width\":0}}],\"image_versions2\":{{\"candidates\":[{{\"url\":\"cover\",\"width\":9}}]}}}},"
         f"{{\"image_versions2\":{{\"candidates\":[{{\"url\":\"d\",\"width\":1}}]}}}}]}}}}}}}}]}}}}],"
         f"\"relatedPosts\":{{\"items\":[{{\"post\":{{\"id\":\"r', {_V}, '\"}}}}]}}}}}}') AS body"]),
+    "video_stats": ("orders", [
+        "o_orderkey AS id", "CASE WHEN o_orderkey % 11 = 0 THEN NULL WHEN o_orderkey % 11 = 1 THEN 0 "
+        "WHEN o_orderkey % 11 = 2 THEN -5 ELSE CAST(floor(o_totalprice) AS BIGINT) END AS view_count",
+        "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_custkey END AS like_count", "o_orderkey % 100 AS comment_count"]),
+    "downloads_state": ("lineitem", [
+        "l_orderkey * 8 + l_linenumber AS id", "l_linenumber % 2 = 0 AS with_video", "l_quantity > 5 AS ok",
+        "l_returnflag <> 'R' AS got_video", "l_tax > 0.04 AS clipped", "l_linestatus = 'O' AS from_start",
+        "CASE l_linenumber % 4 WHEN 0 THEN 'is_live' WHEN 1 THEN 'was_live' WHEN 2 THEN 'not_live' END AS live_status",
+        "l_linenumber > 2 AS with_chat", "CASE WHEN l_discount > 0.07 THEN 'failed' ELSE 'ok' END AS chat_status",
+        "CASE WHEN l_quantity > 10 THEN '/c' END AS chat_path", "l_linenumber - 4 AS chat_count"]),
+    "segments": ("conversations", [
+        "conv_id AS video_id", "turn AS seq",
+        "CASE turn % 5 WHEN 0 THEN concat(' a  b', chr(10), 'c', chr(9), ' ', role) WHEN 1 THEN 'a b c user' "
+        "WHEN 2 THEN '   ' WHEN 3 THEN text ELSE NULL END AS text"]),
+    "video_comments": ("conversations", [
+        "conv_id AS video_id", "turn AS seq", "role AS author", "text", "CAST(length(text) AS STRING) AS votes",
+        "'1d' AS time", "turn % 2 = 0 AS heart", "turn % 3 = 0 AS reply", "conv_id % 6 = 5 AND turn = 2 AS is_error"]),
+    "output_files": ("lineitem", [
+        "l_orderkey AS video_id",
+        "concat('/v/', CAST(l_orderkey AS STRING), '.', CAST(l_partkey AS STRING), CASE l_linenumber % 8 "
+        "WHEN 0 THEN '.mp4' WHEN 1 THEN '.ko.VTT' WHEN 2 THEN '.live_chat.json' WHEN 3 THEN '.mp4.part' "
+        "WHEN 4 THEN '.srv3' WHEN 5 THEN '.webm' WHEN 6 THEN '.info.json' ELSE '.f1.ytdl' END) AS path"]),
+    "infos": ("orders", [
+        f"concat('https://www.youtube.com/watch?v=', lpad({_K}, 11, 'A')) AS source",
+        f"""concat('{{"id":"', lpad({_K}, 11, 'A'), '","title":"T', {_C}, '","description":', CASE WHEN o_orderkey % 3 = 0 """
+        f"""THEN 'null' ELSE concat('"d', {_K}, '"') END, ',"view_count":', CASE WHEN o_orderkey % 4 = 0 THEN 'null' ELSE """
+        f"""CAST(o_orderkey % 4 AS STRING) END, ',"like_count":1,"uploader":"u","duration":12.5,"was_live":true,"""
+        f""""subtitles":{{"ko":[{{"ext":"vtt"}}],"en":[]}},"automatic_captions":', CASE WHEN o_orderkey % 2 = 0 THEN '{{}}' """
+        f"""ELSE '{{"ja":[]}}' END, ',"chapters":[{{"t":1}}]}}') AS info"""]),
+    "dumps": ("orders", [
+        f"concat('https://www.tiktok.com/@u/video/', {_K}) AS source", "o_orderkey % 3 <> 0 AS downloaded",
+        f"""CASE o_orderkey % 4 WHEN 0 THEN concat('[[2,{{"id":"x"}}],[3,{{"id":"', {_K}, '","desc":"d', {_K}, """
+        f"""'","createTime":"1700000000","author":{{"uniqueId":"","nickname":"nick","verified":true}},"stats":{{"diggCount":5}}}}]]') """
+        f"""WHEN 1 THEN concat('[[1],[2,{{"id":"', {_K}, '","createTime":"bad","author":{{"uniqueId":"u', {_C}, '"}}}}]]') """
+        f"""WHEN 2 THEN '[[1,"text"]]' ELSE 'not json' END AS dump"""]),
+    "photo_posts": ("orders", [
+        f"concat('https://www.instagram.com/p/P', {_K}, '/') AS source", f"concat('P', {_K}) AS shortcode",
+        f"CASE WHEN o_orderkey % 7 <> 0 THEN concat('cap ', {_K}) END AS caption", "o_orderpriority AS owner",
+        "o_orderkey AS post_id", "o_custkey AS likes", "o_orderkey % 9 AS comment_count", "o_orderkey % 2 = 0 AS is_video",
+        "o_orderdate AS date_utc", "CASE WHEN o_orderkey % 10 = 9 THEN 'connection' END AS access_error",
+        "CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'ok' WHEN 2 THEN 'login_required' WHEN 3 THEN 'boom' ELSE 'ok' END "
+        "AS comments_error"]),
+    "photo_comments": ("lineitem", [
+        "concat('P', CAST(l_orderkey AS STRING)) AS shortcode", "l_linenumber AS seq",
+        "CAST(l_partkey AS STRING) AS id", "l_returnflag AS author", "l_linestatus AS text",
+        "CAST(l_quantity AS BIGINT) AS likes", "l_shipdate AS created_at"]),
+    # Listing pages of a conversation's turns: 30 items each until the page of its last turn, which is short.
+    "list_pages": ("conversations", [
+        "concat('b', CAST(conv_id AS STRING)) AS blog_id", "turn + 1 AS page",
+        "CASE WHEN conv_id % 5 = 4 AND turn = 1 THEN 500 ELSE 200 END AS status",
+        "CASE WHEN conv_id % 7 = 6 AND turn = 2 THEN '{\"result\":[]}' WHEN conv_id % 7 = 5 AND turn = 1 THEN '{broken' "
+        "ELSE concat('{\"result\":{\"items\":[', CASE WHEN turn % 3 = 2 THEN repeat('{\"n\":1},', 11) "
+        "ELSE repeat('{\"n\":1},', 29) END, '{\"n\":1}]}}') END AS body"]),
+    "blog_posts": ("orders", [
+        f"concat('b', CAST(o_custkey % 10 AS STRING)) AS blog_id",
+        f"CASE WHEN o_orderkey % 13 = 0 THEN concat('x', {_K}) ELSE {_K} END AS log_no",
+        "CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE concat('og ', o_orderpriority) END AS og_title"]),
+    "listing": ("orders", [
+        f"concat('b', CAST(o_custkey % 10 AS STRING)) AS blog_id", f"{_K} AS log_no",
+        "CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('in ', o_orderstatus) END AS title_with_inspect",
+        "concat('t ', o_orderstatus) AS title", "CAST(o_orderdate AS STRING) AS add_date", "o_orderstatus AS category",
+        "o_orderkey % 5 AS comment_count", "o_orderkey % 50 AS read_count", "o_orderkey % 3 AS sympathy_count",
+        "o_custkey % 4 AS like_count"]),
+    "image_urls": ("lineitem", [
+        "l_partkey * 4 + l_linenumber % 4 AS image_id",
+        "concat('https://', CASE l_linenumber % 4 WHEN 0 THEN 'blogfiles' WHEN 1 THEN 'postfiles' "
+        "WHEN 2 THEN 'mblogthumb-phinf' ELSE 'other' END, '.pstatic.net/i', CAST(l_partkey AS STRING), '.jpg?type=w80') AS url"]),
+    "image_answers": ("part", ["p_partkey", "p_size", "p_retailprice"]),
+    "size_labels": ("lineitem", [
+        "l_orderkey AS post_id", "l_linenumber AS position",
+        "CASE l_partkey % 6 WHEN 0 THEN 'original' WHEN 1 THEN 'original_w3840' WHEN 2 THEN 'w966_ceiling' "
+        "WHEN 3 THEN 'thumbnail_fallback' WHEN 4 THEN 'odd' END AS label"]),
+    "counted_texts": ("documents", [
+        "doc_id", "concat(text, CASE doc_id % 5 WHEN 0 THEN ' 좋아요 1,234개 댓글: 56' WHEN 1 THEN ' Likes 7 Comments 8,000' "
+        "WHEN 2 THEN ' Like this and that 9 Comment 3' ELSE '' END) AS text"]),
+    # Articles of a profile: the same permalink is seen in several scrolls.
+    "articles": ("conversations", [
+        "conv_id % 20 AS profile", "turn AS scroll", "conv_id AS pos",
+        "CASE turn % 3 WHEN 0 THEN concat('https://www.facebook.com/u/posts/', CAST(conv_id % 50 AS STRING), '?s=', "
+        "CAST(turn AS STRING)) END AS permalink", "CASE WHEN turn % 3 = 2 THEN '' ELSE text END AS text"]),
+    "timeline_media": ("lineitem", [
+        "l_suppkey AS profile", "l_orderkey * 8 + l_linenumber AS post_seq",
+        "concat('https://scontent.fbcdn.net/i', CAST(l_partkey % 40 AS STRING), '.jpg?o=', CAST(l_orderkey AS STRING)) AS i1",
+        "concat('https://scontent.fbcdn.net/i', CAST(l_linenumber AS STRING), '.jpg?o=', CAST(l_orderkey AS STRING)) AS i2",
+        "concat('https://scontent.fbcdn.net/v', CAST(l_partkey % 30 AS STRING), '.mp4?o=', CAST(l_orderkey AS STRING)) AS v1"]),
+    "page_articles": ("lineitem", [
+        "concat('https://www.facebook.com/', CASE l_orderkey % 4 WHEN 0 THEN 'share' ELSE concat('u', CAST(l_orderkey % 7 "
+        "AS STRING)) END, '/posts/', CAST(l_orderkey AS STRING), CASE l_orderkey % 8 WHEN 4 THEN '?id=77' ELSE '' END) AS page_url",
+        "l_linenumber AS pos",
+        "CASE l_linenumber % 3 WHEN 0 THEN concat('/u', CAST(l_partkey % 7 AS STRING)) WHEN 1 THEN '/profile.php?id=77' END "
+        "AS author_href"]),
+    "comment_articles": ("conversations", [
+        "conv_id AS post_id", "turn AS pos",
+        "CASE turn % 7 WHEN 5 THEN ' ' WHEN 6 THEN 'Loading…' ELSE text END AS text",
+        "CASE WHEN turn % 11 = 10 THEN 'loading' END AS aria_label",
+        "CASE conv_id % 3 WHEN 0 THEN 'e' WHEN 1 THEN 'no such caption' END AS caption"]),
+    "raw_comments": ("conversations", [
+        "conv_id", "turn",
+        "concat(' ', role, chr(10), CASE turn % 6 WHEN 0 THEN concat('hello ', CAST(conv_id AS STRING), chr(10), '15시간', "
+        "chr(10), '좋아요', chr(10), '답글 달기', chr(10), '1,', lpad(CAST(turn AS STRING), 3, '0')) "
+        "WHEN 1 THEN '50000' WHEN 2 THEN concat('ok', chr(10), '7', chr(10), 'Like', chr(10), '3', chr(10), 'Reply') "
+        "WHEN 3 THEN concat('2h', chr(10), 'Like') WHEN 4 THEN concat('x', chr(10), chr(10), '9', chr(10), '8') "
+        "ELSE 'plain' END) AS raw_text"]),
+    "comment_stats": ("lineitem", [
+        "l_orderkey * 8 + l_linenumber AS id", "l_linenumber <> 1 AS requested", "CAST(l_quantity AS INT) % 4 AS raw_count",
+        "CAST(l_quantity AS INT) % 3 AS comment_count", "CASE WHEN l_tax > 0.06 THEN 1 ELSE 0 END AS parse_fail",
+        "l_returnflag = 'A' AS expand_hit_cap", "l_discount > 0.08 AS expand_interrupted", "l_linestatus = 'O' AS body_matched",
+        "l_partkey % 2 = 0 AS caption_given"]),
+    "base_posts": ("orders", [
+        f"concat('https://www.facebook.com/u/posts/', {_K}) AS permalink", "o_orderstatus AS text",
+        "o_custkey AS likes", "o_orderkey % 6 AS comment_count"]),
+    "viewer_images": ("lineitem", [
+        "l_orderkey AS post_id", "l_linenumber AS pos", "l_linenumber % 3 AS side",
+        "concat('https://scontent.fbcdn.net/p', CAST(l_partkey % 5 AS STRING), '.jpg?stp=a&o=', CAST(l_linenumber AS STRING)) "
+        "AS url", "CASE l_returnflag WHEN 'A' THEN 'fetched' ELSE 'cached' END AS status",
+        "concat('https://video.fbcdn.net/', CASE WHEN l_partkey % 5 = 0 THEN 'short' ELSE lpad(CAST(l_partkey % 5 AS STRING), "
+        "22, 'v') END, '.mp4?o=', CAST(l_linenumber AS STRING)) AS video_url"]),
+    "offers": ("lineitem", [
+        "concat('https://', CASE WHEN l_suppkey % 9 = 0 THEN 'elsewhere.example.com' ELSE 'scontent.fbcdn.net' END, '/f', "
+        "CAST(l_partkey AS STRING), '.PNG?stp=a_b&oh=', CAST(l_orderkey AS STRING)) AS url",
+        "l_orderkey * 8 + l_linenumber AS seq",
+        "CASE l_linenumber % 4 WHEN 0 THEN NULL WHEN 1 THEN 404 ELSE 200 END AS status",
+        "CAST(floor(l_extendedprice * 1000) AS BIGINT) AS bytes", "CAST(floor(l_extendedprice * 20) AS BIGINT) AS area"]),
+    "held_files": ("part", [
+        "concat('https://scontent.fbcdn.net/f', CAST(p_partkey AS STRING), '.PNG') AS base",
+        "p_size * 100 AS bytes", "CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size * 40000 END AS area", "p_partkey"]),
+    "media_docs": ("documents", [
+        "concat('/docs/', CAST(doc_id AS STRING)) AS source", "CASE doc_id % 3 WHEN 0 THEN 'local' ELSE 'threads' END AS platform",
+        "text AS body_text", "doc_id",
+        "CASE WHEN doc_id % 5 = 4 THEN '' ELSE concat('/m/', source, '/', CAST(doc_id % 9 AS STRING), '.JPG,/m/', "
+        "CAST(doc_id AS STRING), '.mp3,/m/', lang, '.png,/m/', CAST(doc_id % 4 AS STRING), '.mp4,/m/', "
+        "CAST(doc_id AS STRING), '.pdf') END AS paths", "CASE WHEN doc_id % 10 = 3 THEN 'already there' END AS transcript"]),
+    "ocr_calls": ("conversations", [
+        "concat('/m/', CAST(conv_id AS STRING), '.jpg') AS media_path", "turn",
+        "CASE turn % 3 WHEN 0 THEN 'nim_nemotron' WHEN 1 THEN 'gemini' ELSE 'nim_gemma4' END AS provider",
+        "turn < 3 AND (conv_id + turn) % 3 <> 0 AND conv_id % 6 <> 5 AS ok", "concat(' ', text) AS text",
+        "conv_id % 12 = 5 AND turn = 1 AS rate_limited", "conv_id % 6 = 5 AND turn <> 1 AS dead",
+        "concat('m', CAST(turn AS STRING)) AS model", "turn < 2 AND conv_id % 4 <> 0 AS judge_ok",
+        "CASE WHEN turn = 0 THEN 'judge' ELSE 'ocr' END AS role", "conv_id % 8 = 0 OR conv_id % 6 = 5 AS paid_ok"]),
+    "speech_calls": ("conversations", [
+        "concat('/m/', CAST(conv_id AS STRING), '.mp3') AS media_path", "turn AS seq",
+        "CASE WHEN conv_id % 4 = 0 AND turn = 0 THEN 'local' ELSE 'groq' END AS backend",
+        "CASE WHEN conv_id % 4 = 0 AND turn = 0 THEN 'large-v3' WHEN turn < 2 THEN 'whisper-large-v3-turbo' "
+        "ELSE 'whisper-large-v3' END AS model",
+        "CASE WHEN (conv_id + turn * 2) % 5 = 0 THEN 200 WHEN (conv_id + turn) % 7 = 6 THEN 500 ELSE 429 END AS status",
+        "CASE turn % 3 WHEN 0 THEN 5 WHEN 1 THEN NULL ELSE 61 END AS retry_after", "concat(text, ' ') AS text"]),
+    "uploads": ("lineitem", [
+        "l_orderkey * 8 + l_linenumber AS id",
+        "concat('/m/', CAST(l_partkey AS STRING), CASE l_linenumber WHEN 1 THEN '.mp3' WHEN 2 THEN '.MP4' WHEN 3 THEN '.mkv' "
+        "WHEN 4 THEN '.wma' WHEN 5 THEN '.flac' ELSE '.webm' END) AS path",
+        "CAST(floor(l_extendedprice * 500) AS BIGINT) AS size_bytes",
+        "CASE WHEN l_returnflag = 'A' THEN NULL ELSE CAST(floor(l_quantity * 1000000) AS BIGINT) END AS extracted_bytes"]),
     "media_files": ("documents", [
         "doc_id", "text",
         "concat('/data/', source, '/doc', CAST(doc_id AS STRING), CASE doc_id % 10 WHEN 0 THEN '.TXT' "
