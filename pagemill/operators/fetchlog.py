@@ -118,32 +118,48 @@ def route_key(url: Column, device: Column) -> Column:
     return F.concat(F.lower(netloc_of(url)), F.lit("::"), F.when(device == "mobile", "mobile").otherwise("desktop"))
 
 
-def fold_routes(outcomes: DataFrame, as_of: datetime.datetime, ttl_days: float = rules.ROUTE_TTL_DAYS,
-                cap: int | None = rules.ROUTE_CAP, order: list[str] | None = None,
-                chunk_seconds: int = 3600) -> DataFrame:
+def _stored_events(entries: DataFrame) -> DataFrame:
+    """Stored entries as the events that lead to them: a success of their wins, then a strike or a refresh."""
+    strike = F.when(F.col("consecutive_fails") > 0, F.lit(1)).otherwise(0)
+    return entries.select("key", F.explode(F.array(
+        F.struct(F.col("last_success").alias("ts"), F.lit(0).alias("_turn"), F.lit(True).alias("ok"), F.col("route"),
+                 F.lit(0).alias("_strike"), F.col("wins").cast("long").alias("_weight")),
+        F.struct(F.col("last_used").alias("ts"), F.lit(1).alias("_turn"), F.lit(False).alias("ok"), F.col("route"),
+                 strike.alias("_strike"), F.lit(0).cast("long").alias("_weight")),
+    )).alias("e")).select("key", "e.*")
+
+
+def fold_routes(outcomes: DataFrame, as_of: datetime.datetime | Column, ttl_days: float = rules.ROUTE_TTL_DAYS,
+                cap: int | None = rules.ROUTE_CAP, order: list[str] | None = None, chunk_seconds: int = 3600,
+                initial: DataFrame | None = None) -> DataFrame:
     """The learned route per ``key`` after all ``outcomes`` (key, ts, ok, stop_reason, route).
 
     Two real failures in a row evict an entry, an age above ``ttl_days`` at the next event (or at ``as_of``) ends it,
     other failures only refresh it.  The cap is applied once at the end; the per-write cap gives the same result
-    whenever the live keys fit.  ``ts`` must not be null; ties are broken by ``order``.
+    whenever the live keys fit.  ``ts`` must not be null; ties are broken by the ``order`` columns after it.
+    ``initial`` holds entries from an earlier fold, whose events all came before.
 
     An entry's state follows from its last success, the strikes and age gaps after it, and the last success at which
     counting started again, so no key's events are gathered: three ordered passes over the same (key, hour) chunks
     and one aggregate.
     """
-    order = order or ["ts"]
+    ties = [c for c in order or [] if c != "ts"]
     limit = F.lit(int(ttl_days * 86400 * 1_000_000))
-    outcomes = outcomes.withColumn("ts", F.col("ts").cast("timestamp"))
-    micros = F.unix_micros("ts")
     strike = (~F.col("ok") & F.coalesce(F.col("stop_reason"), F.lit("")).isin(rules.PENALIZED_REASONS)).cast("int")
-    events = outcomes.select("key", "ok", "route", *order, *([] if "ts" in order else ["ts"]), strike.alias("_strike"))
+    events = outcomes.select(
+        "key", F.col("ts").cast("timestamp").alias("ts"), F.lit(2).alias("_turn"), "ok", "route", *ties,
+        strike.alias("_strike"), F.col("ok").cast("long").alias("_weight"))
+    if initial is not None:
+        events = events.unionByName(_stored_events(initial), allowMissingColumns=True)
+    order = ["ts", "_turn", *ties]
+    micros = F.unix_micros("ts")
     events = events.withColumn("_hour", F.floor(F.unix_seconds("ts") / chunk_seconds))
     aged = ordered.ordered_values(events, ["key"], order, "_hour", previous={"_before": micros})
     aged = aged.withColumn("_gap", F.coalesce((micros - F.col("_before") > limit).cast("int"), F.lit(0)))
     counted = ordered.ordered_values(
         aged, ["key"], order, "_hour",
-        running={"strikes": F.col("_strike"), "gaps": F.col("_gap"), "wins": F.col("ok").cast("int")})
-    state = F.struct("strikes", "gaps", "wins", F.col("route").alias("route"))
+        running={"strikes": F.col("_strike"), "gaps": F.col("_gap"), "wins": F.col("_weight")})
+    state = F.struct("strikes", "gaps", F.col("route").alias("route"))
     linked = ordered.ordered_values(
         counted, ["key"], order, "_hour", previous={"_last": F.when(F.col("ok"), state)})
     last = F.col("_last")
@@ -153,15 +169,16 @@ def fold_routes(outcomes: DataFrame, as_of: datetime.datetime, ttl_days: float =
     at = F.struct(*order)
     per = linked.groupBy("key").agg(
         F.max(F.when(F.col("ok"), F.struct(at.alias("at"), "ts", "strikes", "gaps", "wins", "route"))).alias("win"),
-        F.max(F.when(restart, F.struct(at.alias("at"), "wins"))).alias("start"),
+        F.max(F.when(restart, F.struct(at.alias("at"), (F.col("wins") - F.col("_weight")).alias("earlier")))).alias("start"),
         F.max("strikes").alias("strikes"), F.max("gaps").alias("gaps"), F.max("ts").alias("last_used"),
     )
     fails = F.col("strikes") - F.col("win.strikes")
-    fresh = F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("last_used") <= limit
+    now = as_of if isinstance(as_of, Column) else F.lit(as_of)
+    fresh = F.unix_micros(now.cast("timestamp")) - F.unix_micros("last_used") <= limit
     alive = per.filter(
         F.col("win").isNotNull() & (fails < rules.EVICT_AFTER) & (F.col("gaps") == F.col("win.gaps")) & fresh)
     entries = alive.select(
-        "key", F.col("win.route").alias("route"), (F.col("win.wins") - F.col("start.wins") + 1).alias("wins"),
+        "key", F.col("win.route").alias("route"), (F.col("win.wins") - F.col("start.earlier")).alias("wins"),
         fails.alias("consecutive_fails"), "last_used", F.col("win.ts").alias("last_success"))
     if cap is None:
         return entries

@@ -185,3 +185,53 @@ def c8(spark, sf):
         F.struct(F.max("route").alias("name")).alias("route"))
     found = fetchlog.lookup_routes(table(spark, sf, "requests"), store)
     return found.withColumn("route", F.col("route.name"))
+
+
+def _stream(spark, sf, name):
+    """A derived input as a stream over its base table's files."""
+    from .tables import DERIVED
+
+    base, exprs = DERIVED[name]
+    path = f"{sf}/{base}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").selectExpr(*exprs)
+
+
+# The stream judges age against its newest event, so the checking fold does too.
+@query("c6_fold_routes_stream", _FOLD.replace(
+    "TIMESTAMP '2024-01-31'", "(SELECT max(ts) FROM outcomes)") + _SHOW)
+def c6(spark, sf):
+    from ..functions.lineage import new_folder
+    from ..streaming import folds
+
+    state = new_folder(spark, "routes")
+    run = folds.fold_routes_stream(
+        _stream(spark, sf, "outcomes"), state, f"{state}-log", ttl_days=_TTL, cap=None, order=["ts", "event_id"],
+        available_now=True)
+    run.awaitTermination()
+    return _micros(folds.latest_state(spark, state, run))
+
+
+@query("c7_provider_health_stream", ORACLES["c7_provider_health"])
+def c7_stream(spark, sf):
+    from ..functions.lineage import new_folder
+    from ..streaming import folds
+
+    state = new_folder(spark, "health")
+    folds.provider_health_stream(
+        _stream(spark, sf, "provider_calls"), state, f"{state}-out", f"{state}-log", available_now=True
+    ).awaitTermination()
+    return spark.read.parquet(f"{state}-out").drop("body", "batch")
+
+
+@query("a1_load_captures_stream", """
+SELECT status, count(*) AS captures FROM (SELECT CASE WHEN page_id % 4 = 0 AND page_id % 3 <> 0 THEN 404 ELSE 200 END AS status
+FROM pages) GROUP BY status""")
+def a1_stream(spark, sf):
+    """Captures read as a stream and written to a table."""
+    from ..functions.lineage import new_folder
+    from ..sources.captures import parse_captures
+
+    out = new_folder(spark, "captures")
+    parse_captures(_stream(spark, sf, "raw_captures")).writeStream.format("parquet").option(
+        "checkpointLocation", f"{out}-log").trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.parquet(out).groupBy("status").agg(F.count("*").alias("captures"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions.lineage import new_folder
 from ..operators import enrich, output, threads
-from . import group_c
+from . import group_c, group_e
 from .group_d import THREADS_SQL, thread_inputs
 from .sqltext import strip
 from .tables import ctes, table
@@ -248,18 +249,11 @@ def g1_documents(spark, sf):
     return output.render_markdown(done, "relative", "/out")
 
 
-@query("g2_write_documents")
+@query("g2_write_documents", "SELECT platform, records FROM (" + group_e.ORACLES["e27_union_documents"] + ")")
 def g2(spark, sf):
     """Writes all records as JSON lines and reads them back."""
-    import tempfile
-
-    from .group_e import documents
-
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    import uuid
-
-    path = f"{folder}/documents-{uuid.uuid4().hex}"
-    output.write_documents(documents(spark, sf), path, "json")
+    path = new_folder(spark, "documents")
+    output.write_documents(group_e.documents(spark, sf), path, "json")
     return spark.read.json(path).groupBy("platform").agg(F.count("*").alias("records"))
 
 
