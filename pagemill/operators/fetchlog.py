@@ -9,6 +9,7 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -140,8 +141,8 @@ def fold_routes(outcomes: DataFrame, as_of: datetime.datetime | Column, ttl_days
     ``initial`` holds entries from an earlier fold, whose events all came before.
 
     An entry's state follows from its last success, the strikes and age gaps after it, and the last success at which
-    counting started again, so no key's events are gathered: three ordered passes over the same (key, hour) chunks
-    and one aggregate.
+    counting started again.  Each (key, hour) is reduced to those values first, hours are then linked per key, so a
+    hot key's events spread over many tasks and are read once.
     """
     ties = [c for c in order or [] if c != "ts"]
     limit = F.lit(int(ttl_days * 86400 * 1_000_000))
@@ -151,27 +152,60 @@ def fold_routes(outcomes: DataFrame, as_of: datetime.datetime | Column, ttl_days
         strike.alias("_strike"), F.col("ok").cast("long").alias("_weight"))
     if initial is not None:
         events = events.unionByName(_stored_events(initial), allowMissingColumns=True)
-    order = ["ts", "_turn", *ties]
-    micros = F.unix_micros("ts")
     events = events.withColumn("_hour", F.floor(F.unix_seconds("ts") / chunk_seconds))
-    aged = ordered.ordered_values(events, ["key"], order, "_hour", previous={"_before": micros})
-    aged = aged.withColumn("_gap", F.coalesce((micros - F.col("_before") > limit).cast("int"), F.lit(0)))
-    counted = ordered.ordered_values(
-        aged, ["key"], order, "_hour",
-        running={"strikes": F.col("_strike"), "gaps": F.col("_gap"), "wins": F.col("_weight")})
-    state = F.struct("strikes", "gaps", F.col("route").alias("route"))
-    linked = ordered.ordered_values(
-        counted, ["key"], order, "_hour", previous={"_last": F.when(F.col("ok"), state)})
-    last = F.col("_last")
-    restart = F.col("ok") & (
-        last.isNull() | ~last["route"].eqNullSafe(F.col("route"))
-        | (F.col("strikes") - last["strikes"] >= rules.EVICT_AFTER) | (F.col("gaps") > last["gaps"]))
+    order, on = ["ts", "_turn", *ties], ["key", "_hour"]
     at = F.struct(*order)
+
+    def starts_again(state: Column, strikes: Column, gaps: Column, route: Column) -> Column:
+        return (
+            state.isNull() | ~state["route"].eqNullSafe(route) | (strikes - state["strikes"] >= rules.EVICT_AFTER)
+            | (gaps > state["gaps"]))
+
+    # Inside an hour: age gaps, running counts, and successes that start counting again.
+    w = W.partitionBy(*on).orderBy(*order)
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    age = F.unix_micros("ts") - F.lag(F.unix_micros("ts")).over(w)
+    rows = events.withColumn("_gap", F.coalesce((age > limit).cast("int"), F.lit(0)))
+    rows = rows.withColumns({
+        "strikes": F.sum("_strike").over(upto), "gaps": F.sum("_gap").over(upto), "wins": F.sum("_weight").over(upto)})
+    rows = rows.withColumn("_last", F.last(
+        F.when(F.col("ok"), F.struct("strikes", "gaps", "route")), ignorenulls=True).over(before))
+    inner = F.col("ok") & F.col("_last").isNotNull() & starts_again(
+        F.col("_last"), F.col("strikes"), F.col("gaps"), F.col("route"))
+    earlier = (F.col("wins") - F.col("_weight")).alias("earlier")
+    hours = rows.groupBy(*on).agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        F.sum("_strike").alias("n_strikes"), F.sum("_gap").alias("n_gaps"), F.sum("_weight").alias("n_wins"),
+        F.min(F.when(F.col("ok") & F.col("_last").isNull(), F.struct(
+            at.alias("at"), "strikes", "gaps", earlier, "route"))).alias("head"),
+        F.max(F.when(inner, F.struct(at.alias("at"), earlier))).alias("inner"),
+        F.max(F.when(F.col("ok"), F.struct(at.alias("at"), "ts", "strikes", "gaps", "wins", "route"))).alias("tail"))
+
+    # Between the hours of a key: the same, from the summaries.
+    k = W.partitionBy("key").orderBy("_hour")
+    past = k.rowsBetween(W.unboundedPreceding, -1)
+    so_far = lambda c: F.coalesce(F.sum(c).over(past), F.lit(0))
+    wait = F.unix_micros("first_ts") - F.lag(F.unix_micros("last_ts")).over(k)
+    linked = hours.withColumn("_gap0", F.coalesce((wait > limit).cast("int"), F.lit(0)))
+    linked = linked.withColumns({
+        "_s": so_far("n_strikes"), "_n": so_far("n_wins"),
+        "_g": so_far(F.col("n_gaps") + F.col("_gap0")) + F.col("_gap0")})
+    linked = linked.withColumn("_carried", F.last(F.when(F.col("tail").isNotNull(), F.struct(
+        (F.col("_s") + F.col("tail.strikes")).alias("strikes"), (F.col("_g") + F.col("tail.gaps")).alias("gaps"),
+        F.col("tail.route").alias("route"))), ignorenulls=True).over(past))
+    head_starts = F.col("head").isNotNull() & starts_again(
+        F.col("_carried"), F.col("_s") + F.col("head.strikes"), F.col("_g") + F.col("head.gaps"), F.col("head.route"))
+    start = F.when(F.col("inner").isNotNull(), F.struct(
+        F.col("inner.at").alias("at"), (F.col("_n") + F.col("inner.earlier")).alias("earlier"))).when(
+        head_starts, F.struct(F.col("head.at").alias("at"), (F.col("_n") + F.col("head.earlier")).alias("earlier")))
     per = linked.groupBy("key").agg(
-        F.max(F.when(F.col("ok"), F.struct(at.alias("at"), "ts", "strikes", "gaps", "wins", "route"))).alias("win"),
-        F.max(F.when(restart, F.struct(at.alias("at"), (F.col("wins") - F.col("_weight")).alias("earlier")))).alias("start"),
-        F.max("strikes").alias("strikes"), F.max("gaps").alias("gaps"), F.max("ts").alias("last_used"),
-    )
+        F.max(F.when(F.col("tail").isNotNull(), F.struct(
+            F.col("tail.at").alias("at"), F.col("tail.ts").alias("ts"), F.col("tail.route").alias("route"),
+            (F.col("_s") + F.col("tail.strikes")).alias("strikes"), (F.col("_g") + F.col("tail.gaps")).alias("gaps"),
+            (F.col("_n") + F.col("tail.wins")).alias("wins")))).alias("win"),
+        F.max(start).alias("start"),
+        F.sum("n_strikes").alias("strikes"), F.sum(F.col("n_gaps") + F.col("_gap0")).alias("gaps"),
+        F.max("last_ts").alias("last_used"))
     fails = F.col("strikes") - F.col("win.strikes")
     now = as_of if isinstance(as_of, Column) else F.lit(as_of)
     fresh = F.unix_micros(now.cast("timestamp")) - F.unix_micros("last_used") <= limit

@@ -220,10 +220,9 @@ def merge_renderings(static: DataFrame, rendered: DataFrame | None, mode: str =
         shots = rendered if "error" in rendered.columns else rendered.withColumn(
             "error", F.lit(None).cast("string"))
         shots = shots.select(
-            F.col("url"), visible_text("html").alias("_text"), F.col("error").alias("_render_error"),
-            F.lit(True).alias("_want"))
-        keyed = base.withColumn("_want", F.when(F.col("_wanted"), True))
-        joined = ordered.lookup(keyed, shots, ["url", "_want"], ordered.spread_of("url", "static_text")).drop("_want")
+            "url", visible_text("html").alias("_text"), F.col("error").alias("_render_error"))
+        joined = ordered.lookup(base, shots, ["url"], ordered.spread_of("url", "html", "verdict"))
+        joined = joined.withColumns({c: F.when(F.col("_wanted"), F.col(c)) for c in ("_text", "_render_error")})
     late_block = F.coalesce(F.col("_render_error").rlike(ssrf), F.lit(False))
     ssrf_hit = blocked | late_block
     better = F.coalesce(

@@ -9,9 +9,25 @@ from .. import rules
 from ..functions.text import contains_any, strip, truthy
 
 
-def injection_signals(text: Column) -> Column:
-    found = [F.when(text.rlike(f"(?isU){p}"), F.lit(n)) for n, p in rules.INJECTION_SIGNALS]
-    return F.array_compact(F.array(*found))
+# A word of each list must occur for its signal to match; most texts are decided by this plain search.
+_NEEDED = {
+    "instruction_override": ["IGNORE", "DISREGARD", "FORGET", "OVERRIDE"],
+    "system_prompt_access": ["PROMPT", "MESSAGE", "INSTRUCTION"],
+    "credential_access": ["ID_RSA", "API", "TOKEN", "PASSWORD", "CREDENTIAL", "SECRET"],
+    "tool_execution": ["SHELL", "COMMAND", "TOOL", "BASH", "CURL", "PYTHON"],
+    "data_exfiltration": ["SEND", "UPLOAD", "EXFILTRATE", "POST", "LEAK"],
+}
+
+
+def with_signals(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add the array of signals found in ``text``."""
+    # Upper case also maps the letters that equal an ASCII letter when case is ignored, but for these two.
+    folded = df.withColumn("_upper", F.translate(F.upper(text), "Kİ", "KI"))
+    found = [
+        F.when(contains_any(F.col("_upper"), _NEEDED[n]) & text.rlike(f"(?isU){p}"), F.lit(n))
+        for n, p in rules.INJECTION_SIGNALS
+    ]
+    return folded.withColumn(out, F.array_compact(F.array(*found))).drop("_upper")
 
 
 def injection_risk(signals: Column) -> Column:
@@ -27,7 +43,7 @@ def injection_risk(signals: Column) -> Column:
 
 def scan_injection(df: DataFrame, text: str = "text") -> DataFrame:
     """``injection_signals`` (fixed order) and ``injection_risk``."""
-    return df.withColumn("injection_signals", injection_signals(F.coalesce(F.col(text), F.lit("")))).withColumn(
+    return with_signals(df, F.coalesce(F.col(text), F.lit("")), "injection_signals").withColumn(
         "injection_risk", injection_risk(F.col("injection_signals")))
 
 
@@ -64,7 +80,7 @@ def json_ascii(text: Column) -> Column:
 def wrap_untrusted(df: DataFrame, text: str = "text", url: str | None = None, out: str = "wrapped") -> DataFrame:
     """Text inside a marked envelope.  ``wrap_error`` names rows whose boundary could not be made unique."""
     body = F.coalesce(F.col(text), F.lit(""))
-    scanned = df.withColumn("_signals", injection_signals(body)).withColumn("boundary_id", boundary_id(body))
+    scanned = with_signals(df, body, "_signals").withColumn("boundary_id", boundary_id(body))
     header = [
         *[F.lit(line) for line in rules.ENVELOPE_INTRO],
         F.lit(f"content_trust: {rules.TRUST_LABEL}"),
@@ -107,6 +123,8 @@ def scan_lines(df: DataFrame, text: str = "text", deny: list[str] | None = None,
     found = F.transform(
         F.regexp_extract_all(F.col("line"), F.lit(rules.HOST_IN_TEXT.replace("(?i)", "(?iU)")), F.lit(0)),
         lambda u: F.regexp_replace(F.lower(u), r"^.*?//", ""))
+    # A host has a dot before a letter, or a scheme; lines without either skip the costly search.
+    found = F.when(F.col("line").rlike(r"\.\S|://"), found)
     foreign = F.filter(
         found,
         lambda h: ~h.isin(allowed) & ~h.endswith(".example.com") & ~h.endswith(".example.org"))

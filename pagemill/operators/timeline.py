@@ -84,28 +84,34 @@ def dedup_timeline(articles: DataFrame) -> DataFrame:
     return ordered.first_by(keyed, ["profile", "post_key"], ["scroll", "pos"])
 
 
+def _by_base(urls: Column, kind: str, all_of_base: bool) -> Column:
+    """Entries (kind, base, [(pos, url)]) of one post's URL array, per base URL in first-seen order."""
+    listed = F.transform(F.coalesce(urls, schema.no_paths()), lambda u, i: F.struct(
+        i.alias("pos"), u.alias("url"), url_base(u).alias("base")))
+    bases = F.array_distinct(F.transform(listed, lambda e: e["base"]))
+
+    def entry(base: Column) -> Column:
+        same = F.transform(F.filter(listed, lambda e: e["base"] == base), lambda e: F.struct(e["pos"], e["url"]))
+        return F.struct(
+            F.lit(kind).alias("kind"), base.alias("base"), (same if all_of_base else F.slice(same, 1, 1)).alias("urls"))
+
+    return F.transform(bases, entry)
+
+
 def dedup_media_across_posts(posts: DataFrame) -> DataFrame:
     """Profile-wide media (profile, post_seq, image_urls, video_urls).
 
     ``images_to_fetch`` holds an image only where its base URL comes first; ``video_urls`` loses videos seen in
-    earlier posts, repeats inside one post stay.
+    earlier posts, repeats inside one post stay.  A base URL's first post is a combined minimum, so a picture half
+    the profile repeats is reduced before the shuffle.
     """
-    media = posts.select(
-        "profile", "post_seq", F.explode(F.concat(
-            F.transform(F.coalesce("image_urls", schema.no_paths()), lambda u, i: F.struct(
-                F.lit("image").alias("kind"), i.alias("pos"), u.alias("url"))),
-            F.transform(F.coalesce("video_urls", schema.no_paths()), lambda u, i: F.struct(
-                F.lit("video").alias("kind"), i.alias("pos"), u.alias("url"))))).alias("m")
-    ).select("profile", "post_seq", "m.*").withColumn("base", url_base("url"))
-    first = ordered.group_values(
-        media, ["profile", "kind", "base"], {"_first": ("min", F.struct("post_seq", "pos"))},
-        ordered.spread_of("post_seq"))
-    fresh = first.filter(F.col("_first.post_seq") == F.col("post_seq"))
-    entry = F.struct("pos", "url")
-    image = (F.col("kind") == "image") & (F.col("_first.pos") == F.col("pos"))
-    lists = fresh.groupBy("profile", "post_seq").agg(
-        F.array_sort(F.collect_list(F.when(image, entry))).alias("_i"),
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "video", entry))).alias("_v"))
+    media = posts.select("profile", "post_seq", F.explode_outer(F.concat(
+        _by_base(F.col("image_urls"), "image", False), _by_base(F.col("video_urls"), "video", True))).alias("m"))
+    first = media.filter("m is not null").groupBy("profile", "m.kind", "m.base").agg(
+        F.min(F.struct("post_seq", "m.urls")).alias("_f"))
+    lists = first.groupBy("profile", F.col("_f.post_seq").alias("post_seq")).agg(
+        F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == "image", F.col("_f.urls"))))).alias("_i"),
+        F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == "video", F.col("_f.urls"))))).alias("_v"))
     urls = lambda c: F.coalesce(F.transform(c, lambda x: x["url"]), schema.no_paths())
     return posts.drop("video_urls").join(lists, ["profile", "post_seq"], "left").withColumn(
         "images_to_fetch", urls("_i")).withColumn("video_urls", urls("_v")).drop("_i", "_v")
@@ -300,8 +306,11 @@ def upgrade_media(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     its ``stp``-free form compete for one file.  Result: file_key, action, used_url, area.
     """
     usable = (F.col("status") == 200) & F.col("bytes").between(rules.MIN_PHOTO_BYTES, rules.MAX_PHOTO_BYTES)
-    allowed = F.col("url").rlike(r"(?iU)^https?://(?:[\w-]+\.)*fbcdn\.net/")
-    offers = incoming.withColumn("file_key", file_key(F.col("url"))).groupBy("file_key").agg(
+    allowed = F.col("_host_ok")
+    keyed = incoming.withColumns({
+        "file_key": file_key(F.col("url")),
+        "_host_ok": F.col("url").rlike(r"(?iU)^https?://(?:[\w-]+\.)*fbcdn\.net/")})
+    offers = keyed.groupBy("file_key").agg(
         F.max(F.when(usable & allowed, F.struct("area", (-F.col("seq")).alias("first"), "url"))).alias("_best"),
         F.coalesce(F.bool_or(F.col("status").isNotNull() & allowed), F.lit(False)).alias("_answered"),
         F.bool_or(allowed).alias("_allowed"))
