@@ -9,25 +9,30 @@ from .. import rules
 from ..functions.text import contains_any, strip, truthy
 
 
-# A word of each list must occur for its signal to match; most texts are decided by this plain search.
+# What a match needs: one of these words, and one of these letters at its start.  Most texts have none of the
+# words, and most positions of the others none of the letters.
 _NEEDED = {
-    "instruction_override": ["IGNORE", "DISREGARD", "FORGET", "OVERRIDE"],
-    "system_prompt_access": ["PROMPT", "MESSAGE", "INSTRUCTION"],
-    "credential_access": ["ID_RSA", "API", "TOKEN", "PASSWORD", "CREDENTIAL", "SECRET"],
-    "tool_execution": ["SHELL", "COMMAND", "TOOL", "BASH", "CURL", "PYTHON"],
-    "data_exfiltration": ["SEND", "UPLOAD", "EXFILTRATE", "POST", "LEAK"],
+    "instruction_override": (["IGNORE", "DISREGARD", "FORGET", "OVERRIDE"], "iIdDfFoO"),
+    "system_prompt_access": (["PROMPT", "MESSAGE", "INSTRUCTION"], "sSdDrR"),
+    "credential_access": (["ID_RSA", "API", "TOKEN", "PASSWORD", "CREDENTIAL", "SECRET"], "~iIaAtTpPcCsS"),
+    "tool_execution": (["SHELL", "COMMAND", "TOOL", "BASH", "CURL", "PYTHON"], "rReEcCuU"),
+    "data_exfiltration": (["SEND", "UPLOAD", "EXFILTRATE", "POST", "LEAK"], "sSuUeEpPlL"),
 }
 
 
 def with_signals(df: DataFrame, text: Column, out: str) -> DataFrame:
     """Add the array of signals found in ``text``."""
-    # Upper case also maps the letters that equal an ASCII letter when case is ignored, but for these two.
-    folded = df.withColumn("_upper", F.translate(F.upper(text), "Kİ", "KI"))
-    found = [
-        F.when(contains_any(F.col("_upper"), _NEEDED[n]) & text.rlike(f"(?isU){p}"), F.lit(n))
-        for n, p in rules.INJECTION_SIGNALS
-    ]
-    return folded.withColumn(out, F.array_compact(F.array(*found))).drop("_upper")
+    # The four letters beyond ASCII that equal an ASCII letter when case is ignored.
+    plain = text
+    for letter, ascii_letter in [("ſ", "s"), ("K", "K"), ("ı", "i"), ("İ", "I")]:
+        plain = F.replace(plain, F.lit(letter), F.lit(ascii_letter))
+    staged = df.withColumn("_plain", plain).withColumn("_upper", F.upper("_plain"))
+    found = []
+    for name, pattern in rules.INJECTION_SIGNALS:
+        words, heads = _NEEDED[name]
+        hit = contains_any(F.col("_upper"), words) & F.col("_plain").rlike(f"(?=[{heads}])(?isU:{pattern})")
+        found.append(F.when(hit, F.lit(name)))
+    return staged.withColumn(out, F.array_compact(F.array(*found))).drop("_plain", "_upper")
 
 
 def injection_risk(signals: Column) -> Column:
@@ -111,8 +116,10 @@ def scan_lines(df: DataFrame, text: str = "text", deny: list[str] | None = None,
     """
     allowed = [h.lower() for h in (rules.NEUTRAL_HOSTS if allow_hosts is None else allow_hosts)]
     keys = keys or [c for c in df.columns if c != text]
-    lines = F.split(
-        F.regexp_replace(F.col(text), r"\r\n|[\r\x0B\f\x1C-\x1E\x85  ]", "\n"), "\n")
+    unified = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
+    for end in "\r\x0b\f\x1c\x1d\x1e\x85\u2028\u2029":
+        unified = F.replace(unified, F.lit(end), F.lit("\n"))
+    lines = F.split(unified, "\n")
     rows = df.select(*keys, F.posexplode_outer(lines).alias("_i", "line"))
     if exempt_markers:
         rows = rows.filter(~contains_any(F.col("line"), exempt_markers))
