@@ -149,3 +149,18 @@ def visible_length(html: Column) -> Column:
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     bare = F.regexp_replace(bare, r"(?s)<[^>]+>", " ")
     return F.length(F.btrim(F.regexp_replace(bare, r"(?U)\s+", " ")))
+
+
+def is_json(text: Column | str) -> Column:
+    """True when the whole text is one JSON value.
+
+    Spark's readers stop after the first value, so the text is set between two keys: anything behind its value
+    spoils the object.  Repeated keys inside are fine.
+    """
+    keys = F.json_object_keys(F.concat(F.lit('{"v":'), col(text), F.lit(',"end":0}')))
+    return F.coalesce(keys == F.array(F.lit("v"), F.lit("end")), F.lit(False))
+
+
+def whole_json(text: Column | str) -> Column:
+    """The text where it is JSON as a whole, else null."""
+    return F.when(is_json(text), col(text))

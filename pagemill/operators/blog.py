@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules, schema
 from ..functions import ordered
-from ..functions.text import truthy, url_base
+from ..functions.text import truthy, url_base, whole_json
 
 
 def concat_list_pages(pages: DataFrame, page_size: int = 30, max_posts: int = 10000) -> DataFrame:
@@ -16,7 +16,7 @@ def concat_list_pages(pages: DataFrame, page_size: int = 30, max_posts: int = 10
     Reading ends before the first missing, failed, unparseable or empty page and after the first short one; at most
     ``max_posts`` items per blog.  Result: blog_id, position (from 0), item (VARIANT).
     """
-    parsed = F.try_parse_json("body")
+    parsed = F.try_parse_json(whole_json("body"))
     is_object = F.try_variant_get(parsed, "$.result", "map<string,variant>").isNotNull()
     items = F.when(is_object, F.try_variant_get(parsed, "$.result.items", "array<variant>"))
     usable = (F.col("status") == 200) & (F.coalesce(F.col("body"), F.lit("")) != "")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import ordered
-from ..functions.text import strip, suffix_of, truthy
+from ..functions.text import strip, suffix_of, truthy, whole_json
 
 
 def media_kind(path: Column) -> Column:
@@ -80,7 +80,7 @@ def classify_errors(calls: DataFrame) -> DataFrame:
     status, body = F.col("http_status"), F.coalesce(F.col("body"), F.lit(""))
     low = F.lower(body)
     details = F.from_json(
-        body, "error struct<details:array<struct<`@type`:string,violations:array<struct<quotaId:string,"
+        whole_json(body), "error struct<details:array<struct<`@type`:string,violations:array<struct<quotaId:string,"
               "quotaMetric:string>>>>>")["error"]["details"]
     daily = F.coalesce(F.exists(
         details,
@@ -94,7 +94,7 @@ def classify_errors(calls: DataFrame) -> DataFrame:
         .when(status >= 500, "server").when(status != 200, "other"))
     spent = (status == 402) | ((status == 403) & (low.contains("credit") | low.contains("quota")))
     nim = F.when(spent, "quota").when(status == 429, "rate_limited").when(status != 200, "other")
-    parsed = F.from_json(body, "text string")["text"]
+    parsed = F.from_json(whole_json(body), "text string")["text"]
     groq = (
         F.when(status == 429, "rate_limited").when(status.isin(401, 403), "auth").when(status.isin(400, 413), "rejected")
         .when(status >= 500, "server").when(status != 200, "other").when(parsed.isNull(), "parse"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import CHUNK, col, join_lines, strip, truthy, unescape, url_base
+from ..functions.text import CHUNK, col, join_lines, strip, truthy, unescape, url_base, whole_json
 
 # Comments, script-like elements, declarations and tags; leftmost wins, so a tag inside a comment stays hidden.
 # The common "<" comes first: other characters cost one comparison.
@@ -91,7 +91,7 @@ def extract_embedded_json(pages: DataFrame, html: str = "html") -> DataFrame:
     braces = F.transform(scripts, lambda s: truthy(F.regexp_extract(s, r"(?s)\{.*\}", 0)))
     return (
         pages.select(*[c for c in pages.columns if c != html], F.posexplode_outer(braces).alias("script_no", "json_text"))
-        .withColumn("payload", F.try_parse_json("json_text"))
+        .withColumn("payload", F.try_parse_json(whole_json("json_text")))
         .filter(F.col("payload").isNotNull())
     )
 

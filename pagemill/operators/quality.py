@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules, schema
 from ..functions import ordered
-from ..functions.text import any_of, col, contains_any, matching, strip, visible_length
+from ..functions.text import any_of, col, contains_any, is_json, matching, strip, visible_length
 from .pages import visible_text
 
 _SELECTOR = re.compile(r"^(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)?(?:(?P<kind>[#.])(?P<name>[A-Za-z_][\w-]*))?$")
@@ -66,10 +66,7 @@ def validate_pages(df: DataFrame, status: str = "status", body: str = "body", he
 
     content_type = _header(F.col(headers), "content-type") if headers else F.lit("")
     looks_json = content_type.contains("json") | text.rlike(r"(?U)^\s*[{\[]")
-    parsed = F.try_parse_json(text)
-    json_empty = F.to_json(parsed).isin("null", "{}", "[]", '""')
-    # The literal null parses to a null value, which the text still shows.
-    json_null = strip(text) == "null"
+    json_empty = text.rlike(r'^\s*(?:null|\{\s*\}|\[\s*\]|"")\s*$')
     unresolved = (
         F.coalesce(F.try_element_at(F.col(cookies), F.lit("_abck")).contains("~-1~"), F.lit(False))
         if cookies else F.lit(False)
@@ -89,8 +86,8 @@ def validate_pages(df: DataFrame, status: str = "status", body: str = "body", he
         layers.append((F.abs(size - bad) <= rules.SIZE_TOLERANCE, "challenge",
                        reason(F.lit("size_fp:"), size.cast("string"), F.lit(f"~{bad}"))))
     layers += [
-        (looks_json & (json_null | (parsed.isNotNull() & json_empty)), "suspect_ok", reason(F.lit("json_empty"))),
-        (looks_json & parsed.isNotNull(), "weak_ok", reason(F.lit("json_ok"))),
+        (looks_json & json_empty, "suspect_ok", reason(F.lit("json_empty"))),
+        (looks_json & is_json(text), "weak_ok", reason(F.lit("json_ok"))),
     ]
     hits = selector_hits(text, selectors) if selectors else matching([])
     if selectors:

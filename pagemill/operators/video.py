@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import rules, schema
 from ..functions import ordered
-from ..functions.text import contains_any, strip, suffix_of, truthy
+from ..functions.text import contains_any, strip, suffix_of, truthy, whole_json
 
 
 def optional(df: DataFrame, name: str, default: Column) -> Column:
@@ -172,7 +172,7 @@ def normalize_tiktok(df: DataFrame, dump: str = "dump", fetched_at: Column | Non
 
     Optional columns: media_paths, downloaded.
     """
-    entries = F.try_variant_get(F.try_parse_json(dump), "$", "array<variant>")
+    entries = F.try_variant_get(F.try_parse_json(whole_json(dump)), "$", "array<variant>")
     payloads = F.filter(
         F.transform(entries, lambda e: F.try_variant_get(e, "$[1]", "variant")),
         lambda p: F.try_variant_get(p, "$", "map<string,variant>").isNotNull())

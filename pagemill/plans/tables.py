@@ -115,8 +115,8 @@ DERIVED: dict[str, tuple[str, list[str]]] = {
         "AS provider",
         "CASE event_type WHEN 'signup' THEN 200 WHEN 'view' THEN 429 WHEN 'click' THEN 403 WHEN 'error' THEN 500 "
         "ELSE 402 END AS http_status",
-        "CASE WHEN event_id % 9 = 0 THEN '{\"error\":{\"details\":[{\"@type\":\"x.QuotaFailure\",\"violations\":"
-        "[{\"quotaId\":\"GenerateRequestsPerDayPerProject\"}]}]}} RESOURCE_EXHAUSTED' "
+        "CASE WHEN event_id % 9 = 0 THEN '{\"error\":{\"status\":\"RESOURCE_EXHAUSTED\",\"details\":[{\"@type\":\"x.QuotaFailure\",\"violations\":"
+        "[{\"quotaId\":\"GenerateRequestsPerDayPerProject\"}]}]}}' "
         "WHEN event_id % 9 = 1 THEN '{\"error\":{\"details\":[{\"@type\":\"x.QuotaFailure\",\"violations\":"
         "[{\"quotaId\":\"GenerateRequestsPerMinute\"}]}]}}' WHEN event_id % 9 = 2 THEN 'no Credit left' "
         "WHEN event_id % 9 = 3 THEN '{\"text\":\"hello\"}' ELSE 'plain' END AS body"]),

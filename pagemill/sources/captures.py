@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..functions.text import strip, suffix_of, truthy
+from ..functions.text import is_json, strip, suffix_of, truthy
 
 _ENVELOPE = (
     "html string, finalUrl string, status string, cookies array<struct<name:string,value:string>>, userAgent string"
@@ -16,7 +16,7 @@ _ENVELOPE = (
 def parse_captures(df: DataFrame, raw: str = "raw", url: str = "url") -> DataFrame:
     """A1 on a table: a body that is a JSON envelope is opened, anything else is raw HTML with status 200."""
     text = F.col(raw)
-    is_object = text.rlike(r"(?U)^\s*\{") & F.try_parse_json(text).isNotNull()
+    is_object = text.rlike(r"(?U)^\s*\{") & is_json(text)
     out = df.withColumn("_env", F.when(is_object, F.from_json(text, _ENVELOPE)))
     env = F.col("_env")
     status = F.coalesce(env["status"].try_cast("int"), F.lit(0))

@@ -44,7 +44,14 @@ def fold_routes_stream(stream: DataFrame, state_path: str, checkpoint: str, ttl_
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.withColumn("ts", F.col("ts").cast("timestamp"))
+        # Read from its source once for the three passes below.
+        batch = batch.withColumn("ts", F.col("ts").cast("timestamp")).persist()
+        try:
+            fold(spark, batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def fold(spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
         before = spark.read.parquet(_version(state_path, batch_id - 1)) if batch_id > 0 else None
         fresh = batch
         if before is not None:
