@@ -28,6 +28,12 @@ def spread_of(*cols: str, n: int = SPREAD) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n))
 
 
+def row_spread(df: DataFrame) -> Column:
+    """A salt from all columns of a row that can be hashed (maps and variants cannot)."""
+    names = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return spread_of(*names) if names else F.lit(0).cast("long")
+
+
 def group_values(df: DataFrame, keys: list[str], values: dict[str, tuple[str, Column]], spread: Column) -> DataFrame:
     """Attach group-wide ``min`` / ``max`` / ``sum`` values to every row of the group."""
     spreaded = df.withColumn("_part", spread)

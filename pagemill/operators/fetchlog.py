@@ -232,4 +232,4 @@ def lookup_routes(requests: DataFrame, store: DataFrame, url: str = "url", devic
     """Attach the stored ``route`` of a request's host and device class; reading refreshes nothing."""
     keyed = requests.withColumn("key", route_key(F.col(url), F.col(device)))
     usable = store.filter("route is not null").select("key", "route")
-    return ordered.lookup(keyed, usable, ["key"], ordered.spread_of(*requests.columns))
+    return ordered.lookup(keyed, usable, ["key"], ordered.row_spread(requests))

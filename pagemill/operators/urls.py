@@ -40,7 +40,7 @@ def route_urls(df: DataFrame, url: str = "url", local_paths: DataFrame | None =
     if local_paths is not None:
         files = local_paths.select(F.col("path").alias("_path")).distinct().withColumn("_local", F.lit(True))
         routed = ordered.lookup(
-            routed.withColumn("_path", col(url)), files, ["_path"], ordered.spread_of(*df.columns)
+            routed.withColumn("_path", col(url)), files, ["_path"], ordered.row_spread(df)
         )
         is_local = F.coalesce(F.col("_local"), F.lit(False))
     platform = F.when(is_local, "local").otherwise(platform_of(text))
@@ -64,33 +64,29 @@ def parse_post_keys(df: DataFrame, url: str = "url", platform: str = "platform")
     def on(name: str) -> Column:
         return s.rlike(host_rule(name))
 
-    video_id = r"([A-Za-z0-9_-]{11})"
-    bare = part(rf"^{video_id}$")
-    youtube = F.coalesce(bare, F.when(on("youtube"), F.coalesce(
-        part(rf"[?&]v={video_id}"), part(rf"youtu\.be/{video_id}"), part(rf"/(?:live|shorts|embed|v)/{video_id}"))))
+    bare, *in_url = [part(p) for p in rules.VIDEO_ID_PATTERNS]
+    youtube = F.coalesce(bare, F.when(on("youtube"), F.coalesce(*in_url)))
 
-    thread_path = r"(?i)/@([A-Za-z0-9_.]+)/post/([A-Za-z0-9_-]+)"
-    author = part(thread_path)
+    author = part(rules.THREAD_PATH)
     author_ok = ~(author.contains("..") | author.startswith(".") | author.endswith("."))
-    thread_code = truthy(F.regexp_extract(s, thread_path, 2))
+    thread_code = truthy(F.regexp_extract(s, rules.THREAD_PATH, 2))
     threads = F.when(on("threads") & author_ok, thread_code)
 
-    instagram = F.when(on("instagram"), part(r"(?i)/(?:p|reel|tv)/([A-Za-z0-9_-]+)"))
+    instagram = F.when(on("instagram"), part(rules.PHOTO_PATH))
 
     raw = col(url)
-    query_blog = truthy(F.regexp_extract(raw, r"(?i)[?&]blogId=([A-Za-z0-9_-]+)", 1))
-    query_log = truthy(F.regexp_extract(raw, r"(?i)[?&]logNo=(\d+)", 1))
-    blog_path = r"(?i)(?:m\.)?blog\.naver\.com/([A-Za-z0-9_-]+)(?:/(\d+))?"
-    path_blog = truthy(F.regexp_extract(raw, blog_path, 1))
+    query_blog = truthy(F.regexp_extract(raw, rules.BLOG_QUERY, 1))
+    query_log = truthy(F.regexp_extract(raw, rules.BLOG_LOG_QUERY, 1))
+    path_blog = truthy(F.regexp_extract(raw, rules.BLOG_PATH, 1))
     path_ok = path_blog.isNotNull() & ~F.lower(path_blog).isin(rules.BLOG_PAGES)
     blog = F.coalesce(query_blog, F.when(path_ok, path_blog))
     log_no = F.coalesce(
-        query_log, F.when(query_blog.isNull() & path_ok, truthy(F.regexp_extract(raw, blog_path, 2))))
+        query_log, F.when(query_blog.isNull() & path_ok, truthy(F.regexp_extract(raw, rules.BLOG_PATH, 2))))
 
     is_url = raw.startswith("http://") | raw.startswith("https://")
     timeline = (
-        F.when(is_url & raw.rlike(r"(?iU)^https?://(?:[\w-]+\.)*facebook\.com/"), raw)
-        .when(~is_url & raw.rlike(r"^[A-Za-z0-9][A-Za-z0-9.]{0,63}$"),
+        F.when(is_url & raw.rlike(rules.TIMELINE_HOST), raw)
+        .when(~is_url & raw.rlike(rules.PROFILE_NAME),
               F.concat(F.lit("https://www.facebook.com/"), raw))
     )
     tiktok = F.when(on("tiktok"), s)
@@ -148,20 +144,19 @@ def official_routes(df: DataFrame, url: str = "url") -> DataFrame:
 
     base = F.regexp_replace(url_base(u), r"/+$", "")
     dot = F.when(base.contains("/comments/"), ".").otherwise("/.")
-    status = F.regexp_extract(u, r"/status(?:es)?/(\d+)", 1)
+    status = F.regexp_extract(u, rules.STATUS_PATH, 1)
     handle = F.regexp_extract(u, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*/+([^/?#]+)", 1)
     routes = (
         F.when(is_reddit, F.array(
             route(1, "rss", F.concat(base, dot, F.lit("rss"))), route(2, "json", F.concat(base, dot, F.lit("json")))))
         .when(is_x & (status != ""), F.array(
             route(1, "tweet-result", F.concat(
-                F.lit("https://cdn.syndication.twimg.com/tweet-result?id="), status, F.lit("&token=a"))),
+                F.lit(rules.TWEET_RESULT[0]), status, F.lit(rules.TWEET_RESULT[1]))),
             route(2, "oembed", F.concat(
-                F.lit("https://publish.twitter.com/oembed?url=https://twitter.com/i/status/"), status,
-                F.lit("&omit_script=1")))))
+                F.lit(rules.TWEET_EMBED[0]), status, F.lit(rules.TWEET_EMBED[1])))))
         .when(is_x & (handle != "") & ~F.lower(handle).isin(rules.NOT_A_HANDLE), F.array(
             route(1, "syndication-timeline", F.concat(
-                F.lit("https://syndication.twitter.com/srv/timeline-profile/screen-name/"), handle))))
+                F.lit(rules.PROFILE_TIMELINE), handle))))
         .when(is_video, F.array(route(1, "yt-dlp", u)))
     )
     return df.withColumn("site", site).withColumn("_r", F.explode_outer(routes)).filter("_r is not null").select(
@@ -224,68 +219,57 @@ def _ipv4_number(ip: Column) -> Column:
     return sum((F.get(octets, F.lit(i)).try_cast("long") * (256 ** (3 - i)) for i in range(1, 4)), F.get(octets, F.lit(0)).try_cast("long") * 256**3)
 
 
-def ip_blocked(ip: Column) -> Column:
-    """True for addresses that are not on the public internet."""
-    number = _ipv4_number(ip)
-    nets = [ipaddress.ip_network(n) for n in rules.BLOCKED_IPV4]
-    v4 = any_of([number.between(int(n.network_address), int(n.broadcast_address)) for n in nets])
-    mapped = F.regexp_extract(ip, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1)
-    mapped_number = _ipv4_number(mapped)
-    mapped_v4 = any_of([mapped_number.between(int(n.network_address), int(n.broadcast_address)) for n in nets])
-    first = F.conv(F.when(ip.startswith(":"), "0").otherwise(F.substring_index(ip, ":", 1)), 16, 10).try_cast("long")
-    second = F.conv(truthy(F.split_part(ip, F.lit(":"), F.lit(2))), 16, 10).try_cast("long")
-    second = F.coalesce(second, F.lit(0))
-    global_unicast = first.between(0x2000, 0x3FFF) & ~(
-        ((first == 0x2001) & ((second < 0x200) | (second == 0xDB8))) | (first == 0x2002))
-    site_local = first.between(0xFEC0, 0xFEFF)
-    return (
-        F.when(ip.rlike(IPV4), v4)
-        .when(mapped != "", mapped_v4)
-        .when(ip.rlike(IPV6), ~(global_unicast | site_local))
-        .otherwise(F.lit(False))
-    )
-
+def with_blocked(df: DataFrame, ip: str, out: str) -> DataFrame:
+    """Add ``out``: true for an address that is not on the public internet, false for other text.
 
-def _guard(u: Column, allow_private: bool) -> tuple[Column, Column, Column]:
-    """(literal verdict or null when the host must be looked up, host, blocked literal)."""
-    scheme, host = scheme_of(u), host_of(u)
-    literal = host.rlike(IPV4) | host.rlike(IPV6)
-    reason = (
-        F.when(~scheme.isin("http", "https"), F.concat(F.lit("scheme:"), F.coalesce(truthy(scheme), F.lit("none"))))
-        .when(host == "", "no_host")
-    )
-    if allow_private:
-        return reason.otherwise("allow_private"), host, F.lit(False)
-    return (
-        reason.when(literal, F.when(ip_blocked(host), F.concat(F.lit("ip_blocked:"), host)).otherwise("public_ip")),
-        host,
-        literal,
-    )
+    The parts of an address are columns of their own, so each is taken apart once.
+    """
+    address = F.col(ip)
+    mapped = truthy(F.regexp_extract(address, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1))
+    hextet = lambda i: F.conv(truthy(F.split_part(address, F.lit(":"), F.lit(i))), 16, 10).try_cast("long")
+    staged = df.withColumns({
+        "_v4": F.coalesce(F.when(address.rlike(IPV4), address), mapped), "_v6": address.rlike(IPV6),
+        "_first": F.coalesce(hextet(1), F.lit(0)), "_second": F.coalesce(hextet(2), F.lit(0)),
+    }).withColumn("_number", _ipv4_number(F.col("_v4")))
+    nets = [ipaddress.ip_network(n) for n in rules.BLOCKED_IPV4]
+    inner = any_of([F.col("_number").between(int(n.network_address), int(n.broadcast_address)) for n in nets])
+    first, second = F.col("_first"), F.col("_second")
+    # Of IPv6 the global unicast block is public, without its tunnel and documentation parts, and old site-local.
+    public = (first.between(0x2000, 0x3FFF) & ~(
+        ((first == 0x2001) & ((second < 0x200) | (second == 0xDB8))) | (first == 0x2002))) | first.between(0xFEC0, 0xFEFF)
+    flag = F.when(F.col("_number").isNotNull(), inner).when(F.col("_v6"), ~public).otherwise(False)
+    return staged.withColumn(out, flag).drop("_v4", "_v6", "_first", "_second", "_number")
 
 
 def _resolved_verdicts(resolved: DataFrame) -> DataFrame:
     """One row per host: its first non-public address, if any."""
-    return resolved.groupBy(F.lower("host").alias("_host")).agg(
-        F.min(F.when(ip_blocked(F.lower("ip")), F.col("ip"))).alias("_bad_ip"), F.lit(True).alias("_known"))
+    judged = with_blocked(resolved.select(F.lower("host").alias("_host"), "ip", F.lower("ip").alias("_ip")), "_ip", "_bad")
+    return judged.groupBy("_host").agg(
+        F.min(F.when(F.col("_bad"), F.col("ip"))).alias("_bad_ip"), F.lit(True).alias("_known"))
 
 
 def guard_urls(df: DataFrame, url: str = "url", resolved: DataFrame | None = None,
                allow_private: bool = False) -> DataFrame:
     """``is_safe`` and ``reason``; host names are judged by the supplied ``resolved`` (host, ip) table."""
-    reason, host, _ = _guard(col(url), allow_private)
-    out = df.withColumn("_reason", reason).withColumn("_host", host)
+    out = with_blocked(df.withColumns({
+        "_scheme": F.coalesce(scheme_of(col(url)), F.lit("")), "_host": F.coalesce(host_of(col(url)), F.lit(""))}), "_host", "_inner")
     if resolved is not None and not allow_private:
-        out = ordered.lookup(out, _resolved_verdicts(resolved), ["_host"], ordered.spread_of(*df.columns))
+        out = ordered.lookup(out, _resolved_verdicts(resolved), ["_host"], ordered.row_spread(df))
     else:
         out = out.withColumn("_bad_ip", F.lit(None).cast("string")).withColumn("_known", F.lit(None).cast("boolean"))
-    by_name = (
-        F.when(F.col("_bad_ip").isNotNull(), F.concat(F.lit("resolves_internal:"), "_host", F.lit("->"), "_bad_ip"))
+    scheme, host = F.col("_scheme"), F.col("_host")
+    reason = (
+        F.when(~scheme.isin("http", "https"), F.concat(F.lit("scheme:"), F.coalesce(truthy(scheme), F.lit("none"))))
+        .when(host == "", "no_host")
+        .when(F.lit(allow_private), "allow_private")
+        .when(F.col("_inner"), F.concat(F.lit("ip_blocked:"), host))
+        .when(host.rlike(IPV4) | host.rlike(IPV6), "public_ip")
+        .when(F.col("_bad_ip").isNotNull(), F.concat(F.lit("resolves_internal:"), host, F.lit("->"), "_bad_ip"))
         .when(F.col("_known"), "public")
         .otherwise("resolve_failed_allow")
     )
-    final = F.coalesce("_reason", by_name)
-    blocked = F.regexp_extract(final, r"^(scheme:|no_host|ip_blocked:|resolves_internal:)", 1) != ""
-    return out.withColumn("is_safe", ~blocked).withColumn("reason", final).select(*df.columns, "is_safe", "reason")
+    refused = F.regexp_extract(F.col("reason"), r"^(scheme:|no_host|ip_blocked:|resolves_internal:)", 1) != ""
+    return out.withColumn("reason", reason).withColumn("is_safe", ~refused).select(*df.columns, "is_safe", "reason")
 
 
 def absolute_url(base: Column, location: Column) -> Column:
@@ -357,7 +341,7 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, max_redirects: int = 1
         F.col("_start").alias(url), F.lit(None).cast("string").alias("final_url"), "hops",
         F.lit(None).cast("int").alias("status"), F.lit("too_many_redirects").alias("error")))
     results = reduce(DataFrame.unionByName, ended)
-    return ordered.lookup(starts, results, [url], ordered.spread_of(*starts.columns))
+    return ordered.lookup(starts, results, [url], ordered.row_spread(starts))
 
 
 def batch_by_host(df: DataFrame, url: str = "url", position: str = "position", n: int | None = None) -> DataFrame:

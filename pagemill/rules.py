@@ -15,6 +15,25 @@ PLATFORM_HOSTS = [
 MAX_URL = 2048
 MAX_WEB_URL = 4096
 
+# Where each platform's URLs carry their key.
+VIDEO_ID_PATTERNS = [
+    r"^([A-Za-z0-9_-]{11})$", r"[?&]v=([A-Za-z0-9_-]{11})", r"youtu\.be/([A-Za-z0-9_-]{11})",
+    r"/(?:live|shorts|embed|v)/([A-Za-z0-9_-]{11})",
+]
+THREAD_PATH = r"(?i)/@([A-Za-z0-9_.]+)/post/([A-Za-z0-9_-]+)"
+PHOTO_PATH = r"(?i)/(?:p|reel|tv)/([A-Za-z0-9_-]+)"
+BLOG_QUERY = r"(?i)[?&]blogId=([A-Za-z0-9_-]+)"
+BLOG_LOG_QUERY = r"(?i)[?&]logNo=(\d+)"
+BLOG_PATH = r"(?i)(?:m\.)?blog\.naver\.com/([A-Za-z0-9_-]+)(?:/(\d+))?"
+TIMELINE_HOST = r"(?iU)^https?://(?:[\w-]+\.)*facebook\.com/"
+PROFILE_NAME = r"^[A-Za-z0-9][A-Za-z0-9.]{0,63}$"
+
+# Public feed and embed addresses.
+STATUS_PATH = r"/status(?:es)?/(\d+)"
+TWEET_RESULT = ("https://cdn.syndication.twimg.com/tweet-result?id=", "&token=a")
+TWEET_EMBED = ("https://publish.twitter.com/oembed?url=https://twitter.com/i/status/", "&omit_script=1")
+PROFILE_TIMELINE = "https://syndication.twitter.com/srv/timeline-profile/screen-name/"
+
 # Path segments that are pages of the blog host, not blog names.
 BLOG_PAGES = ["postview", "postlist", "prologue", "guestbook"]
 # Marks of a single post among timeline URLs.
@@ -103,13 +122,13 @@ STRONG_SIGNALS, WEAK_SIGNALS = 2, 1
 INJECTION_SIGNALS = [
     (
         "instruction_override",
-        r"\b(?:ignore|disregard|forget|override)\b.{0,80}\b(?:previous|prior|above|earlier|all)\b.{0,40}"
-        r"\b(?:instruction|instructions|prompt|message|messages)\b",
+        r"\b(ignore|disregard|forget|override)\b.{0,80}\b(previous|prior|above|earlier|all)\b.{0,40}"
+        r"\b(instruction|instructions|prompt|message|messages)\b",
     ),
     (
         "system_prompt_access",
-        r"\b(?:system|developer)\s+(?:prompt|message|instruction)s?\b|"
-        r"\breveal\b.{0,40}\b(?:system prompt|developer message)\b",
+        r"\b(system|developer)\s+(prompt|message|instruction)s?\b|"
+        r"\breveal\b.{0,40}\b(system prompt|developer message)\b",
     ),
     (
         "credential_access",
@@ -117,11 +136,11 @@ INJECTION_SIGNALS = [
     ),
     (
         "tool_execution",
-        r"\b(?:run|execute|call|use)\b.{0,40}\b(?:shell|command|tool|bash|curl|python)\b",
+        r"\b(run|execute|call|use)\b.{0,40}\b(shell|command|tool|bash|curl|python)\b",
     ),
     (
         "data_exfiltration",
-        r"\b(?:send|upload|exfiltrate|post|leak)\b.{0,80}\b(?:token|api[-_ ]?key|secret|credential|password|"
+        r"\b(send|upload|exfiltrate|post|leak)\b.{0,80}\b(token|api[-_ ]?key|secret|credential|password|"
         r"system prompt|developer message|~/.ssh/id_rsa|id_rsa)\b",
     ),
 ]

@@ -68,6 +68,11 @@ def test_guard(spark):
     got = column(urls.guard_urls(frame(spark, blocked + allowed), "url", resolved), "is_safe")
     assert [got[i] for i in range(len(blocked))] == [False] * len(blocked)
     assert [got[i] for i in range(len(blocked), len(got))] == [True] * len(allowed)
+    # Rows may carry maps, and a missing URL is not safe.
+    mapped = frame(spark, ["http://localhost/", None]).withColumn("headers", F.create_map(F.lit("a"), F.lit("b")))
+    rows = urls.guard_urls(mapped, "url", resolved).orderBy("id").collect()
+    assert [(r.is_safe, r.reason) for r in rows] == [
+        (False, "resolves_internal:localhost->127.0.0.1"), (False, "scheme:none")]
     private = urls.guard_urls(frame(spark, ["http://127.0.0.1:8080/"]), allow_private=True).first()
     assert (private.is_safe, private.reason) == (True, "allow_private")
 
