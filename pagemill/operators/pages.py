@@ -16,10 +16,23 @@ MARKUP = (
 )
 
 
+_OPEN = "\u0002"  # stands for a "<" that opens no tag
+
+
+def _after_last(text: Column, closer: str, opener: str, instead: str) -> Column:
+    """Exchange the openers behind the last closer."""
+    tail = F.substring_index(text, closer, -1)
+    head = F.left(text, F.length(text) - F.length(tail))
+    return F.when(tail.contains(opener), F.concat(head, F.replace(tail, F.lit(opener), F.lit(instead)))).otherwise(text)
+
+
 def visible_text(html: Column | str) -> Column:
     """B1 as an expression: text chunks between tags, script-like bodies dropped, one chunk per line."""
     source = F.replace(F.coalesce(col(html), F.lit("")), F.lit(CHUNK), F.lit(" "))
-    bare = F.regexp_replace(source, MARKUP, CHUNK)
+    # Comments and tags that nothing closes would each search to the end of the page.
+    source = _after_last(source, "-->", "<!--", "<!- -")
+    source = _after_last(source, ">", "<", f"{CHUNK}{_OPEN}{CHUNK}")
+    bare = F.replace(F.regexp_replace(source, MARKUP, CHUNK), F.lit(_OPEN), F.lit("<"))
     # What is left of "<" opens no tag; it is a chunk of its own.
     chunks = F.split(F.replace(bare, F.lit("<"), F.lit(f"{CHUNK}<{CHUNK}")), CHUNK)
     return join_lines(F.filter(F.transform(chunks, lambda c: strip(unescape(c))), lambda c: c != ""))

@@ -3,6 +3,7 @@ import re
 from html.parser import HTMLParser
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill import rules
 from pagemill.operators import pages, quality, safety
@@ -33,7 +34,7 @@ class Model(HTMLParser):
 HTML = [
     "<p>a &lt;b&gt; &amp;amp; &notit; &copy x &#65;&#x41; &#128; &#0; &#xD800;</p>", "<!-- <script> --> hi <script>no</script> yes",
     "a < b and c", "<a title='x>y'>link</a>", "<div>x<script>foo", "&nbsp; x 　", "<noscript><style>x</style>h</noscript>v",
-    "AT&T &unknown; &ampx", "&#x1F600; 😀&hearts;", "&lt;script&gt;x&lt;/script&gt;", "", "<TITLE>t</TITLE><P\n>z</P\n>",
+    "AT&T &unknown; &ampx", "a<p b", "x<script>y --> z <b", "<p>a</p> < b <c", "&#x1F600; 😀&hearts;", "&lt;script&gt;x&lt;/script&gt;", "", "<TITLE>t</TITLE><P\n>z</P\n>",
 ]
 
 
@@ -166,6 +167,24 @@ def test_lines(spark):
     assert [(r.line_no, r.kind, r.hit) for r in got] == [(2, "deny", "token"), (4, "host", "bad.net")]
 
 
+def test_long_runs_cost_one_pass(spark):
+    import time
+
+    lines = ["a.com-b.net", "xhttps://foo.kr/x", "w" * 300_000, "-.io é.com a.comx b.co.kr", "w" * 300_000 + ".org"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc long, text string")
+    found = F.transform(F.regexp_extract_all(F.col("text"), F.lit(safety._HOST_SCAN), F.lit(0)), F.lower)
+    start = time.monotonic()
+    for r in df.select("text", found.alias("hits")).collect():
+        if len(r.text) < 1000:
+            assert r.hits == [m.group(0).lower() for m in re.finditer(rules.HOST_IN_TEXT, r.text)]
+        else:
+            assert len(r.hits) == (r.text.endswith(".org"))
+    quotes = "<a " + "''" * 200_000 + "\"" * 100_001 + ">x</a>" + "<!--" * 20_000 + "<a " * 100_000
+    page = spark.createDataFrame([(quotes,)], "html string")
+    assert "x" in pages.extract_text(page).first().text
+    assert time.monotonic() - start < 60
+
+
 def test_captures(spark):
     env = json.dumps({"html": "<h1>hi</h1>", "finalUrl": "https://x/p", "status": 200,
                       "cookies": [{"name": "a", "value": "1"}, {"name": "a", "value": "b"}], "userAgent": "UA"})
