@@ -7,8 +7,9 @@ from pathlib import Path
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, neardup
+from . import bpe, decontaminate, langid, neardup
 
 
 def find_library(spark: SparkSession) -> None:
@@ -24,6 +25,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    profiles = langid.learn(langid.training_rows(docs))
+    # The model sees the text alone; doc_id and the fold only travel beside it.
+    found = langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), profiles)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "margin")
+
+
+def op4_benchmark_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leak_items") > 0).alias("contaminated"), "leak_items", "leak_score")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
@@ -33,6 +48,8 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_profiles": op1_language_profiles,
+    "op4_benchmark_simhash": op4_benchmark_simhash,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
 }
