@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup
+from . import bpe, decontaminate, langid, neardup, quality, secrets
 
 
 def find_library(spark: SparkSession) -> None:
@@ -33,12 +33,24 @@ def op1_language_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score", "margin")
 
 
+def op2_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.report(secrets.scan(docs, secrets.identifier_dictionary(docs)))
+
+
 def op4_benchmark_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("leak_items") > 0).alias("contaminated"), "leak_items", "leak_score")
 
 
+def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, quality.training_labels(_table(spark, sf_dir, "labels")))
+    found = quality.score(docs.withColumn("held_out", quality.held_out()), model)
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
@@ -49,7 +61,9 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_profiles": op1_language_profiles,
+    "op2_secret_novelty": op2_secret_novelty,
     "op4_benchmark_simhash": op4_benchmark_simhash,
+    "op5_compression_quality": op5_compression_quality,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
 }
