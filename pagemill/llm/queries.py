@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, quality, secrets
+from . import bpe, decontaminate, langid, neardup, neighbours, quality, secrets
 
 
 def find_library(spark: SparkSession) -> None:
@@ -38,6 +38,10 @@ def op2_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(secrets.scan(docs, secrets.identifier_dictionary(docs)))
 
 
+def op3_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, k=5)
+
+
 def op4_benchmark_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, _table(spark, sf_dir, "benchmark"))
@@ -62,6 +66,7 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_profiles": op1_language_profiles,
     "op2_secret_novelty": op2_secret_novelty,
+    "op3_hilbert_neighbours": op3_hilbert_neighbours,
     "op4_benchmark_simhash": op4_benchmark_simhash,
     "op5_compression_quality": op5_compression_quality,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
