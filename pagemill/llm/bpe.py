@@ -4,13 +4,16 @@ A word here is a run of characters without white space.  The tokenizer's own pre
 space, its normal form composes nothing across it, and its special tokens hold none, so the ids of a text are the ids
 of its words in turn; ``tests/llm`` checks that against the tokenizers library on random text.
 
-1. Texts are split where they lie.  Each run of rows (a *batch*) becomes one row: its distinct words once, and every
-   text as a list of positions in that list, compressed.
-2. The distinct words of all batches are encoded once each, and their ids joined to the vocabulary for the pieces.
-3. Ids and pieces go back to the batches by (batch, position), and each text's positions are replaced by them.
+1. Texts are split where they lie.  Each run of rows (a *batch*) becomes one row: every text as the numbers of its
+   words, compressed, and the batch's distinct words, once each, dealt into ``BUCKETS`` lists by a hash.  Capitals A-Z
+   are lowered first, as the tokenizer does itself, unless the text may hold a special token.
+2. The lists meet by bucket, so all batches' copies of a word meet in one task, which encodes each distinct word once.
+3. The ids go back to the batches by (batch, bucket), word numbers are replaced by them in order of position, and the
+   ids are joined to the vocabulary for their pieces.
 
-Word lists repeat between batches but not between texts, so far less than the texts is shuffled, and no word, however
-frequent, has more rows than there are batches.  A batch holds ``BATCH_CHARS`` characters or one longer text.
+Word lists repeat between batches but not between texts, and numbers compress to under half of the text, so far less
+than the texts is shuffled; no word, however frequent, has more entries than there are batches.  A batch holds
+``BATCH_CHARS`` characters or one longer text, a bucket 1 / ``BUCKETS`` of all distinct words.
 
 Decoding joins ids to pieces and puts a space between pieces, as the library does for a tokenizer without decoder.
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,17 +33,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stored import stored
 
 # Characters of text, or distinct words, after which a batch is closed.
-BATCH_CHARS = 12_000_000
-BATCH_WORDS = 250_000
+BATCH_CHARS = 24_000_000
+BATCH_WORDS = 400_000
+BUCKETS = 256
 # Python's split also parts at 0x1c-0x1f, which the tokenizer does not take for white space.
-_NOT_SPACE = re.compile("[^\t-\r \x85\xa0  -     　]+")
+_NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _EXTRA = re.compile("[\x1c-\x1f]")
 
 
@@ -48,6 +53,11 @@ def split_words(text: str) -> list[str]:
     return _NOT_SPACE.findall(text) if _EXTRA.search(text) else text.split()
 
 
+def lowered(text: str) -> str:
+    """A-Z lowered; left alone where a special token may stand, as those are told by case."""
+    return text if "<|" in text else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 class _WordNumbers(dict):
     """Numbers words in the order they come."""
 
@@ -56,8 +66,22 @@ class _WordNumbers(dict):
         return number
 
 
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, byte planes apart, which compress better."""
+    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
 def split_batches(docs: DataFrame, id_type: str) -> DataFrame:
-    """batch, words, ids, lengths, positions: one row per batch; ``positions`` holds all texts' words as numbers."""
+    """batch, ids, lengths, numbers, homes, lists: one row per batch.
+
+    ``numbers`` are all texts' words one behind the other, ``homes`` the bucket of each distinct word by number, and
+    ``lists`` the words of each bucket in order of number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -65,35 +89,36 @@ def split_batches(docs: DataFrame, id_type: str) -> DataFrame:
         part, made = TaskContext.get().partitionId(), 0
         packer = zstandard.ZstdCompressor(level=3)
 
-        def close(words: dict, ids: list, lengths: list, positions: list) -> pa.RecordBatch:
-            numbers = np.concatenate(positions) if positions else np.empty(0, np.int32)
-            # Low and high halves apart compress better.
-            halves = numbers.astype("<u4").view("<u2").reshape(-1, 2).T.copy().tobytes()
+        def close() -> pa.RecordBatch:
+            homes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], dtype=np.int64)
+            lists: list[list[str]] = [[] for _ in range(BUCKETS)]
+            for word, home in zip(words, homes.tolist(), strict=True):
+                lists[home].append(word)
+            packed = [packer.compress(" ".join(own).encode("utf-8", "surrogatepass")) if own else None for own in lists]
             return pa.RecordBatch.from_arrays([
-                pa.array([(part << 32) | made], pa.int64()), pa.array([list(words)], pa.list_(pa.string())),
-                pa.array([pa.array(ids).to_pylist()], pa.list_(batch.schema.field(0).type)), pa.array([lengths], pa.list_(pa.int32())),
-                pa.array([packer.compress(halves)], pa.binary())], ["batch", "words", "ids", "lengths", "positions"])
+                pa.array([(part << 32) | made], pa.int64()), pa.array([ids], pa.list_(id_kind)), pa.array([lengths], pa.list_(pa.int32())),
+                pa.array([_pack(np.concatenate(numbers))], pa.binary()), pa.array([_pack(homes)], pa.binary()),
+                pa.array([packed], pa.list_(pa.binary()))], ["batch", "ids", "lengths", "numbers", "homes", "lists"])
 
-        words, ids, lengths, positions, chars = _WordNumbers(), [], [], [], 0
-        batch = None
+        id_kind = pa.string() if id_type == "string" else pa.int64()
+        words, ids, lengths, numbers, chars = _WordNumbers(), [], [], [], 0
         for batch in batches:
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py() or ""
-                own = split_words(text)
-                number = words.__getitem__
-                positions.append(np.fromiter(map(number, own), np.int32, len(own)))
+                own = split_words(lowered(text))
+                numbers.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
                 ids.append(key.as_py())
                 lengths.append(len(own))
                 chars += len(text)
                 if chars >= BATCH_CHARS or len(words) >= BATCH_WORDS:
-                    yield close(words, ids, lengths, positions)
+                    yield close()
                     made += 1
-                    words, ids, lengths, positions, chars = _WordNumbers(), [], [], [], 0
+                    words, ids, lengths, numbers, chars = _WordNumbers(), [], [], [], 0
         if ids:
-            yield close(words, ids, lengths, positions)
+            yield close()
 
     return docs.mapInArrow(
-        run, f"batch long, words array<string>, ids array<{id_type}>, lengths array<int>, positions binary")
+        run, f"batch long, ids array<{id_type}>, lengths array<int>, numbers binary, homes binary, lists array<binary>")
 
 
 @lru_cache(maxsize=2)
@@ -106,25 +131,49 @@ def _tokenizer(path: str):
     return tokenizer
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word, ids for a table of distinct words; ``path`` names the tokenizer file on every executor."""
+def encode_lists(lists: DataFrame, path: str) -> DataFrame:
+    """batch, bucket, counts, flat for (batch, bucket, list): how many ids each word of the list has, and the ids.
+
+    All lists of a bucket meet in one task, where each distinct word is encoded once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer, unpacker = _tokenizer(path), zstandard.ZstdDecompressor()
+        bucket, known = None, {}
         for batch in batches:
-            found = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([e.ids for e in found], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.mapInArrow(run, "word string, ids array<int>")
-
-
-def vocabulary(spark, path: str) -> DataFrame:
-    """id, piece of the tokenizer file, special tokens included: one row per entry of the file."""
+            out = []
+            for r in range(batch.num_rows):
+                number, home, packed = (batch.column(c)[r].as_py() for c in range(3))
+                if home != bucket:
+                    bucket, known = home, {}
+                words = unpacker.decompress(packed).decode("utf-8", "surrogatepass").split(" ")
+                new = [w for w in words if w not in known]
+                if new:
+                    found = tokenizer.encode_batch(new, add_special_tokens=False)
+                    known.update(zip(new, (e.ids for e in found), strict=True))
+                own = [known[w] for w in words]
+                out.append((number, home, _pack(np.array([len(i) for i in own])), _pack(np.array([x for i in own for x in i], np.int64))))
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
+                    ["batch", "bucket", "counts", "flat"])
+
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lists.select("batch", "bucket", "list").repartition(n, "bucket").sortWithinPartitions("bucket", "batch")
+    return dealt.mapInArrow(run, "batch long, bucket int, counts binary, flat binary")
+
+
+def pieces_of(path: str) -> dict[int, str]:
+    """id -> piece of the tokenizer file, special tokens included."""
     with open(path, encoding="utf-8") as f:
         tokenizer = json.load(f)
     pieces = {number: piece for piece, number in tokenizer["model"]["vocab"].items()}
-    pieces |= {t["id"]: t["content"] for t in tokenizer["added_tokens"]}
+    return pieces | {t["id"]: t["content"] for t in tokenizer["added_tokens"]}
+
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """id, piece: one row per entry of the tokenizer file."""
+    pieces = pieces_of(path)
     return spark.createDataFrame(pd.DataFrame({"id": list(pieces), "piece": list(pieces.values())}), "id int, piece string")
 
 
@@ -139,37 +188,43 @@ def decode(encoded: DataFrame, pieces: DataFrame, key: str, ids: str = "ids") ->
     return encoded.select(key).join(joined, key, "left").select(key, F.coalesce("decoded", F.lit("")).alias("decoded"))
 
 
-def _compose(id_type: pa.DataType):
+def _compose(id_type: str, pieces):
+    """Ids and decoded texts of a batch's rows.
+
+    ``pieces`` is the broadcast vocabulary, as large as the tokenizer file: the side the ids are joined to.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", id_type), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-        unpacker = zstandard.ZstdDecompressor()
+        schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
+        spelled = np.full(max(pieces.value, default=0) + 1, None, dtype=object)
+        for number, piece in pieces.value.items():
+            spelled[number] = piece
         for batch in batches:
             for r in range(batch.num_rows):
-                doc_ids, lengths, packed, found = (batch.column(c)[r] for c in range(4))
-                halves = np.frombuffer(unpacker.decompress(packed.as_py()), dtype="<u2").reshape(2, -1)
-                numbers = halves[0].astype(np.int64) | (halves[1].astype(np.int64) << 16)
-                ids = found.values.field("ids") if found.is_valid else pa.array([], pa.list_(pa.int32()))
-                pieces = found.values.field("decoded").to_pylist() if found.is_valid else []
-                counts = np.diff(ids.offsets.to_numpy())
-                starts, flat = ids.offsets.to_numpy()[:-1], ids.values.to_numpy()
+                doc_ids, lengths, numbers, homes, found = (batch.column(c)[r] for c in range(5))
+                numbers, order = _unpack(numbers.as_py()), np.argsort(_unpack(homes.as_py()), kind="stable")
+                lists = found.as_py() or []
+                n = np.concatenate([_unpack(x["counts"]) for x in lists] or [np.empty(0, np.int64)])
+                flat = np.concatenate([_unpack(x["flat"]) for x in lists] or [np.empty(0, np.int64)])
+                # The lists, bucket by bucket, hold the words in this order of their numbers.
+                counts, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+                counts[order], starts[order] = n, np.cumsum(n) - n
                 doc_values, ends = doc_ids.values, np.cumsum(lengths.values.to_numpy())
                 done = 0
                 while done < len(ends):
-                    # Texts of about a million words at a time, or one longer text.
+                    # Texts of about 250,000 words at a time, or one longer text.
                     first = ends[done - 1] if done else 0
-                    last = max(done + 1, int(np.searchsorted(ends, first + (1 << 20), "right")))
+                    last = max(done + 1, int(np.searchsorted(ends, first + (1 << 18), "right")))
                     own = numbers[first : ends[last - 1]]
                     n = counts[own]
-                    stops = np.cumsum(n)
-                    total = int(stops[-1]) if len(stops) else 0
-                    at = np.repeat(starts[own] - (stops - n), n) + np.arange(total)
-                    bounds = np.concatenate([[0], ends[done:last] - first])
-                    edges = np.concatenate([[0], stops])[bounds].astype(np.int32)
-                    texts = [" ".join(filter(None, map(pieces.__getitem__, own[a:b].tolist())))
-                             for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [doc_values.slice(done, last - done), pa.ListArray.from_arrays(pa.array(edges), pa.array(flat[at], pa.int32())),
-                         pa.array(texts, pa.string())], schema=schema)
+                    stops = np.concatenate([[0], np.cumsum(n)])
+                    at = np.repeat(starts[own] - stops[:-1], n) + np.arange(int(stops[-1]))
+                    ids, edges = flat[at], stops[np.concatenate([[0], ends[done:last] - first])]
+                    texts = spelled[ids].tolist()
+                    decoded = [" ".join([x for x in texts[a:b] if x is not None]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([
+                        doc_values.slice(done, last - done), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())),
+                        pa.array(decoded, pa.string())], schema=schema)
                     done = last
 
     return run
@@ -178,20 +233,15 @@ def _compose(id_type: pa.DataType):
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded for every row of ``docs`` (doc_id, text), with the tokenizer file at ``path``."""
     spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType
-    id_type = T.LongType() if not isinstance(kind, T.StringType) else kind
-    name = id_type.simpleString()
-    batches = stored(split_batches(docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("string")), name), "batches")
-    local = batches.select("batch", F.posexplode("words").alias("at", "word"))
-    coded = stored(encode_words(local.select("word").distinct(), path), "words")
-    spelled = decode(coded, vocabulary(spark, path), "word")
-    table = coded.join(spelled, "word")
-    back = local.join(table, "word").groupBy("batch").agg(
-        F.array_sort(F.collect_list(F.struct("at", "ids", "decoded"))).alias("found"))
-    whole = batches.select("batch", "ids", "lengths", "positions").join(back, "batch", "left")
-    arrow = pa.string() if name == "string" else pa.int64()
-    return whole.select("ids", "lengths", "positions", "found").mapInArrow(
-        _compose(arrow), f"doc_id {name}, ids array<int>, decoded string")
+    id_type = "string" if isinstance(docs.schema["doc_id"].dataType, T.StringType) else "bigint"
+    batches = stored(split_batches(docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("string")), id_type), "batches")
+    lists = batches.select("batch", F.posexplode("lists").alias("bucket", "list")).filter("list IS NOT NULL")
+    coded = encode_lists(lists, path)
+    back = coded.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "flat"))).alias("found"))
+    whole = batches.select("batch", "ids", "lengths", "numbers", "homes").join(back, "batch", "left")
+    pieces = spark.sparkContext.broadcast(pieces_of(path))
+    return whole.select("ids", "lengths", "numbers", "homes", "found").mapInArrow(
+        _compose(id_type, pieces), f"doc_id {id_type}, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
