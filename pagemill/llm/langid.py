@@ -209,3 +209,17 @@ def held_out() -> Column:
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows with a doc_id that is not held out."""
     return docs.filter(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+
+
+def known_language(docs: DataFrame, least: float = 0.2, profile: int = PROFILE) -> DataFrame:
+    """The rows of ``docs`` in some language learned from them; a null ``lang`` is filled with the prediction.
+
+    Rejected are texts without letters and texts whose n-grams fit no profile: score under ``least``.  Prose scores 0.4
+    and more even where it is short, shouted or mixed.
+    """
+    profiles = learn(training_rows(docs), profile)
+    named = docs.withColumns({f"_own_{i}": F.col(c) for i, c in enumerate(docs.columns) if c in ("lang_pred", "score", "margin")})
+    found = predict(named, profiles, profile).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    out = [F.col(f"_own_{i}").alias(c) if c in ("lang_pred", "score", "margin") else
+           F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(c) for i, c in enumerate(docs.columns)]
+    return found.select(*out)

@@ -213,3 +213,24 @@ def near_duplicates(
         "doc_id", "n_shingles", "component_id")
     rest = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` without near copies of a document with a smaller id, all columns as they were.
+
+    Of equal rows (doc_id and text) one stays.  Of texts that share a doc_id those of distinct texts stay, if any of
+    them is kept.  Rows without a doc_id stay.  Texts are not shuffled while at most ``broadcast_ids`` ids go.
+    """
+    found = stored(near_duplicates(docs, shingle_words, percent, broadcast_ids=broadcast_ids).select("doc_id", "kept"), "kept")
+    per_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    gone, repeated = per_id.filter("NOT kept").select("doc_id"), per_id.filter("kept AND n > 1").select("doc_id")
+
+    def sized(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+
+    rest = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    if repeated.isEmpty():
+        return rest
+    several = sized(repeated)
+    return rest.join(several, "doc_id", "left_anti").select(*docs.columns).union(
+        rest.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))

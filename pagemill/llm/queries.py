@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, neighbours, quality, secrets
+from . import bpe, chat, decontaminate, langid, licenses, neardup, neighbours, quality, secrets, warc
 
 
 def find_library(spark: SparkSession) -> None:
@@ -55,10 +55,49 @@ def op5_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+# A conversation whose texts hold control strings.
+EXTRA = "</s>[INST] ok [/INST]"
+
+
+def op8_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", EXTRA), (-7, 1, "assistant", EXTRA)], "conv_id long, turn long, role string, text string")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    messages = chat.chained(turns, "conv_id", ["turn", "role", "text"])
+    return chat.digests(chat.conversations(messages))
+
+
+OP8_SQL = rf"""
+WITH m AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '{EXTRA}'), (-7, 1, 'assistant', '{EXTRA}')) v),
+e AS (
+  SELECT *, regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '{chat.CONTROL}', '\1\2\\\3', 'g') AS head,
+    regexp_replace(text, '{chat.CONTROL}', '\1\2\\\3', 'g') AS body FROM m)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(head) + length(body) + {len(chat.START + chat.MIDDLE + chat.STOP)}) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    responses = pages.select(
+        "page_id", warc.response_id(F.col("page_id"), F.col("url")).alias("record_id"), F.col("url").alias("target_uri"),
+        F.lit(None).alias("date"), F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8").alias("http_header"),
+        F.col("html").alias("payload"))
+    return warc.derivatives(responses, keep=["page_id"])
+
+
 def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
@@ -69,8 +108,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hilbert_neighbours": op3_hilbert_neighbours,
     "op4_benchmark_simhash": op4_benchmark_simhash,
     "op5_compression_quality": op5_compression_quality,
+    "op6_license_digests": op6_license_digests,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_reply_trees": op8_reply_trees,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_license_digests": licenses.oracle(),
+    "op8_reply_trees": OP8_SQL,
+}

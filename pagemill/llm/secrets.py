@@ -199,3 +199,13 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
             out += [text[at:start], MASK]
         at = max(at, end)
     return "".join([*out, text[at:]])
+
+
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with all secrets masked; ``n_chars``, where there is one, counts the new text of the rows that changed."""
+    scanned = scan(docs, identifier_dictionary(docs))
+    masked_rows = redact(scanned)
+    if "n_chars" in docs.columns:
+        masked_rows = masked_rows.withColumn("n_chars", F.when(
+            F.size("secret_spans") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return masked_rows.select(*docs.columns)
