@@ -45,6 +45,8 @@ BATCH_WORDS = 400_000
 BUCKETS = 256
 # Python's split also parts at 0x1c-0x1f, which the tokenizer does not take for white space.
 _NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+# The marks that compose with A-Z or a-z.
+_MARK = re.compile("[\u0300-\u036f]")
 _EXTRA = re.compile("[\x1c-\x1f]")
 
 
@@ -54,8 +56,14 @@ def split_words(text: str) -> list[str]:
 
 
 def lowered(text: str) -> str:
-    """A-Z lowered; left alone where a special token may stand, as those are told by case."""
-    return text if "<|" in text else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    """A-Z lowered where that changes no id.
+
+    Special tokens are told by case, and the tokenizer composes marks before it lowers letters, so texts with either
+    are left alone.
+    """
+    if "<|" in text or not text.isascii() and _MARK.search(text):
+        return text
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 class _WordNumbers(dict):
