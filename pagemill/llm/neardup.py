@@ -35,6 +35,8 @@ from .stored import remove, stored, write
 ROWS, BANDS = 6, 24
 # Shingles in a block of sets that is compared in one task.
 BLOCK_SHINGLES = 1 << 18
+# Tasks that the nodes of one pivot are dealt to in joins on it.
+SALTS = 32
 # Candidate ids up to this number are sent to all executors; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -123,13 +125,20 @@ def _compare(percent: int):
     return run
 
 
+def _with_pivot(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Join a table of one row per pivot to its nodes; the nodes of a large group go to several tasks."""
+    salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
+    spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(spread, ["pivot", "salt"]).drop("salt")
+
+
 def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b).  ``groups``: pivot, node, label, left (whether the node is compared with all others)."""
     sized = groups.join(sets.select("node", "n"), "node")
     per = sized.groupBy("pivot").agg(
         F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("n_right"),
         F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("left"), F.col("n")).otherwise(0)) / BLOCK_SHINGLES)).cast("int").alias("n_left"))
-    placed = sized.join(per, "pivot").select(
+    placed = _with_pivot(sized, per).select(
         "pivot", "node", "label", "left", "n_left", "n_right",
         F.pmod(F.xxhash64("node", F.lit(1)), F.col("n_left")).cast("int").alias("i"),
         F.pmod(F.xxhash64("node", F.lit(2)), F.col("n_right")).cast("int").alias("j"))
@@ -200,10 +209,10 @@ def near_duplicates(
     labels = components(links)
     labelled = groups.join(labels, "node", "left").select("pivot", "node", F.coalesce("label", "node").alias("label"))
     own = labelled.filter("pivot = node").select("pivot", F.col("label").alias("own"))
-    compared = labelled.join(own, "pivot").select("pivot", "node", "label", (F.col("label") != F.col("own")).alias("left"))
+    compared = _with_pivot(labelled, own).select("pivot", "node", "label", (F.col("label") != F.col("own")).alias("left"))
     # A group whose other nodes were only compared with its pivot may still hold links among those.
     open_groups = compared.filter("left").groupBy("pivot").agg(F.count("*").alias("others")).filter("others > 0")
-    second = stored(compared.join(open_groups.select("pivot"), "pivot", "left_semi"), "open")
+    second = stored(_with_pivot(compared, open_groups.select("pivot")), "open")
     more = stored(_links(second, sets, percent), "links")
     final = components(links.union(more))
     component = nodes.join(final, "node", "left").select(*digest, F.coalesce("label", "node").alias("component_id"))
