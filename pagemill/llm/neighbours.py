@@ -123,7 +123,8 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _block_nearest(k: int):
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        queries, others = block[block["asks"]], block[~block["asks"]]
+        # In a small table a block spans several orderings, and holds a class once for each.
+        queries, others = (block[block["asks"] == a].drop_duplicates("cls") for a in (True, False))
         if not len(queries) or not len(others):
             return pd.DataFrame({"query": np.empty(0, np.int64), "cls": np.empty(0, np.int64), "near": np.empty(0, np.float32)})
 
