@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stored import stored
+from .stored import bucketed
 
 # Characters of text, or distinct words, after which a batch is closed.
 BATCH_CHARS = 24_000_000
@@ -242,11 +242,12 @@ def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded for every row of ``docs`` (doc_id, text), with the tokenizer file at ``path``."""
     spark = docs.sparkSession
     id_type = "string" if isinstance(docs.schema["doc_id"].dataType, T.StringType) else "bigint"
-    batches = stored(split_batches(docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("string")), id_type), "batches")
+    # The numbers are by far the largest part: bucketed, they stay where they are when the ids come back.
+    batches = bucketed(split_batches(docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("string")), id_type), "batches", "batch")
     lists = batches.select("batch", F.posexplode("lists").alias("bucket", "list")).filter("list IS NOT NULL")
     coded = encode_lists(lists, path)
     back = coded.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "flat"))).alias("found"))
-    whole = batches.select("batch", "ids", "lengths", "numbers", "homes").join(back, "batch", "left")
+    whole = batches.select("batch", "ids", "lengths", "numbers", "homes").hint("merge").join(back, "batch", "left")
     pieces = spark.sparkContext.broadcast(pieces_of(path))
     return whole.select("ids", "lengths", "numbers", "homes", "found").mapInArrow(
         _compose(id_type, pieces), f"doc_id {id_type}, ids array<int>, decoded string")

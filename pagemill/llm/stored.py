@@ -22,6 +22,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write(df, name))
 
 
+def bucketed(df: DataFrame, name: str, column: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``column``, so that a join on it does not shuffle it again.
+
+    The catalog entry lasts only until the table is read back; the files stay where they are.
+    """
+    spark = df.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), new_folder(spark, name)
+    entry = f"{name}_{path[-32:]}"
+    df.write.format("parquet").bucketBy(n, column).option("path", path).saveAsTable(entry)
+    table = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return table
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of this module that no later step reads."""
     jvm = spark._jvm
