@@ -12,8 +12,19 @@ from pyspark.sql import functions as F
 from . import bpe, chat, decontaminate, langid, licenses, neardup, neighbours, quality, secrets, warc
 
 
+# Rows of whole texts that Spark hands to a Python worker at once.
+TEXTS_PER_BATCH = "1000"
+
+
 def find_library(spark: SparkSession) -> None:
-    """Let Python workers import this library from the path the driver has it at, besides their own paths."""
+    """Let Python workers import this library from the path the driver has it at, besides their own paths.
+
+    Rows here are whole texts, so the usual 10,000 of them are too many for a worker's memory; a session that sets
+    another number keeps it.
+    """
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(size) == "10000":
+        spark.conf.set(size, TEXTS_PER_BATCH)
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
     if root not in paths:
