@@ -14,12 +14,14 @@ from pyspark.sql import functions as F
 
 CHUNK_ROWS = 65536
 SPREAD = 64
+HOT_KEYS = 1000
 
 _MERGE = {"min": F.min, "max": F.max, "sum": F.sum}
 
 
 def chunk_of(position: Column | str, size: int = CHUNK_ROWS) -> Column:
     position = F.col(position) if isinstance(position, str) else position
+    """Runs of ``size`` sequence numbers.  The numbers count rows; epochs or sparse ids would give a chunk per row."""
     return F.floor(position / F.lit(size))
 
 
@@ -28,14 +30,11 @@ def spread_of(*cols: str, n: int = SPREAD) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n))
 
 
-def row_spread(df: DataFrame) -> Column:
-    """A salt from all columns of a row that can be hashed (maps and variants cannot)."""
-    names = [f.name for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
-    return spread_of(*names) if names else F.lit(0).cast("long")
-
-
 def group_values(df: DataFrame, keys: list[str], values: dict[str, tuple[str, Column]], spread: Column) -> DataFrame:
-    """Attach group-wide ``min`` / ``max`` / ``sum`` values to every row of the group."""
+    """Attach group-wide ``min`` / ``max`` / ``sum`` values to every row of the group.
+
+    ``spread`` is a deterministic value that differs between the rows of a large group.
+    """
     spreaded = df.withColumn("_part", spread)
     on = [*keys, "_part"]
     per_part = spreaded.groupBy(*on).agg(*[_MERGE[k](c).alias(n) for n, (k, c) in values.items()])
@@ -95,12 +94,22 @@ def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFra
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def lookup(df: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join to a table that is unique on ``keys``, without gathering a hot key of ``df`` in one task.
 
-    The distinct (key, salt) pairs of ``df`` fetch the values, and rows join them on (key, salt).
+    The ``HOT_KEYS`` most frequent keys of ``df`` are dealt to ``SPREAD`` parts each, and their table rows repeated for
+    every part; any other key holds less than 1 / ``HOT_KEYS`` of the rows.  A row finds its partner in whatever part
+    it lands, so equal rows spread too and a task run again gives the same result.  Rows with a null key, which have
+    no partner, spread likewise.
     """
-    salted = df.withColumn("_part", spread)
-    pairs = salted.select(*keys, "_part").filter(F.col(keys[0]).isNotNull()).distinct()
-    found = pairs.join(table, keys, "inner")
-    return salted.join(found, [*keys, "_part"], "left").drop("_part")
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    # At most HOT_KEYS rows, by its limit.
+    hot = F.broadcast(df.filter(known).groupBy(*keys).agg(F.count("*").alias("_n")).orderBy(
+        F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot")))
+    part = F.when(F.col("_hot") | ~known, F.floor(F.rand(7) * SPREAD).cast("int")).otherwise(0)
+    rows = df.join(hot, keys, "left").withColumn("_part", part).drop("_hot")
+    parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    spread = table.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    return rows.join(spread, [*keys, "_part"], "left").drop("_part")

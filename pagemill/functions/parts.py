@@ -27,8 +27,7 @@ def in_parts(children: DataFrame, key: str, seq: str, value: Column, name: str,
 
 def attach_parts(parents: DataFrame, parts: DataFrame, key: str) -> DataFrame:
     """Parents with their parts; a parent without children keeps one row with null parts."""
-    spread = F.pmod(F.col("part_no"), F.lit(ordered.SPREAD))
-    with_children = ordered.lookup(parts, parents.withColumn("_parent", F.lit(True)), [key], spread).filter(
+    with_children = ordered.lookup(parts, parents.withColumn("_parent", F.lit(True)), [key]).filter(
         "_parent").drop("_parent")
     childless = parents.join(parts.select(key).distinct(), key, "left_anti")
     return with_children.unionByName(childless, allowMissingColumns=True).withColumn(

@@ -131,13 +131,12 @@ def _stored_events(entries: DataFrame) -> DataFrame:
 
 
 def fold_routes(outcomes: DataFrame, as_of: datetime.datetime | Column, ttl_days: float = rules.ROUTE_TTL_DAYS,
-                cap: int | None = rules.ROUTE_CAP, order: list[str] | None = None, chunk_seconds: int = 3600,
+                cap: int | None = None, order: list[str] | None = None, chunk_seconds: int = 3600,
                 initial: DataFrame | None = None) -> DataFrame:
     """The learned route per ``key`` after all ``outcomes`` (key, ts, ok, stop_reason, route).
 
     Two real failures in a row evict an entry, an age above ``ttl_days`` at the next event (or at ``as_of``) ends it,
-    other failures only refresh it.  The cap is applied once at the end; the per-write cap gives the same result
-    whenever the live keys fit.  ``ts`` must not be null; ties are broken by the ``order`` columns after it.
+    other failures only refresh it.  All live keys are kept; a ``cap`` keeps the most recently used, once, at the end.  ``ts`` must not be null; ties are broken by the ``order`` columns after it.
     ``initial`` holds entries from an earlier fold, whose events all came before.
 
     An entry's state follows from its last success, the strikes and age gaps after it, and the last success at which
@@ -232,4 +231,4 @@ def lookup_routes(requests: DataFrame, store: DataFrame, url: str = "url", devic
     """Attach the stored ``route`` of a request's host and device class; reading refreshes nothing."""
     keyed = requests.withColumn("key", route_key(F.col(url), F.col(device)))
     usable = store.filter("route is not null").select("key", "route")
-    return ordered.lookup(keyed, usable, ["key"], ordered.row_spread(requests))
+    return ordered.lookup(keyed, usable, ["key"])

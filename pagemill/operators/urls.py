@@ -40,8 +40,7 @@ def route_urls(df: DataFrame, url: str = "url", local_paths: DataFrame | None =
     if local_paths is not None:
         files = local_paths.select(F.col("path").alias("_path")).distinct().withColumn("_local", F.lit(True))
         routed = ordered.lookup(
-            routed.withColumn("_path", col(url)), files, ["_path"], ordered.row_spread(df)
-        )
+            routed.withColumn("_path", col(url)), files, ["_path"])
         is_local = F.coalesce(F.col("_local"), F.lit(False))
     platform = F.when(is_local, "local").otherwise(platform_of(text))
     error = (
@@ -254,7 +253,7 @@ def guard_urls(df: DataFrame, url: str = "url", resolved: DataFrame | None = Non
     out = with_blocked(df.withColumns({
         "_scheme": F.coalesce(scheme_of(col(url)), F.lit("")), "_host": F.coalesce(host_of(col(url)), F.lit(""))}), "_host", "_inner")
     if resolved is not None and not allow_private:
-        out = ordered.lookup(out, _resolved_verdicts(resolved), ["_host"], ordered.row_spread(df))
+        out = ordered.lookup(out, _resolved_verdicts(resolved), ["_host"])
     else:
         out = out.withColumn("_bad_ip", F.lit(None).cast("string")).withColumn("_known", F.lit(None).cast("boolean"))
     scheme, host = F.col("_scheme"), F.col("_host")
@@ -322,7 +321,7 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, max_redirects: int = 1
     moved = F.col("_next").isNotNull() & F.col("is_safe")
     ended = []
     for _ in range(max_redirects + 1):
-        stepped = cut(ordered.lookup(live, table, ["_cur"], ordered.spread_of("_start")))
+        stepped = cut(ordered.lookup(live, table, ["_cur"]))
         error = (
             F.when(F.col("_next").isNotNull(), F.concat(F.lit("ssrf_redirect_blocked:"), "reason"))
             .when(F.col("_status").isNull(), "not_captured")
@@ -341,7 +340,7 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, max_redirects: int = 1
         F.col("_start").alias(url), F.lit(None).cast("string").alias("final_url"), "hops",
         F.lit(None).cast("int").alias("status"), F.lit("too_many_redirects").alias("error")))
     results = reduce(DataFrame.unionByName, ended)
-    return ordered.lookup(starts, results, [url], ordered.row_spread(starts))
+    return ordered.lookup(starts, results, [url])
 
 
 def batch_by_host(df: DataFrame, url: str = "url", position: str = "position", n: int | None = None) -> DataFrame:

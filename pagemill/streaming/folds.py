@@ -34,7 +34,7 @@ def _start(stream: DataFrame, each, checkpoint: str, available_now: bool) -> Str
 
 
 def fold_routes_stream(stream: DataFrame, state_path: str, checkpoint: str, ttl_days: float = rules.ROUTE_TTL_DAYS,
-                       cap: int | None = rules.ROUTE_CAP, order: list[str] | None = None,
+                       cap: int | None = None, order: list[str] | None = None,
                        available_now: bool = False) -> StreamingQuery:
     """Keep the learned routes of an outcome stream up to date.
 
@@ -56,7 +56,7 @@ def fold_routes_stream(stream: DataFrame, state_path: str, checkpoint: str, ttl_
         fresh = batch
         if before is not None:
             known = before.select("key", F.col("last_used").alias("_seen"))
-            fresh = ordered.lookup(batch, known, ["key"], ordered.spread_of("ts")).filter(
+            fresh = ordered.lookup(batch, known, ["key"]).filter(
                 F.col("_seen").isNull() | (F.col("ts") >= F.col("_seen"))).drop("_seen")
         newest = batch.agg(F.max("ts")).first()[0]
         if newest is None:
@@ -84,7 +84,7 @@ def provider_health_stream(stream: DataFrame, state_path: str, out_path: str, ch
                 F.min("dead_at").alias("dead_at"))
         found.write.mode("overwrite").parquet(_version(state_path, batch_id))
         state = spark.read.parquet(_version(state_path, batch_id))
-        told = ordered.lookup(classed, state, keys, ordered.spread_of("seq")).withColumn(
+        told = ordered.lookup(classed, state, keys).withColumn(
             "dead_before", F.coalesce(F.col("seq") > F.col("dead_at"), F.lit(False))).drop("dead_at")
         told.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
 

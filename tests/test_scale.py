@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as spark_entry
 from pagemill.functions import ordered, parts
-from pagemill.operators import fetchlog, threads
+from pagemill.operators import blog, fetchlog, quality, threads, urls
 from pagemill.plans import group_a, group_b, group_c, group_d, group_e, group_f
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -58,9 +58,10 @@ def hot(spark, n=20000):
         F.col("id").alias("seq"))
 
 
-def largest_share(df):
-    """Share of the rows in the fullest partition."""
-    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+def largest_share(df, value):
+    """Share of the rows in the fullest partition.  ``value`` is read, else the optimizer leaves its join out."""
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(
+        F.count("*").alias("count"), F.max(value)).collect()]
     return max(sizes) / sum(sizes)
 
 
@@ -79,16 +80,49 @@ def test_hot_key_is_spread(spark, no_coalescing):
     df = hot(spark)
     chunk = ordered.chunk_of("seq", 250)
     # Without adaptive help: the fullest of 16 tasks stays far below the hot key's two thirds.
-    assert largest_share(ordered.ordered_values(df, ["key"], ["seq"], chunk, {"n": F.lit(1)})) < 0.3
-    assert largest_share(ordered.group_values(df, ["key"], {"m": ("max", F.col("seq"))}, chunk)) < 0.3
+    assert largest_share(ordered.ordered_values(df, ["key"], ["seq"], chunk, {"n": F.lit(1)}), "n") < 0.3
+    assert largest_share(ordered.group_values(df, ["key"], {"m": ("max", F.col("seq"))}, chunk), "m") < 0.3
     store = df.select("key").distinct().withColumn("v", F.length("key"))
-    assert largest_share(ordered.lookup(df, store, ["key"], ordered.spread_of("seq"))) < 0.3
+    assert largest_share(ordered.lookup(df, store, ["key"]), "v") < 0.3
     children = parts.in_parts(df, "key", "seq", F.col("seq"), "children", 250)
     whole = parts.attach_parts(store, children, "key")
-    assert largest_share(whole) < 0.3 and whole.agg(F.sum(F.size("children"))).first()[0] == 20000
+    assert largest_share(whole, "v") < 0.3 and whole.agg(F.sum(F.size("children"))).first()[0] == 20000
     assert whole.agg(F.max(F.size("children"))).first()[0] <= 250
 
 
+def repeated(spark, n=20000, **columns):
+    """Rows of which two thirds are equal in every column; ``i`` in an expression tells the others apart."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    base = spark.range(n).withColumn("i", F.when(F.col("id") % 3 > 0, F.lit(-1)).otherwise(F.col("id")))
+    return base.select(*[F.expr(e).alias(c) for c, e in columns.items()])
+
+
+def test_equal_rows_are_spread(spark, no_coalescing):
+    requests = repeated(spark, url="concat('https://h', i, '.example.com/p')", device="'mobile'")
+    store = requests.select(fetchlog.route_key(F.col("url"), F.col("device")).alias("key")).distinct().withColumn("route", F.lit("r"))
+    assert largest_share(fetchlog.lookup_routes(requests, store), "route") < 0.3
+    inputs = repeated(spark, url="concat('/data/', i)")
+    assert largest_share(urls.route_urls(inputs, local_paths=inputs.select(F.col("url").alias("path"))), "platform") < 0.3
+    guarded = repeated(spark, url="concat('https://h', i, '.example.com/p')")
+    hosts = guarded.select(F.regexp_extract("url", "//([^/]*)", 1).alias("host"), F.lit("8.8.8.8").alias("ip")).distinct()
+    assert largest_share(urls.guard_urls(guarded, resolved=hosts), "reason") < 0.3
+    posts = repeated(spark, blog_id="'b'", log_no="CAST(i + 5 AS STRING)", og_title="''")
+    listing = posts.select("blog_id", "log_no").distinct().withColumns({
+        **{c: F.lit("x") for c in ("title_with_inspect", "title", "add_date", "category")},
+        **{c: F.lit(1) for c in ("comment_count", "read_count", "sympathy_count", "like_count")}})
+    assert largest_share(blog.join_listing(posts, listing), "like_count") < 0.3
+    static = repeated(spark, 6000, url="concat('https://h', i, '.example.com')", html="'<div id=root></div>'", verdict="'weak_ok'", ok="true")
+    shots = static.select("url", F.lit("<p>text</p>").alias("html")).distinct()
+    assert largest_share(quality.merge_renderings(static, shots, "always"), "body_text") < 0.3
+
+
+def test_lookup_finds_what_a_join_finds(spark):
+    df = spark.createDataFrame([(None, 1), ("a", 2), ("a", 2), ("b", 3), ("c", 4)], "k string, n int")
+    table = spark.createDataFrame([("a", "A"), ("b", "B"), ("d", "D")], "k string, v string")
+    got = sorted((repr(r.k), r.n, r.v) for r in ordered.lookup(df, table, ["k"]).collect())
+    assert got == sorted((repr(r.k), r.n, r.v) for r in df.join(table, "k", "left").collect())
+
+
 def test_group_aggregates_are_combined_first(spark, no_coalescing):
     df = hot(spark)
     posts = df.select(
