@@ -10,11 +10,11 @@ from ..functions import ordered
 from ..functions.text import truthy, url_base, whole_json
 
 
-def concat_list_pages(pages: DataFrame, page_size: int = 30, max_posts: int = 10000) -> DataFrame:
+def concat_list_pages(pages: DataFrame, page_size: int = 30, max_posts: int | None = None) -> DataFrame:
     """Listing pages (blog_id, page from 1, status, body) to items in order.
 
-    Reading ends before the first missing, failed, unparseable or empty page and after the first short one; at most
-    ``max_posts`` items per blog.  Result: blog_id, position (from 0), item (VARIANT).
+    Reading ends before the first missing, failed, unparseable or empty page and after the first short one;
+    ``max_posts`` keeps the first items of a blog only.  Result: blog_id, position (from 0), item (VARIANT).
     """
     parsed = F.try_parse_json(whole_json("body"))
     is_object = F.try_variant_get(parsed, "$.result", "map<string,variant>").isNotNull()
@@ -31,8 +31,8 @@ def concat_list_pages(pages: DataFrame, page_size: int = 30, max_posts: int = 10
     read = counted.filter((F.col("_bad") == 0) & (F.col("_short") - is_short == 0) & (F.col("_rank") == F.col("page")))
     rows = read.select("blog_id", (F.col("_seen") - F.col("_n")).alias("_before"),
                        F.posexplode_outer("_items").alias("_i", "item"))
-    return rows.select("blog_id", (F.col("_before") + F.col("_i")).alias("position"), "item").filter(
-        F.col("position") < max_posts)
+    placed = rows.select("blog_id", (F.col("_before") + F.col("_i")).alias("position"), "item").filter("position IS NOT NULL")
+    return placed if max_posts is None else placed.filter(F.col("position") < max_posts)
 
 
 def join_listing(posts: DataFrame, listing: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def join_listing(posts: DataFrame, listing: DataFrame) -> DataFrame:
         "blog_id", "log_no", F.struct(
             "title_with_inspect", "title", "add_date", "category", "comment_count", "read_count", "sympathy_count",
             "like_count").alias("_l"))
-    joined = ordered.lookup(posts, entries, ["blog_id", "log_no"], ordered.spread_of("blog_id", "log_no"))
+    joined = ordered.lookup(posts, entries, ["blog_id", "log_no"])
     entry = F.col("_l")
     valid = F.coalesce(F.col("log_no").rlike(r"^\d{1,20}$"), F.lit(False))
     return joined.select(
@@ -101,7 +101,7 @@ def pick_image_variant(urls: DataFrame, responses: DataFrame, key: str = "image_
     """
     planned = urls.select(key, F.explode_outer(image_plan(F.col(url))).alias("_p")).select(key, "_p.*")
     answers = responses.select(F.col("url").alias("candidate"), "status", "bytes")
-    joined = ordered.lookup(planned, answers, ["candidate"], ordered.spread_of(key))
+    joined = ordered.lookup(planned, answers, ["candidate"])
     good = (F.col("status") == 200) & (F.col("bytes") >= rules.MIN_IMAGE_BYTES)
     per = joined.groupBy(key).agg(
         F.min(F.when(good, F.struct("priority", "label", "candidate"))).alias("_best"),

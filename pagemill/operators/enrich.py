@@ -34,8 +34,9 @@ def apply_provider(assets: DataFrame, fn: Callable, result: str, secrets: list[s
     """run a caller's function over asset batches.
 
     ``fn(pandas.DataFrame) -> iterable`` yields one dict per input row, or an exception object for a row that failed.
-    A batch that raises is retried row by row, so one bad item becomes a ``failed`` row and never ends the job.
-    ``result`` is the DDL of the function's own columns.
+    What a generator has yielded is kept when it raises: the row it raised at becomes a ``failed`` row and the
+    function is called again for the rows behind it, so no row is worked on twice and one bad item never ends the job.
+    A function that returns its answers whole is called row by row after it raised.  ``result`` is the DDL of the function's own columns.
     """
     names = [f.strip().split(" ")[0] for f in result.split(",")]
     hidden = [s for s in secrets or [] if s]
@@ -55,19 +56,27 @@ def apply_provider(assets: DataFrame, fn: Callable, result: str, secrets: list[s
                 return {**dict.fromkeys(names), "status": "failed", "error": message(answer)}
             return {**{n: answer.get(n) for n in names}, "status": "ok", "error": None}
 
-        def single(row) -> dict:
+        def called(rows) -> list[dict]:
+            """Answers of some rows, or of those up to the one at which the function raised."""
+            answers: list[dict] = []
+            given = None
             try:
-                return outcome(next(iter(fn(row))))
+                given = fn(rows)
+                for answer in given:
+                    answers.append(outcome(answer))
+                if len(answers) != len(rows):
+                    raise ValueError("one answer per row expected")
             except Exception as e:
-                return outcome(e)
+                if not isinstance(given, Iterator) and len(rows) > 1:
+                    # A list comes whole or not at all: row by row tells which one failed.
+                    return [a for i in range(len(rows)) for a in called(rows.iloc[[i]])]
+                return [*answers[: len(rows) - 1], outcome(e)]
+            return answers
 
         for batch in batches:
-            try:
-                answers = [outcome(a) for a in fn(batch)]
-                if len(answers) != len(batch):
-                    raise ValueError("one answer per row expected")
-            except Exception:
-                answers = [single(batch.iloc[[i]]) for i in range(len(batch))]
+            answers: list[dict] = []
+            while len(answers) < len(batch):
+                answers += called(batch.iloc[len(answers):])
             found = pd.DataFrame(answers, columns=[*names, "status", "error"], index=batch.index)
             yield pd.concat([batch[own], found], axis=1)
 
@@ -166,15 +175,24 @@ def _label(total: Column, done: Column, skipped: str, available: bool) -> Column
         F.when(total == 0, "none").when(done == total, "done").when(done == 0, "failed").otherwise("partial"))
 
 
-def _found(docs: DataFrame, doc_key: list[str], kind: str, results: DataFrame, fields: list[str]) -> DataFrame:
-    """Per document: number of paths of a kind and the results found for them, in media order."""
-    paths = explode_media(docs, doc_key).filter(F.col("kind") == kind)
-    joined = ordered.lookup(
-        paths, results.select("media_path", F.struct(*fields).alias("_r")), ["media_path"],
-        ordered.spread_of(*doc_key, "position"))
+def _attached(docs: DataFrame, wanted: Column, kind: str, results: DataFrame, fields: list[str]) -> DataFrame:
+    """``docs`` with the number of paths of a kind (``_total``) and the results found for them in order (``_hits``).
+
+    What is found depends on the list of paths alone, so each distinct list is looked up once, whatever documents
+    share it or a ``source``.  Documents without such a path are not shuffled.
+    """
+    has = wanted & F.exists("media_paths", lambda p: media_kind(p) == kind)
+    marked = docs.withColumn("_list", F.when(F.coalesce(has, F.lit(False)), F.sha2(F.to_json(F.struct("media_paths")), 256)))
+    with_paths = marked.filter("_list IS NOT NULL")
+    lists = with_paths.select("_list", "media_paths").dropDuplicates(["_list"])
+    paths = lists.select("_list", F.posexplode("media_paths").alias("position", "media_path")).filter(
+        media_kind(F.col("media_path")) == kind)
+    joined = ordered.lookup(paths, results.select("media_path", F.struct(*fields).alias("_r")), ["media_path"])
     hit = F.when(F.col("_r").isNotNull(), F.struct("position", "media_path", F.col("_r")))
-    return joined.groupBy(*doc_key).agg(
+    found = joined.groupBy("_list").agg(
         F.count("*").alias("_total"), F.array_sort(F.collect_list(hit)).alias("_hits"))
+    return ordered.lookup(with_paths, found, ["_list"]).unionByName(
+        marked.filter("_list IS NULL"), allowMissingColumns=True).drop("_list")
 
 
 def _with_meta(meta: Column, **fields: Column) -> Column:
@@ -183,18 +201,17 @@ def _with_meta(meta: Column, **fields: Column) -> Column:
     return meta
 
 
-def enrich_ocr(docs: DataFrame, ocr: DataFrame | None, doc_key: str | list[str] | None = None) -> DataFrame:
+def enrich_ocr(docs: DataFrame, ocr: DataFrame | None) -> DataFrame:
     """fill ``ocr_text`` from an (media_path, text, model, status) table, unique per path; ``None`` = no provider.
 
     The label counts all images of a document; one whose text is missing is not done.  A document's paths come from
     one row, so the regrouped lists are no larger than that row.
     """
-    own, doc_key = list(docs.columns), record_keys(docs, doc_key)
+    own = list(docs.columns)
     available = ocr is not None
     results = ocr.filter(F.col("status") == "ok") if available else docs.sparkSession.createDataFrame(
         [], "media_path string, text string, model string")
-    found = _found(docs, doc_key, "image", results, ["text", "model"])
-    joined = docs.join(found, doc_key, "left")
+    joined = _attached(docs, F.lit(True), "image", results, ["text", "model"])
     hits = F.coalesce(F.col("_hits"), F.array())
     total, done = F.coalesce(F.col("_total"), F.lit(0)), F.size(hits)
     texts = F.transform(hits, lambda h: F.struct(
@@ -248,19 +265,16 @@ def choose_transcript(calls: DataFrame) -> DataFrame:
         F.when(F.col("_w").isNull(), F.when(limited, "rate_limited").otherwise("error")).alias("error"))
 
 
-def enrich_transcribe(docs: DataFrame, transcripts: DataFrame | None,
-                      doc_key: str | list[str] | None = None) -> DataFrame:
+def enrich_transcribe(docs: DataFrame, transcripts: DataFrame | None) -> DataFrame:
     """fill ``transcript`` from (media_path, text, model, backend, status); ``None`` = no backend.
 
     A document that already has a transcript passes unchanged, label included.
     """
-    own, doc_key = list(docs.columns), record_keys(docs, doc_key)
+    own = list(docs.columns)
     available = transcripts is not None
     results = transcripts.filter(F.col("status") == "ok") if available else docs.sparkSession.createDataFrame(
         [], "media_path string, text string, model string, backend string")
-    todo = docs.filter(truthy("transcript").isNull())
-    found = _found(todo, doc_key, "av", results, ["text", "model", "backend"])
-    joined = docs.join(found, doc_key, "left")
+    joined = _attached(docs, truthy("transcript").isNull(), "av", results, ["text", "model", "backend"])
     given = truthy("transcript").isNotNull()
     hits = F.coalesce(F.col("_hits"), F.array())
     total, done = F.coalesce(F.col("_total"), F.lit(0)), F.size(hits)

@@ -74,15 +74,17 @@ def _section(head: Column, lines: Column, shown: Column) -> Column:
 
 def render_markdown(docs: DataFrame, path_mode: str = "absolute", relative_to: str | None = None,
                     base_dir: str = "/", keys: list[str] | None = None) -> DataFrame:
-    """G1: records to Markdown, one row per record.
+    """G1: records to Markdown: the ``keys``, section, part_no and markdown.
 
-    A record in several parts (``part_no``, ``part_count``) gives rows of sections; a document is its rows' texts in
-    (section, part_no) order, joined by nothing.
+    A record in one part is one row (section 1, part 0).  One in several parts (``part_no``, ``part_count``) gives
+    rows of sections; a document is its rows' texts in (section, part_no) order, joined by nothing.  Records that say
+    nothing about parts have one.
     """
     meta, platform = F.col("meta"), F.coalesce(truthy("platform"), F.lit("unknown"))
-    many = "part_no" in docs.columns and "part_count" in docs.columns
-    first = (F.col("part_no") == 0) if many else F.lit(True)
-    last = (F.col("part_no") == F.col("part_count") - 1) if many else F.lit(True)
+    docs = docs.withColumns({
+        c: F.coalesce(F.col(c) if c in docs.columns else F.lit(None), F.lit(v)).cast("int")
+        for c, v in (("part_no", 0), ("part_count", 1))})
+    first, last = F.col("part_no") == 0, F.col("part_no") == F.col("part_count") - 1
     keys = keys or [c for c in ("source", "platform") if c in docs.columns]
 
     author = truthy(meta["author"])
@@ -94,7 +96,8 @@ def render_markdown(docs: DataFrame, path_mode: str = "absolute", relative_to: s
         F.array().cast("array<string>"))
 
     comments = F.col("comments")
-    n = F.coalesce(meta["comment_count_captured"], F.size(comments).cast("long")) if many else F.size(comments).cast("long")
+    n = F.when(F.col("part_count") > 1, meta["comment_count_captured"]).otherwise(F.size(comments).cast("long"))
+    n = F.coalesce(n, F.size(comments).cast("long"))
     total = F.coalesce(meta["completeness"]["expected"], meta["reply_count"])
     head = F.concat(
         F.lit(f"## {COMMENTS_HEAD} ("), n.cast("string"), F.lit(COLLECTED),
@@ -123,15 +126,9 @@ def render_markdown(docs: DataFrame, path_mode: str = "absolute", relative_to: s
 
     none = F.array().cast("array<string>")
     when = lambda cond, lines: F.when(cond, lines).otherwise(none)
-    text = lambda *lines: F.concat(join_lines(F.concat(*lines)), F.lit("\n"))
-    if not many:
-        whole = text(
-            F.array(title), body, _section(head, bullets, F.size(comments) > 0),
-            _section(F.lit(MEDIA_HEAD), media_lines, F.size(paths) > 0),
-            _section(F.lit(OCR_HEAD), ocr_lines, F.size("ocr_text") > 0), transcript, footer)
-        return docs.select(*keys, whole.alias("markdown"))
-    saved = F.coalesce(F.try_element_at(meta["extra"], F.lit("local_media_count")).try_cast("long"),
-                       F.size(paths).cast("long"))
+    size = F.size(paths).cast("long")
+    saved = F.when(F.col("part_count") > 1, F.coalesce(
+        F.try_element_at(meta["extra"], F.lit("local_media_count")).try_cast("long"), size)).otherwise(size)
     open_comments = when(first & (n > 0), F.array(F.lit(""), head, F.lit("")))
     open_media = when(first & (saved > 0), F.array(F.lit(""), F.lit(MEDIA_HEAD), F.lit("")))
     ocr = _section(F.lit(OCR_HEAD), ocr_lines, F.size("ocr_text") > 0)
@@ -151,15 +148,14 @@ def render_markdown(docs: DataFrame, path_mode: str = "absolute", relative_to: s
 def write_documents(docs: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists", **render) -> None:
     """Write records as JSON lines, Markdown or Parquet, one folder per platform.
 
+    Markdown comes as JSON lines too, each with source, platform, section and part_no beside the text, so that every
+    document can be found and put together again.
     The output committer publishes all files or none; nothing passes through the driver.
     """
-    if fmt == "markdown":
-        rendered = render_markdown(docs, **render)
-        rendered.select("platform", "markdown").write.mode(mode).partitionBy("platform").text(path)
-        return
     # The folder column is a copy: the records keep all their fields.
-    rows = docs.withColumn("by_platform", F.col("platform")).write.mode(mode).partitionBy("by_platform")
-    if fmt == "json":
+    records = render_markdown(docs, **render) if fmt == "markdown" else docs
+    rows = records.withColumn("by_platform", F.col("platform")).write.mode(mode).partitionBy("by_platform")
+    if fmt in ("json", "markdown"):
         rows.option("ignoreNullFields", "false").json(path)
     elif fmt == "parquet":
         rows.parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions.text import CHUNK, col, join_lines, strip, truthy, unescape, url_base, whole_json
+from ..functions.text import unescape as decode_references
 
 # Comments, script-like elements, declarations and tags; leftmost wins, so a tag inside a comment stays hidden.
 # The common "<" comes first: other characters cost one comparison.
@@ -59,6 +60,11 @@ def extract_og(pages: DataFrame, props: list[str], html: str = "html") -> DataFr
     return pages.withColumns({p.replace(":", "_"): og_content(F.col(html), p) for p in props})
 
 
+def _up_to_last(html: Column, closer: str) -> Column:
+    """The page up to its last closer: an opener behind it would search to the end of the page, each one anew."""
+    return F.regexp_extract(html, f"(?is)^(.*{closer})", 1)
+
+
 def _clean(fragment: Column) -> Column:
     text = unescape(F.regexp_replace(fragment, r"<[^>]+>", " "))
     text = F.translate(text, "\xa0​", " ")
@@ -68,7 +74,7 @@ def _clean(fragment: Column) -> Column:
 def paragraphs_text(html: Column, para_class: str | None) -> Column:
     wanted = "" if para_class is None else rf'[^>]+class="[^"]*{para_class}[^"]*"'
     pattern = rf"(?is)<p{wanted}[^>]*>(.*?)</p>" if para_class else r"(?is)<p(?:\s[^>]*)?>(.*?)</p>"
-    bodies = F.transform(F.regexp_extract_all(html, F.lit(pattern), F.lit(1)), _clean)
+    bodies = F.transform(F.regexp_extract_all(_up_to_last(html, "</p>"), F.lit(pattern), F.lit(1)), _clean)
     kept = F.filter(bodies, lambda b: b != "")
     text = strip(F.regexp_replace(join_lines(kept), r"\n{3,}", "\n\n"))
     return F.when(F.size(kept) > 0, text).otherwise(F.coalesce(og_content(html, "og:description"), F.lit("")))
@@ -80,27 +86,38 @@ def extract_paragraphs(pages: DataFrame, para_class: str | None = "se-text-parag
     return pages.withColumn(out, paragraphs_text(F.col(html), para_class))
 
 
-def media_urls(html: Column, pattern: str, allow_hosts: str, decode: bool) -> Column:
-    """Array of allowed URLs in page order; of URLs equal up to ``?`` the first stays."""
-    found = F.regexp_extract_all(html, F.lit(pattern), F.lit(0))
-    if decode:
-        found = F.transform(found, unescape)
-    allowed = F.filter(found, lambda u: u.rlike(allow_hosts))
-    bases = F.transform(allowed, url_base)
-    firsts = F.transform(F.array_distinct(bases), lambda b: F.array_position(bases, b))
-    return F.transform(firsts, lambda i: F.get(allowed, i.cast("int") - 1))
+def first_by_base(df: DataFrame, urls: str, out: str) -> DataFrame:
+    """``out``: of the URLs in array ``urls`` that are equal up to ``?`` the first, in order.
+
+    Sorted by base, a URL is the first of its base where the one before has another base.  Each step is a column of
+    its own, as a lambda would compute what it refers to again for every element.
+    """
+    pairs = F.transform(F.coalesce(F.col(urls), F.array().cast("array<string>")), lambda u, i: F.struct(
+        url_base(u).alias("base"), i.alias("pos"), u.alias("url")))
+    staged = df.withColumn("_by_base", F.array_sort(pairs))
+    staged = staged.withColumn("_first", F.filter(
+        "_by_base", lambda e, i: (i == 0) | ~F.get("_by_base", i - 1)["base"].eqNullSafe(e["base"])))
+    staged = staged.withColumn("_first", F.array_sort(F.transform("_first", lambda e: F.struct(e["pos"], e["url"]))))
+    return staged.withColumn(out, F.transform("_first", lambda e: e["url"])).drop("_by_base", "_first")
 
 
 def extract_media_urls(pages: DataFrame, pattern: str = rules.BLOG_IMAGE, allow_hosts: str = rules.BLOG_IMAGE_HOST,
                        unescape: bool = False, html: str = "html", out: str = "media_urls") -> DataFrame:
-    """Media URLs of a page.  Videos decode references before the host test, images do not."""
-    return pages.withColumn(out, media_urls(F.col(html), pattern, allow_hosts, unescape))
+    """Media URLs of a page, in page order; of URLs equal up to ``?`` the first stays.
+
+    Videos decode references before the host test, images do not.
+    """
+    found = F.regexp_extract_all(F.col(html), F.lit(pattern), F.lit(0))
+    if unescape:
+        found = F.transform(found, decode_references)
+    allowed = pages.withColumn("_found", found).withColumn("_allowed", F.filter("_found", lambda u: u.rlike(allow_hosts)))
+    return first_by_base(allowed, "_allowed", out).drop("_found", "_allowed")
 
 
 def extract_embedded_json(pages: DataFrame, html: str = "html") -> DataFrame:
     """One row per script whose text from the first ``{`` to the last ``}`` parses; ``payload`` is VARIANT."""
     scripts = F.regexp_extract_all(
-        F.col(html), F.lit(r"(?is)<script(?=[\s/>])[^>]*>(.*?)</script\s*>"), F.lit(1))
+        _up_to_last(F.col(html), r"</script\s*>"), F.lit(r"(?is)<script(?=[\s/>])[^>]*>(.*?)</script\s*>"), F.lit(1))
     braces = F.transform(scripts, lambda s: truthy(F.regexp_extract(s, r"(?s)\{.*\}", 0)))
     return (
         pages.select(*[c for c in pages.columns if c != html], F.posexplode_outer(braces).alias("script_no", "json_text"))

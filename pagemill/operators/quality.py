@@ -80,7 +80,7 @@ def validate_pages(df: DataFrame, status: str = "status", body: str = "body", he
         (code.isin(404, 410), "not_found", status_reason),
         (code.between(500, 599), "blocked", status_reason),
         (code == 0, "unknown", status_reason),
-        (any_hard, "challenge", F.slice(hard, 1, 3)),
+        (any_hard, "challenge", hard),
     ]
     for bad in bad_sizes or []:
         layers.append((F.abs(size - bad) <= rules.SIZE_TOLERANCE, "challenge",
@@ -100,7 +100,7 @@ def validate_pages(df: DataFrame, status: str = "status", body: str = "body", he
     else:
         small = size < rules.SMALL_BODY_BYTES
         layers += [
-            (any_soft, "challenge", F.slice(soft, 1, 3)),
+            (any_soft, "challenge", soft),
             (small & complete, "weak_ok", reason(F.lit("small_but_complete:"), size.cast("string"))),
             (small, "challenge", reason(F.lit("tiny_body:"), size.cast("string"))),
             (unresolved, "suspect_ok", reason(F.lit("abck_unresolved"))),
@@ -216,9 +216,11 @@ def merge_renderings(static: DataFrame, rendered: DataFrame | None, mode: str =
     else:
         shots = rendered if "error" in rendered.columns else rendered.withColumn(
             "error", F.lit(None).cast("string"))
-        shots = shots.select(
+        # Only renderings that some capture asks for are read; the static page stays out of the join.
+        asked = base.filter("_wanted").select("url").distinct()
+        shots = shots.join(asked, "url", "left_semi").select(
             "url", visible_text("html").alias("_text"), F.col("error").alias("_render_error"))
-        joined = ordered.lookup(base, shots, ["url"], ordered.spread_of("url", "html", "verdict"))
+        joined = ordered.lookup(base, shots, ["url"])
         joined = joined.withColumns({c: F.when(F.col("_wanted"), F.col(c)) for c in ("_text", "_render_error")})
     late_block = F.coalesce(F.col("_render_error").rlike(ssrf), F.lit(False))
     ssrf_hit = blocked | late_block

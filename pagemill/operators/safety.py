@@ -52,18 +52,20 @@ def scan_injection(df: DataFrame, text: str = "text") -> DataFrame:
         "injection_risk", injection_risk(F.col("injection_signals")))
 
 
-def boundary_id(text: Column, tries: int = 4) -> Column:
-    """First counter whose marks do not occur in the text; null when ``tries`` counters all collide."""
-    def free(counter: int) -> Column:
-        digest = F.substr(F.sha2(F.concat(F.lit(f"{counter}\0"), text), 256), F.lit(1), F.lit(16))
-        used = text.contains(F.concat(F.lit(f"{rules.BEGIN_MARK} boundary="), digest)) | text.contains(
-            F.concat(F.lit(f"{rules.END_MARK} boundary="), digest))
-        return F.when(~used, digest)
+def boundary_id(text: Column) -> Column:
+    """First counter whose marks do not occur in the text; a text with n marks rules out n counters at most."""
+    def digest(counter: Column) -> Column:
+        return F.substr(F.sha2(F.concat(counter.cast("string"), F.lit("\0"), text), 256), F.lit(1), F.lit(16))
+
+    def used(d: Column) -> Column:
+        return text.contains(F.concat(F.lit(f"{rules.BEGIN_MARK} boundary="), d)) | text.contains(
+            F.concat(F.lit(f"{rules.END_MARK} boundary="), d))
 
     # A mark can only occur when its fixed part does, so most texts need one digest.
     marked = contains_any(text, [rules.BEGIN_MARK, rules.END_MARK])
-    plain = F.substr(F.sha2(F.concat(F.lit("0\0"), text), 256), F.lit(1), F.lit(16))
-    return F.when(~marked, plain).otherwise(F.coalesce(*[free(i) for i in range(tries)]))
+    marks = F.size(F.split(text, " boundary=")) - 1
+    free = F.filter(F.transform(F.sequence(F.lit(0), marks), digest), lambda d: ~used(d))
+    return F.when(~marked, digest(F.lit(0))).otherwise(F.get(free, F.lit(0)))
 
 
 def json_ascii(text: Column) -> Column:

@@ -7,6 +7,7 @@ part of bounded length, and a thread with more posts than ``part_size`` becomes
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,7 +18,6 @@ from ..functions.lineage import cut
 from ..functions.text import truthy
 
 PART_SIZE = 10000
-MAX_DEPTH = 64
 
 
 def _is_object(v: Column) -> Column:
@@ -29,12 +29,13 @@ def _is_array(v: Column) -> Column:
 
 
 def iter_thread_posts(payloads: DataFrame, blocked_keys: list[str] | None = None, payload: str = "payload",
-                      keys: list[str] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
+                      keys: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """Every object under a key ``post`` at any depth, outside the ``blocked_keys`` subtrees.
 
     ``payload`` is a VARIANT column.  One level of all payloads is opened per round; only objects and arrays go on.
     ``path`` (positions from the top) orders the posts of a payload, enclosing posts first; VARIANT keeps object keys
-    sorted, so siblings come in key order.  A payload deeper than ``max_depth`` adds a row with ``reject_reason``.
+    sorted, so siblings come in key order.  All levels are read; with ``max_depth`` a deeper payload adds a row with
+    ``reject_reason``.
     """
     spark = payloads.sparkSession
     keys = keys or [c for c in payloads.columns if c != payload]
@@ -42,7 +43,7 @@ def iter_thread_posts(payloads: DataFrame, blocked_keys: list[str] | None = None
     level = payloads.select(*keys, F.array().cast("array<int>").alias("path"), F.col(payload).alias("_node"))
     level = level.filter("_node is not null")
     posts = []
-    for _ in range(max_depth):
+    for _ in count() if max_depth is None else range(max_depth):
         opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_node").outer()))
         kept = opened.filter(F.col("key").isNull() | ~F.col("key").isin(blocked)).select(
             *keys, F.array_append("path", F.col("pos")).alias("path"),
@@ -156,9 +157,9 @@ def post_url(author: Column, code: Column) -> Column:
     return F.concat(F.lit("https://www.threads.net/@"), author, F.lit("/post/"), code)
 
 
-def expand_frontier(posts: DataFrame, visited: DataFrame, max_pages: int = 100,
+def expand_frontier(posts: DataFrame, visited: DataFrame, max_pages: int | None = None,
                     order: list[str] | None = None) -> DataFrame:
-    """Next pages per ``crawl_id`` in first-seen order, as many as the page budget leaves.
+    """Next pages per ``crawl_id`` in first-seen order; ``max_pages`` keeps as many as a page budget leaves.
 
     ``posts``: crawl_id, author, code, reply_count and the ``order`` columns; ``visited``: crawl_id, url.
     """
@@ -168,10 +169,12 @@ def expand_frontier(posts: DataFrame, visited: DataFrame, max_pages: int = 100,
     fresh = leads.groupBy("crawl_id", "url").agg(F.min("found_at").alias("found_at")).join(
         visited.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
     used = visited.groupBy("crawl_id").agg(F.count("*").alias("_used"))
-    best = ordered.first_by(fresh, ["crawl_id"], ["found_at", "url"], max_pages)
+    best = fresh if max_pages is None else ordered.first_by(fresh, ["crawl_id"], ["found_at", "url"], max_pages)
+    ranked = best.withColumn("visit_no", F.row_number().over(_by_crawl()))
+    if max_pages is None:
+        return ranked.select("crawl_id", "url", "visit_no", "found_at")
     left = F.lit(max_pages) - F.coalesce("_used", F.lit(0))
-    ranked = best.join(used, "crawl_id", "left").withColumn(
-        "visit_no", F.row_number().over(_by_crawl()))
+    ranked = ranked.join(used, "crawl_id", "left")
     return ranked.filter(F.col("visit_no") <= left).select("crawl_id", "url", "visit_no", "found_at")
 
 
@@ -181,19 +184,23 @@ def _by_crawl():
     return W.partitionBy("crawl_id").orderBy("found_at", "url")
 
 
-def crawl_reach(starts: DataFrame, page_posts: DataFrame, max_pages: int = 100) -> tuple[DataFrame, DataFrame]:
+def crawl_reach(starts: DataFrame, page_posts: DataFrame, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Breadth-first closure over captured pages.
 
     ``starts``: crawl_id, url.  ``page_posts``: page_url, seq, id, author, code, reply_count and more.  Returns the
-    merged posts per crawl and (crawl_id, visited_pages).  Each round opens one level and is written down; a level
-    visits pages in the order a first-in-first-out queue would, so the page budget cuts at the same page.
+    merged posts per crawl and (crawl_id, visited_pages, budget_hit).  Each round opens one level and is written down;
+    a level visits pages in the order a first-in-first-out queue would, so a page budget (``max_pages``) cuts at the
+    same page, and ``budget_hit`` tells that it was used up.  Rounds read the links of the pages only, written once.
     """
     level = starts.select("crawl_id", "url").distinct().withColumns(
         {"depth": F.lit(0), "visit_no": F.lit(1)})
     levels = [cut(level)]
     visited = levels[0]
-    for depth in range(1, max_pages + 1):
-        opened = levels[-1].join(page_posts, F.col("url") == F.col("page_url")).select(
+    # What a page leads to; posts in full are joined once, at the end.
+    links = cut(page_posts.filter((F.col("reply_count") > 0) & truthy("code").isNotNull()).select(
+        "page_url", "seq", "author", "code", "reply_count"))
+    for depth in count(1):
+        opened = levels[-1].join(links, F.col("url") == F.col("page_url")).select(
             "crawl_id", "visit_no", "seq", "author", "code", "reply_count")
         found = expand_frontier(opened, visited, max_pages, ["visit_no", "seq"])
         level = cut(found.select("crawl_id", "url", F.lit(depth).alias("depth"), "visit_no"))
@@ -203,7 +210,9 @@ def crawl_reach(starts: DataFrame, page_posts: DataFrame, max_pages: int = 100)
         visited = reduce(DataFrame.unionByName, levels)
     seen = visited.join(page_posts, F.col("url") == F.col("page_url")).drop("url", "page_url")
     merged = merge_posts(seen, ["crawl_id"], ["depth", "visit_no", "seq"]).drop("depth", "visit_no", "seq")
-    return merged, visited.groupBy("crawl_id").agg(F.count("*").alias("visited_pages"))
+    pages = visited.groupBy("crawl_id").agg(F.count("*").alias("visited_pages"))
+    return merged, pages.withColumn(
+        "budget_hit", F.lit(False) if max_pages is None else F.col("visited_pages") >= max_pages)
 
 
 def escalate(fast: DataFrame, deep: DataFrame) -> DataFrame:
@@ -214,9 +223,8 @@ def escalate(fast: DataFrame, deep: DataFrame) -> DataFrame:
     incomplete = assess_completeness(fast).filter("incomplete").select("thread_id")
     switch = deep.select("thread_id").distinct().join(incomplete, "thread_id", "left_semi").withColumn(
         "_deep", F.lit(True))
-    spread = F.pmod(ordered.chunk_of("seq", 1024), F.lit(ordered.SPREAD))
-    kept = ordered.lookup(fast, switch, ["thread_id"], spread).filter("_deep is null")
-    taken = ordered.lookup(deep, switch, ["thread_id"], spread).filter("_deep")
+    kept = ordered.lookup(fast, switch, ["thread_id"]).filter("_deep is null")
+    taken = ordered.lookup(deep, switch, ["thread_id"]).filter("_deep")
     return kept.drop("_deep").withColumn("scrape_mode", F.lit("fast")).unionByName(
         taken.drop("_deep").withColumn("scrape_mode", F.lit("deep")))
 
@@ -246,9 +254,13 @@ def media_label(posts: DataFrame, downloaded: bool | Column, platform: str = "th
 
 
 def assemble_threads(posts: DataFrame, downloaded: bool = False, part_size: int = PART_SIZE,
-                     scrape_mode: str = "fast", fetched_at: Column | None = None) -> DataFrame:
+                     scrape_mode: str = "fast", fetched_at: Column | None = None,
+                     max_pages: Column | None = None) -> DataFrame:
     """Threads to normalized records.
 
+    A column ``scrape_mode`` of ``posts`` (as D8 adds it) tells how each thread was read; ``max_pages`` is the page
+    budget of its crawl.
+
     ``posts``: thread_id, source, root_code, seq, id, code, author, text, likes, reply_count, images, videos,
     downloaded.  Adds part_no and part_count; ``comments`` and ``media_paths`` of a thread's parts, in order, are
     its whole lists.  A thread without root is one row with ``reject_reason``.
@@ -269,11 +281,13 @@ def assemble_threads(posts: DataFrame, downloaded: bool = False, part_size: int
     heads = posts.withColumn("_root", is_root).groupBy("thread_id").agg(
         F.max("source").alias("source"),
         F.max("root_code").alias("root_code"),
+        F.max(F.col("scrape_mode") if "scrape_mode" in posts.columns else F.lit(scrape_mode)).alias("scrape_mode"),
+        F.max(F.lit(None) if max_pages is None else max_pages).cast("int").alias("max_pages"),
         F.min(F.when(F.col("_root"), F.struct("seq", "id", "author", "text", "likes", "reply_count"))).alias("root"),
         F.count_if(~F.col("_root")).alias("captured"), F.count("*").alias("n"),
         F.sum(size("images")).alias("image_count"), F.sum(size("videos")).alias("video_count"),
         F.sum(size("downloaded")).alias("got"))
-    whole = ordered.lookup(parts, heads, ["thread_id"], F.pmod(F.col("part_no"), F.lit(ordered.SPREAD)))
+    whole = ordered.lookup(parts, heads, ["thread_id"])
     root, total = F.col("root"), F.col("image_count") + F.col("video_count")
     found = root.isNotNull()
     expected = F.coalesce(root["reply_count"], F.lit(0))
@@ -282,8 +296,7 @@ def assemble_threads(posts: DataFrame, downloaded: bool = False, part_size: int
         comment_count_captured=F.col("captured"), media_complete=(F.col("got") == total) & (total > 0),
         completeness=F.struct(
             found.alias("root_found"), expected.cast("long").alias("expected"), F.col("captured").alias("captured"),
-            (F.col("captured") < expected).alias("incomplete"), F.lit(scrape_mode).alias("scrape_mode"),
-            F.lit(None).cast("int").alias("max_pages")),
+            (F.col("captured") < expected).alias("incomplete"), "scrape_mode", "max_pages"),
         fetched_at=F.lit(None) if fetched_at is None else fetched_at,
         extra={
             "post_id": root["id"], "local_media_count": F.col("got"), "image_count": F.col("image_count"), "video_count": F.col("video_count"),

@@ -31,33 +31,40 @@ def normalize_instagram(posts: DataFrame, comments: DataFrame | None = None, ses
     rows = posts.withColumn("comments_label", label).withColumn("reject_reason", refused)
     if comments is None:
         joined = rows.withColumns({
-            "part_no": F.lit(0), "comments": schema.no_comments(), "captured": F.lit(0)})
+            "part_no": F.lit(0), "part_count": F.lit(1), "comments": schema.no_comments(), "captured": F.lit(0)})
     else:
         comment = schema.comment(
             id=F.col("id"), author=F.col("author"), text=F.coalesce("text", F.lit("")),
             likes=F.coalesce("likes", F.lit(0)), created_at=F.col("created_at"))
-        parts = in_parts(comments, "shortcode", "seq", comment, "comments", part_rows)
+        numbered = ordered.ordered_values(
+            comments, ["shortcode"], ["seq"], ordered.chunk_of("seq"), running={"_n": F.lit(1)})
+        parts = in_parts(numbered.withColumn("_n", F.col("_n") - 1), "shortcode", "_n", comment, "comments", part_rows)
         counts = comments.groupBy("shortcode").agg(F.count("*").alias("captured"))
-        joined = attach_parts(rows.join(counts, "shortcode", "left"), parts, "shortcode")
+        joined = attach_parts(rows.join(counts, "shortcode", "left"), parts, "shortcode").withColumn(
+            "part_count", F.greatest(F.lit(1), F.ceil(F.coalesce("captured", F.lit(0)) / part_rows)))
     collected = (F.col("comments_label") == "collected") & F.col("reject_reason").isNull()
     paths = optional(posts, "media_paths", schema.no_paths())
     wanted = optional(posts, "downloaded", F.lit(False))
     media = F.when(~wanted, "none").when(F.size(paths) > 0, "downloaded").otherwise("download_failed")
     details = schema.meta(
-        author=F.col("owner"), code=F.col("shortcode"), likes=F.coalesce("likes", F.lit(0)),
+        likes=F.coalesce("likes", F.lit(0)),
         comment_count_captured=F.when(collected, F.coalesce("captured", F.lit(0))).otherwise(0),
         fetched_at=F.lit(None) if fetched_at is None else fetched_at,
         extra={
+            "owner": F.col("owner"), "shortcode": F.col("shortcode"),
             "post_id": F.col("post_id"), "comment_count": F.coalesce("comment_count", F.lit(0)),
-            "comments_label": F.col("comments_label"), "is_video": F.coalesce("is_video", F.lit(False)),
+            "local_media_count": F.when(F.size(paths) > 0, F.size(paths)), "comments_label": F.col("comments_label"), "is_video": F.coalesce("is_video", F.lit(False)),
             "media_label": media, "ig_access_label": F.coalesce("reject_reason", F.lit("ok")),
             "date_utc": F.date_format("date_utc", "yyyy-MM-dd'T'HH:mm:ss"),
         })
-    kept = joined.filter(collected | (F.col("part_no") == 0))
+    kept = joined.filter(collected | (F.col("part_no") == 0)).withColumns({
+        "part_no": F.col("part_no").cast("int"), "part_count": F.when(collected, F.col("part_count")).otherwise(1).cast("int")})
+    # The caption and the media belong to the first part.
+    first = F.col("part_no") == 0
     return schema.record(
-        kept, F.col("source"), "instagram", F.coalesce("caption", F.lit("")), details,
+        kept, F.col("source"), "instagram", F.when(first, F.coalesce("caption", F.lit(""))).otherwise(""), details,
         comments=F.when(collected, F.coalesce("comments", schema.no_comments())).otherwise(schema.no_comments()),
-        media_paths=paths, keep=["part_no", "reject_reason"])
+        media_paths=F.when(first, paths).otherwise(schema.no_paths()), keep=["part_no", "part_count", "reject_reason"])
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -71,7 +78,8 @@ def parse_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def post_key(permalink: Column, text: Column, images: Column) -> Column:
-    head = truthy(F.substr(F.coalesce(text, F.lit("")), F.lit(1), F.lit(80)))
+    # The whole text: posts that only begin alike are different posts.
+    head = F.when(truthy(text).isNotNull(), F.md5(text))
     n = F.greatest(F.coalesce(F.size(images), F.lit(0)), F.lit(0))
     return F.when(truthy(permalink).isNotNull(), url_base(permalink)).otherwise(
         F.concat(head, F.lit("|"), n.cast("string")))
@@ -138,11 +146,12 @@ def focus_scope(articles: DataFrame) -> DataFrame:
         "matched", F.col("_focus").isNotNull()).drop("_focus")
 
 
-def comment_candidates(articles: DataFrame, max_chars: int = rules.COMMENT_CHARS) -> DataFrame:
+def comment_candidates(articles: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Comment articles of a post (post_id, pos from 0, text, aria_label, caption).
 
     The body is the first article holding the caption, else article 0 (``body_matched`` false).  What follows it,
-    without loading placeholders and blanks, are the candidates; ``index`` counts from the body.
+    without loading placeholders and blanks, are the candidates; ``index`` counts from the body.  ``max_chars`` cuts
+    texts and ``text_cut`` tells where.
     """
     text = F.coalesce("text", F.lit(""))
     caption = truthy("caption")
@@ -153,7 +162,8 @@ def comment_candidates(articles: DataFrame, max_chars: int = rules.COMMENT_CHARS
     loading = F.coalesce("aria_label", F.lit("")).rlike(rules.LOADING) | text.rlike(rules.LOADING)
     return bodies.filter((F.col("pos") > body) & ~loading & (strip(text) != "")).select(
         "post_id", (F.col("pos") - body - 1).alias("index"),
-        F.substr(text, F.lit(1), F.lit(max_chars)).alias("raw_text"),
+        (text if max_chars is None else F.substr(text, F.lit(1), F.lit(max_chars))).alias("raw_text"),
+        (F.lit(False) if max_chars is None else F.length(text) > max_chars).alias("text_cut"),
         F.col("_body").isNotNull().alias("body_matched"), caption.isNotNull().alias("caption_given"))
 
 
@@ -242,13 +252,13 @@ def merge_enriched(base: DataFrame, img: DataFrame | None = None, vid: DataFrame
 
 
 def select_images(viewer: DataFrame, article: DataFrame, downloads: DataFrame | None = None,
-                  max_photos: int = rules.MAX_PHOTOS) -> DataFrame:
+                  max_photos: int | None = None) -> DataFrame:
     """Images of a post (post_id, pos, url), full-size viewer before article, first of equal base URLs.
 
-    At most ``max_photos`` viewer pages per post.  ``downloads`` (url, status) raises the label of a post when a
+    ``max_photos`` keeps the first viewer pages of a post only.  ``downloads`` (url, status) raises the label of a post when a
     larger file arrived.  Rows keep (priority, pos) as their order.
     """
-    walked = ordered.first_by(viewer, ["post_id"], ["pos"], max_photos)
+    walked = viewer if max_photos is None else ordered.first_by(viewer, ["post_id"], ["pos"], max_photos)
     both = walked.select("post_id", F.lit(1).alias("priority"), "pos", "url").unionByName(
         article.select("post_id", F.lit(2).alias("priority"), "pos", "url"))
     kept = both.groupBy("post_id", url_base("url").alias("base")).agg(
@@ -258,7 +268,7 @@ def select_images(viewer: DataFrame, article: DataFrame, downloads: DataFrame |
     else:
         status = downloads.groupBy("url").agg(
             F.max(F.col("status").isin("fetched", "upgraded").cast("int")).alias("_grown"))
-        kept = ordered.lookup(kept, status, ["url"], ordered.spread_of("post_id"))
+        kept = ordered.lookup(kept, status, ["url"])
     graded = ordered.group_values(
         kept, ["post_id"], {"_best": ("min", F.col("priority")), "_any": ("max", F.coalesce("_grown", F.lit(0)))},
         ordered.spread_of("url"))
@@ -357,5 +367,8 @@ def normalize_facebook(posts: DataFrame, fetched_at: Column | None = None) -> Da
 
 
 def union_documents(*dfs: DataFrame) -> DataFrame:
-    """All platform outputs as one table; columns a platform lacks are null."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    """All platform outputs as one table; columns a platform lacks are null, but every record is part 0 of 1."""
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
+    one = {c: F.coalesce(F.col(c) if c in whole.columns else F.lit(None), F.lit(v)).cast("int")
+           for c, v in (("part_no", 0), ("part_count", 1))}
+    return whole.withColumns(one)

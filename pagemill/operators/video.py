@@ -82,7 +82,7 @@ def normalize_youtube(df: DataFrame, info: str = "info", fetched_at: Column | No
     listed = lambda a: F.to_json(a)
     no_json = F.lit("[]")
     details = schema.meta(
-        author=i["uploader"], title=i["title"],
+        title=i["title"],
         fetched_at=F.lit(None) if fetched_at is None else fetched_at,
         transcript_label=optional(df, "transcript_label", F.lit("none")),
         extra={

@@ -114,7 +114,7 @@ def d7(spark, sf):
     return posts.select("crawl_id", "id", "code", "text")
 
 
-@query("d7_crawl_reach_pages", _D7 + "SELECT crawl_id, count(*) AS visited_pages FROM w GROUP BY crawl_id")
+@query("d7_crawl_reach_pages", _D7 + "SELECT crawl_id, count(*) AS visited_pages, count(*) >= 4 AS budget_hit FROM w GROUP BY crawl_id")
 def d7_pages(spark, sf):
     pages = table(spark, sf, "page_posts")
     starts = pages.filter("turn = 0").selectExpr("conv_id AS crawl_id", "page_url AS url")

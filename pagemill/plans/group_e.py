@@ -146,12 +146,29 @@ def e9(spark, sf):
         F.min(F.struct("id", "author", "text", "likes", "created_at")).alias("c")).select("shortcode", "seq", "c.*")
     r = timeline.normalize_instagram(table(spark, sf, "photo_posts"), comments)
     return r.select(
-        "source", "body_text", "meta.author", "meta.code", "meta.likes", "meta.comment_count_captured",
+        "source", "body_text", extra("owner").alias("author"), extra("shortcode").alias("code"), "meta.likes",
+        "meta.comment_count_captured",
         F.array_join(F.transform("comments", lambda c: F.concat_ws(
             "|", c["id"], c["author"], c["text"], c["likes"].cast("string"))), "\n").alias("comments"),
         extra("comments_label"), extra("ig_access_label"), "reject_reason")
 
 
+@query("e9_instagram_parts", ctes("photo_posts", "photo_comments") + """,
+c AS (SELECT shortcode, count(DISTINCT seq) AS n FROM photo_comments GROUP BY shortcode),
+p AS (SELECT source, coalesce(caption, '') AS caption,
+  CASE WHEN comments_error = 'ok' AND access_error IS NULL THEN coalesce(n, 0) ELSE 0 END AS n FROM photo_posts LEFT JOIN c USING (shortcode)),
+k AS (SELECT *, CAST(greatest(1, ceil(n / 2)) AS INT) AS part_count FROM p),
+i AS (SELECT *, unnest(range(part_count)) AS i FROM k)
+SELECT source, CAST(i AS INT) AS part_no, part_count, CASE WHEN i = 0 THEN caption ELSE '' END AS body_text,
+  CAST(least(2, n - 2 * i) AS INT) AS comments, n AS captured FROM i""")
+def e9_parts(spark, sf):
+    comments = table(spark, sf, "photo_comments").groupBy("shortcode", "seq").agg(
+        F.min(F.struct("id", "author", "text", "likes", "created_at")).alias("c")).select("shortcode", "seq", "c.*")
+    r = timeline.normalize_instagram(table(spark, sf, "photo_posts"), comments, part_rows=2)
+    return r.select("source", "part_no", "part_count", "body_text", F.size("comments").alias("comments"),
+                    F.col("meta.comment_count_captured").alias("captured"))
+
+
 @query("e10_concat_list_pages", ctes("list_pages") + """,
 s AS (SELECT blog_id, page, CASE WHEN status = 200 AND body LIKE '{"result":{%'
   THEN json_array_length(body, '$.result.items') ELSE 0 END AS n FROM list_pages),
@@ -241,7 +258,7 @@ def e15(spark, sf):
 
 @query("e16_dedup_timeline", ctes("articles") + """,
 k AS (SELECT *, CASE WHEN permalink IS NOT NULL THEN split_part(permalink, '?', 1)
-  WHEN text <> '' THEN text[1:80] || '|1' END AS post_key FROM articles)
+  WHEN text <> '' THEN md5(text) || '|1' END AS post_key FROM articles)
 SELECT profile, scroll, pos, post_key FROM k WHERE post_key IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY profile, post_key ORDER BY scroll, pos) = 1""")
 def e16(spark, sf):
@@ -283,7 +300,7 @@ def e18(spark, sf):
 
 @query("e19_comment_candidates", ctes("comment_articles") + """,
 b AS (SELECT *, min(CASE WHEN contains(text, caption) THEN pos END) OVER (PARTITION BY post_id) AS body FROM comment_articles)
-SELECT post_id, pos - coalesce(body, 0) - 1 AS index, text[1:4000] AS raw_text, body IS NOT NULL AS body_matched,
+SELECT post_id, pos - coalesce(body, 0) - 1 AS index, text AS raw_text, false AS text_cut, body IS NOT NULL AS body_matched,
   caption IS NOT NULL AS caption_given FROM b
 WHERE pos > coalesce(body, 0) AND trim(text) <> '' AND NOT regexp_matches(text, 'loading', 'i') AND aria_label IS NULL""")
 def e19(spark, sf):
@@ -343,7 +360,7 @@ def e22(spark, sf):
 
 _IMAGES = ctes("viewer_images") + """,
 v AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY pos) AS rn FROM viewer_images WHERE side = 0),
-u AS (SELECT post_id, 1 AS priority, pos, url FROM v WHERE rn <= 80 UNION ALL
+u AS (SELECT post_id, 1 AS priority, pos, url FROM v UNION ALL
   SELECT post_id, 2, pos, url FROM viewer_images WHERE side <> 0),
 k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY post_id, split_part(url, '?', 1) ORDER BY priority, pos, url) = 1),
 d AS (SELECT url, max(CASE WHEN status = 'fetched' THEN 1 ELSE 0 END) AS grown FROM viewer_images GROUP BY url),

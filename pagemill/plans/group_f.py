@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.lineage import new_folder
+from ..functions.lineage import cut, new_folder
 from ..operators import enrich, output, threads
 from . import group_c, group_e
 from .group_d import THREADS_SQL, thread_inputs
@@ -246,7 +246,7 @@ SELECT d.source, d.platform, concat('# ', d.platform, ' 포스트 (', d.source,
 FROM media_docs d LEFT JOIN g USING (source)""")
 def g1_documents(spark, sf):
     done = enrich.enrich_ocr(media_records(spark, sf), _results(spark, sf))
-    return output.render_markdown(done, "relative", "/out")
+    return output.render_markdown(done, "relative", "/out").select("source", "platform", "markdown")
 
 
 @query("g2_write_documents", "SELECT platform, records FROM (" + group_e.ORACLES["e27_union_documents"] + ")")
@@ -257,6 +257,69 @@ def g2(spark, sf):
     return spark.read.json(path).groupBy("platform").agg(F.count("*").alias("records"))
 
 
+# What every record of the union shows, from the driver tables: its key, title and last line.
+_LINES = group_e.ctes("infos", "dumps", "photo_posts", "blog_posts", "base_posts", "thread_posts") + THREADS_SQL + """,
+r AS (
+  SELECT 'web' AS platform, url AS source, NULL AS author, url AS code, NULL AS likes, '완전수집' AS complete FROM pages
+  UNION ALL SELECT 'threads', source, author, root_code, likes,
+    concat(CASE WHEN found AND captured < coalesce(replies, 0) THEN concat('부분수집(', captured, '/', replies, ')') ELSE '완전수집' END,
+      CASE WHEN NOT (got = images + videos AND images + videos > 0) THEN ' · 미디어 일부 누락' ELSE '' END) FROM t
+  UNION ALL SELECT 'youtube', source, NULL, source, NULL, '완전수집' FROM infos
+  UNION ALL SELECT 'tiktok', source, CASE WHEN dump LIKE '[[2%' THEN 'nick'
+    WHEN dump LIKE '[[1],%' THEN json_extract_string(dump, '$[1][1].author.uniqueId') END, source, NULL, '완전수집' FROM dumps
+  UNION ALL SELECT 'instagram', source, NULL, source, likes, '완전수집' FROM photo_posts
+  UNION ALL SELECT 'naver_blog', concat('https://blog.naver.com/', blog_id, '/', log_no), NULL,
+    concat('https://blog.naver.com/', blog_id, '/', log_no), NULL, '완전수집' FROM blog_posts
+  UNION ALL SELECT 'facebook', permalink, NULL, permalink, likes, '완전수집' FROM base_posts),
+lines AS (SELECT platform, source, concat('# ', CASE WHEN author IS NOT NULL THEN concat('@', author, ' — ') ELSE '' END,
+    platform, ' 포스트 (', code, ')') AS title,
+  concat('플랫폼: ', platform, CASE WHEN likes IS NOT NULL THEN concat(' · 좋아요: ', likes) ELSE '' END, ' · 완전성: ', complete) AS footer
+  FROM r)
+"""
+
+
+def _shown(rendered):
+    return rendered.withColumns({
+        "title": F.substring_index("markdown", "\n", 1),
+        "footer": F.substring_index(F.regexp_replace("markdown", "\n$", ""), "\n", -1)})
+
+
+@query("pipeline_render_all", _LINES + "SELECT *, true AS body_shown FROM lines")
+def render_all(spark, sf):
+    """Every record of the union rendered: none is lost, each has its title, body and last line."""
+    rendered = output.render_markdown(group_e.documents(spark, sf), keys=["source", "platform", "body_text"])
+    return _shown(rendered).select(
+        "platform", "source", "title", "footer", F.col("markdown").contains(F.col("body_text")).alias("body_shown"))
+
+
+@query("pipeline_enrich_all", _LINES + """
+SELECT platform, source, CASE WHEN length(source) % 7 = 3 THEN 'failed' ELSE 'done' END AS ocr_label,
+  CASE WHEN length(source) % 7 = 3 THEN '' ELSE concat('text of /m/', length(source) % 7, '.jpg') END AS ocr_text,
+  CASE WHEN length(source) % 5 = 2 THEN 'failed' ELSE 'done' END AS transcript_label,
+  CASE WHEN length(source) % 5 <> 2 THEN concat('text of /m/', length(source) % 5, '.mp4') END AS transcript FROM lines""")
+def enrich_all(spark, sf):
+    """Every record of the union, given an image and a video, with its texts and honest labels."""
+    path = lambda n, ext: F.concat(F.lit("/m/"), (F.length("source") % n).cast("string"), F.lit(ext))
+    # Written once: the enrichments read it several times.
+    docs = cut(group_e.documents(spark, sf).withColumn("media_paths", F.array(path(7, ".jpg"), path(5, ".mp4"))))
+    paths = docs.select(F.explode("media_paths").alias("media_path")).distinct()
+    results = paths.select(
+        "media_path", F.concat(F.lit("text of "), "media_path").alias("text"), F.lit("m").alias("model"), F.lit("groq").alias("backend"),
+        F.when(F.col("media_path").isin("/m/3.jpg", "/m/2.mp4"), "failed").otherwise("ok").alias("status"))
+    done = enrich.enrich_transcribe(cut(enrich.enrich_ocr(docs, results)), results)
+    return done.select("platform", "source", "meta.ocr_label", F.array_join(F.transform(
+        "ocr_text", lambda o: o["text"]), ",").alias("ocr_text"), "meta.transcript_label", "transcript")
+
+
+@query("g2_write_markdown", _LINES + "SELECT *, 1 AS section, 0 AS part_no FROM lines")
+def g2_markdown(spark, sf):
+    """Writes all records as Markdown and reads every document back by its key."""
+    path = new_folder(spark, "markdown")
+    output.write_documents(group_e.documents(spark, sf), path, "markdown")
+    back = spark.read.schema("source string, platform string, section int, part_no int, markdown string").json(path)
+    return _shown(back).select("platform", "source", "title", "footer", "section", "part_no")
+
+
 @query("g3_completeness_label", ctes("thread_posts") + THREADS_SQL + """
 SELECT thread_id, concat(CASE WHEN found AND captured < coalesce(replies, 0) THEN concat('부분수집(', captured, '/', replies, ')')
   ELSE '완전수집' END, CASE WHEN NOT (got = images + videos AND images + videos > 0) THEN ' · 미디어 일부 누락' ELSE '' END)

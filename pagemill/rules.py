@@ -22,6 +22,7 @@ VIDEO_ID_PATTERNS = [
 ]
 THREAD_PATH = r"(?i)/@([A-Za-z0-9_.]+)/post/([A-Za-z0-9_-]+)"
 PHOTO_PATH = r"(?i)/(?:p|reel|tv)/([A-Za-z0-9_-]+)"
+# Fixed patterns: blog addresses.
 BLOG_QUERY = r"(?i)[?&]blogId=([A-Za-z0-9_-]+)"
 BLOG_LOG_QUERY = r"(?i)[?&]logNo=(\d+)"
 BLOG_PATH = r"(?i)(?:m\.)?blog\.naver\.com/([A-Za-z0-9_-]+)(?:/(\d+))?"
@@ -184,6 +185,7 @@ VIDEO_URL = r"(?i)https?://[^\s\"'<>\\]+\.(?:mp4|m3u8)[^\s\"'<>\\]*"
 BLOG_VIDEO_HOST = r"(?i)^https?://(?:[\w-]+\.)*(?:pstatic\.net|naver\.com|navercorp\.com)/"
 IMAGE_ERROR_STATUSES = [-1, 403, 408, 429, 500, 502, 503, 504]
 MIN_IMAGE_BYTES = 1500
+# Image sizes and photo labels by rank.
 SIZE_RANK = {"original": 3, "original_w3840": 3, "w966_ceiling": 2, "thumbnail_fallback": 1}
 PHOTO_RANK = {"none": 0, "article_thumbnail": 1, "largest_cdn": 2, "fullsize_viewer": 3}
 GOOD_AREA = 1200 * 900
@@ -199,6 +201,7 @@ COMMENT_META_LINE = (
     r"yesterday|just\s+now|좋아요|Like|답글\s*달기|Reply|원본\s*보기\([^)]{0,20}\)|See\s+translation|"
     r"\d[\d,]{0,9})$"
 )
+# Fixed pattern: loading placeholders.
 LOADING = r"(?i)읽어들이는\s*중|loading"
 COMMENT_CHARS = 4000
 
@@ -207,6 +210,7 @@ OCR_PRIORITY = ["gemini", "nim_gemma4", "nim_nemotron"]
 JUDGE_PRIORITY = ["nim_gemma4", "gemini"]
 TRANSCRIBE_ORDER = ["whisper-large-v3-turbo", "whisper-large-v3"]
 MAX_RETRY_AFTER = 60
+# File extensions for uploads.
 UPLOAD_EXTS = [".flac", ".mp3", ".mp4", ".mpeg", ".mpga", ".m4a", ".ogg", ".wav", ".webm"]
 VIDEO_CONTAINERS = [".mp4", ".mkv", ".avi", ".ts", ".webm", ".mov", ".mpeg"]
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024

@@ -70,7 +70,11 @@ def record(
     media_paths: Column | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """Project to the envelope (plus the ``keep`` columns in front)."""
+    """Project to the envelope (plus the ``keep`` columns in front).
+
+    ``part_no`` and ``part_count`` are never null: a record in one part is part 0 of 1.
+    """
+    parts = [F.lit(v).alias(c) for c, v in (("part_no", 0), ("part_count", 1)) if c not in (keep or [])]
     return df.select(
         *(keep or []),
         source.alias("source"),
@@ -81,4 +85,5 @@ def record(
         (F.lit(None) if transcript is None else transcript).cast("string").alias("transcript"),
         F.coalesce(no_paths() if media_paths is None else media_paths, no_paths()).alias("media_paths"),
         meta.alias("meta"),
+        *parts,
     )

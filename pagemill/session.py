@@ -26,5 +26,5 @@ def local(cores: int | str = 8, memory: str = "8g") -> SparkSession:
         .config("spark.sql.shuffle.partitions", "8")
         .getOrCreate()
     )
-    spark.sparkContext.setLogLevel("OFF")
+    spark.sparkContext.setLogLevel("WARN")
     return spark

@@ -232,3 +232,31 @@ def test_renderings(spark):
     forced = {r.source: r.meta.extra for r in quality.normalize_web(
         quality.merge_renderings(static, shots, "always")).collect()}
     assert forced["c"]["engine_ok"] == "false" and forced["c"]["tier"] == "2"
+
+
+def test_unclosed_markup_and_many_urls_are_linear(spark):
+    import time
+
+    def seconds(result):
+        start = time.perf_counter()
+        result.collect()
+        return time.perf_counter() - start
+
+    def page(html):
+        return spark.createDataFrame([(1, html)], "page_id long, html string")
+
+    seconds(pages.extract_paragraphs(page("<p>warm</p>"), None))
+    assert seconds(pages.extract_paragraphs(page("<p>x" * 16000), None)) < 4
+    assert seconds(pages.extract_embedded_json(page("<script>{" * 16000))) < 4
+    many = " ".join(f"https://postfiles.pstatic.net/i{i % 9000}.jpg?type=w{i}" for i in range(20000))
+    found = pages.extract_media_urls(page(many))
+    assert seconds(found) < 8
+    urls = found.first().media_urls
+    assert len(urls) == 9000 and urls[:2] == ["https://postfiles.pstatic.net/i0.jpg?type=w0", "https://postfiles.pstatic.net/i1.jpg?type=w1"]
+
+
+def test_text_behind_the_last_closer_changes_nothing(spark):
+    html = "<p>a</p><P>b</P ><p>c</p><p>open <script>{\"a\": 1}</script ><script>{\"b\": 2}"
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    assert pages.extract_paragraphs(df, None).first().body_text == "a\nb c"
+    assert [r.json_text for r in pages.extract_embedded_json(df).collect()] == ['{"a": 1}']

@@ -61,8 +61,8 @@ def test_photo_comments_in_parts(spark):
         [("u1", "A", None, None), ("u2", "B", None, None), ("u3", "C", "connection", None), ("u4", "D", None, "x")],
         "source string, shortcode string, access_error string, comments_error string").withColumns({
             "comments_error": F.coalesce("comments_error", F.when(F.col("shortcode") != "B", "ok")),
-            **{c: F.lit(None).cast(t) for c, t in [
-                ("caption", "string"), ("owner", "string"), ("post_id", "long"), ("likes", "long"),
+            "caption": F.lit("cap"), **{c: F.lit(None).cast(t) for c, t in [
+                ("owner", "string"), ("post_id", "long"), ("likes", "long"),
                 ("comment_count", "long"), ("is_video", "boolean"), ("date_utc", "timestamp")]}})
     comments = spark.createDataFrame(
         [(c, i, str(i), "a", "t", 1, None) for c in "ABCD" for i in range(25)],
@@ -70,6 +70,11 @@ def test_photo_comments_in_parts(spark):
     got = timeline.normalize_instagram(posts, comments, part_rows=10).orderBy("source", "part_no").collect()
     assert [(r.source, r.part_no, len(r.comments)) for r in got] == [
         ("u1", 0, 10), ("u1", 1, 10), ("u1", 2, 5), ("u2", 0, 0), ("u3", 0, 0), ("u4", 0, 0)]
+    assert [(r.part_count, r.body_text) for r in got[:3]] == [(3, "cap"), (3, ""), (3, "")] and {r.part_count for r in got[3:]} == {1}
+    text = "".join(r.markdown for r in output.render_markdown(timeline.union_documents(
+        timeline.normalize_instagram(posts, comments, part_rows=10))).filter("source = 'u1'").orderBy("section", "part_no").collect())
+    assert text.count("# instagram 포스트 (u1)") == 1 and text.count("(25개 수집)") == 1 and text.count("- **a**: t") == 25
+    assert text.count("플랫폼: instagram") == 1
     assert [r.meta.extra["comments_label"] for r in got[2:]] == ["collected", "not_requested", "collected", "fetch_failed"]
     assert got[4].reject_reason == "anonymous_blocked" and got[0].meta.comment_count_captured == 25
 
@@ -134,7 +139,8 @@ def test_timeline(spark):
             ("p", 1, 1, None, "x" * 90 + "y", []), ("p", 1, 2, None, "x" * 90, ["i"]), ("p", 2, 0, None, "", ["i"])]
     df = spark.createDataFrame(rows, "profile string, scroll int, pos int, permalink string, text string, images array<string>")
     got = timeline.dedup_timeline(df).orderBy("scroll", "pos").collect()
-    assert [(r.scroll, r.pos) for r in got] == [(0, 0), (0, 1), (1, 2)]
+    # Posts that only begin alike are different posts.
+    assert [(r.scroll, r.pos) for r in got] == [(0, 0), (0, 1), (1, 1), (1, 2)]
 
 
 def test_media_of_a_profile(spark):
@@ -266,6 +272,50 @@ def test_provider_failures_stay_rows(spark):
     assert [got[i].twice for i in (0, 1, 2, 4, 5)] == [0, 2, 4, 8, 10]
 
 
+def test_provider_sees_each_row_once(spark, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def fn(batch):
+        for i in batch["i"]:
+            with open(seen, "a") as f:
+                f.write(f"{i}\n")
+            if i % 4 == 1:
+                raise RuntimeError("bad")
+            yield {"twice": int(i) * 2}
+
+    def whole(batch):
+        if (batch["i"] == 2).any():
+            raise RuntimeError("bad")
+        return [{"twice": int(i) * 2} for i in batch["i"]]
+
+    rows = spark.range(0, 12, 1, 1).withColumnRenamed("id", "i")
+    got = {r.i: r.status for r in enrich.apply_provider(rows, fn, "twice bigint").collect()}
+    assert got == {i: "failed" if i % 4 == 1 else "ok" for i in range(12)}
+    assert sorted(open(seen).read().split(), key=int) == [str(i) for i in range(12)]
+    got = {r.i: r.status for r in enrich.apply_provider(rows, whole, "twice bigint").collect()}
+    assert got == {i: "failed" if i == 2 else "ok" for i in range(12)}
+
+
+def test_union_loses_no_record(spark):
+    base = docs(spark, [("s", "web", ["x.jpg"], None), ("s", "web", ["y.jpg"], None), ("t", "web", [], None)])
+    union = timeline.union_documents(base, base.filter("source = 't'").withColumns({"part_no": F.lit(None).cast("int")}))
+    assert output.render_markdown(union).count() == 4
+    ocr = spark.createDataFrame([("x.jpg", "X", "m", "ok")], "media_path string, text string, model string, status string")
+    got = sorted((r.source, r.media_paths, [o.text for o in r.ocr_text], r.meta.ocr_label) for r in enrich.enrich_ocr(union, ocr).collect())
+    assert got == [("s", ["x.jpg"], ["X"], "done"), ("s", ["y.jpg"], [], "failed"), ("t", [], [], "none"), ("t", [], [], "none")]
+
+
+def test_nothing_is_cut_by_default(spark):
+    viewer = spark.createDataFrame([("p", i, f"https://a/{i}.jpg") for i in range(100)], "post_id string, pos int, url string")
+    assert timeline.select_images(viewer, viewer.limit(0)).count() == 100
+    assert timeline.select_images(viewer, viewer.limit(0), max_photos=80).count() == 80
+    articles = spark.createDataFrame([("p", 0, "body", None, None), ("p", 1, "x" * 5000, None, None)],
+                                     "post_id string, pos int, text string, aria_label string, caption string")
+    assert len(timeline.comment_candidates(articles).first().raw_text) == 5000
+    cut = timeline.comment_candidates(articles, max_chars=10).first()
+    assert (cut.raw_text, cut.text_cut) == ("x" * 10, True)
+
+
 def test_rendering(spark, tmp_path):
     base = docs(spark, [("s", "web", ["/a/b/../x.png", "rel.mp4"], "spoken")])
     comments = F.array(
@@ -287,6 +337,10 @@ def test_rendering(spark, tmp_path):
     assert "- ../x.png\n- ../../w/rel.mp4\n" in relative
     plain = output.render_markdown(docs(spark, [("s", "web", [], None)])).first().markdown
     assert plain == "# web 포스트 (s)\n\nb\n\n---\n플랫폼: web · 완전성: 완전수집\n"
+    marked = str(tmp_path / "marked")
+    output.write_documents(df, marked, "markdown", base_dir="/w")
+    back = spark.read.json(marked).first()
+    assert (back.source, back.platform, back.section, back.part_no, back.markdown) == ("s", "threads", 1, 0, want)
     path = str(tmp_path / "out")
     output.write_documents(df, path)
     back = json.loads(spark.read.text(path).first().value)
