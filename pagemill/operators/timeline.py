@@ -47,11 +47,11 @@ def normalize_instagram(posts: DataFrame, comments: DataFrame | None = None, ses
     wanted = optional(posts, "downloaded", F.lit(False))
     media = F.when(~wanted, "none").when(F.size(paths) > 0, "downloaded").otherwise("download_failed")
     details = schema.meta(
-        likes=F.coalesce("likes", F.lit(0)),
+        author=F.col("owner"), likes=F.coalesce("likes", F.lit(0)),
         comment_count_captured=F.when(collected, F.coalesce("captured", F.lit(0))).otherwise(0),
         fetched_at=F.lit(None) if fetched_at is None else fetched_at,
         extra={
-            "owner": F.col("owner"), "shortcode": F.col("shortcode"),
+            "shortcode": F.col("shortcode"),
             "post_id": F.col("post_id"), "comment_count": F.coalesce("comment_count", F.lit(0)),
             "local_media_count": F.when(F.size(paths) > 0, F.size(paths)), "comments_label": F.col("comments_label"), "is_video": F.coalesce("is_video", F.lit(False)),
             "media_label": media, "ig_access_label": F.coalesce("reject_reason", F.lit("ok")),
@@ -92,37 +92,30 @@ def dedup_timeline(articles: DataFrame) -> DataFrame:
     return ordered.first_by(keyed, ["profile", "post_key"], ["scroll", "pos"])
 
 
-def _by_base(urls: Column, kind: str, all_of_base: bool) -> Column:
-    """Entries (kind, base, [(pos, url)]) of one post's URL array, per base URL in first-seen order."""
-    listed = F.transform(F.coalesce(urls, schema.no_paths()), lambda u, i: F.struct(
-        i.alias("pos"), u.alias("url"), url_base(u).alias("base")))
-    bases = F.array_distinct(F.transform(listed, lambda e: e["base"]))
-
-    def entry(base: Column) -> Column:
-        same = F.transform(F.filter(listed, lambda e: e["base"] == base), lambda e: F.struct(e["pos"], e["url"]))
-        return F.struct(
-            F.lit(kind).alias("kind"), base.alias("base"), (same if all_of_base else F.slice(same, 1, 1)).alias("urls"))
-
-    return F.transform(bases, entry)
-
-
 def dedup_media_across_posts(posts: DataFrame) -> DataFrame:
     """Profile-wide media (profile, post_seq, image_urls, video_urls).
 
     ``images_to_fetch`` holds an image only where its base URL comes first; ``video_urls`` loses videos seen in
-    earlier posts, repeats inside one post stay.  A base URL's first post is a combined minimum, so a picture half
-    the profile repeats is reduced before the shuffle.
+    earlier posts, repeats inside one post stay.  A base URL's first post is a minimum of numbers, hashed and combined
+    before the shuffle, so a picture half the profile repeats is reduced where it lies.  Rows then meet the winners by
+    post, which no picture makes hot.
     """
+    listed = lambda urls, kind: F.transform(
+        F.coalesce(urls, schema.no_paths()), lambda u, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), u.alias("url")))
     media = posts.select("profile", "post_seq", F.explode_outer(F.concat(
-        _by_base(F.col("image_urls"), "image", False), _by_base(F.col("video_urls"), "video", True))).alias("m"))
-    first = media.filter("m is not null").groupBy("profile", "m.kind", "m.base").agg(
-        F.min(F.struct("post_seq", "m.urls")).alias("_f"))
-    lists = first.groupBy("profile", F.col("_f.post_seq").alias("post_seq")).agg(
-        F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == "image", F.col("_f.urls"))))).alias("_i"),
-        F.array_sort(F.flatten(F.collect_list(F.when(F.col("kind") == "video", F.col("_f.urls"))))).alias("_v"))
-    urls = lambda c: F.coalesce(F.transform(c, lambda x: x["url"]), schema.no_paths())
-    return posts.drop("video_urls").join(lists, ["profile", "post_seq"], "left").withColumn(
-        "images_to_fetch", urls("_i")).withColumn("video_urls", urls("_v")).drop("_i", "_v")
+        listed(F.col("image_urls"), 0), listed(F.col("video_urls"), 1))).alias("m")).filter("m is not null").select(
+        "profile", "post_seq", "m.*", url_base("m.url").alias("base"))
+    first = media.groupBy("profile", "kind", "base").agg(F.min("post_seq").alias("post_seq"))
+    where = ["profile", "post_seq", "kind", "base"]
+    won = media.join(first, where, "left_semi")
+    # Of an image's repeats inside its post the first stays.
+    ahead = won.groupBy(*where).agg(F.min("pos").alias("first_pos"))
+    kept = won.join(ahead, where).filter((F.col("kind") == 1) | (F.col("pos") == F.col("first_pos")))
+    urls = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(
+        F.col("kind") == kind, F.struct("first_pos", "pos", "url")))), lambda x: x["url"])
+    lists = kept.groupBy("profile", "post_seq").agg(urls(0).alias("_i"), urls(1).alias("_v"))
+    return posts.drop("video_urls").join(lists, ["profile", "post_seq"], "left").withColumns({
+        "images_to_fetch": F.coalesce("_i", schema.no_paths()), "video_urls": F.coalesce("_v", schema.no_paths())}).drop("_i", "_v")
 
 
 def owner_token(url: Column) -> Column:
@@ -320,10 +313,15 @@ def upgrade_media(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     keyed = incoming.withColumns({
         "file_key": file_key(F.col("url")),
         "_host_ok": F.col("url").rlike(r"(?iU)^https?://(?:[\w-]+\.)*fbcdn\.net/")})
+    # Numbers first, in hash aggregates: the largest area, then its first offer; the URL is fetched for that one only.
+    fit = keyed.filter(usable & allowed)
+    largest = fit.groupBy("file_key").agg(F.max("area").alias("area"))
+    best = fit.join(largest, ["file_key", "area"]).groupBy("file_key", "area").agg(F.min("seq").alias("seq"))
+    best = fit.join(best, ["file_key", "area", "seq"]).groupBy("file_key").agg(
+        F.max(F.struct("area", "url")).alias("_best"))
     offers = keyed.groupBy("file_key").agg(
-        F.max(F.when(usable & allowed, F.struct("area", (-F.col("seq")).alias("first"), "url"))).alias("_best"),
         F.coalesce(F.bool_or(F.col("status").isNotNull() & allowed), F.lit(False)).alias("_answered"),
-        F.bool_or(allowed).alias("_allowed"))
+        F.bool_or(allowed).alias("_allowed")).join(best, "file_key", "left")
     kept = existing.groupBy("file_key").agg(
         F.max(F.when(F.col("bytes") > rules.MIN_PHOTO_BYTES, F.col("area"))).alias("_have"))
     both = kept.join(offers, "file_key", "full_outer")

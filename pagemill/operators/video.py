@@ -167,6 +167,36 @@ def collect_outputs(files: DataFrame) -> DataFrame:
     return files.filter(~skip).select("video_id", kind.alias("kind"), "path")
 
 
+def assemble_videos(infos: DataFrame, outputs: DataFrame | None = None, transcripts: DataFrame | None = None,
+                    comments: DataFrame | None = None, chats: DataFrame | None = None) -> DataFrame:
+    """What the other steps found for each video (``video_id``), as the columns :func:`normalize_youtube` reads.
+
+    ``outputs`` (E7): video_id, kind, path.  ``transcripts`` (E5): parts, put together in order.  ``comments`` (E6).
+    ``chats`` (E4): video_id, chat_message_count, optional chat_path.  Labels of E3 are columns of ``infos`` already.
+    """
+    out = infos
+    if outputs is not None:
+        paths = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("path"))))
+        out = out.join(outputs.groupBy("video_id").agg(
+            paths("video").alias("videos"), paths("subtitle").alias("subtitle_paths")), "video_id", "left")
+        out = out.withColumns({c: F.coalesce(c, schema.no_paths()) for c in ("videos", "subtitle_paths")})
+    if transcripts is not None:
+        parts = F.array_sort(F.collect_list(F.when(F.col("transcript").isNotNull(), F.struct("part_no", "transcript"))))
+        whole = transcripts.groupBy("video_id").agg(parts.alias("_parts"))
+        out = out.join(whole, "video_id", "left").withColumns({
+            "transcript": F.when(F.size("_parts") > 0, F.array_join(F.transform("_parts", lambda p: p["transcript"]), "\n")),
+            "transcript_label": F.when(F.size("_parts") > 0, "fetched").when(F.col("_parts").isNotNull(), "unavailable").otherwise("none"),
+        }).drop("_parts")
+    if comments is not None:
+        out = out.join(comments.select("video_id", "comments", "comments_label"), "video_id", "left").withColumns({
+            "comments": F.coalesce("comments", schema.no_comments()), "comments_label": F.coalesce("comments_label", F.lit("none"))})
+    if chats is not None:
+        found = chats.select("video_id", F.col("chat_message_count").alias("chat_count"), *[
+            c for c in chats.columns if c == "chat_path"])
+        out = out.join(found, "video_id", "left").withColumn("chat_count", F.coalesce("chat_count", F.lit(0)))
+    return out
+
+
 def normalize_tiktok(df: DataFrame, dump: str = "dump", fetched_at: Column | None = None) -> DataFrame:
     """``[[kind, payload], ...]`` dumps to records; a dump without a payload object gets a ``reject_reason``.
 

@@ -112,6 +112,32 @@ def e7(spark, sf):
     return video.collect_outputs(table(spark, sf, "output_files"))
 
 
+@query("e1_assemble_videos", f"""
+WITH i AS (SELECT source, CAST(regexp_extract(source, '([0-9]+)$', 1) AS BIGINT) AS video_id FROM ({ctes("infos")} SELECT * FROM infos)),
+f AS (SELECT video_id, string_agg(path, ',' ORDER BY path) FILTER (kind = 'video') AS videos, count(*) FILTER (kind = 'subtitle') AS subtitles
+  FROM ({ORACLES["e7_collect_outputs"]}) GROUP BY video_id),
+t AS ({ORACLES["e5_clean_transcript"]}),
+c AS ({ORACLES["e6_top_comments"]})
+SELECT i.source, coalesce(videos, '') AS media_paths, CAST(coalesce(subtitles, 0) AS BIGINT) AS subtitles, transcript,
+  coalesce(transcript_label, 'none') AS transcript_label, coalesce(comments, '') AS comments, coalesce(comments_label, 'none') AS comments_label,
+  coalesce(video_id % 3, 0) AS chat_messages
+FROM i LEFT JOIN f USING (video_id) LEFT JOIN t USING (video_id) LEFT JOIN c USING (video_id)""")
+def e1_assembled(spark, sf):
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("long")
+    infos = table(spark, sf, "infos").withColumn("video_id", number)
+    whole = video.assemble_videos(
+        infos, video.collect_outputs(table(spark, sf, "output_files")), video.clean_transcript(table(spark, sf, "segments"), 2),
+        video.top_comments(table(spark, sf, "video_comments"), 3),
+        infos.select("video_id", (F.col("video_id") % 3).alias("chat_message_count")))
+    r = video.normalize_youtube(whole)
+    return r.select(
+        "source", F.array_join("media_paths", ",").alias("media_paths"),
+        F.size(F.from_json(F.try_element_at("meta.extra", F.lit("subtitle_paths")), "array<string>")).cast("long").alias("subtitles"),
+        "transcript", "meta.transcript_label", F.array_join(F.transform("comments", lambda c: F.concat_ws(
+            "|", c["author"], c["text"], c["likes"].cast("string"))), "\n").alias("comments"), extra("comments_label"),
+        extra("chat_message_count").cast("long").alias("chat_messages"))
+
+
 @query("e8_normalize_tiktok", ctes("dumps") + """
 SELECT source, CASE WHEN dump LIKE '[[2%' THEN json_extract_string(dump, '$[1][1].desc') ELSE '' END AS body_text,
   CASE WHEN dump LIKE '[[2%' THEN 'nick' WHEN dump LIKE '[[1],%' THEN json_extract_string(dump, '$[1][1].author.uniqueId') END
@@ -146,7 +172,7 @@ def e9(spark, sf):
         F.min(F.struct("id", "author", "text", "likes", "created_at")).alias("c")).select("shortcode", "seq", "c.*")
     r = timeline.normalize_instagram(table(spark, sf, "photo_posts"), comments)
     return r.select(
-        "source", "body_text", extra("owner").alias("author"), extra("shortcode").alias("code"), "meta.likes",
+        "source", "body_text", "meta.author", extra("shortcode").alias("code"), "meta.likes",
         "meta.comment_count_captured",
         F.array_join(F.transform("comments", lambda c: F.concat_ws(
             "|", c["id"], c["author"], c["text"], c["likes"].cast("string"))), "\n").alias("comments"),
@@ -435,16 +461,20 @@ def documents(spark, sf):
         "source": F.col("url"), "body_text": F.col("title"), "image_urls": schema.no_paths(),
         "video_urls": schema.no_paths()}))
     cards = timeline.normalize_facebook(timeline.merge_enriched(_revisits(spark, sf)[0]))
-    return timeline.union_documents(web, posts, videos, clips, photos, entries, cards)
+    files = table(spark, sf, "media_files").select(
+        "path", F.octet_length("text").alias("length"), F.col("text").cast("binary").alias("content"))
+    local = captures.normalize_local(captures.describe_files(files))
+    return timeline.union_documents(web, posts, videos, clips, photos, entries, cards, local)
 
 
-@query("e27_union_documents", ctes("infos", "dumps", "photo_posts", "blog_posts", "base_posts") + """
+@query("e27_union_documents", ctes("infos", "dumps", "photo_posts", "blog_posts", "base_posts", "media_files") + """
 SELECT 'web' AS platform, count(*) AS records, 0 AS rejected FROM pages
 UNION ALL SELECT 'threads', count(DISTINCT conv_id), (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 4 = 3) FROM conversations
 UNION ALL SELECT 'youtube', count(*), 0 FROM infos
 UNION ALL SELECT 'tiktok', count(*), count(*) FILTER (NOT (dump LIKE '[[2%' OR dump LIKE '[[1],%')) FROM dumps
 UNION ALL SELECT 'instagram', count(*), count(access_error) FROM photo_posts
 UNION ALL SELECT 'naver_blog', count(*), 0 FROM blog_posts
+UNION ALL SELECT 'local', count(*), count(*) FILTER (doc_id % 10 IN (6, 7)) FROM media_files
 UNION ALL SELECT 'facebook', count(*), 0 FROM base_posts""")
 def e27(spark, sf):
     return documents(spark, sf).groupBy("platform").agg(

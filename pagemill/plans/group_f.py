@@ -258,7 +258,7 @@ def g2(spark, sf):
 
 
 # What every record of the union shows, from the driver tables: its key, title and last line.
-_LINES = group_e.ctes("infos", "dumps", "photo_posts", "blog_posts", "base_posts", "thread_posts") + THREADS_SQL + """,
+_LINES = group_e.ctes("infos", "dumps", "photo_posts", "blog_posts", "base_posts", "thread_posts", "media_files") + THREADS_SQL + """,
 r AS (
   SELECT 'web' AS platform, url AS source, NULL AS author, url AS code, NULL AS likes, '완전수집' AS complete FROM pages
   UNION ALL SELECT 'threads', source, author, root_code, likes,
@@ -267,7 +267,8 @@ r AS (
   UNION ALL SELECT 'youtube', source, NULL, source, NULL, '완전수집' FROM infos
   UNION ALL SELECT 'tiktok', source, CASE WHEN dump LIKE '[[2%' THEN 'nick'
     WHEN dump LIKE '[[1],%' THEN json_extract_string(dump, '$[1][1].author.uniqueId') END, source, NULL, '완전수집' FROM dumps
-  UNION ALL SELECT 'instagram', source, NULL, source, likes, '완전수집' FROM photo_posts
+  UNION ALL SELECT 'instagram', source, owner, source, likes, '완전수집' FROM photo_posts
+  UNION ALL SELECT 'local', path, NULL, path, NULL, '완전수집' FROM media_files
   UNION ALL SELECT 'naver_blog', concat('https://blog.naver.com/', blog_id, '/', log_no), NULL,
     concat('https://blog.naver.com/', blog_id, '/', log_no), NULL, '완전수집' FROM blog_posts
   UNION ALL SELECT 'facebook', permalink, NULL, permalink, likes, '완전수집' FROM base_posts),
@@ -289,7 +290,7 @@ def render_all(spark, sf):
     """Every record of the union rendered: none is lost, each has its title, body and last line."""
     rendered = output.render_markdown(group_e.documents(spark, sf), keys=["source", "platform", "body_text"])
     return _shown(rendered).select(
-        "platform", "source", "title", "footer", F.col("markdown").contains(F.col("body_text")).alias("body_shown"))
+        "platform", "source", "title", "footer", F.coalesce(F.col("markdown").contains(F.col("body_text")), F.lit(True)).alias("body_shown"))
 
 
 @query("pipeline_enrich_all", _LINES + """

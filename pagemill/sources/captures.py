@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules
+from .. import schema as records
 from ..functions.text import is_json, strip, suffix_of, truthy
 
 _ENVELOPE = (
@@ -38,7 +39,14 @@ def parse_captures(df: DataFrame, raw: str = "raw", url: str = "url") -> DataFra
 
 def load_captures(spark: SparkSession, path: str, fmt: str = "parquet", streaming: bool = False,
                   raw: str = "raw", url: str = "url", schema: str | None = None) -> DataFrame:
-    """A1: read captures (parquet, json, or text with one envelope per line), batch or as a stream."""
+    """A1: read captures, batch or as a stream.
+
+    Formats: parquet, json, text with one envelope per line, or ``html``: every file is one capture, its path the URL.
+    """
+    if fmt == "html":
+        reader = spark.readStream if streaming else spark.read
+        pages = reader.option("wholetext", "true").text(path)
+        return parse_captures(pages.select(F.col("value").alias(raw), F.col("_metadata.file_path").alias(url)), raw, url)
     reader = spark.readStream if streaming else spark.read
     if schema:
         reader = reader.schema(schema)
@@ -82,6 +90,19 @@ def describe_files(files: DataFrame, converted: str | None = None) -> DataFrame:
     )
 
 
+def normalize_local(described: DataFrame, fetched_at: Column | None = None) -> DataFrame:
+    """Described files (A2) to the normalized record; an unsupported file keeps its ``reject_reason``."""
+    is_document = F.col("file_type") == "document"
+    details = records.meta(
+        fetched_at=F.lit(None) if fetched_at is None else fetched_at,
+        extra={
+            "file_type": F.col("file_type"), "size_bytes": F.col("size_bytes"),
+            "conversion": F.when(is_document, "markitdown"), "conversion_label": F.col("conversion_label"),
+        })
+    return records.record(
+        described, F.col("source"), "local", F.col("body_text"), details, media_paths=F.col("media_paths"), keep=["reject_reason"])
+
+
 def inventory_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """A2: one record per file.  Only text files are opened; of all others Spark reads the listing."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagemill import schema
 from pagemill.operators import blog, enrich, output, timeline, video
+from pagemill.sources import captures
 
 
 def test_rates_round_like_python(spark):
@@ -272,6 +273,23 @@ def test_provider_failures_stay_rows(spark):
     assert [got[i].twice for i in (0, 1, 2, 4, 5)] == [0, 2, 4, 8, 10]
 
 
+def test_titles_per_platform(spark):
+    rows = docs(spark, [("s", "web", [], None)])
+    for meta, want in [({}, "# web 포스트 (s)"), ({"author": "me"}, "# @me — web 포스트 (s)"),
+                       ({"author": "me", "code": "C"}, "# @me — web 포스트 (C)"), ({"title": "T"}, "# web 포스트 (s)")]:
+        one = rows.withColumn("meta", schema.meta(**{k: F.lit(v) for k, v in meta.items()}))
+        assert output.render_markdown(one).first().markdown.split("\n")[0] == want
+    info = spark.createDataFrame([("u", '{"id": "x", "title": "T", "uploader": "up", "description": "d"}')], "source string, info string")
+    assert output.render_markdown(video.normalize_youtube(info)).first().markdown.startswith("# youtube 포스트 (u)\n")
+
+
+def test_html_files_are_whole_captures(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<p>one</p>\n<p>two</p>\n")
+    (tmp_path / "b.html").write_text('{"html": "<p>x</p>", "finalUrl": "https://f/"}')
+    got = {r.url.rsplit("/", 1)[-1]: (r.body, r.final_url) for r in captures.load_captures(spark, str(tmp_path), "html").collect()}
+    assert got["a.html"][0] == "<p>one</p>\n<p>two</p>\n" and got["b.html"] == ("<p>x</p>", "https://f/")
+
+
 def test_provider_sees_each_row_once(spark, tmp_path):
     seen = str(tmp_path / "seen")
 
