@@ -45,7 +45,7 @@ def load_captures(spark: SparkSession, path: str, fmt: str = "parquet", streamin
     """
     if fmt == "html":
         reader = spark.readStream if streaming else spark.read
-        pages = reader.option("wholetext", "true").text(path)
+        pages = reader.text(path, wholetext=True)
         return parse_captures(pages.select(F.col("value").alias(raw), F.col("_metadata.file_path").alias(url)), raw, url)
     reader = spark.readStream if streaming else spark.read
     if schema:
