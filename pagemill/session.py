@@ -13,6 +13,8 @@ def builder(name: str = "pagemill") -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Rounds that no later step reads are removed from the checkpoint folder.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Of repeated keys in one JSON object the last counts.
         .config("spark.sql.variant.allowDuplicateKeys", "true")
     )

@@ -21,9 +21,29 @@ def _version(path: str, batch_id: int) -> str:
     return f"{path.rstrip('/')}/state-{batch_id}"
 
 
-def latest_state(spark: SparkSession, path: str, query: StreamingQuery) -> DataFrame:
-    """State after the last finished batch of ``query``."""
-    return spark.read.parquet(_version(path, query.lastProgress["batchId"]))
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    files, where = _files(spark, path)
+    files.delete(where, True)
+
+
+def latest_state(spark: SparkSession, path: str, query: StreamingQuery | None = None) -> DataFrame:
+    """State after the last finished batch: the newest version that was written completely.
+
+    Triggers without data have batch numbers, but no state of their own.
+    """
+    files, where = _files(spark, f"{path.rstrip('/')}/state-*/_SUCCESS")
+    done = [str(f.getPath().getParent().getName()) for f in files.globStatus(where)]
+    return spark.read.parquet(_version(path, max(int(name.rsplit("-", 1)[1]) for name in done)))
+
+
+def late_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Outcomes that C6 left out as late, with the batch they came in; an empty table is not written."""
+    return spark.read.parquet(f"{path.rstrip('/')}/late")
 
 
 def _start(stream: DataFrame, each, checkpoint: str, available_now: bool) -> StreamingQuery:
@@ -38,8 +58,9 @@ def fold_routes_stream(stream: DataFrame, state_path: str, checkpoint: str, ttl_
                        available_now: bool = False) -> StreamingQuery:
     """Keep the learned routes of an outcome stream up to date.
 
-    Event time decides: an outcome older than what its entry has already seen is late and left out, and an entry's
-    age is judged against the newest event of the batch.
+    Event time decides: an outcome older than what its entry has already seen is late.  It goes to a side table
+    (:func:`late_outcomes`) and not into the state.  An entry's age is judged against the newest event of the batch.
+    The states of the last two batches are kept.
     """
 
     def each(batch: DataFrame, batch_id: int) -> None:
@@ -56,14 +77,19 @@ def fold_routes_stream(stream: DataFrame, state_path: str, checkpoint: str, ttl_
         fresh = batch
         if before is not None:
             known = before.select("key", F.col("last_used").alias("_seen"))
-            fresh = ordered.lookup(batch, known, ["key"]).filter(
-                F.col("_seen").isNull() | (F.col("ts") >= F.col("_seen"))).drop("_seen")
+            dated = ordered.lookup(batch, known, ["key"])
+            in_time = F.col("_seen").isNull() | (F.col("ts") >= F.col("_seen"))
+            fresh = dated.filter(in_time).drop("_seen")
+            late = dated.filter(~in_time).drop("_seen")
+            if not late.isEmpty():
+                late.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/late/batch={batch_id}")
         newest = batch.agg(F.max("ts")).first()[0]
         if newest is None:
             folded = before if before is not None else fold_routes(fresh, F.current_timestamp(), ttl_days, cap, order)
         else:
             folded = fold_routes(fresh, newest, ttl_days, cap, order, initial=before)
         folded.write.mode("overwrite").parquet(_version(state_path, batch_id))
+        _drop(spark, _version(state_path, batch_id - 2))
 
     return _start(stream, each, checkpoint, available_now)
 
@@ -87,5 +113,6 @@ def provider_health_stream(stream: DataFrame, state_path: str, out_path: str, ch
         told = ordered.lookup(classed, state, keys).withColumn(
             "dead_before", F.coalesce(F.col("seq") > F.col("dead_at"), F.lit(False))).drop("dead_at")
         told.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
+        _drop(spark, _version(state_path, batch_id - 2))
 
     return _start(stream, each, checkpoint, available_now)

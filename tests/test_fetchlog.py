@@ -108,6 +108,20 @@ def test_stream_over_several_batches(spark, tmp_path):
         None, ["ts", "seq"], available_now=True)
     query.awaitTermination()
     assert "Z" not in {v[0] for v in shown(folds.latest_state(spark, str(tmp_path / "state"), query)).values()}
+    assert [r.route for r in folds.late_outcomes(spark, str(tmp_path / "state")).collect()] == ["Z"]
+    # Only the last two states stay, and a trigger without data changes nothing.
+    assert len(list((tmp_path / "state").glob("state-*"))) == 2
+    before = shown(folds.latest_state(spark, str(tmp_path / "state")))
+    query = folds.fold_routes_stream(
+        spark.readStream.schema(OUTCOME).parquet(f"{source}/*"), str(tmp_path / "state"), str(tmp_path / "log"), 1000,
+        None, ["ts", "seq"], available_now=True)
+    query.awaitTermination()
+    assert shown(folds.latest_state(spark, str(tmp_path / "state"), query)) == before
+
+
+def test_no_route_is_forgotten_by_default(spark):
+    many = [(f"k{i}", T0 + dt.timedelta(seconds=i), i, True, None, "A") for i in range(700)]
+    assert fetchlog.fold_routes(spark.createDataFrame(many, OUTCOME), T0 + dt.timedelta(days=1)).count() == 700
 
 
 def test_ordered_values_over_chunks(spark):
