@@ -4,8 +4,8 @@ A text is normalised (case, equivalent spellings, copyright lines, punctuation,
 digest is joined to the digests of known licence texts and notices, normalised the same way.  Lines are texts too: a
 line that is one of the known notices is found by the same join.  Texts that normalise to nothing match nothing.
 
-Only digests are shuffled, and only of lines that may be a notice by their length, which loses none.  The known table
-has one row per licence text; beyond ``BROADCAST_ROWS`` rows Spark joins it by shuffling.
+Texts are not shuffled: a line leaves its task only as a licence found, a text only as its digest.  The known table has
+one row per licence text; beyond ``BROADCAST_ROWS`` rows Spark joins it by shuffling.
 
 Defined results: a null text is empty, has the digest of the empty text and no licence; repeated rows come back as often;
 notices of rows that share a doc_id are listed together; a null doc_id has no notices; extra columns are not read.
