@@ -40,8 +40,8 @@ from pyspark.sql import types as T
 from .stored import bucketed
 
 # Characters of text, or distinct words, after which a batch is closed.
-BATCH_CHARS = 12_000_000
-BATCH_WORDS = 250_000
+BATCH_CHARS = 8_000_000
+BATCH_WORDS = 200_000
 BUCKETS = 256
 # Python's split also parts at 0x1c-0x1f, which the tokenizer does not take for white space.
 _NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")

@@ -14,6 +14,11 @@ from . import bpe, chat, decontaminate, langid, licenses, neardup, neighbours, q
 
 # Rows of whole texts that Spark hands to a Python worker at once.
 TEXTS_PER_BATCH = "1000"
+# Python workers live on between tasks: freed arrays go back to the system instead of staying with each worker.
+WORKER_MEMORY = {
+    "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": str(2 << 20),
+    "MALLOC_TRIM_THRESHOLD_": str(8 << 20),
+}
 
 
 def find_library(spark: SparkSession) -> None:
@@ -22,6 +27,8 @@ def find_library(spark: SparkSession) -> None:
     Rows here are whole texts, so the usual 10,000 of them are too many for a worker's memory; a session that sets
     another number keeps it.
     """
+    for name, value in WORKER_MEMORY.items():
+        spark.sparkContext.environment.setdefault(name, value)
     size = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(size) == "10000":
         spark.conf.set(size, TEXTS_PER_BATCH)
