@@ -173,25 +173,6 @@ def report(scanned: DataFrame) -> DataFrame:
         F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(span).alias("spans"), count("novel").alias("n_novel"))
 
 
-def redact(scanned: DataFrame) -> DataFrame:
-    """Every stretch of the text that a span covers becomes ``MASK``; overlapping spans are one stretch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names = batch.schema.names
-            texts = batch.column(text_at).to_pylist()
-            for r, spans in enumerate(batch.column(len(names) - 1)):
-                if len(spans):
-                    texts[r] = masked(texts[r], [(s["start"], s["end"]) for s in spans.as_py()])
-            columns = list(batch.columns)
-            columns[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    rows = scanned.select(*[c for c in scanned.columns if c != "secret_spans"], "secret_spans")
-    text_at = rows.columns.index("text")
-    return rows.mapInArrow(run, rows.schema)
-
-
 def masked(text: str, spans: list[tuple[int, int]]) -> str:
     out, at = [], 0
     for start, end in sorted(spans):
@@ -202,10 +183,29 @@ def masked(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with all secrets masked; ``n_chars``, where there is one, counts the new text of the rows that changed."""
-    scanned = scan(docs, identifier_dictionary(docs))
-    masked_rows = redact(scanned)
+    """``docs`` with every stretch of the text that a span covers as ``MASK``; overlapping spans are one stretch.
+
+    ``n_chars``, where there is one, counts the new text of the rows that changed.
+    """
+    identifiers = identifier_dictionary(docs)
+    rows = docs.withColumn("text", F.col("text").cast("string")).withColumn("_masked", F.lit(False))
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, changed = batch.column(text_at).to_pylist(), []
+            for r, value in enumerate(texts):
+                low = (value or "").lower()
+                spans = [*base_spans(value or "", low), *novel_spans(value or "", identifiers, low)]
+                changed.append(bool(spans))
+                if spans:
+                    texts[r] = masked(value, [(start, end) for start, end, _ in spans])
+            columns = list(batch.columns[:-1])
+            columns[text_at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(changed)], names=batch.schema.names)
+
+    found = rows.mapInArrow(run, rows.schema)
     if "n_chars" in docs.columns:
-        masked_rows = masked_rows.withColumn("n_chars", F.when(
-            F.size("secret_spans") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return masked_rows.select(*docs.columns)
+        found = found.withColumn("n_chars", F.when(F.col("_masked"), F.char_length("text")).otherwise(
+            F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.select(*docs.columns)
