@@ -120,7 +120,11 @@ def _reference(piece: Column) -> Column:
         .otherwise(_codepoint(number))
     )
     name = F.regexp_extract(piece, r"^([^\t\n\f <&#;]{1,31};)", 1)
-    named = F.try_element_at(_literal_map(_NAMED), name)
+    # The map is searched from its start, so the few names that make up most references come before it.
+    named = F.when(name == "", F.lit(None))
+    for common in ("amp;", "lt;", "gt;", "quot;", "nbsp;", "apos;"):
+        named = named.when(name == common, _NAMED[common])
+    named = named.otherwise(F.try_element_at(_literal_map(_NAMED), name))
     longest_first = "|".join(sorted(_UNTERMINATED, key=len, reverse=True))
     short = F.regexp_extract(piece, f"^({longest_first})", 1)
     unterminated = F.try_element_at(_literal_map(_UNTERMINATED), short)

@@ -99,7 +99,9 @@ def pick_image_variant(urls: DataFrame, responses: DataFrame, key: str = "image_
 
     ``responses``: url (unique), status, bytes.  Without one the label tells an error from a plain absence.
     """
-    planned = urls.select(key, F.explode_outer(image_plan(F.col(url))).alias("_p")).select(key, "_p.*")
+    # An image is often listed many times: each is planned and looked up once.
+    listed = urls.select(key, F.col(url).alias("_url")).distinct()
+    planned = listed.select(key, F.explode_outer(image_plan(F.col("_url"))).alias("_p")).select(key, "_p.*")
     answers = responses.select(F.col("url").alias("candidate"), "status", "bytes")
     joined = ordered.lookup(planned, answers, ["candidate"])
     good = (F.col("status") == 200) & (F.col("bytes") >= rules.MIN_IMAGE_BYTES)
