@@ -4,13 +4,16 @@
 2. Each distinct vector is rotated at random, cut to ``DIMENSIONS`` coordinates, shifted at random and put on a Hilbert
    curve, ``ORDERINGS`` times over.  Spark range-partitions all (ordering, key) rows, so positions on the curves are
    partition offsets plus places inside a partition.
-3. Runs of ``WINDOW`` positions are blocks.  A query is compared with its own block and both neighbours in every
-   ordering, by the cosine of vectors rounded to 8 bits a component; each block keeps its nearest few.
+3. Runs of positions are blocks.  A query is compared with its own block and the next ones on both sides in every
+   ordering, by the cosine of vectors rounded to 8 bits a component; each block keeps its nearest few.  How many
+   positions and blocks is measured on the table itself (``reach``): the true neighbours of ``SAMPLE`` queries are
+   computed against all rows, and the blocks are made so wide that ``TARGET`` of these lie inside.
 4. The merged candidates of a query are reranked by the exact cosine of the original vectors.
 
-A block has WINDOW rows however many vectors are alike, so no task grows with a crowded region.  The windows bound the
-work per query, and so the recall on unstructured vectors falls slowly as the table grows; ``recall`` measures it
-against brute force.  Measured at 5 of 51,282 vectors of 64 independent components: see the README.
+A block has at most LARGEST rows however many vectors are alike, so no task grows with a crowded region.  On vectors
+without structure the share of the table to be searched hardly falls as it grows, so the work per query grows with the
+table; where vectors have structure WINDOW positions are enough.  ``recall`` measures the result against brute force;
+figures are in the README.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part, nor do those of
 another dimension than the most frequent one (of equals, the larger); a null id takes no part; of rows that share an id
@@ -31,6 +34,12 @@ from pyspark.sql import functions as F
 from .stored import stored
 
 ORDERINGS, DIMENSIONS, BITS, WINDOW = 24, 8, 4, 1024
+# Positions a block holds at most; a wider search takes more blocks.
+LARGEST = 16384
+# Queries whose true neighbours are computed, and the share of these that the blocks compared must hold.
+SAMPLE, TARGET = 256, 0.97
+# Queries of a block compared at once.
+ASKING = 256
 # Candidates that a block hands on, and that are reranked, above the number asked for.
 SPARE_BLOCK, SPARE_RERANK = 5, 35
 SEED = 20240501
@@ -132,16 +141,75 @@ def _block_nearest(k: int):
             m = np.frombuffer(b"".join(rows), dtype=np.int8).reshape(len(rows), -1).astype(np.float32)
             return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
-        near = unit(queries["packed"]) @ unit(others["packed"]).T
-        n = min(k, near.shape[1])
-        best = np.argpartition(-near, n - 1, axis=1)[:, :n]
+        asking, there = unit(queries["packed"]), unit(others["packed"]).T
+        n, best, nearest_of = min(k, there.shape[1]), [], []
+        for at in range(0, len(asking), ASKING):
+            near = asking[at : at + ASKING] @ there
+            best.append(np.argpartition(-near, n - 1, axis=1)[:, :n])
+            nearest_of.append(np.take_along_axis(near, best[-1], axis=1))
         return pd.DataFrame({
-            "query": np.repeat(queries["cls"].to_numpy(), n), "cls": others["cls"].to_numpy()[best].reshape(-1),
-            "near": np.take_along_axis(near, best, axis=1).reshape(-1)})
+            "query": np.repeat(queries["cls"].to_numpy(), n), "cls": others["cls"].to_numpy()[np.concatenate(best)].reshape(-1),
+            "near": np.concatenate(nearest_of).reshape(-1)})
 
     return run
 
 
+def _true_nearest(members: DataFrame, k: int) -> dict[int, list[int]]:
+    """The ``k`` nearest classes of ``SAMPLE`` asking ones, each compared with every class."""
+    asked = members.filter("is_query").orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("cls", "v").collect()
+    if not asked:
+        return {}
+    own = np.array([r["cls"] for r in asked], np.int64)
+    sample = _matrix(pa.array([r["v"] for r in asked], pa.list_(pa.float64())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, at = np.full((len(own), k), -2.0), np.zeros((len(own), k), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cls = batch.column(0).to_numpy()
+            near = sample @ _matrix(batch.column(1)).T
+            near[own[:, None] == cls[None, :]] = -2
+            near = np.concatenate([best, near], axis=1)
+            chosen = np.argpartition(-near, k - 1, axis=1)[:, :k]
+            best = np.take_along_axis(near, chosen, axis=1)
+            at = np.take_along_axis(np.concatenate([at, np.broadcast_to(cls, (len(own), len(cls)))], axis=1), chosen, axis=1)
+        fine = best.reshape(-1) > -1.5
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(own, k)[fine]), pa.array(at.reshape(-1)[fine]), pa.array(best.reshape(-1)[fine])], ["query", "cls", "near"])
+
+    order = W.partitionBy("query").orderBy(F.desc("near"), "cls")
+    found = members.select("cls", "v").mapInArrow(run, "query long, cls long, near double").withColumn(
+        "r", F.row_number().over(order)).filter(F.col("r") <= k)
+    near: dict[int, list[int]] = {}
+    for r in found.collect():
+        near.setdefault(r["query"], []).append(r["cls"])
+    return near
+
+
+def reach(members: DataFrame, placed: DataFrame, total: int, k: int) -> tuple[int, int]:
+    """(positions in a block, blocks to either side) that hold ``TARGET`` of the sampled queries' true neighbours.
+
+    ``placed`` has cls and at, the position in all orderings behind each other.
+    """
+    near = _true_nearest(members, k)
+    pairs = [(q, c) for q, found in near.items() for c in found]
+    if not pairs:
+        return WINDOW, 1
+    at: dict[int, list[int]] = {}
+    for r in placed.filter(F.col("cls").isin(sorted({x for p in pairs for x in p}))).select("cls", "at").collect():
+        at.setdefault(r["cls"], []).append(r["at"])
+    here, there = (np.array([at[p[i]] for p in pairs], np.int64) for i in (0, 1))
+    width = WINDOW
+    while True:
+        blocks = -(-width // LARGEST)
+        block = -(-width // blocks)
+        inside = (np.abs((here // block)[:, :, None] - (there // block)[:, None, :]) <= blocks).any(axis=(1, 2))
+        if inside.mean() >= TARGET or width >= total:
+            return block, blocks
+        width += max(1, width // 4)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision, component by component."""
     def dot(x: Column, y: Column) -> Column:
@@ -168,9 +236,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))
     # One row per partition of the range exchange.
     offsets = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
-    blocks = numbered.join(offsets, "part").withColumn("block", F.floor((F.col("before") + F.col("place")) / WINDOW))
+    positions = numbered.join(offsets, "part").withColumn("at", F.col("before") + F.col("place"))
+    width, around = reach(members, positions, numbered.count(), k)
+    blocks = positions.withColumn("block", F.floor(F.col("at") / width))
     asking = blocks.filter("is_query").select(
-        "cls", "packed", F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])).alias("block"), F.lit(True).alias("asks"))
+        "cls", "packed", F.explode(F.sequence(F.col("block") - around, F.col("block") + around)).alias("block"), F.lit(True).alias("asks"))
     both = asking.unionByName(blocks.select("cls", "packed", "block", F.lit(False).alias("asks")))
     found = both.groupBy("block").applyInPandas(_block_nearest(k + 1 + SPARE_BLOCK), "query long, cls long, near float")
     merged = found.groupBy("query", "cls").agg(F.max("near").alias("near"))
