@@ -2,10 +2,10 @@
 
 1. Equal vectors become one, with the smallest ids kept (as many as are asked for, and one more).
 2. Each distinct vector is rotated at random, cut to ``DIMENSIONS`` coordinates, shifted at random and put on a Hilbert
-   curve, ``ORDERINGS`` times over.  Spark range-partitions all (ordering, key) rows, so positions on the curves are
+   curve of ``BITS`` bits a coordinate, ``ORDERINGS`` times over.  Spark range-partitions all (ordering, key) rows, so positions on the curves are
    partition offsets plus places inside a partition.
 3. Runs of positions are blocks.  A query is compared with its own block and the next ones on both sides in every
-   ordering, by the cosine of vectors rounded to 8 bits a component; each block keeps its nearest few.  How many
+   ordering, by the cosine of the components as given; each block keeps its nearest few.  How many
    positions and blocks is measured on the table itself (``reach``): the true neighbours of ``SAMPLE`` queries are
    computed against all rows, and the blocks are made so wide that ``TARGET`` of these lie inside.
 4. The merged candidates of a query are reranked by the exact cosine of the original vectors.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .stored import stored
 
-ORDERINGS, DIMENSIONS, BITS, WINDOW = 24, 8, 4, 1024
+ORDERINGS, DIMENSIONS, BITS, WINDOW = 24, 8, 24, 1024
 # Positions a block holds at most; a wider search takes more blocks.
 LARGEST = 16384
 # Queries whose true neighbours are computed, and the share of these that the blocks compared must hold.
@@ -45,8 +45,11 @@ SPARE_BLOCK, SPARE_RERANK = 5, 35
 SEED = 20240501
 
 
-def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
-    """Position on the Hilbert curve of each row of cell numbers (columns of ``bits`` bits), after Skilling."""
+def _hilbert_bits(grid: np.ndarray, bits: int) -> np.ndarray:
+    """Position on the Hilbert curve of each row of cell numbers (columns of ``bits`` bits), after Skilling.
+
+    The position's bits, highest first, are those of the result's columns taken in turn, from the highest down.
+    """
     x = grid.astype(np.int64).T.copy()
     n = len(x)
     q = 1 << (bits - 1)
@@ -65,29 +68,39 @@ def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
         t = np.where(x[n - 1] & q, t ^ (q - 1), t)
         q >>= 1
     x ^= t
+    return x
+
+
+def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
+    """Positions as numbers, of at most 63 bits."""
+    x = _hilbert_bits(grid, bits)
     key = np.zeros(x.shape[1], dtype=np.int64)
     for b in range(bits - 1, -1, -1):
-        for i in range(n):
+        for i in range(len(x)):
             key = (key << 1) | ((x[i] >> b) & 1)
     return key
 
 
 def curve_keys(vectors: np.ndarray, ordering: int) -> np.ndarray:
-    """Keys of unit vectors on one randomly rotated and shifted curve."""
+    """Keys of unit vectors on one randomly rotated and shifted curve, as rows of bytes that sort like the positions."""
     dim = vectors.shape[1]
     rng = np.random.default_rng([SEED, ordering])
     rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0][:, :DIMENSIONS]
-    cells = 1 << BITS
-    # A coordinate of a random unit vector has the deviation 1 / sqrt(dim); four of them either way fill the grid.
-    place = (vectors @ rotation) * np.sqrt(dim) / 8 + 0.5
-    shifted = place * (cells - 1) + rng.uniform(0, 1, rotation.shape[1])
-    return hilbert_keys(np.clip(shifted, 0, cells - 1).astype(np.int64), BITS)
+    # Coordinates lie between -1 and 1, and the shift within the deviation of a random unit vector's coordinate, 1 /
+    # sqrt(dim): nothing is clipped, and a cell is 2.4e-7 wide, far below the distances in a crowded region.
+    place = (vectors @ rotation + rng.uniform(-1, 1, rotation.shape[1]) / np.sqrt(dim)) / 4 + 0.5
+    x = _hilbert_bits((place * ((1 << BITS) - 1)).astype(np.int64), BITS)
+    steps = np.arange(BITS - 1, -1, -1)[:, None, None]
+    return np.packbits(((x[None, :, :] >> steps) & 1).astype(np.uint8).reshape(-1, x.shape[1]).T, axis=1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """Unit vectors of a list column without nulls."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return _unit(flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1)))
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
     m = m / np.maximum(np.abs(m).max(axis=1, keepdims=True), 1e-300)
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
@@ -102,20 +115,33 @@ def usable(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
 
 
 def _on_curves(classes: DataFrame) -> DataFrame:
-    """cls, is_query, ordering, key, packed (components as 8-bit numbers), one row per class and ordering."""
+    """cls, is_query, ordering, key: one row per class and ordering."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             unit = _matrix(batch.column(2))
-            scale = 127 / np.maximum(np.abs(unit).max(axis=1, keepdims=True), 1e-300)
-            packed = pa.array([r.tobytes() for r in np.rint(unit * scale).astype(np.int8)], pa.binary())
             for ordering in range(ORDERINGS):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(np.full(len(unit), ordering, np.int32)),
-                     pa.array(curve_keys(unit, ordering)), packed], ["cls", "is_query", "ordering", "key", "packed"])
+                     pa.array([r.tobytes() for r in curve_keys(unit, ordering)], pa.binary())], ["cls", "is_query", "ordering", "key"])
+
+    return classes.select("cls", "is_query", "v").mapInArrow(run, "cls long, is_query boolean, ordering int, key binary")
+
+
+def _packed(classes: DataFrame, kind: str) -> DataFrame:
+    """cls and its components as bytes of the numpy type ``kind``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([r.tobytes() for r in flat.reshape(batch.num_rows, -1)], pa.binary())], ["cls", "packed"])
 
-    return classes.select("cls", "is_query", "v").mapInArrow(
-        run, "cls long, is_query boolean, ordering int, key long, packed binary")
+    return classes.select("cls", "v").mapInArrow(run, "cls long, packed binary")
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,20 +152,19 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = batch.num_rows
         yield pa.RecordBatch.from_arrays(
             [*batch.columns, pa.array(np.full(size, part, np.int32)), pa.array(np.arange(n, n + size, dtype=np.int64))],
-            ["cls", "is_query", "packed", "part", "place"])
+            ["cls", "is_query", "part", "place"])
         n += size
 
 
-def _block_nearest(k: int):
+def _block_nearest(k: int, kind: str):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         # In a small table a block spans several orderings, and holds a class once for each.
         queries, others = (block[block["asks"] == a].drop_duplicates("cls") for a in (True, False))
         if not len(queries) or not len(others):
-            return pd.DataFrame({"query": np.empty(0, np.int64), "cls": np.empty(0, np.int64), "near": np.empty(0, np.float32)})
+            return pd.DataFrame({"query": np.empty(0, np.int64), "cls": np.empty(0, np.int64), "near": np.empty(0)})
 
         def unit(rows: pd.Series) -> np.ndarray:
-            m = np.frombuffer(b"".join(rows), dtype=np.int8).reshape(len(rows), -1).astype(np.float32)
-            return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
+            return _unit(np.frombuffer(b"".join(rows), dtype=kind).reshape(len(rows), -1).astype(np.float64))
 
         asking, there = unit(queries["packed"]), unit(others["packed"]).T
         n, best, nearest_of = min(k, there.shape[1]), [], []
@@ -229,20 +254,24 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec
     # Ids of each class: the smallest k + 1 are enough, as one of them may be the query itself.
     firsts = rows.select("id", "v").dropDuplicates(["id", "v"]).withColumn("r", F.row_number().over(ranks)).filter(
         F.col("r") <= k + 1).join(members.select("v", "cls"), "v").select("cls", F.col("id").alias("member"))
-    placed = _on_curves(members).repartitionByRange(
-        "ordering", "key", "cls").sortWithinPartitions("ordering", "key", "cls")
-    numbered = stored(placed.select("cls", "is_query", "packed").mapInArrow(
-        _numbered, "cls long, is_query boolean, packed binary, part int, place long"), "curves")
+    # Equal keys come in another order on each curve.
+    order = ["ordering", "key", F.xxhash64("ordering", "cls"), "cls"]
+    placed = _on_curves(members).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = stored(placed.select("cls", "is_query").mapInArrow(
+        _numbered, "cls long, is_query boolean, part int, place long"), "curves")
     sizes = numbered.groupBy("part").agg(F.count("*").alias("n"))
     # One row per partition of the range exchange.
     offsets = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
     positions = numbered.join(offsets, "part").withColumn("at", F.col("before") + F.col("place"))
     width, around = reach(members, positions, numbered.count(), k)
-    blocks = positions.withColumn("block", F.floor(F.col("at") / width))
+    # Components as exact as they are given: a crowded region's vectors differ in their last digits only.
+    kind = "<f4" if vectors.schema[embedding].dataType.jsonValue()["elementType"] == "float" else "<f8"
+    blocks = positions.withColumn("block", F.floor(F.col("at") / width)).join(_packed(members, kind), "cls")
     asking = blocks.filter("is_query").select(
         "cls", "packed", F.explode(F.sequence(F.col("block") - around, F.col("block") + around)).alias("block"), F.lit(True).alias("asks"))
     both = asking.unionByName(blocks.select("cls", "packed", "block", F.lit(False).alias("asks")))
-    found = both.groupBy("block").applyInPandas(_block_nearest(k + 1 + SPARE_BLOCK), "query long, cls long, near float")
+    found = both.groupBy("block").applyInPandas(
+        _block_nearest(k + 1 + SPARE_BLOCK, kind), "query long, cls long, near double")
     merged = found.groupBy("query", "cls").agg(F.max("near").alias("near"))
     order = W.partitionBy("query").orderBy(F.desc("near"), "cls")
     short = merged.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= k + 1 + SPARE_RERANK)

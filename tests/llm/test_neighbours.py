@@ -62,6 +62,15 @@ def test_the_searched_share_follows_the_table(spark, monkeypatch):
     assert neighbours.recall(spark.createDataFrame(rows, VECTORS), F.col("id") % 50 == 0) >= 0.9
 
 
+def test_crowded_third_is_searched_as_well(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "WINDOW", 128)
+    rng = np.random.default_rng(12)
+    center = rng.normal(size=32)
+    for noise in (0.05, 0.005):
+        rows = [(i, [float(x) for x in (center + noise * rng.normal(size=32) if i % 3 == 0 else rng.normal(size=32))], 0) for i in range(6000)]
+        assert neighbours.recall(spark.createDataFrame(rows, VECTORS), F.col("id") % 150 == 0) >= 0.9
+
+
 def test_hilbert_curve_visits_every_cell_by_single_steps():
     for dim, bits in ((2, 4), (3, 3), (4, 2)):
         grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * dim, indexing="ij"), -1).reshape(-1, dim)
