@@ -15,6 +15,8 @@ of the smaller weights over the sum of the larger ones.  A document with fewer w
 Items are taken in slices of bounded size, so that the index sent to the tasks is bounded; a benchmark of several
 slices passes over the documents once for each.  Documents are not shuffled.
 
+Words are compared without regard to case and normal form, over all of Unicode: items and texts are folded alike.
+
 Defined results: null, empty and blank texts and items match nothing; an item of fewer than five words, which is no
 whole shingle, matches only a document of exactly its words; a null item_id matches nothing; repeated items are found
 each under its own id; columns named ``leak_items`` or ``leak_score`` are replaced.
@@ -22,6 +24,7 @@ each under its own id; columns named ``leak_items`` or ``leak_score`` are replac
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -40,6 +43,13 @@ SLICE_ITEMS, SLICE_BYTES = 1000, 4 << 20
 _GATE_BITS = 22
 
 
+def folded(texts: pa.Array) -> pa.Array:
+    """Texts as they are compared: case folded, in composed normal form.  ASCII stays, as words lower A-Z themselves."""
+    return pa.array([
+        t if t is None or t.isascii() else unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).casefold())
+        for t in texts.to_pylist()], pa.large_string())
+
+
 def _bits(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
 
@@ -157,7 +167,7 @@ def _slices(benchmark: DataFrame) -> Iterator[tuple[list[int], list[np.ndarray]]
     for i in range(slices):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i).orderBy("item_id", "text").collect()
         hashes: list[np.ndarray] = []
-        for _, found, offsets in words.word_hashes(pa.array([r["text"] for r in part], pa.string())):
+        for _, found, offsets in words.word_hashes(folded(pa.array([r["text"] for r in part], pa.string()))):
             hashes.extend(found[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
         yield [r["item_id"] for r in part], hashes
 
@@ -175,7 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Data
             for batch in batches:
                 n = len(batch.schema)
                 found_items, scores = batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()
-                for row, own, offsets in words.word_hashes(batch.column(text_at)):
+                for row, own, offsets in words.word_hashes(folded(batch.column(text_at))):
                     values, counts = words.shingles(own, offsets, K)
                     known = items.is_known(values)
                     ends = np.cumsum(counts)

@@ -1,5 +1,6 @@
 """Benchmark passages against brute force over all windows."""
 
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -56,6 +57,13 @@ def test_every_window_is_judged(spark, prose):
     assert all((r["leak_score"] >= 0.8) == bool(r["leak_items"]) for r in got)
 
 
+def test_case_and_normal_form_do_not_matter(spark):
+    item = "árvíztűrő tükörfúrógép és große Straße naïve café déjà vu señor über Ärger façade élan crème brûlée"
+    docs = [(1, item.upper()), (2, unicodedata.normalize("NFD", item)), (3, unicodedata.normalize("NFD", item.upper())), (4, item.translate({233: "e", 252: "u"}))]
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame([(1, item)], ITEMS)).collect()
+    assert {r["doc_id"]: r["leak_score"] for r in got if r["leak_items"]} == {1: 1.0, 2: 1.0, 3: 1.0}
+
+
 def test_slices_give_the_same(spark, prose, monkeypatch):
     items, rows = cases(prose)
     docs, bench = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, ITEMS)
