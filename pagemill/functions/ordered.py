@@ -8,6 +8,8 @@ tasks and a re-run of a lost task gives the same chunks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -98,9 +100,9 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join to a table that is unique on ``keys``, without gathering a hot key of ``df`` in one task.
 
     The ``HOT_KEYS`` most frequent keys of ``df`` are dealt to ``SPREAD`` parts each, and their table rows repeated for
-    every part; any other key holds less than 1 / ``HOT_KEYS`` of the rows.  A row finds its partner in whatever part
-    it lands, so equal rows spread too and a task run again gives the same result.  Rows with a null key, which have
-    no partner, spread likewise.
+    every part; any other key holds less than 1 / ``HOT_KEYS`` of the rows.  The parts are drawn in the order of the rows'
+    hashes, not in the order in which a task meets them: equal rows spread too, and a task run again deals the same rows
+    to the same parts.  Rows with a null key, which have no partner, spread likewise.
     """
     known = F.lit(True)
     for k in keys:
@@ -108,8 +110,10 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     # At most HOT_KEYS rows, by its limit.
     hot = F.broadcast(df.filter(known).groupBy(*keys).agg(F.count("*").alias("_n")).orderBy(
         F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot")))
+    # Maps and variants have no hash.
+    values = [F.to_json(F.struct(F.col(f"`{c}`"))) if re.search(r"map<|variant", t) else F.col(f"`{c}`") for c, t in df.dtypes]
     part = F.when(F.col("_hot") | ~known, F.floor(F.rand(7) * SPREAD).cast("int")).otherwise(0)
-    rows = df.join(hot, keys, "left").withColumn("_part", part).drop("_hot")
+    rows = df.join(hot, keys, "left").sortWithinPartitions(F.xxhash64(*values)).withColumn("_part", part).drop("_hot")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
     spread = table.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_hot")
     return rows.join(spread, [*keys, "_part"], "left").drop("_part")

@@ -123,6 +123,19 @@ def test_lookup_finds_what_a_join_finds(spark):
     assert got == sorted((repr(r.k), r.n, r.v) for r in df.join(table, "k", "left").collect())
 
 
+def test_lookup_deals_rows_alike_in_any_order(spark, no_coalescing):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    table = spark.createDataFrame([("hot", "A")], "k string, v string")
+    rows = [("hot" if i % 5 else None, i, {"a": str(i)}) for i in range(500)]
+
+    def dealt(given):
+        df = ordered.lookup(spark.createDataFrame(given, "k string, n int, m map<string,string>").coalesce(1), table, ["k"])
+        return {r.n: r.p for r in df.select("n", "v", F.spark_partition_id().alias("p")).collect()}
+
+    first = dealt(rows)
+    assert len(first) == 500 and len(set(first.values())) > 8 and first == dealt(rows[::-1])
+
+
 def test_group_aggregates_are_combined_first(spark, no_coalescing):
     df = hot(spark)
     posts = df.select(
