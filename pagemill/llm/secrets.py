@@ -6,8 +6,9 @@ Base spans are the leftmost non-overlapping matches of three patterns:
 * ``access``: ``AKIA`` and capitals or digits, 16 or more characters together;
 * ``hex``: 32 or more lower-case hexadecimal digits.
 
-``novel`` spans come on top.  A candidate is a run of 16 or more token characters with a letter and a digit that starts
-within ``REACH`` characters behind a sensitive word.  zstandard is primed with the identifier dictionary and with the
+``novel`` spans come on top.  A candidate is a run of 16 or more token characters, dots inside it included, with a letter
+and a digit, that lies on the line of a sensitive word, before or behind it, or within ``REACH`` characters of one; and
+all of a PEM private key between its BEGIN and END lines (without an END line, the key lines that follow).  zstandard is primed with the identifier dictionary and with the
 text around the candidate; the candidate's marginal compressed bytes are what it adds to an empty frame.  One that
 still costs ``NOVELTY`` bytes a character is new to its surroundings and to the identifiers, and is reported.
 
@@ -42,9 +43,12 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 SENSITIVE = re.compile(
-    r"(?ai:password|passwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|authorization)")
+    r"(?ai:password|passwd|passphrase|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credential|bearer|authorization)")
 WORDS = ("pass", "secret", "token", "key", "credential", "bearer", "authorization")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_=.-]{14,}[A-Za-z0-9+/_=-]")
+PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----\s*")
+PEM_END = re.compile(r"\s*-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
+KEY_LINES = re.compile(r"(?:[A-Za-z0-9+/=]{16,}\s+)*[A-Za-z0-9+/=]+")
 IDENTIFIER = re.compile(r"[A-Za-z_]{3,%d}" % IDENTIFIER_LENGTH)
 
 
@@ -70,24 +74,65 @@ def marginal_bytes(candidate: str, around: str, identifiers: bytes) -> int:
         identifiers + b"\n" + around.encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     packer = zstandard.ZstdCompressor(
         level=9, dict_data=primer, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
+    return len(packer.compress(candidate.encode("utf-8", "surrogatepass"))) - len(packer.compress(b""))
+
+
+def _private_keys(text: str) -> list[tuple[int, int]]:
+    """What stands between the BEGIN and END lines of private keys."""
+    found, at = [], 0
+    while m := PEM.search(text, at):
+        again = PEM.search(text, m.end())
+        end = PEM_END.search(text, m.end(), again.start() if again else len(text)) or None
+        lines = None if end else KEY_LINES.match(text, m.end())
+        at = end.start() if end else lines.end() if lines else m.end()
+        if at > m.end():
+            found.append((m.end(), at))
+        at = max(at, m.end())
+    return found
+
+
+def _contexts(text: str) -> list[tuple[int, int]]:
+    """Lines of sensitive words, and ``REACH`` characters around the words; in order, not overlapping."""
+    found: list[tuple[int, int]] = []
+    line_end = -1
+    for m in SENSITIVE.finditer(text):
+        if m.end() > line_end:
+            line_start, line_end = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.end())
+            line_end = len(text) if line_end < 0 else line_end
+        lo, hi = min(line_start, max(0, m.start() - REACH)), max(line_end, m.end() + REACH)
+        if found and lo <= found[-1][1]:
+            found[-1] = found[-1][0], max(hi, found[-1][1])
+        else:
+            found.append((lo, hi))
+    return found
 
 
 def novel_spans(text: str, identifiers: bytes, low: str | None = None) -> list[tuple[int, int, str]]:
-    """Candidates behind a sensitive word that the primed compressor can't shorten."""
+    """Candidates near a sensitive word that the primed compressor can't shorten."""
     low = text.lower() if low is None else low
     if not any(w in low for w in WORDS):
         return []
-    found, done = [], 0
-    for m in SENSITIVE.finditer(text):
-        at = max(done, m.end())
-        while (c := CANDIDATE.search(text, at)) and c.start() <= m.end() + REACH:
+    keys = _private_keys(text)
+    candidates = list(keys)
+    done = k = 0
+    for lo, hi in _contexts(text):
+        # A run that begins before the context is taken whole.
+        while lo > done and (text[lo - 1].isascii() and text[lo - 1].isalnum() or text[lo - 1] in "+/_=.-"):
+            lo -= 1
+        at = max(done, lo)
+        while (c := CANDIDATE.search(text, at)) and c.start() < hi:
             at = done = c.end()
-            own = c.group()
-            if any(x.isdigit() for x in own) and any(x.isalpha() for x in own):
-                around = text[max(0, c.start() - AROUND) : c.start()] + "\n" + text[c.end() : c.end() + AROUND]
-                if marginal_bytes(own, around, identifiers) >= NOVELTY * len(own):
-                    found.append((c.start(), c.end(), "novel"))
+            while k < len(keys) and keys[k][1] <= c.start():
+                k += 1
+            inside = k < len(keys) and keys[k][0] < c.end()
+            if not inside and any(x.isdigit() for x in c.group()) and any(x.isalpha() for x in c.group()):
+                candidates.append(c.span())
+    found = []
+    for start, end in sorted(candidates):
+        own = text[start:end]
+        around = text[max(0, start - AROUND) : start] + "\n" + text[end : end + AROUND]
+        if marginal_bytes(own, around, identifiers) >= NOVELTY * len(own):
+            found.append((start, end, "novel"))
     return found
 
 

@@ -1,7 +1,9 @@
 """Secret scans against plain matching, and the compression of candidates."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
 
@@ -57,6 +59,22 @@ def test_known_identifiers_are_not_novel():
     assert [text[a:b] for a, b, _ in secrets.novel_spans(text, name.encode())] == [secret]
 
 
+def test_whole_private_keys_and_bearer_tokens():
+    rng = random.Random(3)
+    def run(n):
+        return "".join(rng.choice(string.ascii_letters + string.digits + "+/") for _ in range(n))
+
+    body = "\n".join([run(64), run(64), run(64), run(7) + "="])
+    for name in ("RSA PRIVATE KEY", "PRIVATE KEY"):
+        text = f"before\n-----BEGIN {name}-----\n{body}\n-----END {name}-----\nafter"
+        assert [text[a:b] for a, b, _ in secrets.novel_spans(text, b"")] == [body]
+        text = f"before\n-----BEGIN {name}-----\n{body}\n"
+        assert [text[a:b] for a, b, _ in secrets.novel_spans(text, b"")] == [body]
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    for text in (f"Authorization: Bearer {jwt}", f"{jwt} is the bearer token", "the token that is " + "quite " * 30 + jwt, f"our api key {jwt}."):
+        assert [text[a:b] for a, b, _ in secrets.novel_spans(text, b"")] == [jwt]
+
+
 def test_identifier_dictionary_counts_all_rows(spark):
     rows = [(1, "the token is alpha beta", None), (2, "secret alpha", None), (3, "no word here gamma", None), (4, None, None), (5, "token " + KEY, None)]
     words = secrets.identifier_dictionary(spark.createDataFrame(rows * 3, DOCS)).decode().split()
