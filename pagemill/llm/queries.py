@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, neardup, neighbours, quality, runs, secrets, warc
+from . import bpe, chat, decontaminate, langid, licenses, neardup, neighbours, packing, quality, runs, secrets, warc
 
 
 # Rows of whole texts that Spark hands to a Python worker at once.
@@ -120,6 +120,15 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+# Tokens of a sequence, and the id that closes a document.
+SEQUENCE, END_ID = 4096, 1
+
+
+def op12_swap_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), SEQUENCE, END_ID), SEQUENCE)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.report(runs.find_runs(_table(spark, sf_dir, "documents"), runs.repeated_tail))
 
@@ -135,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_reply_trees": op8_reply_trees,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
+    "op12_swap_packing": op12_swap_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }
 
