@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, langid, licenses, neardup, neighbours, packing, quality, runs, secrets, warc
+from . import bpe, chat, decontaminate, langid, licenses, neardup, neighbours, packing, quality, runs, secrets, warc, whitening
 
 
 # Rows of whole texts that Spark hands to a Python worker at once.
@@ -120,6 +120,10 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=32)
+
+
 # Tokens of a sequence, and the id that closes a document.
 SEQUENCE, END_ID = 4096, 1
 
@@ -144,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_reply_trees": op8_reply_trees,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_bpe_encode_decode": op10_bpe_encode_decode,
+    "op11_cholesky_whitening": op11_cholesky_whitening,
     "op12_swap_packing": op12_swap_packing,
     "op13_periodic_runs": op13_periodic_runs,
 }

@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tab
 
 def test_every_operator_has_its_query():
     names = set(spark_entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
