@@ -13,7 +13,8 @@ of the smaller weights over the sum of the larger ones.  A document with fewer w
 4. Exact weighted-shingle similarity decides.
 
 Items are taken in slices of bounded size, so that the index sent to the tasks is bounded; a benchmark of several
-slices passes over the documents once for each.  Documents are not shuffled.
+slices passes over the documents once for each, writing what it found so far in between, so a task holds one slice.
+Documents are not shuffled.
 
 Words are compared without regard to case and normal form, over all of Unicode: items and texts are folded alike.
 
@@ -24,6 +25,7 @@ each under its own id; columns named ``leak_items`` or ``leak_score`` are replac
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from itertools import combinations
@@ -34,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .stored import stored
 
 K = 5
 RADIUS = 19
@@ -41,6 +44,8 @@ BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 4
 # Items, and bytes of their texts, in a slice.
 SLICE_ITEMS, SLICE_BYTES = 1000, 4 << 20
 _GATE_BITS = 22
+# Words of a run of windows that is fingerprinted at once.
+RUN_WORDS = 1 << 17
 
 
 def folded(texts: pa.Array) -> pa.Array:
@@ -55,11 +60,24 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 
 def simhash(hashes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """64-bit SimHash of the words in each window; a bit is set where more than half the words have it."""
-    total = np.zeros((len(hashes) + 1, 64), dtype=np.int32)
-    np.cumsum(_bits(hashes), axis=0, out=total[1:], dtype=np.int32)
-    ones = total[starts + length] - total[starts]
-    return np.packbits(2 * ones > length, axis=1).view(np.uint64).reshape(-1)
+    """64-bit SimHash of the words in each window; a bit is set where more than half the words have it.
+
+    ``starts`` rise.  Windows are taken in runs of neighbours of at most ``RUN_WORDS`` words, or one longer window, so
+    memory follows the windows and not the text between them.
+    """
+    prints, at = np.empty(len(starts), dtype=np.uint64), 0
+    apart = np.append(np.flatnonzero(np.diff(starts) > length) + 1, len(starts))
+    while at < len(starts):
+        lo = int(starts[at])
+        stop = min(int(apart[np.searchsorted(apart, at, "right")]), max(at + 1, int(np.searchsorted(starts, lo + RUN_WORDS - length, "right"))))
+        own = starts[at:stop] - lo
+        words_ = hashes[lo : lo + int(own[-1]) + length]
+        total = np.zeros((len(words_) + 1, 64), dtype=np.int32)
+        np.cumsum(_bits(words_), axis=0, out=total[1:], dtype=np.int32)
+        ones = total[own + length] - total[own]
+        prints[at:stop] = np.packbits(2 * ones > length, axis=1).view(np.uint64).reshape(-1)
+        at = stop
+    return prints
 
 
 class Items:
@@ -137,8 +155,7 @@ def _search(items: Items, hashes: np.ndarray, shingles: np.ndarray, known: np.nd
         starts = np.flatnonzero(running[a:] - running[:-a] >= needed)
         if not len(starts):
             continue
-        lo, hi = int(starts[0]), int(starts[-1]) + length
-        prints = simhash(hashes[lo:hi], starts - lo, length)
+        prints = simhash(hashes, starts, length)
         for window, item in zip(*items.within_radius(prints), strict=True):
             if items.lengths[item] == size and best.get(item, 0.0) < 1.0:
                 at = starts[window]
@@ -151,6 +168,14 @@ def _search(items: Items, hashes: np.ndarray, shingles: np.ndarray, known: np.nd
 _built: dict[bytes, Items] = {}
 
 
+def _key_of(ids: list[int], hashes: list[np.ndarray]) -> bytes:
+    """A digest of all of a slice: ids, lengths and words."""
+    digest = hashlib.sha256(np.array([len(ids), *ids, *map(len, hashes)], np.int64).tobytes())
+    for own in hashes:
+        digest.update(own.tobytes())
+    return digest.digest()
+
+
 def _items_of(key: bytes, ids: list[int], hashes: list[np.ndarray]) -> Items:
     """The index of a slice, built once in each Python worker."""
     if key not in _built:
@@ -177,8 +202,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80) -> Data
     result = docs.drop("leak_items", "leak_score").withColumns({
         "leak_items": F.array().cast("array<long>"), "leak_score": F.lit(0.0)})
     text_at, schema = result.columns.index("text"), result.schema
-    for ids, hashes in _slices(benchmark):
-        key = np.concatenate([np.array(ids, np.int64).view(np.uint64), *hashes, np.empty(0, np.uint64)]).tobytes()[:1 << 16] + bytes(str(len(ids)), "ascii")
+    for number, (ids, hashes) in enumerate(_slices(benchmark)):
+        if number:
+            result = stored(result, "leaks")
+        key = _key_of(ids, hashes)
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, hashes=hashes, key=key) -> Iterator[pa.RecordBatch]:
             items = _items_of(key, ids, hashes)

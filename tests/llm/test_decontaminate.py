@@ -102,3 +102,23 @@ def test_long_document(spark, prose):
     text = prose(300_000) + " " + items[0][1] + " " + prose(1000)
     got = decontaminate.find_leaks(spark.createDataFrame([(1, text)], DOCS), spark.createDataFrame(items, ITEMS)).collect()
     assert got[0]["leak_items"] == [1] and len(pa.array([text])[0].as_py()) == len(text)
+
+
+def test_benchmarks_that_differ_at_the_end_only(spark, prose):
+    """The index kept by a worker is told by all of the benchmark, not by how it begins."""
+    common = [(i, prose(120)) for i in range(100)]
+    last = [prose(80), prose(80)]
+    docs = spark.createDataFrame([(k, prose(50) + " " + last[k] + " " + prose(50)) for k in range(2)], DOCS).coalesce(1)
+    for k in range(2):
+        items = spark.createDataFrame([*common, (100, last[k])], ITEMS)
+        got = {r["doc_id"]: r["leak_items"] for r in decontaminate.find_leaks(docs, items).collect()}
+        assert got == {k: [100], 1 - k: []}
+
+
+def test_fingerprints_of_windows_far_apart(prose, monkeypatch):
+    monkeypatch.setattr(decontaminate, "RUN_WORDS", 90)
+    hashes = next(words.word_hashes(pa.array([prose(1000)])))[1]
+    for length in (7, 40, 200):
+        starts = np.array(sorted({*range(0, 60, 3), 300, 301, 700, 1000 - length}))
+        whole = [decontaminate.simhash(hashes[s : s + length], np.array([0]), length)[0] for s in starts]
+        assert decontaminate.simhash(hashes, starts, length).tolist() == whole
