@@ -23,12 +23,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .stored import stored
+
 PROFILE = 400
 UNKNOWN = "und"
 PIECE = 1 << 18
 # Distinct n-grams kept in one task before their counts are handed on.
 KEPT = 1 << 20
-# More labels than this can't be languages; the profiles sent to the tasks stay below it times PROFILE.
+# Languages with a profile at most; what is sent to the tasks stays below it times PROFILE.
 MAX_LANGUAGES = 2000
 _BITS = 21
 _table: np.ndarray | None = None
@@ -140,9 +142,10 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, list[int]]:
     cut = counts.withColumn("share", F.pmod(F.xxhash64("gram"), F.lit(16))).withColumn(
         "r", F.row_number().over(share)).filter(F.col("r") <= profile)
     top = cut.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= profile)
-    rows = top.select("lang", "gram", "r").limit(MAX_LANGUAGES * profile + 1).collect()
-    if len(rows) > MAX_LANGUAGES * profile:
-        raise ValueError(f"over {MAX_LANGUAGES} languages; the column lang holds something else")
+    profiles = stored(top.select("lang", "gram", "r", "n"), "profiles")
+    # Beyond the bound, the languages whose commonest n-gram counts most.
+    kept = profiles.filter("r = 1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
+    rows = profiles.join(kept, "lang", "left_semi").select("lang", "gram", "r").collect()
     found: dict[str, list[tuple[int, int]]] = {}
     for r in rows:
         found.setdefault(r["lang"], []).append((r["r"], r["gram"]))
@@ -214,10 +217,13 @@ def training_rows(docs: DataFrame) -> DataFrame:
 def known_language(docs: DataFrame, least: float = 0.2, profile: int = PROFILE) -> DataFrame:
     """The rows of ``docs`` in some language learned from them; a null ``lang`` is filled with the prediction.
 
-    Rejected are texts without letters and texts whose n-grams fit no profile: score under ``least``.  Prose scores 0.4
+    Rejected are texts without letters and texts whose n-grams fit no profile: score under ``least``.  Where no language
+    can be learned, as no row is labelled, there is nothing to fit, and every text with letters stays as it is.  Prose scores 0.4
     and more even where it is short, shouted or mixed.
     """
     profiles = learn(training_rows(docs), profile)
+    if not profiles:
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
     named = docs.withColumns({f"_own_{i}": F.col(c) for i, c in enumerate(docs.columns) if c in ("lang_pred", "score", "margin")})
     found = predict(named, profiles, profile).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
     out = [F.col(f"_own_{i}").alias(c) if c in ("lang_pred", "score", "margin") else

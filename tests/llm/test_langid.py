@@ -90,3 +90,25 @@ def test_stage_keeps_prose_and_rejects_what_is_no_text(spark):
     kept = langid.known_language(docs.unionByName(junk.filter("doc_id <> -3")))
     assert kept.columns == docs.columns and kept.count() == docs.count()
     assert langid.known_language(junk.filter("doc_id = -1")).count() == 0
+
+
+def test_stage_keeps_a_corpus_without_labels(spark, prose):
+    rows = [(i, prose(30), None) for i in range(20)] + [(20, prose(5), None)] * 3 + [(21, None, None), (22, " 12 !", None), (None, "words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = langid.known_language(docs)
+    assert kept.columns == docs.columns and sorted(map(repr, kept.collect())) == sorted(map(repr, docs.filter("doc_id < 21 OR doc_id IS NULL").collect()))
+    assert langid.known_language(docs.limit(0)).collect() == []
+
+
+def test_columns_of_its_own_names_stay(spark, prose):
+    docs = spark.createDataFrame([(i, prose(40), "aa", f"s{i}", i) for i in range(12)] + [(3, prose(40), None, "x", 1)],
+                                 "doc_id long, text string, lang string, score string, margin int")
+    kept = langid.known_language(docs)
+    assert kept.columns == docs.columns and kept.count() == 13 and {r["lang"] for r in kept.collect()} == {"aa"}
+    assert {r["score"] for r in kept.collect()} == {"x", *(f"s{i}" for i in range(12))}
+
+
+def test_more_labels_than_profiles(spark, prose, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    rows = [(lang, (prose(20) + " ") * n) for n, lang in enumerate("abcdef", 1)] + [("g", "12")]
+    assert sorted(langid.learn(spark.createDataFrame(rows, "lang string, text string"))) == ["d", "e", "f"]
