@@ -44,8 +44,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    marked = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # Between doubled backslashes every other one stands before an n.
+    parts = F.split(unescape(role), r"\\\\")
+    return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def _paths(nodes: DataFrame) -> DataFrame:

@@ -73,3 +73,11 @@ def test_no_python_in_the_plan(spark, capsys):
     chat.digests(chat.conversations(chat.chained(rows, "conv_id", ["turn"]))).explain()
     plan = capsys.readouterr().out
     assert "Python" not in plan and "Pandas" not in plan and "InArrow" not in plan
+
+
+def test_roles_come_back_whatever_they_hold(spark):
+    rng = random.Random(9)
+    roles = ["".join(rng.choice("\\\\\n\x00nas<[/]>\u00e9") for _ in range(rng.randint(0, 12))) for _ in range(500)] + ["", "\x00", "</s>\\n\n", "<\\s>"]
+    rows = spark.createDataFrame([(r,) for r in roles], "role string")
+    got = rows.select("role", chat.escape_role(F.col("role")).alias("e")).select("role", "e", chat.unescape_role(F.col("e")).alias("back")).collect()
+    assert all(r["back"] == r["role"] and "\n" not in r["e"] for r in got)
