@@ -82,7 +82,10 @@ def _dictionary(texts: list[str]) -> bytes:
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality of 0 or 1); other labels are passed over."""
+    """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, quality of 0 or 1); other labels are passed over.
+
+    Of texts that share a doc_id the smallest counts, so the sample is bounded in rows too.
+    """
     known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter(
         "doc_id IS NOT NULL AND quality IN (0, 1)").distinct()
     small = docs.filter(F.col("text").isNotNull() & F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id").distinct()
@@ -103,7 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     sample = spark.createDataFrame(picked, "doc_id long, quality int, kind string")
     # At most 2 * PER_CLASS + CALIBRATION rows.
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").filter(
-        F.octet_length("text").between(1, SAMPLE_BYTES)).select("doc_id", "quality", "kind", "text").collect()
+        F.octet_length("text").between(1, SAMPLE_BYTES)).groupBy("doc_id", "quality", "kind").agg(F.min("text").alias("text")).collect()
     texts.sort(key=lambda r: (r["doc_id"], r["text"]))
     parts = {k: [r["text"] for r in texts if r["kind"] == k] for k in "gbc"}
     rows = [r for r in texts if r["kind"] == "c"] or texts
