@@ -196,6 +196,41 @@ def decode(encoded: DataFrame, pieces: DataFrame, key: str, ids: str = "ids") ->
     return encoded.select(key).join(joined, key, "left").select(key, F.coalesce("decoded", F.lit("")).alias("decoded"))
 
 
+def encoded_batches(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
+    """ids, lengths, numbers, homes, found of each batch of rows of (doc_id, text), for :func:`ids_of_batch`; type of the ids."""
+    id_type = "string" if isinstance(docs.schema["doc_id"].dataType, T.StringType) else "bigint"
+    # The numbers are by far the largest part: bucketed, they stay where they are when the ids come back.
+    batches = bucketed(split_batches(docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("string")), id_type), "batches", "batch")
+    lists = batches.select("batch", F.posexplode("lists").alias("bucket", "list")).filter("list IS NOT NULL")
+    coded = encode_lists(lists, path)
+    back = coded.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "flat"))).alias("found"))
+    whole = batches.select("batch", "ids", "lengths", "numbers", "homes").hint("merge").join(back, "batch", "left")
+    return whole.select("ids", "lengths", "numbers", "homes", "found"), id_type
+
+
+def ids_of_batch(batch: pa.RecordBatch, r: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """doc_ids, edges and ids of the texts in row ``r``: about 250,000 words at a time, or one longer text."""
+    doc_ids, lengths, numbers, homes, found = (batch.column(c)[r] for c in range(5))
+    numbers, order = _unpack(numbers.as_py()), np.argsort(_unpack(homes.as_py()), kind="stable")
+    lists = found.as_py() or []
+    n = np.concatenate([_unpack(x["counts"]) for x in lists] or [np.empty(0, np.int64)])
+    flat = np.concatenate([_unpack(x["flat"]) for x in lists] or [np.empty(0, np.int64)])
+    # The lists, bucket by bucket, hold the words in this order of their numbers.
+    counts, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+    counts[order], starts[order] = n, np.cumsum(n) - n
+    doc_values, ends = doc_ids.values, np.cumsum(lengths.values.to_numpy())
+    done = 0
+    while done < len(ends):
+        first = ends[done - 1] if done else 0
+        last = max(done + 1, int(np.searchsorted(ends, first + (1 << 18), "right")))
+        own = numbers[first : ends[last - 1]]
+        n = counts[own]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(starts[own] - stops[:-1], n) + np.arange(int(stops[-1]))
+        yield doc_values.slice(done, last - done), stops[np.concatenate([[0], ends[done:last] - first])], flat[at]
+        done = last
+
+
 def _compose(id_type: str, pieces):
     """Ids and decoded texts of a batch's rows.
 
@@ -209,48 +244,21 @@ def _compose(id_type: str, pieces):
             spelled[number] = piece
         for batch in batches:
             for r in range(batch.num_rows):
-                doc_ids, lengths, numbers, homes, found = (batch.column(c)[r] for c in range(5))
-                numbers, order = _unpack(numbers.as_py()), np.argsort(_unpack(homes.as_py()), kind="stable")
-                lists = found.as_py() or []
-                n = np.concatenate([_unpack(x["counts"]) for x in lists] or [np.empty(0, np.int64)])
-                flat = np.concatenate([_unpack(x["flat"]) for x in lists] or [np.empty(0, np.int64)])
-                # The lists, bucket by bucket, hold the words in this order of their numbers.
-                counts, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-                counts[order], starts[order] = n, np.cumsum(n) - n
-                doc_values, ends = doc_ids.values, np.cumsum(lengths.values.to_numpy())
-                done = 0
-                while done < len(ends):
-                    # Texts of about 250,000 words at a time, or one longer text.
-                    first = ends[done - 1] if done else 0
-                    last = max(done + 1, int(np.searchsorted(ends, first + (1 << 18), "right")))
-                    own = numbers[first : ends[last - 1]]
-                    n = counts[own]
-                    stops = np.concatenate([[0], np.cumsum(n)])
-                    at = np.repeat(starts[own] - stops[:-1], n) + np.arange(int(stops[-1]))
-                    ids, edges = flat[at], stops[np.concatenate([[0], ends[done:last] - first])]
+                for doc_ids, edges, ids in ids_of_batch(batch, r):
                     texts = spelled[ids].tolist()
                     decoded = [" ".join([x for x in texts[a:b] if x is not None]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                     yield pa.RecordBatch.from_arrays([
-                        doc_values.slice(done, last - done), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())),
-                        pa.array(decoded, pa.string())], schema=schema)
-                    done = last
+                        doc_ids, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())],
+                        schema=schema)
 
     return run
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded for every row of ``docs`` (doc_id, text), with the tokenizer file at ``path``."""
-    spark = docs.sparkSession
-    id_type = "string" if isinstance(docs.schema["doc_id"].dataType, T.StringType) else "bigint"
-    # The numbers are by far the largest part: bucketed, they stay where they are when the ids come back.
-    batches = bucketed(split_batches(docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("string")), id_type), "batches", "batch")
-    lists = batches.select("batch", F.posexplode("lists").alias("bucket", "list")).filter("list IS NOT NULL")
-    coded = encode_lists(lists, path)
-    back = coded.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "flat"))).alias("found"))
-    whole = batches.select("batch", "ids", "lengths", "numbers", "homes").hint("merge").join(back, "batch", "left")
-    pieces = spark.sparkContext.broadcast(pieces_of(path))
-    return whole.select("ids", "lengths", "numbers", "homes", "found").mapInArrow(
-        _compose(id_type, pieces), f"doc_id {id_type}, ids array<int>, decoded string")
+    encoded, id_type = encoded_batches(docs, path)
+    pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(path))
+    return encoded.mapInArrow(_compose(id_type, pieces), f"doc_id {id_type}, ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:

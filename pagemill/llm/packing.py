@@ -1,7 +1,7 @@
 """Packing of token lists into sequences by best fit and swap-based local search (operator 12).
 
-1. ``token_pieces`` encodes whole texts where they lie, each distinct word once for as long as a worker's table of words
-   holds it, closes every document with an end id, and cuts only documents longer than a sequence.
+1. ``token_pieces`` encodes whole texts, each distinct word once (see :mod:`.bpe`), closes every document with an end id,
+   and cuts only documents longer than a sequence.
 2. ``pack`` deals pieces to groups of about ``GROUP`` by a hash of the row they are written in, so no group follows any
    key.  In a group pieces go, longest first, to the sequence they leave the least room in (best fit decreasing).
 3. While a group has more sequences than its tokens need, sequences with room, the emptiest first, give their pieces
@@ -21,10 +21,8 @@ ones.  ``sequence_id`` and ``offset`` are the operator's own names: columns of t
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import islice
 
 import numpy as np
@@ -33,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import lowered, split_words
+from .bpe import encoded_batches, ids_of_batch
 from .stored import stored
 
 # Pieces of a group, on average.
@@ -42,61 +40,6 @@ GROUP = 1 << 15
 EXCHANGES = 2
 # Receivers an exchange looks at for each room that would be left.
 RECEIVERS = 16
-# Distinct words a worker's table holds before it is begun anew, and characters of text that are encoded at once.
-TABLE_WORDS = 400_000
-PIECE_CHARS = 4_000_000
-_SPACE = re.compile("[\t-\r ]")
-
-
-class WordTable:
-    """Ids of words, each encoded when it is first met; entry 0 is the end id."""
-
-    def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.end_id = end_id
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {"": 0}
-        self.counts = np.ones(1, np.int64)
-        self.flat = np.array([self.end_id], np.uint32)
-
-    def lookup(self, words: list[str]) -> np.ndarray:
-        """The entries of words, new ones encoded."""
-        known = self.numbers
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            found = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-            self.counts = np.concatenate([self.counts, np.array([len(i) for i in found], np.int64)])
-            self.flat = np.concatenate([self.flat, np.array([x for i in found for x in i], np.uint32)])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def ids(self, text: str) -> np.ndarray:
-        """The ids of a text, as the tokenizers library gives them, and the end id."""
-        parts, at = [], 0
-        while at < len(text):
-            stop = _SPACE.search(text, at + PIECE_CHARS) if at + PIECE_CHARS < len(text) else None
-            end = stop.start() if stop else len(text)
-            if len(self.numbers) > TABLE_WORDS:
-                self.clear()
-            entries = self.lookup(split_words(lowered(text[at:end])))
-            n = self.counts[entries]
-            stops = np.cumsum(n)
-            starts = np.cumsum(self.counts) - self.counts
-            parts.append(self.flat[np.repeat(starts[entries] - stops + n, n) + np.arange(int(n.sum()))])
-            at = end
-        return np.concatenate([*parts, np.array([self.end_id], np.uint32)])
-
-
-@lru_cache(maxsize=1)
-def _table(path: str, end_id: int) -> WordTable:
-    """One table for all tasks of a worker; ``path`` is read where the task runs."""
-    return WordTable(path, end_id)
 
 
 def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_ids: bool = False) -> DataFrame:
@@ -104,26 +47,30 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
 
     ``ids_crc32`` is that of the ids as little-endian 32-bit numbers.
     """
-    id_type = "string" if isinstance(docs.schema["doc_id"].dataType, T.StringType) else "bigint"
+    encoded, id_type = encoded_batches(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(path, end_id)
-        names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if keep_ids else [])
-        kinds = [pa.string() if id_type == "string" else pa.int64(), *[pa.int64()] * 4, *([pa.list_(pa.int32())] if keep_ids else [])]
         for batch in batches:
-            rows, held = [], 0
             for r in range(batch.num_rows):
-                doc_id, ids = batch.column(0)[r].as_py(), table.ids(batch.column(1)[r].as_py() or "").astype("<u4")
-                for number, at in enumerate(range(0, len(ids), capacity)):
-                    own = ids[at : at + capacity]
-                    rows.append((doc_id, number, at, len(own), zlib.crc32(own.tobytes()), *([own.astype(np.int32)] if keep_ids else [])))
-                    held += len(own) if keep_ids else 1
-                if held > 1 << 20 or r == batch.num_rows - 1:
-                    columns = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names)
-                    rows, held = [], 0
-
-    return docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("string")).mapInArrow(
+                for doc_ids, edges, ids in ids_of_batch(batch, r):
+                    # An end id behind each document.
+                    lengths = np.diff(edges) + 1
+                    whole = np.insert(ids, edges[1:], end_id).astype("<u4")
+                    first = np.cumsum(lengths) - lengths
+                    n = -(-lengths // capacity)
+                    place = np.repeat(np.arange(len(n)), n)
+                    piece = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+                    start = piece * capacity
+                    length = np.minimum(capacity, lengths[place] - start)
+                    lo = first[place] + start
+                    crc = [zlib.crc32(whole[a:b].data) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
+                    columns = [doc_ids.take(pa.array(place)), *(pa.array(c, pa.int64()) for c in (piece, start, length, crc))]
+                    if keep_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.append(lo, len(whole)), pa.int32()), pa.array(whole.astype(np.int32))))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if keep_ids else [])
+    return encoded.mapInArrow(
         run, f"doc_id {id_type}, piece long, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
 
 

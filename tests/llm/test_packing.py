@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pagemill.llm import packing, queries
+from pagemill.llm import bpe, packing, queries
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -105,8 +105,7 @@ def test_two_for_one_and_one_for_two():
 
 
 def test_defined_results_in_spark(spark, library, prose, monkeypatch):
-    monkeypatch.setattr(packing, "PIECE_CHARS", 300)
-    monkeypatch.setattr(packing, "TABLE_WORDS", 150)
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 2000)
     texts = [None, "", "  ", "same text", "same text", "<|endoftext|> É́ don't", *(prose(n) for n in range(0, 200, 3)), "x" * 5000]
     rows = [(i if i % 8 else None, t, 5, -1) for i, t in enumerate(texts)] + [(3, "same text", 5, -1)] * 40
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int, length int").repartition(3)
