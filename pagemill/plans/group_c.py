@@ -203,12 +203,11 @@ def c6(spark, sf):
     from ..functions.lineage import new_folder
     from ..streaming import folds
 
-    state = new_folder(spark, "routes")
-    run = folds.fold_routes_stream(
-        _stream(spark, sf, "outcomes"), state, f"{state}-log", ttl_days=_TTL, cap=None, order=["ts", "event_id"],
-        available_now=True)
-    run.awaitTermination()
-    return _micros(folds.latest_state(spark, state, run))
+    out = new_folder(spark, "routes")
+    folds.fold_routes_stream(
+        _stream(spark, sf, "outcomes"), out, f"{out}-log", ttl_days=_TTL, order=["ts", "event_id"], available_now=True
+    ).awaitTermination()
+    return _micros(folds.learned_routes(spark, f"{out}-log", _TTL)).withColumn("consecutive_fails", F.col("consecutive_fails").cast("long"))
 
 
 @query("c7_provider_health_stream", ORACLES["c7_provider_health"])
@@ -216,11 +215,10 @@ def c7_stream(spark, sf):
     from ..functions.lineage import new_folder
     from ..streaming import folds
 
-    state = new_folder(spark, "health")
+    out = new_folder(spark, "health")
     folds.provider_health_stream(
-        _stream(spark, sf, "provider_calls"), state, f"{state}-out", f"{state}-log", available_now=True
-    ).awaitTermination()
-    return spark.read.parquet(f"{state}-out").drop("body", "batch")
+        _stream(spark, sf, "provider_calls"), out, f"{out}-log", available_now=True).awaitTermination()
+    return folds.provider_health_now(spark, out).drop("body")
 
 
 @query("a1_load_captures_stream", """

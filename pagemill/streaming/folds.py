@@ -1,118 +1,236 @@
-"""Streaming forms of the keyed folds.
+"""Streaming forms of the keyed folds (C6, C7), on Spark's own keyed state.
 
-A micro-batch is folded with the same distributed plan as a whole log, on top of the state the batch before it left.
-State is a table per batch number: a batch that is run again reads the same earlier state and overwrites its own
-result, so a lost driver or executor changes nothing.  A hot key costs no more than in the batch form.
+A micro-batch reads and writes the state of the keys it holds and of no others; Spark's state store keeps the versions,
+restores them after a failure and drops old ones.  Results go to a file sink, which takes each batch once.  A key's rows
+of one micro-batch meet in one task, so the source's limit on a micro-batch (``maxFilesPerTrigger`` and the like) bounds
+what a hot key brings at once; what is kept of them is a few numbers a row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from .. import rules
-from ..functions import ordered
+from ..functions.workers import setting, ship
 from ..operators.enrich import classify_errors
-from ..operators.fetchlog import fold_routes
-
-
-def _version(path: str, batch_id: int) -> str:
-    return f"{path.rstrip('/')}/state-{batch_id}"
-
 
-def _files(spark: SparkSession, path: str):
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+# Timers and lists in state need this state store.
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_ENTRY = "alive boolean, route string, wins long, fails int, used long, success long, seen long, timer long"
+_CHANGE = "key string, change string, route string, wins long, consecutive_fails int, used long, success long"
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    files, where = _files(spark, path)
-    files.delete(where, True)
+class RouteFold(StatefulProcessor):
+    """One entry per key; an entry that was evicted stays as a tombstone until no earlier outcome can come.
 
-
-def latest_state(spark: SparkSession, path: str, query: StreamingQuery | None = None) -> DataFrame:
-    """State after the last finished batch: the newest version that was written completely.
-
-    Triggers without data have batch numbers, but no state of their own.
+    ``seen`` is the time of the last outcome of a key: an older one is late.  The timer stands where the entry's age
+    ends, or for a tombstone where the watermark passes it.
     """
-    files, where = _files(spark, f"{path.rstrip('/')}/state-*/_SUCCESS")
-    done = [str(f.getPath().getParent().getName()) for f in files.globStatus(where)]
-    return spark.read.parquet(_version(path, max(int(name.rsplit("-", 1)[1]) for name in done)))
-
-
-def late_outcomes(spark: SparkSession, path: str) -> DataFrame:
-    """Outcomes that C6 left out as late, with the batch they came in; an empty table is not written."""
-    return spark.read.parquet(f"{path.rstrip('/')}/late")
 
-
-def _start(stream: DataFrame, each, checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
+    def __init__(self, ttl_micros: int, order: list[str]):
+        self.ttl, self.order = ttl_micros, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entry = handle.getValueState("entry", _ENTRY)
+
+    def _keep(self, old_timer: int | None, alive: bool, route: str | None, wins: int, fails: int, used: int, success: int, seen: int) -> None:
+        timer = (used + self.ttl if alive else seen) // 1000 + 1
+        if timer != old_timer:
+            if old_timer is not None:
+                self.handle.deleteTimer(old_timer)
+            self.handle.registerTimer(timer)
+        self.entry.update((alive, route, wins, fails, used, success, seen, timer))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        events = pd.concat(list(rows)).sort_values(["at", *self.order], kind="stable")
+        alive, route, wins, fails, used, success, seen, timer = (False, None, 0, 0, 0, 0, None, None)
+        if self.entry.exists():
+            alive, route, wins, fails, used, success, seen, timer = self.entry.get()
+        changes = []
+        for at, ok, strike, new in zip(events["at"].tolist(), events["ok"].tolist(), events["strike"].tolist(), events["route"].tolist(), strict=True):
+            new = None if pd.isna(new) else new
+            if seen is not None and at < seen:
+                changes.append((key[0], "late", new, 1 if ok else 0, strike, at, at if ok else None))
+                continue
+            seen = at
+            if alive and at - used > self.ttl:
+                alive = False
+            if ok:
+                wins = wins + 1 if alive and route == new else 1
+                alive, route, fails, used, success = True, new, 0, at, at
+            elif alive:
+                used, fails = at, fails + strike
+                alive = fails < rules.EVICT_AFTER
+        if seen is not None:
+            self._keep(timer, alive, route, wins, fails, used, success, seen)
+            changes.append((key[0], "learned", route, wins, fails, used, success) if alive else (key[0], "gone", None, None, None, seen, None))
+        yield _changes(changes)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        changes = []
+        if self.entry.exists():
+            alive, *_, seen, timer = self.entry.get()
+            if timer == expiredTimerInfo.getExpiryTimeInMs():
+                # Every outcome from now on is younger than the watermark, which is past all this key has seen.
+                self.entry.clear()
+                if alive:
+                    changes.append((key[0], "expired", None, None, None, seen, None))
+        yield _changes(changes)
+
+
+def _changes(rows: list[tuple]) -> pd.DataFrame:
+    names = [f.strip().split(" ")[0] for f in _CHANGE.split(",")]
+    frame = pd.DataFrame(rows, columns=names)
+    return frame.astype({"wins": "Int64", "consecutive_fails": "Int32", "used": "Int64", "success": "Int64"})
+
+
+def _as_text(df: DataFrame, column: str) -> DataFrame:
+    """Any other type than text travels through the state as JSON."""
+    plain = isinstance(df.schema[column].dataType, T.StringType)
+    return df if plain else df.withColumn(column, F.to_json(F.struct(F.col(column).alias("v"))))
+
+
+def _as_before(df: DataFrame, column: str, kind: T.DataType) -> DataFrame:
+    if isinstance(kind, T.StringType):
+        return df
+    return df.withColumn(column, F.from_json(column, T.StructType([T.StructField("v", kind)]))["v"])
+
+
+def route_changes(stream: DataFrame, ttl_days: float = rules.ROUTE_TTL_DAYS, delay: str = "1 day", order: list[str] | None = None) -> DataFrame:
+    """C6 as a stream of changes: key, change, route, wins, consecutive_fails, last_used, last_success.
+
+    ``change`` is ``learned`` (the entry after a micro-batch), ``gone`` (no entry after it), ``expired`` (too old by the
+    watermark) or ``late`` (an outcome older than another of its key, which changed nothing; wins and fails tell what it
+    was).  Outcomes older than the newest one by more than ``delay`` are dropped by Spark and counted in its metrics.
+    """
+    ship(stream.sparkSession)
+    ties = [c for c in order or [] if c != "ts"]
+    kind = stream.schema["route"].dataType
+    strike = (~F.col("ok") & F.coalesce(F.col("stop_reason"), F.lit("")).isin(rules.PENALIZED_REASONS)).cast("int")
+    events = _as_text(stream.withColumn("ts", F.col("ts").cast("timestamp")), "route").withWatermark("ts", delay).select(
+        "key", "ts", F.unix_micros("ts").alias("at"), "ok", strike.alias("strike"), "route", *ties)
+    fold = RouteFold(int(ttl_days * 86400 * 1_000_000), ties)
+    changes = events.groupBy("key").transformWithStateInPandas(fold, _CHANGE, "Append", "EventTime")
+    return _as_before(changes, "route", kind).select(
+        "key", "change", "route", "wins", "consecutive_fails", F.timestamp_micros("used").alias("last_used"),
+        F.timestamp_micros("success").alias("last_success"))
+
+
+def _start(result: DataFrame, path: str, checkpoint: str, available_now: bool) -> StreamingQuery:
+    writer = result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    with setting(result.sparkSession, _PROVIDER, _ROCKSDB):
+        return writer.start(path)
 
 
-def fold_routes_stream(stream: DataFrame, state_path: str, checkpoint: str, ttl_days: float = rules.ROUTE_TTL_DAYS,
-                       cap: int | None = None, order: list[str] | None = None,
-                       available_now: bool = False) -> StreamingQuery:
-    """Keep the learned routes of an outcome stream up to date.
+def fold_routes_stream(stream: DataFrame, changes_path: str, checkpoint: str, ttl_days: float = rules.ROUTE_TTL_DAYS,
+                       delay: str = "1 day", order: list[str] | None = None, available_now: bool = False) -> StreamingQuery:
+    """Keep the learned routes of an outcome stream (key, ts, ok, stop_reason, route) up to date.
 
-    Event time decides: an outcome older than what its entry has already seen is late.  It goes to a side table
-    (:func:`late_outcomes`) and not into the state.  An entry's age is judged against the newest event of the batch.
-    The states of the last two batches are kept.
+    The routes themselves are the query's state (:func:`learned_routes`); what changed goes to ``changes_path``.
     """
+    return _start(route_changes(stream, ttl_days, delay, order), changes_path, checkpoint, available_now)
+
+
+def learned_routes(spark: SparkSession, checkpoint: str, ttl_days: float = rules.ROUTE_TTL_DAYS, as_of=None,
+                   route_type: T.DataType | None = None) -> DataFrame:
+    """The routes known after the last finished micro-batch, read from the query's state.
 
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        # Read from its source once for the three passes below.
-        batch = batch.withColumn("ts", F.col("ts").cast("timestamp")).persist()
-        try:
-            fold(spark, batch, batch_id)
-        finally:
-            batch.unpersist()
-
-    def fold(spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.parquet(_version(state_path, batch_id - 1)) if batch_id > 0 else None
-        fresh = batch
-        if before is not None:
-            known = before.select("key", F.col("last_used").alias("_seen"))
-            dated = ordered.lookup(batch, known, ["key"])
-            in_time = F.col("_seen").isNull() | (F.col("ts") >= F.col("_seen"))
-            fresh = dated.filter(in_time).drop("_seen")
-            late = dated.filter(~in_time).drop("_seen")
-            if not late.isEmpty():
-                late.write.mode("overwrite").parquet(f"{state_path.rstrip('/')}/late/batch={batch_id}")
-        newest = batch.agg(F.max("ts")).first()[0]
-        if newest is None:
-            folded = before if before is not None else fold_routes(fresh, F.current_timestamp(), ttl_days, cap, order)
-        else:
-            folded = fold_routes(fresh, newest, ttl_days, cap, order, initial=before)
-        folded.write.mode("overwrite").parquet(_version(state_path, batch_id))
-        _drop(spark, _version(state_path, batch_id - 2))
-
-    return _start(stream, each, checkpoint, available_now)
-
-
-def provider_health_stream(stream: DataFrame, state_path: str, out_path: str, checkpoint: str,
+    Ages are judged against ``as_of``, by default the newest outcome the state has seen.
+    """
+    state = spark.read.format("statestore").option("stateVarName", "entry").load(checkpoint).select("value.*", F.col("key.key").alias("key"))
+    if as_of is None:
+        now = state.agg(F.max("seen").alias("now"))
+        state = state.join(F.broadcast(now))  # One row.
+    else:
+        state = state.withColumn("now", F.unix_micros(F.lit(as_of).cast("timestamp")))
+    entries = state.filter(F.col("alive") & (F.col("now") - F.col("used") <= int(ttl_days * 86400 * 1_000_000))).select(
+        "key", "route", "wins", F.col("fails").alias("consecutive_fails"), F.timestamp_micros("used").alias("last_used"),
+        F.timestamp_micros("success").alias("last_success"))
+    return _as_before(entries, "route", route_type or T.StringType())
+
+
+def late_outcomes(spark: SparkSession, changes_path: str) -> DataFrame:
+    """Outcomes that C6 left out as late: key, ok, route, ts."""
+    return spark.read.parquet(changes_path).filter("change = 'late'").select(
+        "key", (F.col("wins") > 0).alias("ok"), "route", F.col("last_used").alias("ts"))
+
+
+class ProviderHealth(StatefulProcessor):
+    """First quota error of a (session, provider), and the calls told to be before any."""
+
+    def __init__(self, keep_ms: int | None):
+        self.keep_ms = keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.dead = handle.getValueState("dead", "seq long", self.keep_ms)
+        self.told = handle.getListState("told", "seq long", self.keep_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        calls = pd.concat(list(rows))
+        before = self.dead.get()[0] if self.dead.exists() else None
+        quota = calls["seq"][calls["quota"]]
+        dead = min((s for s in (before, quota.min() if len(quota) else None) if s is not None), default=None)
+        if dead is not None:
+            dead = int(dead)
+        if dead != before:
+            self.dead.update((dead,))
+            # A quota error before the known one: calls behind it that were told otherwise are corrected.
+            told = [seq for (seq,) in self.told.get()] if self.told.exists() else []
+            wrong = [seq for seq in told if seq > dead]
+            if wrong:
+                yield pd.DataFrame({"key": key[0], "seq": wrong, "row": None, "dead_before": True, "revision": 1})
+            if told:
+                self.told.put([(seq,) for seq in told if seq <= dead]) if len(wrong) < len(told) else self.told.clear()
+        after = calls["seq"] > dead if dead is not None else pd.Series(False, index=calls.index)
+        alive = calls["seq"][~after].tolist()
+        if alive:
+            self.told.appendList([(seq,) for seq in alive])
+        yield pd.DataFrame({"key": key[0], "seq": calls["seq"], "row": calls["row"], "dead_before": after, "revision": 0})
+
+
+def provider_health_stream(stream: DataFrame, out_path: str, checkpoint: str, keep_hours: float | None = None,
                            available_now: bool = False) -> StreamingQuery:
-    """C7 on a stream: calls with ``error_class`` and ``dead_before``; the state is the first quota error of each
-    (session, provider).  Results go to ``out_path``, one folder per batch."""
-
-    def each(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        keys = ["session", "provider"]
-        classed = classify_errors(batch)
-        quota = F.when(F.col("error_class") == "quota", F.col("seq"))
-        found = classed.groupBy(*keys).agg(F.min(quota).alias("dead_at")).filter("dead_at is not null")
-        if batch_id > 0:
-            found = found.unionByName(spark.read.parquet(_version(state_path, batch_id - 1))).groupBy(*keys).agg(
-                F.min("dead_at").alias("dead_at"))
-        found.write.mode("overwrite").parquet(_version(state_path, batch_id))
-        state = spark.read.parquet(_version(state_path, batch_id))
-        told = ordered.lookup(classed, state, keys).withColumn(
-            "dead_before", F.coalesce(F.col("seq") > F.col("dead_at"), F.lit(False))).drop("dead_at")
-        told.write.mode("overwrite").parquet(f"{out_path.rstrip('/')}/batch={batch_id}")
-        _drop(spark, _version(state_path, batch_id - 2))
-
-    return _start(stream, each, checkpoint, available_now)
+    """C7 on a stream: calls with ``error_class`` and ``dead_before`` as far as known, and corrections to them.
+
+    A row of ``revision`` 0 is a call; one of revision 1 takes back what was told of a call when a quota error with a
+    smaller ``seq`` came after it.  :func:`provider_health_now` puts both together.  A (session, provider) is forgotten
+    when its state is ``keep_hours`` old; by the clock there is always more to do, so such a query never ends by itself.
+    ``seq`` must not be null.
+    """
+    if keep_hours and available_now:
+        raise ValueError("a query that forgets by the clock does not end; leave out keep_hours or available_now")
+    ship(stream.sparkSession)
+    keys = ["session", "provider"]
+    rest = [c for c in [*stream.columns, "error_class"] if c not in (*keys, "seq")]
+    classed = classify_errors(stream)
+    calls = classed.select(
+        F.to_json(F.struct(*keys)).alias("key"), F.col("seq").cast("long").alias("seq"),
+        F.coalesce(F.col("error_class") == "quota", F.lit(False)).alias("quota"), F.to_json(F.struct(*rest)).alias("row"))
+    health = ProviderHealth(int(keep_hours * 3_600_000) if keep_hours else None)
+    told = calls.groupBy("key").transformWithStateInPandas(
+        health, "key string, seq long, row string, dead_before boolean, revision int", "Append",
+        "ProcessingTime" if keep_hours else "None")
+    kinds = {n: T.StructType([classed.schema[c] for c in cols]) for n, cols in (("key", keys), ("row", rest))}
+    opened = told.withColumns({n: F.from_json(n, kind) for n, kind in kinds.items()})
+    return _start(opened.select("key.*", "seq", "row.*", "dead_before", "revision"), out_path, checkpoint, available_now)
+
+
+def provider_health_now(spark: SparkSession, out_path: str) -> DataFrame:
+    """Calls with ``dead_before`` as it stands after all corrections."""
+    told = spark.read.parquet(out_path)
+    keys = ["session", "provider", "seq"]
+    wrong = told.filter("revision = 1").select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct().withColumn("_wrong", F.lit(True))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    calls = told.filter("revision = 0").drop("revision").join(wrong, on, "left")
+    return calls.withColumn("dead_before", F.col("dead_before") | F.coalesce("_wrong", F.lit(False))).drop("_wrong", *[f"_{k}" for k in keys])

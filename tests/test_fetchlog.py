@@ -88,35 +88,112 @@ def test_named_cases(spark):
     assert set(kept) == {"even"}
 
 
+def run_stream(spark, tmp_path, ttl=1, delay="1 day"):
+    """One run over what lies in the folder; every run goes on from the checkpoint of the one before."""
+    query = folds.fold_routes_stream(
+        spark.readStream.schema(OUTCOME).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), str(tmp_path / "out"),
+        str(tmp_path / "log"), ttl, delay, ["ts", "seq"], available_now=True)
+    query.awaitTermination()
+    return query
+
+
+def arrive(spark, tmp_path, name, rows):
+    spark.createDataFrame(rows, OUTCOME).coalesce(1).write.parquet(str(tmp_path / "in" / name))
+
+
 def test_stream_over_several_batches(spark, tmp_path):
     rows = sorted(history(11), key=lambda r: (r[1], r[2]))
-    source = tmp_path / "in"
     bounds = [0, 200, 201, 450, len(rows)]
     for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        spark.createDataFrame(rows[a:b], OUTCOME).coalesce(1).write.parquet(str(source / f"b{i}"))
-        stream = spark.readStream.schema(OUTCOME).parquet(f"{source}/*")
-        query = folds.fold_routes_stream(
-            stream, str(tmp_path / "state"), str(tmp_path / "log"), 1, None, ["ts", "seq"], available_now=True)
-        query.awaitTermination()
-    got = folds.latest_state(spark, str(tmp_path / "state"), query)
-    assert shown(got) == expected(brute_fold(rows, rows[-1][1], dt.timedelta(days=1)))
-    # An outcome older than its entry is late.
-    late = [("hot", T0 - dt.timedelta(days=1), 9999, True, None, "Z")]
-    spark.createDataFrame(late, OUTCOME).write.parquet(str(source / "late"))
-    query = folds.fold_routes_stream(
-        spark.readStream.schema(OUTCOME).parquet(f"{source}/*"), str(tmp_path / "state"), str(tmp_path / "log"), 1000,
-        None, ["ts", "seq"], available_now=True)
-    query.awaitTermination()
-    assert "Z" not in {v[0] for v in shown(folds.latest_state(spark, str(tmp_path / "state"), query)).values()}
-    assert [r.route for r in folds.late_outcomes(spark, str(tmp_path / "state")).collect()] == ["Z"]
-    # Only the last two states stay, and a trigger without data changes nothing.
-    assert len(list((tmp_path / "state").glob("state-*"))) == 2
-    before = shown(folds.latest_state(spark, str(tmp_path / "state")))
-    query = folds.fold_routes_stream(
-        spark.readStream.schema(OUTCOME).parquet(f"{source}/*"), str(tmp_path / "state"), str(tmp_path / "log"), 1000,
-        None, ["ts", "seq"], available_now=True)
-    query.awaitTermination()
-    assert shown(folds.latest_state(spark, str(tmp_path / "state"), query)) == before
+        arrive(spark, tmp_path, f"b{i}", rows[a:b])
+        run_stream(spark, tmp_path)
+    want = expected(brute_fold(rows, rows[-1][1], dt.timedelta(days=1)))
+    assert shown(folds.learned_routes(spark, str(tmp_path / "log"), 1)) == want
+    # A run without data changes nothing.
+    run_stream(spark, tmp_path)
+    assert shown(folds.learned_routes(spark, str(tmp_path / "log"), 1)) == want
+    assert folds.late_outcomes(spark, str(tmp_path / "out")).count() == 0
+
+
+def late_fold(batches, ttl, delay):
+    """The model of the stream: per key, outcomes older than one before them are late; too old ones are dropped."""
+    store, seen, late, watermark = {}, {}, [], dt.datetime.min
+    for batch in batches:
+        for row in sorted((r for r in batch if r[1] >= watermark), key=lambda r: (r[1], r[2])):
+            if row[1] < seen.get(row[0], dt.datetime.min):
+                late.append((row[0], row[1], row[3], row[5]))
+                continue
+            seen[row[0]] = row[1]
+            one = brute_fold([row], row[1], ttl, {k: e for k, e in store.items() if k == row[0]})
+            store.pop(row[0], None)
+            store.update(one)
+        watermark = max([watermark, *(r[1] - delay for r in batch)])
+        # What the watermark has passed is forgotten: nothing older can come.
+        store = {k: e for k, e in store.items() if e["used"] + ttl >= watermark}
+    newest = max(r[1] for b in batches for r in b)
+    return {k: e for k, e in store.items() if newest - e["used"] <= ttl}, sorted(late)
+
+
+def test_stream_out_of_order(spark, tmp_path):
+    """Batches that overlap in time: tombstones keep an evicted entry from being learned from older outcomes."""
+    rng = random.Random(21)
+    rows = sorted(history(31, n=500, hours=200), key=lambda r: (r[1], r[2]))
+    batches = [[] for _ in range(6)]
+    for i, r in enumerate(rows):
+        batches[min(5, max(0, i * 6 // len(rows) + rng.choice([0, 0, 0, 0, 1])))].append(r)
+    ttl, delay = dt.timedelta(days=2), dt.timedelta(days=3)
+    for i, batch in enumerate(batches):
+        arrive(spark, tmp_path, f"b{i}", batch)
+        run_stream(spark, tmp_path, 2, "3 days")
+    store, late = late_fold(batches, ttl, delay)
+    assert late and shown(folds.learned_routes(spark, str(tmp_path / "log"), 2)) == expected(store)
+    assert sorted(tuple(r) for r in folds.late_outcomes(spark, str(tmp_path / "out")).select("key", "ts", "ok", "route").collect()) == late
+
+
+def test_evicted_entries_have_a_memory_and_expired_ones_go(spark, tmp_path):
+    def at(h):
+        return T0 + dt.timedelta(hours=h)
+
+    arrive(spark, tmp_path, "a", [("k", at(1), 1, True, None, "A"), ("k", at(2), 2, False, "blocked", None), ("k", at(3), 3, False, "blocked", None),
+                                  ("old", at(0), 4, True, None, "B")])
+    run_stream(spark, tmp_path, 1, "5 days")
+    # Older than the eviction: late, not new.
+    arrive(spark, tmp_path, "b", [("k", at(2.5), 5, True, None, "Z")])
+    run_stream(spark, tmp_path, 1, "5 days")
+    assert set(shown(folds.learned_routes(spark, str(tmp_path / "log"), 1))) == {"old"}
+    assert [(r.key, r.route, r.ok) for r in folds.late_outcomes(spark, str(tmp_path / "out")).collect()] == [("k", "Z", True)]
+    # Ten days on the watermark has passed both; a younger outcome of the evicted key is learned.
+    arrive(spark, tmp_path, "c", [("k", at(4), 6, True, None, "C"), ("new", at(240), 7, True, None, "N")])
+    run_stream(spark, tmp_path, 1, "5 days")
+    run_stream(spark, tmp_path, 1, "5 days")
+    state = spark.read.format("statestore").option("stateVarName", "entry").load(str(tmp_path / "log"))
+    assert [r["key"]["key"] for r in state.select("key").collect()] == ["new"]
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r.key, r.change) for r in changes.collect()} >= {("k", "gone"), ("k", "learned"), ("k", "expired"), ("old", "expired"), ("new", "learned")}
+
+
+def test_a_batch_touches_its_own_keys_only(spark, tmp_path):
+    arrive(spark, tmp_path, "a", [(f"k{i}", T0 + dt.timedelta(seconds=i), i, True, None, "A") for i in range(300)])
+    run_stream(spark, tmp_path, 30)
+    arrive(spark, tmp_path, "b", [("k7", T0 + dt.timedelta(hours=1), 1000, True, None, "A")])
+    query = run_stream(spark, tmp_path, 30)
+    updated = [p["stateOperators"][0]["numRowsUpdated"] for p in (q.json and __import__("json").loads(q.json) for q in query.recentProgress) if p["numInputRows"]]
+    assert updated and max(updated) <= 10
+    assert len(shown(folds.learned_routes(spark, str(tmp_path / "log"), 30))) == 300
+    changes = spark.read.parquet(str(tmp_path / "out"))
+    assert changes.count() == 301
+
+
+def test_routes_that_are_structs(spark, tmp_path):
+    rows = [("k", T0 + dt.timedelta(hours=h), h, True, None, ("t", v)) for h, v in enumerate([1, 1, 2])]
+    schema = OUTCOME.replace("route string", "route struct<name:string,n:int>")
+    frame = spark.createDataFrame(rows, schema)
+    frame.write.parquet(str(tmp_path / "in"))
+    folds.fold_routes_stream(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "log"),
+                             order=["ts", "seq"], available_now=True).awaitTermination()
+    got = folds.learned_routes(spark, str(tmp_path / "log"), route_type=frame.schema["route"].dataType).first()
+    assert (got.route.name, got.route.n, got.wins) == ("t", 2, 1)
+    assert spark.read.parquet(str(tmp_path / "out")).first().route.n == 2
 
 
 def test_no_route_is_forgotten_by_default(spark):
@@ -201,12 +278,15 @@ def test_provider_errors(spark, tmp_path):
         assert r.error_class == r.want, r
     health = {r.seq: r.dead_before for r in fetchlog.provider_health(df.withColumn("session", F.lit(1))).collect()}
     assert [health[i] for i in range(10)] == [False] + [True] * 5 + [False] + [True] * 3
-    # The same over two batches of a stream.
+    # The same over batches of a stream, in order and out of it: late quota errors correct what was told before.
     calls = df.withColumn("session", F.lit(1)).drop("want")
-    for name, cond in [("a", "seq < 3"), ("b", "seq >= 3")]:
-        calls.filter(cond).write.parquet(str(tmp_path / "in" / name))
-        folds.provider_health_stream(
-            spark.readStream.schema(calls.schema).parquet(f"{tmp_path}/in/*"), str(tmp_path / "s"), str(tmp_path / "o"),
-            str(tmp_path / "l"), available_now=True).awaitTermination()
-    got = {r.seq: r.dead_before for r in spark.read.parquet(str(tmp_path / "o")).collect()}
-    assert got == health
+    for order, cuts in enumerate([["seq < 3", "seq >= 3"], ["seq >= 9", "seq IN (2, 4, 7)", "seq IN (1, 3, 5, 8)", "seq IN (0, 6)"]]):
+        base = tmp_path / str(order)
+        for i, cond in enumerate(cuts):
+            calls.filter(cond).write.parquet(str(base / "in" / str(i)))
+            folds.provider_health_stream(
+                spark.readStream.schema(calls.schema).parquet(f"{base}/in/*"), str(base / "o"), str(base / "l"), available_now=True).awaitTermination()
+        got = folds.provider_health_now(spark, str(base / "o"))
+        assert {r.seq: r.dead_before for r in got.collect()} == health and got.count() == len(health)
+        assert {r.seq: (r.http_status, r.body) for r in got.collect()} == {r.seq: (r.http_status, r.body) for r in calls.collect()}
+        assert (spark.read.parquet(str(base / "o")).filter("revision = 1").count() > 0) == bool(order)
