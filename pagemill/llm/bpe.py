@@ -28,6 +28,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,8 @@ _NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u
 # The marks that compose with A-Z or a-z.
 _MARK = re.compile("[\u0300-\u036f]")
 _EXTRA = re.compile("[\x1c-\x1f]")
+# Signs the pre-tokenizer parts from a letter before them, and that compose with none.  Apostrophes may begin an ending.
+_SIGNS = "!\"#$%&()*+,-./:;?@[]_"
 
 
 def split_words(text: str) -> list[str]:
@@ -66,6 +69,14 @@ def lowered(text: str) -> str:
     return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
+def parted(word: str) -> tuple[str, str]:
+    """A word and the signs behind it, which the tokenizer encodes each for itself where a letter stands before them."""
+    stem = word.rstrip(_SIGNS)
+    if len(stem) == len(word) or not stem or not stem[-1].isalpha() or "<|" in word:
+        return word, ""
+    return stem, word[len(stem) :]
+
+
 class _WordNumbers(dict):
     """Numbers words in the order they come."""
 
@@ -94,11 +105,12 @@ def split_batches(docs: DataFrame, id_type: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
+        part, made, signs = TaskContext.get().partitionId(), 0, _SIGNS.encode()
         packer = zstandard.ZstdCompressor(level=3)
 
         def close() -> pa.RecordBatch:
-            homes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words], dtype=np.int64)
+            # Words that differ in the signs behind them only meet in one bucket.
+            homes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass").rstrip(signs)) % BUCKETS for w in words], dtype=np.int64)
             lists: list[list[str]] = [[] for _ in range(BUCKETS)]
             for word, home in zip(words, homes.tolist(), strict=True):
                 lists[home].append(word)
@@ -155,12 +167,15 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
                 if home != bucket:
                     bucket, known = home, {}
                 words = unpacker.decompress(packed).decode("utf-8", "surrogatepass").split(" ")
-                new = [w for w in words if w not in known]
+                parts = [parted(w) for w in words if w not in known]
+                new = list({p for pair in parts for p in pair if p not in known})
                 if new:
-                    found = tokenizer.encode_batch(new, add_special_tokens=False)
+                    found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
                     known.update(zip(new, (e.ids for e in found), strict=True))
+                known.update((a + b, known[a] + known[b]) for a, b in parts)
                 own = [known[w] for w in words]
-                out.append((number, home, _pack(np.array([len(i) for i in own])), _pack(np.array([x for i in own for x in i], np.int64))))
+                counts = np.fromiter(map(len, own), np.int64, len(own))
+                out.append((number, home, _pack(counts), _pack(np.fromiter(chain.from_iterable(own), np.int64, int(counts.sum())))))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],

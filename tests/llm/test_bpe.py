@@ -51,6 +51,15 @@ def test_splitting_never_changes_ids(library):
         assert parts == library.encode(text, add_special_tokens=False).ids
 
 
+def test_signs_behind_a_word_are_encoded_alone(library):
+    rng = random.Random(12)
+    letters = "abzé́ΣǅßªʰK١¼Ⅷ가ﬁ'’<>|=~^`\u0338"
+    for _ in range(6000):
+        word = "".join(rng.choice(letters) for _ in range(rng.randint(0, 4))) + "".join(rng.choice(bpe._SIGNS + "a'") for _ in range(rng.randint(0, 4)))
+        whole = library.encode(word, add_special_tokens=False).ids
+        assert [i for p in bpe.parted(word) for i in library.encode(p, add_special_tokens=False).ids] == whole, word
+
+
 def test_join_decodes_any_ids(spark, library):
     rows = [(1, [320, 49407, 518]), (2, []), (3, [0, 0, 99999999, 49406]), (4, None)]
     got = {r["k"]: r["decoded"] for r in bpe.decode(spark.createDataFrame(rows, "k long, ids array<int>"), bpe.vocabulary(spark, PATH), "k").collect()}
