@@ -7,7 +7,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from .. import rules
-from ..operators import fetchlog
+from ..operators import fetchlog, routecap
 from .sqltext import lit
 from .tables import ctes, table
 
@@ -140,6 +140,12 @@ def c5_cap(spark, sf):
     return _micros(_store(spark, sf, 20))
 
 
+# A cap that holds at every event has no SQL; tests/test_routecap.py folds one event after the other.
+@query("c5_fold_routes_lru")
+def c5_lru(spark, sf):
+    return _micros(routecap.fold_routes_lru(table(spark, sf, "outcomes"), _AS_OF, ttl_days=_TTL, cap=20, order=["ts", "event_id"]))
+
+
 _QUOTA = "json_extract_string(body, '$.error.details[0].violations[0].quotaId')"
 _CLASSED = ctes("provider_calls") + """,
 k AS (SELECT *, CASE

@@ -20,9 +20,16 @@ def con():
 OWN = sorted({n for g in (group_a, group_b, group_c, group_d, group_e, group_f) for n in g.QUERIES})
 
 
+# Held against brute force in tests of their own.
+NO_SQL = {"c5_fold_routes_lru"}
+
+
 @pytest.mark.parametrize("name", OWN)
 def test_query(spark, con, name):
     result = spark_entry.queries()[name](spark, SF_DIR)
+    if name in NO_SQL:
+        assert result.count() > 0
+        return
     assert compare.difference(result, con, spark_entry.oracle_sql()[name]) is None
 
 
