@@ -9,15 +9,21 @@ from .. import rules
 from ..functions.text import CHUNK, col, join_lines, strip, truthy, unescape, url_base, whole_json
 from ..functions.text import unescape as decode_references
 
-# Comments, script-like elements, declarations and tags; leftmost wins, so a tag inside a comment stays hidden.
-# The common "<" comes first: other characters cost one comparison.
-MARKUP = (
-    r"(?is)<(?:!--.*?-->|(script|style|noscript|template)(?=[\s/>])[^>]*+>.*?(?:</\1(?=[\s/>])[^>]*+>|\z)|"
-    r"[!?][^>]*+>|/?[a-z](?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+>|/?[a-z][^>]*+>)"
-)
+# Comments, scripts and styles with what they hold, declarations and tags; leftmost wins, so a tag inside a comment stays
+# hidden.  The common "<" comes first: other characters cost one comparison.
+_RAW = r"""(script|style)(?=[\s/>])[^>]*+(?<![\s"']/)(?<!script/|style/)>.*?(?:</\1(?=[\s/>])[^>]*+>|\z)"""
+_TAG = r"""/?[a-z](?:[^'">]++|"[^"]*+"|'[^']*+')*+>|/?[a-z][^>]*+>"""
+MARKUP = rf"(?is)<(?:!--.*?-->|{_RAW}|[!?][^>]*+>|{_TAG})"
+# Noscript and template are parsed like any element, and may hold themselves; they hide what they hold.  Whatever ends one
+# of the four hidden elements takes one level away.
+_HIDING = r"""(noscript|template)(?=[\s/>])(?:[^'">]++|"[^"]*+"|'[^']*+')*+(?<![\s"']/)(?<!noscript/|template/)>"""
+LEVELS = rf"(?is)<(?:!--.*?-->|{_RAW}|[!?][^>]*+>|{_HIDING}|(/)(?:script|style|noscript|template)(?=[\s/>])[^>]*+>|{_TAG})"
 
 
 _OPEN = "\u0002"  # stands for a "<" that opens no tag
+_LEVEL, _DOWN, _UP = "\u0003", "\u0004", "\u0005"  # a tag, one that hides what follows, one that ends that
+# Rounds in which innermost hidden elements are taken out, before deeper ones are walked through.
+_ROUNDS = 64
 
 
 def _after_last(text: Column, closer: str, opener: str, instead: str) -> Column:
@@ -27,15 +33,47 @@ def _after_last(text: Column, closer: str, opener: str, instead: str) -> Column:
     return F.when(tail.contains(opener), F.concat(head, F.replace(tail, F.lit(opener), F.lit(instead)))).otherwise(text)
 
 
+def _without_hidden(source: Column) -> Column:
+    """The text of a page with noscript or template elements, a mark for each tag, without what is hidden.
+
+    Levels are counted as brackets: in each round the innermost pairs go, all at once; what then still opens hides the
+    rest of the page, and what still closes had nothing to close.  Pages nested deeper than the rounds go are walked
+    through, piece by piece.
+    """
+    marked = F.regexp_replace(source, LEVELS, f"{CHUNK}{_LEVEL}$2$3{CHUNK}")
+    marked = F.regexp_replace(marked, f"(?i){_LEVEL}(?:noscript|template){CHUNK}", _DOWN)
+    marked = F.replace(F.replace(marked, F.lit(f"{_LEVEL}/{CHUNK}"), F.lit(_UP)), F.lit(_LEVEL), F.lit(""))
+    opened = F.length(marked) - F.length(F.replace(marked, F.lit(_DOWN), F.lit("")))
+    rounds = F.sequence(F.lit(0), F.least(F.lit(_ROUNDS), opened))
+    flat = F.aggregate(rounds, marked, lambda text, _: F.regexp_replace(text, f"{_DOWN}[^{_DOWN}{_UP}]*+{_UP}", CHUNK))
+
+    def step(state: Column, piece: Column) -> Column:
+        """``piece`` begins with the mark that comes before it."""
+        depth = F.greatest(F.lit(0), state["depth"] + F.when(piece.startswith(_DOWN), 1).when(piece.startswith(_UP), -1).otherwise(0))
+        return F.struct(F.when(depth == 0, F.concat(state["text"], F.lit(CHUNK), piece)).otherwise(state["text"]).alias("text"), depth.alias("depth"))
+
+    def walked(text: Column) -> Column:
+        start = F.struct(F.lit("").alias("text"), F.lit(0).alias("depth"))
+        return F.aggregate(F.split(text, f"(?=[{_DOWN}{_UP}])"), start, step, lambda state: state["text"])
+
+    def visible(text: Column) -> Column:
+        return F.when(text.rlike(f"(?s){_DOWN}.*{_UP}"), walked(text)).otherwise(F.substring_index(text, _DOWN, 1))
+
+    # A lambda binds the text, which is then looked at several times.
+    return F.translate(F.transform(F.array(flat), visible)[0], f"{_DOWN}{_UP}", f"{CHUNK}{CHUNK}")
+
+
 def visible_text(html: Column | str) -> Column:
-    """B1 as an expression: text chunks between tags, script-like bodies dropped, one chunk per line."""
+    """B1 as an expression: text chunks between tags, hidden elements dropped, one chunk per line."""
     source = F.replace(F.coalesce(col(html), F.lit("")), F.lit(CHUNK), F.lit(" "))
     # Comments and tags that nothing closes would each search to the end of the page.
     source = _after_last(source, "-->", "<!--", "<!- -")
     source = _after_last(source, ">", "<", f"{CHUNK}{_OPEN}{CHUNK}")
-    bare = F.replace(F.regexp_replace(source, MARKUP, CHUNK), F.lit(_OPEN), F.lit("<"))
+    nested = source.rlike(r"(?i)<(?:noscript|template)[\s/>]")
+    unmarked = F.translate(source, f"{_LEVEL}{_DOWN}{_UP}", "   ")
+    bare = F.when(nested, _without_hidden(unmarked)).otherwise(F.regexp_replace(source, MARKUP, CHUNK))
     # What is left of "<" opens no tag; it is a chunk of its own.
-    chunks = F.split(F.replace(bare, F.lit("<"), F.lit(f"{CHUNK}<{CHUNK}")), CHUNK)
+    chunks = F.split(F.replace(F.replace(bare, F.lit(_OPEN), F.lit("<")), F.lit("<"), F.lit(f"{CHUNK}<{CHUNK}")), CHUNK)
     return join_lines(F.filter(F.transform(chunks, lambda c: strip(unescape(c))), lambda c: c != ""))
 
 

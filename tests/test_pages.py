@@ -1,5 +1,7 @@
 import json
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
@@ -48,6 +50,34 @@ def test_text(spark):
     assert pages.extract_text(spark.createDataFrame([(None,)], "html string")).first().text == ""
 
 
+def model_text(html):
+    model = Model()
+    model.feed(html)
+    model.close()
+    return "\n".join(model.chunks)
+
+
+def test_text_of_nested_and_unclosed_elements(spark):
+    """Random markup against a parser that counts the levels of hidden elements."""
+    rng = random.Random(3)
+    pieces = ["<template>", "</template>", "<noscript>", "</noscript>", "<TEMPLATE id='x>y'>", "</noscript >", "<script>", "</script>", "<style a=b>",
+              "</style>", "<p>", "</p>", "<template/>", "<noscript />", "<script/>", "<!-- <template> -->", "<br/>", "<noscripts>", "a ", "b", " c &amp; ",
+              "1 < 2 ", "<i title='</template>'>", "\u00e9"]
+    htmls = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 24))) for _ in range(1500)]
+    htmls += ["<template>" * n + "x" + "</template>" * m + "y" for n in (1, 3, 70, 200) for m in (0, 1, 3, 69, 70, 71, 199, 200, 201)]
+    htmls += ["a" + "<template><noscript>h</noscript>h</template>v" * 50, "<template>" * 90 + "</noscript>" * 90 + "t<noscript>n</template>u" * 3]
+    got = pages.extract_text(spark.createDataFrame([(h,) for h in htmls], "html string").repartition(4)).collect()
+    wrong = [(r.html, r.text, model_text(r.html)) for r in got if r.text != model_text(r.html)]
+    assert not wrong, (len(wrong), sorted(wrong, key=lambda w: len(w[0]))[:8])
+
+
+def test_deep_nesting_takes_linear_time(spark):
+    start = time.monotonic()
+    page = spark.createDataFrame([("a" + "<template>" * 100_000 + "b" + "</template>" * 100_000 + "c" + "<noscript>x</noscript>d" * 50_000,)], "html string")
+    assert len(pages.extract_text(page).first().text.split("\n")) == 50_002
+    assert time.monotonic() - start < 60
+
+
 def test_og_and_paragraphs(spark):
     html = ('<meta content="d &amp; e" property="OG:description"><p class="x se-text-paragraph y">a&nbsp;<b>b</b>  c​</p>'
             '<p class="se-text-paragraph">&lt;i&gt;</p><p class="se-text-paragraph"> </p>')
