@@ -6,60 +6,69 @@ part of bounded length, and a thread with more posts than ``part_size`` becomes
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules, schema
 from ..functions import ordered
+from ..functions.jsonwalk import objects_under
 from ..functions.lineage import cut
 from ..functions.text import truthy
+from ..functions.workers import ship
 
 PART_SIZE = 10000
+# Text of posts that a worker hands on at once.
+WALK_CHARS = 4 << 20
 
 
 def _is_object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
-def _is_array(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
-
-
 def iter_thread_posts(payloads: DataFrame, blocked_keys: list[str] | None = None, payload: str = "payload",
                       keys: list[str] | None = None, max_depth: int | None = None) -> DataFrame:
     """Every object under a key ``post`` at any depth, outside the ``blocked_keys`` subtrees.
 
-    ``payload`` is a VARIANT column.  One level of all payloads is opened per round; only objects and arrays go on.
-    ``path`` (positions from the top) orders the posts of a payload, enclosing posts first; VARIANT keeps object keys
-    sorted, so siblings come in key order.  All levels are read; with ``max_depth`` a deeper payload adds a row with
-    ``reject_reason``.
+    ``payload`` is JSON text or VARIANT; one that is not valid JSON has no posts.  Payloads are read once, whatever their
+    depth, and not shuffled.  ``path`` (positions from the top) orders the posts of a payload as its text does, enclosing
+    posts first; a VARIANT has its keys sorted, so only text keeps the order of siblings.  With ``max_depth`` a deeper
+    payload adds a row with ``reject_reason``.
     """
-    spark = payloads.sparkSession
+    ship(payloads.sparkSession)
     keys = keys or [c for c in payloads.columns if c != payload]
     blocked = blocked_keys if blocked_keys is not None else rules.RELATED_KEYS
-    level = payloads.select(*keys, F.array().cast("array<int>").alias("path"), F.col(payload).alias("_node"))
-    level = level.filter("_node is not null")
-    posts = []
-    for _ in count() if max_depth is None else range(max_depth):
-        opened = level.lateralJoin(spark.tvf.variant_explode(F.col("_node").outer()))
-        kept = opened.filter(F.col("key").isNull() | ~F.col("key").isin(blocked)).select(
-            *keys, F.array_append("path", F.col("pos")).alias("path"),
-            F.coalesce(F.col("key") == "post", F.lit(False)).alias("_post"), F.col("value").alias("_node"))
-        object_ = _is_object(F.col("_node"))
-        level = cut(kept.withColumn("_object", object_).filter(F.col("_object") | _is_array(F.col("_node"))))
-        posts.append(level.filter("_post and _object").select(
-            *keys, "path", F.col("_node").alias("post"), F.lit(None).cast("string").alias("reject_reason")))
-        level = level.select(*keys, "path", "_node")
-        if level.isEmpty():
-            break
-    else:
-        posts.append(level.select(*keys).distinct().select(
-            *keys, F.array().cast("array<int>").alias("path"), F.parse_json(F.lit("null")).alias("post"),
-            F.lit("too_deep").alias("reject_reason")))
-    return reduce(DataFrame.unionByName, posts)
+    text = F.to_json(payload) if isinstance(payloads.schema[payload].dataType, T.VariantType) else F.when(
+        F.try_parse_json(payload).isNotNull(), F.col(payload))
+    # Scalars hold nothing, and most texts without the key need no walk.
+    rows = payloads.select(*keys, text.alias("_text")).filter(F.col("_text").contains('post"') | F.col("_text").contains("\\") | F.lit(max_depth is not None))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, at = 0, []
+            out: list[tuple[list[int], str, str | None]] = []
+            for r in range(batch.num_rows):
+                posts, deeper = objects_under(batch.column(len(keys))[r].as_py() or "", "post", blocked, max_depth)
+                found = [(list(p), body, None) for p, body in posts] + ([([], "null", "too_deep")] if deeper else [])
+                at += [r] * len(found)
+                out += found
+                held += sum(len(f[1]) for f in found)
+                if held > WALK_CHARS or r == batch.num_rows - 1:
+                    paths, bodies, reasons = (list(c) for c in zip(*out, strict=True)) if out else ([], [], [])
+                    place = pa.array(at, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [*(c.take(place) for c in batch.columns[: len(keys)]), pa.array(paths, pa.list_(pa.int32())),
+                         pa.array(bodies, pa.string()), pa.array(reasons, pa.string())], [*keys, "path", "_post", "reject_reason"])
+                    held, at, out = 0, [], []
+
+    found = rows.mapInArrow(walk, f"{kinds}, path array<int>, _post string, reject_reason string")
+    return found.select(*keys, "path", F.parse_json("_post").alias("post"), "reject_reason")
 
 
 def _best_url(candidates: Column) -> Column:

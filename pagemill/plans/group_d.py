@@ -22,8 +22,7 @@ def query(name, sql=None):
 
 
 def _found(spark, sf):
-    payloads = table(spark, sf, "payloads").withColumn("payload", F.try_parse_json("body")).drop("body")
-    return threads.iter_thread_posts(payloads)
+    return threads.iter_thread_posts(table(spark, sf, "payloads"), payload="body")
 
 
 @query("d1_iter_thread_posts", """

@@ -1,4 +1,5 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -26,6 +27,56 @@ def test_posts_at_any_depth(spark):
     assert [(r.n, r.reject_reason) for r in cut] == [(2, "too_deep")]
 
 
+def walked(node, blocked, path=()):
+    """Depth first over what a JSON parser returns."""
+    out = []
+    for i, (key, value) in enumerate(node.items() if isinstance(node, dict) else [(None, v) for v in node]):
+        if key in blocked or not isinstance(value, (dict, list)):
+            continue
+        if key == "post" and isinstance(value, dict):
+            out.append(([*path, i], value))
+        out += walked(value, blocked, (*path, i))
+    return out
+
+
+def test_posts_equal_a_parser_in_order_of_the_text(spark):
+    rng = random.Random(17)
+    names = ["post", "post", "a", "zz", "relatedPosts", "related_posts", 'q"post', "b\\", "po\u0073t", "é"]
+
+    def value(depth):
+        kind = rng.random()
+        if depth > 5 or kind < 0.25:
+            return rng.choice([1, 2.50, None, True, "post", 'x"post": {', "{[,", "\\", ""])
+        if kind < 0.5:
+            return [value(depth + 1) for _ in range(rng.randint(0, 3))]
+        return {rng.choice(names): value(depth + 1) for _ in range(rng.randint(0, 4))}
+
+    texts = [json.dumps({"r": value(0), "s": [value(0)]}, ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 1])) for _ in range(400)]
+    # Keys that come twice: the last value at the place of the first.
+    texts += ['{"post": {"a": 1}, "b": {"post": {}}, "post": {"c": {"post": {"d": 1}}}}', '{"x": [{"post": {"n": 1}}], "x": 5}', '{"p\\u006fst": {"u": 1}}',
+              "[]", "5", '"post"', "not json", None, '{"post": {"big": 12345678901234567890, "z": 1.10, "a": 1e5}}']
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, payload string").repartition(3)
+    got = {}
+    for r in threads.iter_thread_posts(df).select("n", "path", F.to_json("post").alias("post"), "reject_reason").collect():
+        assert r.reject_reason is None
+        got.setdefault(r.n, []).append((r.path, json.loads(r.post)))
+    for n, text in enumerate(texts):
+        try:
+            node = json.loads(text)
+        except (TypeError, ValueError):
+            node = None
+        want = walked(node, {"relatedPosts", "related_posts"}) if isinstance(node, (dict, list)) else []
+        assert sorted(got.get(n, []), key=lambda p: p[0]) == want, text
+    assert threads.iter_thread_posts(df.limit(0)).collect() == []
+
+
+def test_payloads_are_scanned_once(spark):
+    df = spark.createDataFrame([(1, '{"a": ' * 400 + '{"post": {"id": "x"}}' + "}" * 400)], "n long, payload string")
+    plan = threads.iter_thread_posts(df)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") >= 1
+    assert threads.iter_thread_posts(df).count() == 1
+
+
 def test_parsing(spark):
     user = {"username": "u"}
     df = payloads(
