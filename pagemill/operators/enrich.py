@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,13 +31,19 @@ def explode_media(docs: DataFrame, doc_key: str | list[str] | None = None) -> Da
     return rows.withColumn("kind", F.when(F.col("media_path").isNotNull(), media_kind(F.col("media_path"))))
 
 
-def apply_provider(assets: DataFrame, fn: Callable, result: str, secrets: list[str] | None = None) -> DataFrame:
+def apply_provider(assets: DataFrame, fn: Callable, result: str, secrets: list[str] | None = None, start: Callable | None = None,
+                   retries: int = 0, concurrency: int = 1) -> DataFrame:
     """run a caller's function over asset batches.
 
     ``fn(pandas.DataFrame) -> iterable`` yields one dict per input row, or an exception object for a row that failed.
     What a generator has yielded is kept when it raises: the row it raised at becomes a ``failed`` row and the
     function is called again for the rows behind it, so no row is worked on twice and one bad item never ends the job.
     A function that returns its answers whole is called row by row after it raised.  ``result`` is the DDL of the function's own columns.
+
+    With ``start()``, which is called once in each task, the function is ``fn(rows, client)``; a client with a ``close``
+    is closed when the task ends, and one that cannot be started makes its task's rows ``failed``.  ``retries`` is how
+    many failed rows a task may try once more, over all its batches; ``concurrency`` how many parts of a batch are
+    worked on at the same time, so a client used by more than one has to stand that.
     """
     names = [f.strip().split(" ")[0] for f in result.split(",")]
     hidden = [s for s in secrets or [] if s]
@@ -61,7 +68,7 @@ def apply_provider(assets: DataFrame, fn: Callable, result: str, secrets: list[s
             answers: list[dict] = []
             given = None
             try:
-                given = fn(rows)
+                given = fn(rows) if start is None else fn(rows, client)
                 for answer in given:
                     answers.append(outcome(answer))
                 if len(answers) != len(rows):
@@ -73,12 +80,46 @@ def apply_provider(assets: DataFrame, fn: Callable, result: str, secrets: list[s
                 return [*answers[: len(rows) - 1], outcome(e)]
             return answers
 
-        for batch in batches:
+        def part(rows) -> list[dict]:
             answers: list[dict] = []
-            while len(answers) < len(batch):
-                answers += called(batch.iloc[len(answers):])
-            found = pd.DataFrame(answers, columns=[*names, "status", "error"], index=batch.index)
-            yield pd.concat([batch[own], found], axis=1)
+            while len(answers) < len(rows):
+                answers += called(rows.iloc[len(answers):])
+            return answers
+
+        client, broken, left = None, None, retries
+        if start is not None:
+            try:
+                client = start()
+            except Exception as e:
+                broken = outcome(e)
+        pool = ThreadPoolExecutor(concurrency) if concurrency > 1 else None
+
+        def answered(rows) -> list[dict]:
+            if broken is not None:
+                return [broken] * len(rows)
+            if pool is None or len(rows) < 2:
+                return part(rows)
+            step = -(-len(rows) // concurrency)
+            parts = pool.map(part, [rows.iloc[i : i + step] for i in range(0, len(rows), step)])
+            return [a for own in parts for a in own]
+
+        try:
+            for batch in batches:
+                answers = answered(batch)
+                failed = [i for i, a in enumerate(answers) if a["status"] == "failed"]
+                while failed and left > 0 and broken is None:
+                    again = failed[:left]
+                    left -= len(again)
+                    for i, answer in zip(again, answered(batch.iloc[again]), strict=True):
+                        answers[i] = answer
+                    failed = [i for i in again if answers[i]["status"] == "failed"]
+                found = pd.DataFrame(answers, columns=[*names, "status", "error"], index=batch.index)
+                yield pd.concat([batch[own], found], axis=1)
+        finally:
+            if pool is not None:
+                pool.shutdown()
+            if client is not None and hasattr(client, "close"):
+                client.close()
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in assets.schema)
     return assets.mapInPandas(run, f"{ddl}, {result}, status string, error string")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import file_system
 from ..functions.text import join_lines, truthy
 
 # Headings and labels of the rendered document.
@@ -161,3 +165,86 @@ def write_documents(docs: DataFrame, path: str, fmt: str = "json", mode: str = "
         rows.parquet(path)
     else:
         raise ValueError(f"unknown format: {fmt!r}")
+
+
+MANIFEST = "manifest"
+_SINGLE = {"json_files": "json", "markdown_files": "markdown"}
+
+
+def _manifests(spark: SparkSession, path: str):
+    """The file system, and (number, path) of the manifests under ``path``, newest first."""
+    files, where = file_system(spark, f"{path.rstrip('/')}/{MANIFEST}-*.json")
+    found = [(int(f.getPath().getName()[len(MANIFEST) + 1 : -5]), f.getPath()) for f in files.globStatus(where) or []]
+    return files, sorted(found, key=lambda m: -m[0])
+
+
+def published(spark: SparkSession, path: str) -> dict | None:
+    """version, format and folder of what is published under ``path``: the newest manifest that is whole."""
+    files, found = _manifests(spark, path)
+    for _, where in found:
+        stream = files.open(where)
+        try:
+            text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        try:
+            manifest = json.loads(text)
+        except ValueError:
+            # Its writer was ended; the version before it stands.
+            continue
+        return {**manifest, "folder": f"{path.rstrip('/')}/{manifest['version']}"}
+    return None
+
+
+def publish_documents(docs: DataFrame, path: str, fmt: str = "json", **render) -> str:
+    """G2, all or nothing on any file system: a new version folder, and a manifest that names it, written last.
+
+    Readers (:func:`published`, :func:`read_published`) see the version before until the manifest is there; a write that
+    is ended leaves a folder no manifest names.  Nothing is renamed or overwritten: a manifest has the next number, and of
+    two writers that take the same one the second fails.  Formats are those of :func:`write_documents`, and
+    ``json_files`` and ``markdown_files`` with one text file for each document, in a folder named by a digest of platform
+    and source; ``index`` tells which.  Returns the version's folder.
+    """
+    spark = docs.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    folder = f"{path.rstrip('/')}/{version}"
+    if fmt in _SINGLE:
+        _write_files(docs, folder, _SINGLE[fmt], **render)
+    else:
+        write_documents(docs, folder, fmt, **render)
+    files, found = _manifests(spark, path)
+    number = found[0][0] + 1 if found else 0
+    _, where = file_system(spark, f"{path.rstrip('/')}/{MANIFEST}-{number}.json")
+    stream = files.create(where, False)
+    try:
+        stream.write(bytearray(json.dumps({"version": version, "format": fmt}).encode()))
+    finally:
+        stream.close()
+    return folder
+
+
+def _write_files(docs: DataFrame, folder: str, fmt: str, **render) -> None:
+    key = F.sha2(F.to_json(F.struct("platform", "source"), {"ignoreNullFields": "false"}), 256)
+    if fmt == "markdown":
+        order = ["section", "part_no"]
+        # The line separator puts the last new line back.
+        rows = render_markdown(docs, **render).select(key.alias("document"), *order, F.regexp_replace("markdown", r"\n\z", "").alias("value"))
+    else:
+        order = ["part_no"]
+        part = F.col("part_no") if "part_no" in docs.columns else F.lit(0)
+        rows = docs.select(key.alias("document"), part.alias("part_no"), F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).alias("value"))
+    # A document is written by one task, which has one file open at a time.
+    rows.repartition("document").sortWithinPartitions("document", *order).drop(*order).write.partitionBy("document").text(f"{folder}/documents")
+    docs.select(key.alias("document"), "platform", "source").distinct().write.parquet(f"{folder}/index")
+
+
+def read_published(spark: SparkSession, path: str) -> DataFrame:
+    """The published documents: records, or document, platform, source and text of single files."""
+    manifest = published(spark, path)
+    if manifest is None:
+        raise FileNotFoundError(f"nothing is published under {path}")
+    folder, fmt = manifest["folder"], manifest["format"]
+    if fmt in _SINGLE:
+        texts = spark.read.text(f"{folder}/documents", wholetext=True).withColumnRenamed("value", "text")
+        return spark.read.parquet(f"{folder}/index").join(texts, "document")
+    return (spark.read.parquet(folder) if fmt == "parquet" else spark.read.json(folder)).drop("by_platform")

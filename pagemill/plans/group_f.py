@@ -257,6 +257,16 @@ def g2(spark, sf):
     return spark.read.json(path).groupBy("platform").agg(F.count("*").alias("records"))
 
 
+@query("g2_publish_documents", "SELECT platform, records FROM (" + group_e.ORACLES["e27_union_documents"] + ")")
+def g2_publish(spark, sf):
+    """Publishes two versions, JSON lines and then Parquet, and reads the newer."""
+    path = new_folder(spark, "published")
+    docs = group_e.documents(spark, sf)
+    output.publish_documents(docs, path, "json")
+    output.publish_documents(docs, path, "parquet")
+    return output.read_published(spark, path).groupBy("platform").agg(F.count("*").alias("records"))
+
+
 # What every record of the union shows, from the driver tables: its key, title and last line.
 _LINES = group_e.ctes("infos", "dumps", "photo_posts", "blog_posts", "base_posts", "thread_posts", "media_files") + THREADS_SQL + """,
 r AS (
