@@ -96,24 +96,39 @@ def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFra
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
+def _fits_broadcast(table: DataFrame) -> bool:
+    """Whether Spark's own size check lets ``table`` be sent to all tasks."""
+    state = table.sparkSession._jsparkSession.sessionState()
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size <= state.conf().autoBroadcastJoinThreshold()
+
+
 def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """Left join to a table that is unique on ``keys``, without gathering a hot key of ``df`` in one task.
 
-    The ``HOT_KEYS`` most frequent keys of ``df`` are dealt to ``SPREAD`` parts each, and their table rows repeated for
-    every part; any other key holds less than 1 / ``HOT_KEYS`` of the rows.  The parts are drawn in the order of the rows'
-    hashes, not in the order in which a task meets them: equal rows spread too, and a task run again deals the same rows
-    to the same parts.  Rows with a null key, which have no partner, spread likewise.
+    A table that Spark broadcasts needs no care.  Otherwise keys with more than 1 / ``HOT_KEYS`` of the rows are found by
+    a sketch, which every task of ``df`` adds to, and dealt to ``SPREAD`` parts each; their table rows are repeated for
+    every part.  The parts are drawn in the order of the rows' hashes, not in the order in which a task meets them: equal
+    rows spread too, and a task run again deals the same rows to the same parts.  Rows with a null key, which have no
+    partner, spread likewise; all others go straight to the join.
     """
+    if _fits_broadcast(table):
+        return df.join(table, keys, "left")
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    # At most HOT_KEYS rows, by its limit.
-    hot = F.broadcast(df.filter(known).groupBy(*keys).agg(F.count("*").alias("_n")).orderBy(
-        F.desc("_n"), *keys).limit(HOT_KEYS).select(*keys, F.lit(True).alias("_hot")))
+    digest = F.xxhash64(*keys)
+    # One row of the sketch's entries; an entry counted too high only spreads a key that need not be.
+    counted = df.filter(known).select(digest.alias("_key")).agg(
+        F.count("*").alias("_rows"), F.expr(f"approx_top_k(_key, {HOT_KEYS}, {10 * HOT_KEYS})").alias("_top"))
+    hot = F.broadcast(counted.select("_rows", F.explode("_top").alias("_e")).filter(
+        F.col("_e.count") * HOT_KEYS > F.col("_rows")).select(F.col("_e.item").alias("_key"), F.lit(True).alias("_hot")))
     # Maps and variants have no hash.
     values = [F.to_json(F.struct(F.col(f"`{c}`"))) if re.search(r"map<|variant", t) else F.col(f"`{c}`") for c, t in df.dtypes]
-    part = F.when(F.col("_hot") | ~known, F.floor(F.rand(7) * SPREAD).cast("int")).otherwise(0)
-    rows = df.join(hot, keys, "left").sortWithinPartitions(F.xxhash64(*values)).withColumn("_part", part).drop("_hot")
+    drawn = F.col("_hot") | ~known
+    part = F.when(drawn, F.floor(F.rand(7) * SPREAD).cast("int")).otherwise(0)
+    rows = df.withColumn("_key", digest).join(hot, "_key", "left").sortWithinPartitions(
+        F.when(drawn, F.xxhash64(*values))).withColumn("_part", part).drop("_hot", "_key")
     parts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
-    spread = table.join(hot, keys, "left").withColumn("_part", F.explode(parts)).drop("_hot")
+    spread = table.withColumn("_key", digest).join(hot, "_key", "left").withColumn("_part", F.explode(parts)).drop("_hot", "_key")
     return rows.join(spread, [*keys, "_part"], "left").drop("_part")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ipaddress
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -303,9 +302,10 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, max_redirects: int = 1
                       resolved: DataFrame | None = None, allow_private: bool = False) -> DataFrame:
     """Follow captured hops (url, status, location) from every start.
 
-    Adds ``final_url``, ``hops`` (redirects followed), ``status`` and ``error``.  Every distinct URL is followed
-    once, so many starts at one URL cost one chain.  Each round writes only the chains still moving; there are at
-    most ``max_redirects + 1`` rounds.
+    Adds ``final_url``, ``hops`` (redirects followed), ``status`` and ``error``.  Redirects are composed to jumps of 2,
+    4, 8 ... of them, each in one join of the redirects with themselves, and starts take the jumps that add up to one
+    more than ``max_redirects``: 3 rounds for 10 redirects.  A jump ends early at a URL that is no redirect, or one that
+    must not be followed; only then is it looked up what that URL is.  Every distinct URL is followed once.
     """
     redirects = [301, 302, 303, 307, 308]
     captured = hops.groupBy(F.col("url").alias("_cur")).agg(F.max(F.struct("status", "location")).alias("_hop"))
@@ -315,32 +315,35 @@ def resolve_redirects(starts: DataFrame, hops: DataFrame, max_redirects: int = 1
         "_cur", status.alias("_status"), F.when(moves, absolute_url(F.col("_cur"), location)).alias("_next"))
     table = cut(guard_urls(targets, "_next", resolved, allow_private))
 
-    start = F.col(url)
-    live = starts.select(start.alias("_start")).filter("_start is not null").distinct().select(
+    def onward(moved: DataFrame, jumps: DataFrame) -> DataFrame:
+        """``moved`` (_start, _cur, hops) after one more of ``jumps``."""
+        named = jumps.select(F.col("_start").alias("_cur"), F.col("_cur").alias("_far"), F.col("hops").alias("_more"))
+        return ordered.lookup(moved, named, ["_cur"]).select(
+            "_start", F.coalesce("_far", "_cur").alias("_cur"), (F.col("hops") + F.coalesce("_more", F.lit(0))).alias("hops"))
+
+    fetches = max_redirects + 1
+    jumps = table.filter(F.col("_next").isNotNull() & F.col("is_safe")).select(
+        F.col("_cur").alias("_start"), F.col("_next").alias("_cur"), F.lit(1).alias("hops"))
+    moved = starts.select(F.col(url).alias("_start")).filter("_start is not null").distinct().select(
         "_start", F.col("_start").alias("_cur"), F.lit(0).alias("hops"))
-    moved = F.col("_next").isNotNull() & F.col("is_safe")
-    ended = []
-    for _ in range(max_redirects + 1):
-        stepped = cut(ordered.lookup(live, table, ["_cur"]))
-        error = (
-            F.when(F.col("_next").isNotNull(), F.concat(F.lit("ssrf_redirect_blocked:"), "reason"))
-            .when(F.col("_status").isNull(), "not_captured")
-        )
-        ended.append(stepped.filter(~F.coalesce(moved, F.lit(False))).select(
-            F.col("_start").alias(url),
-            F.when(error.isNull(), F.col("_cur")).alias("final_url"),
-            "hops",
-            F.when(error.isNull(), F.col("_status")).alias("status"),
-            error.alias("error"),
-        ))
-        live = stepped.filter(moved).select("_start", F.col("_next").alias("_cur"), (F.col("hops") + 1).alias("hops"))
-        if live.isEmpty():
+    length = 1
+    while True:
+        if fetches & length:
+            moved = onward(moved, jumps)
+        length *= 2
+        if length > fetches:
             break
-    ended.append(live.select(
-        F.col("_start").alias(url), F.lit(None).cast("string").alias("final_url"), "hops",
-        F.lit(None).cast("int").alias("status"), F.lit("too_many_redirects").alias("error")))
-    results = reduce(DataFrame.unionByName, ended)
-    return ordered.lookup(starts, results, [url])
+        jumps = cut(onward(jumps, jumps))
+    ended = ordered.lookup(moved, table, ["_cur"])
+    error = (
+        F.when(F.col("hops") == fetches, "too_many_redirects")
+        .when(F.col("_next").isNotNull(), F.concat(F.lit("ssrf_redirect_blocked:"), "reason"))
+        .when(F.col("_status").isNull(), "not_captured")
+    )
+    results = ended.select(
+        F.col("_start").alias(url), F.when(error.isNull(), F.col("_cur")).alias("final_url"), "hops",
+        F.when(error.isNull(), F.col("_status")).alias("status"), error.alias("error"))
+    return ordered.lookup(starts, cut(results), [url])
 
 
 def batch_by_host(df: DataFrame, url: str = "url", position: str = "position", n: int | None = None) -> DataFrame:

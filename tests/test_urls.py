@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators import urls
@@ -93,6 +96,37 @@ def test_redirects(spark):
     assert got["http://d/"].status == 302 and got["http://none/"].error == "not_captured"
 
 
+@pytest.mark.parametrize("limit", [0, 1, 2, 5, 10])
+def test_redirects_like_one_fetch_after_the_other(spark, limit):
+    rng = random.Random(limit)
+    names = [f"http://h{i}/" for i in range(60)]
+    table = {}
+    for i, name in enumerate(names[:55]):
+        # Long chains, loops, dead ends, blocked targets.
+        target = rng.choice([names[min(59, i + 1)]] * 6 + [rng.choice(names), "http://10.0.0.1/", None])
+        table[name] = (rng.choice([301, 302, 302, 307, 200]), target)
+
+    def follow(url):
+        hops = 0
+        for _ in range(limit + 1):
+            if url not in table:
+                return None, hops, None, "not_captured"
+            status, target = table[url]
+            if status == 200 or target is None:
+                return url, hops, status, None
+            if "10.0.0.1" in target:
+                return None, hops, None, "ssrf_redirect_blocked:ip_blocked:10.0.0.1"
+            url, hops = target, hops + 1
+        return None, hops, None, "too_many_redirects"
+
+    hops = spark.createDataFrame([(u, s, t) for u, (s, t) in table.items()], "url string, status int, location string")
+    starts = frame(spark, names * 2 + [None])
+    got = urls.resolve_redirects(starts, hops, limit).collect()
+    assert len(got) == 121
+    for r in got:
+        assert (r.final_url, r.hops, r.status, r.error) == (follow(r.url) if r.url else (None, None, None, None)), r.url
+
+
 def test_join_like_the_standard_library(spark):
     from urllib.parse import urljoin
 
