@@ -36,3 +36,17 @@ def file_system(spark: SparkSession, path: str):
     """The file system of a path, and the path as it knows it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def bucketed(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """``df`` written to the shared folder in buckets of ``columns``, one file each: a join on them does not shuffle it again.
+
+    The catalog entry lasts only until the table is read back; the files stay where they are.
+    """
+    spark = df.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), new_folder(spark, name)
+    entry = f"{name}_{path[-32:]}"
+    df.repartition(n, *columns).write.format("parquet").bucketBy(n, *columns).option("path", path).saveAsTable(entry)
+    table = spark.table(entry)
+    spark.sql(f"DROP TABLE {entry}")
+    return table

@@ -18,13 +18,15 @@ from pyspark.sql import types as T
 from .. import rules, schema
 from ..functions import ordered
 from ..functions.jsonwalk import objects_under
-from ..functions.lineage import cut
+from ..functions.lineage import bucketed, cut
 from ..functions.text import truthy
 from ..functions.workers import ship
 
 PART_SIZE = 10000
 # Text of posts that a worker hands on at once.
 WALK_CHARS = 4 << 20
+# Levels of a crawl after which visited pages are put together.
+MERGE_LEVELS = 8
 
 
 def _is_object(v: Column) -> Column:
@@ -172,12 +174,24 @@ def expand_frontier(posts: DataFrame, visited: DataFrame, max_pages: int | None
 
     ``posts``: crawl_id, author, code, reply_count and the ``order`` columns; ``visited``: crawl_id, url.
     """
-    order = order or ["seq"]
+    used = None if max_pages is None else visited.groupBy("crawl_id").agg(F.count("*").alias("_used"))
+    return _ranked(_unseen(_leads(posts, order or ["seq"]), [visited]), max_pages, used)
+
+
+def _leads(posts: DataFrame, order: list[str]) -> DataFrame:
+    """crawl_id, url, found_at: the pages posts with replies lead to, at their first sighting."""
     leads = posts.filter((F.col("reply_count") > 0) & truthy("code").isNotNull()).select(
         "crawl_id", post_url(F.col("author"), F.col("code")).alias("url"), F.struct(*order).alias("found_at"))
-    fresh = leads.groupBy("crawl_id", "url").agg(F.min("found_at").alias("found_at")).join(
-        visited.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti")
-    used = visited.groupBy("crawl_id").agg(F.count("*").alias("_used"))
+    return leads.groupBy("crawl_id", "url").agg(F.min("found_at").alias("found_at"))
+
+
+def _unseen(leads: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """Leads in none of the tables ``seen``; tables in buckets of (crawl_id, url) are read where they lie."""
+    return reduce(lambda rest, table: rest.join(table.select("crawl_id", "url"), ["crawl_id", "url"], "left_anti"), seen, leads)
+
+
+def _ranked(fresh: DataFrame, max_pages: int | None, used: DataFrame | None) -> DataFrame:
+    """crawl_id, url, visit_no, found_at, as many as the page budget leaves."""
     best = fresh if max_pages is None else ordered.first_by(fresh, ["crawl_id"], ["found_at", "url"], max_pages)
     ranked = best.withColumn("visit_no", F.row_number().over(_by_crawl()))
     if max_pages is None:
@@ -199,26 +213,37 @@ def crawl_reach(starts: DataFrame, page_posts: DataFrame, max_pages: int | None
     ``starts``: crawl_id, url.  ``page_posts``: page_url, seq, id, author, code, reply_count and more.  Returns the
     merged posts per crawl and (crawl_id, visited_pages, budget_hit).  Each round opens one level and is written down;
     a level visits pages in the order a first-in-first-out queue would, so a page budget (``max_pages``) cuts at the
-    same page, and ``budget_hit`` tells that it was used up.  Rounds read the links of the pages only, written once.
+    same page, and ``budget_hit`` tells that it was used up.
+
+    A round shuffles what the new level leads to and no more: links lie in buckets of their page, visited pages in
+    buckets of crawl and page, level by level, ``MERGE_LEVELS`` of them put together when there are as many.
     """
-    level = starts.select("crawl_id", "url").distinct().withColumns(
-        {"depth": F.lit(0), "visit_no": F.lit(1)})
-    levels = [cut(level)]
-    visited = levels[0]
+    on = ["crawl_id", "url"]
+    level = bucketed(starts.select(*on).distinct().withColumns({"depth": F.lit(0), "visit_no": F.lit(1)}), "visited", *on)
+    levels, seen = [level], [level]
     # What a page leads to; posts in full are joined once, at the end.
-    links = cut(page_posts.filter((F.col("reply_count") > 0) & truthy("code").isNotNull()).select(
-        "page_url", "seq", "author", "code", "reply_count"))
+    links = bucketed(page_posts.filter((F.col("reply_count") > 0) & truthy("code").isNotNull()).select(
+        F.col("page_url").alias("url"), "seq", "author", "code", "reply_count"), "links", "url")
+    used = None if max_pages is None else cut(level.groupBy("crawl_id").agg(F.count("*").alias("_used")))
     for depth in count(1):
-        opened = levels[-1].join(links, F.col("url") == F.col("page_url")).select(
-            "crawl_id", "visit_no", "seq", "author", "code", "reply_count")
-        found = expand_frontier(opened, visited, max_pages, ["visit_no", "seq"])
-        level = cut(found.select("crawl_id", "url", F.lit(depth).alias("depth"), "visit_no"))
+        # A page many crawls are at is spread; its links are few.
+        needed = links.join(level.select("url").distinct(), "url", "left_semi")
+        opened = ordered.lookup(level.select("crawl_id", "visit_no", "url"), needed, ["url"]).filter("code is not null")
+        fresh = _unseen(_leads(opened, ["visit_no", "seq"]), seen)
+        found = _ranked(fresh, max_pages, used).select(*on, F.lit(depth).alias("depth"), "visit_no")
+        level = bucketed(found, "visited", *on)
         if level.isEmpty():
             break
         levels.append(level)
-        visited = reduce(DataFrame.unionByName, levels)
-    seen = visited.join(page_posts, F.col("url") == F.col("page_url")).drop("url", "page_url")
-    merged = merge_posts(seen, ["crawl_id"], ["depth", "visit_no", "seq"]).drop("depth", "visit_no", "seq")
+        seen.append(level)
+        if len(seen) >= MERGE_LEVELS:
+            seen = [bucketed(reduce(DataFrame.unionByName, [s.select(*on) for s in seen]), "visited", *on)]
+        if used is not None:
+            more = level.groupBy("crawl_id").agg(F.count("*").alias("_used"))
+            used = cut(used.unionByName(more).groupBy("crawl_id").agg(F.sum("_used").alias("_used")))
+    visited = reduce(DataFrame.unionByName, levels)
+    seen_posts = visited.join(page_posts, F.col("url") == F.col("page_url")).drop("url", "page_url")
+    merged = merge_posts(seen_posts, ["crawl_id"], ["depth", "visit_no", "seq"]).drop("depth", "visit_no", "seq")
     pages = visited.groupBy("crawl_id").agg(F.count("*").alias("visited_pages"))
     return merged, pages.withColumn(
         "budget_hit", F.lit(False) if max_pages is None else F.col("visited_pages") >= max_pages)

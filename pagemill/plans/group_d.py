@@ -120,6 +120,14 @@ def d7_pages(spark, sf):
     return threads.crawl_reach(starts, pages.drop("conv_id", "turn"), max_pages=4)[1]
 
 
+@query("d7_crawl_reach_whole", _D7.replace("WHERE n < 4", "") + "SELECT w.crawl_id, p.id, p.code, p.text FROM w JOIN page_posts p ON p.page_url = w.url")
+def d7_whole(spark, sf):
+    """The closure without a page budget."""
+    pages = table(spark, sf, "page_posts")
+    starts = pages.filter("turn = 0").selectExpr("conv_id AS crawl_id", "page_url AS url")
+    return threads.crawl_reach(starts, pages.drop("conv_id", "turn"))[0].select("crawl_id", "id", "code", "text")
+
+
 @query("d8_escalate", ctes("thread_posts") + """,
 fast AS (SELECT * FROM thread_posts WHERE seq < 2),
 a AS (SELECT thread_id, bool_or(code = root_code) AND count(*) FILTER (code <> root_code)

@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pagemill.functions.lineage import bucketed
 from pagemill.operators import output, threads
 
 POST = ("thread_id long, source string, root_code string, seq long, id string, code string, author string, text string, "
@@ -129,7 +130,7 @@ def test_media_labels(spark):
     assert [label(df, True, "tiktok"), label(empty, True, "tiktok")] == ["downloaded", "download_failed"]
 
 
-def test_crawl_like_a_queue(spark):
+def test_crawl_like_a_queue(spark, monkeypatch):
     # Pages lead to pages; the budget cuts the queue at the same place.
     links = {"a": ["b", "c"], "b": ["d", "a"], "c": ["d", "e"], "d": ["f"], "e": ["g"], "f": [], "g": []}
     url = lambda c: f"https://www.threads.net/@u/post/{c}"
@@ -137,9 +138,10 @@ def test_crawl_like_a_queue(spark):
     df = spark.createDataFrame(posts, "page_url string, seq long, id string, code string, author string, "
                                       "reply_count long, text string")
     starts = spark.createDataFrame([(1, url("a"))], "crawl_id long, url string")
-    for budget in (1, 2, 3, 4, 100):
+    monkeypatch.setattr(threads, "MERGE_LEVELS", 2)
+    for budget in (1, 2, 3, 4, 100, None):
         queue, seen, found = ["a"], [], {}
-        while queue and len(seen) < budget:
+        while queue and (budget is None or len(seen) < budget):
             page = queue.pop(0)
             if page in seen:
                 continue
@@ -153,6 +155,21 @@ def test_crawl_like_a_queue(spark):
         assert visited.first().visited_pages == len(seen)
 
 
+def test_visited_pages_are_not_shuffled_again(spark):
+    rows = [(i % 7, f"https://x/{i}") for i in range(200)]
+    seen = [bucketed(spark.createDataFrame(rows[k::2], "crawl_id long, url string"), "visited", "crawl_id", "url") for k in range(2)]
+    posts = spark.createDataFrame([(1, i, "u", f"c{i}", 1) for i in range(20)], "crawl_id long, seq long, author string, code string, reply_count long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        fresh = threads._unseen(threads._leads(posts, ["seq"]), seen)
+        assert fresh.count() == 20
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.split("Initial Plan")[0].count("Exchange hashpartitioning") <= 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_escalation_and_merge(spark):
     fast = spark.createDataFrame(thread(2), POST)
     deep = spark.createDataFrame(thread(9), POST)
