@@ -50,3 +50,10 @@ def bucketed(df: DataFrame, name: str, *columns: str) -> DataFrame:
     table = spark.table(entry)
     spark.sql(f"DROP TABLE {entry}")
     return table
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import ordered
-from ..functions.lineage import cut
+from ..functions.lineage import cut, stored
 from ..functions.text import (
     any_of, col, host_of, netloc_of, port_of, scheme_of, strip, truthy, url_base, with_netloc,
 )
@@ -209,7 +209,6 @@ def redact_urls(df: DataFrame, cols: list[str], secrets: dict[str, str | None] |
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
-IPV6 = r"^[0-9a-f:]*:[0-9a-f:]*:[0-9a-f:.]*(?:%.*)?$"
 
 
 def _ipv4_number(ip: Column) -> Column:
@@ -217,42 +216,126 @@ def _ipv4_number(ip: Column) -> Column:
     return sum((F.get(octets, F.lit(i)).try_cast("long") * (256 ** (3 - i)) for i in range(1, 4)), F.get(octets, F.lit(0)).try_cast("long") * 256**3)
 
 
-def with_blocked(df: DataFrame, ip: str, out: str) -> DataFrame:
-    """Add ``out``: true for an address that is not on the public internet, false for other text.
+def with_address(df: DataFrame, ip: str) -> DataFrame:
+    """Add ``_version`` (4, 6, or null for text that is no address), ``_hi`` and ``_lo``, the 128 bits as two longs.
 
-    The parts of an address are columns of their own, so each is taken apart once.
+    IPv4 fills the lower half alone; an IPv4 address mapped into IPv6 is one of IPv4.  A zone behind ``%`` is left out.
     """
-    address = F.col(ip)
-    mapped = truthy(F.regexp_extract(address, r"^::ffff:(\d+\.\d+\.\d+\.\d+)$", 1))
-    hextet = lambda i: F.conv(truthy(F.split_part(address, F.lit(":"), F.lit(i))), 16, 10).try_cast("long")
-    staged = df.withColumns({
-        "_v4": F.coalesce(F.when(address.rlike(IPV4), address), mapped), "_v6": address.rlike(IPV6),
-        "_first": F.coalesce(hextet(1), F.lit(0)), "_second": F.coalesce(hextet(2), F.lit(0)),
-    }).withColumn("_number", _ipv4_number(F.col("_v4")))
-    nets = [ipaddress.ip_network(n) for n in rules.BLOCKED_IPV4]
-    inner = any_of([F.col("_number").between(int(n.network_address), int(n.broadcast_address)) for n in nets])
-    first, second = F.col("_first"), F.col("_second")
-    # Of IPv6 the global unicast block is public, without its tunnel and documentation parts, and old site-local.
-    public = (first.between(0x2000, 0x3FFF) & ~(
-        ((first == 0x2001) & ((second < 0x200) | (second == 0xDB8))) | (first == 0x2002))) | first.between(0xFEC0, 0xFEFF)
-    flag = F.when(F.col("_number").isNotNull(), inner).when(F.col("_v6"), ~public).otherwise(False)
-    return staged.withColumn(out, flag).drop("_v4", "_v6", "_first", "_second", "_number")
-
-
-def _resolved_verdicts(resolved: DataFrame) -> DataFrame:
-    """One row per host: its first non-public address, if any."""
-    judged = with_blocked(resolved.select(F.lower("host").alias("_host"), "ip", F.lower("ip").alias("_ip")), "_ip", "_bad")
-    return judged.groupBy("_host").agg(
+    text = F.substring_index(F.col(ip), "%", 1)
+    mapped = truthy(F.regexp_extract(text, r"^(?:0{0,4}:){2,6}ffff:(\d+\.\d+\.\d+\.\d+)$", 1))
+    tail = F.regexp_extract(text, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    tail_number = F.when(tail.rlike(IPV4), _ipv4_number(tail))
+    hexed = F.concat(F.left(text, F.length(text) - F.length(tail)), F.lower(F.hex(F.shiftright(tail_number, 16))), F.lit(":"), F.lower(F.hex(tail_number.bitwiseAND(0xFFFF))))
+    staged = df.withColumn("_v4", F.coalesce(F.when(F.col(ip).rlike(IPV4), F.col(ip)), F.when(mapped.rlike(IPV4), mapped))).withColumn(
+        "_text", F.when(F.col("_v4").isNull() & text.contains(":"), F.when(tail == "", text).otherwise(hexed)))
+    form = F.col("_text")
+    gap = form.contains("::")
+    parts = lambda t: F.filter(F.split(t, ":"), lambda p: p != "")
+    behind = F.substring(form, F.instr(form, "::") + 2, F.length(form))
+    staged = staged.withColumns({
+        "_left": parts(F.substring_index(form, "::", 1)), "_right": F.when(gap, parts(behind)).otherwise(F.array().cast("array<string>")),
+        "_fine": form.rlike("^[0-9a-f:]+$") & ~form.rlike("^:(?!:)|(?<!:):$|:::|::.*::"), "_gap": gap})
+    n = F.size("_left") + F.size("_right")
+    fits = F.col("_fine") & F.when(F.col("_gap"), n <= 7).otherwise(n == 8)
+    staged = staged.withColumn("_groups", F.when(fits, F.concat("_left", F.array_repeat(F.lit("0"), 8 - n), "_right")))
+    whole = F.when(F.forall("_groups", lambda g: F.length(g) <= 4), F.array_join(F.transform("_groups", lambda g: F.lpad(g, 4, "0")), ""))
+    staged = staged.withColumn("_hex", whole)
+    half = lambda at: F.conv(F.substring(F.col("_hex"), at, 16), 16, -10).cast("long")
+    number = _ipv4_number(F.col("_v4"))
+    # However it is written, a mapped address is one of IPv4.
+    is_mapped = F.col("_hex").startswith("0" * 20 + "ffff")
+    return staged.withColumns({
+        "_version": F.when(F.col("_v4").isNotNull() | is_mapped, 4).when(F.col("_hex").isNotNull(), 6),
+        "_hi": F.when(F.col("_v4").isNotNull() | is_mapped, F.lit(0).cast("long")).otherwise(half(1)),
+        "_lo": F.when(F.col("_v4").isNotNull(), number).when(is_mapped, half(17).bitwiseAND(0xFFFFFFFF)).otherwise(half(17)),
+    }).drop("_v4", "_text", "_left", "_right", "_fine", "_gap", "_groups", "_hex")
+
+
+def _signed(value: int) -> int:
+    return value - (1 << 64) if value >= 1 << 63 else value
+
+
+def _masks(version: int, length: int) -> tuple[int, int]:
+    """The two longs that keep the first ``length`` bits of an address."""
+    bits = ((1 << 128) - 1) ^ ((1 << ((32 if version == 4 else 128) - length)) - 1)
+    return _signed(bits >> 64), _signed(bits & ((1 << 64) - 1))
+
+
+def _default_blocked() -> Column:
+    """The built-in networks as a condition on an address's longs, longest first."""
+    nets = [(ipaddress.ip_network(n), flag) for names, flag in (
+        (rules.BLOCKED_IPV4, True), (rules.BLOCKED_IPV6, True), (rules.PUBLIC_NETWORKS, False)) for n in names]
+    verdict = F
+    for net, flag in sorted(nets, key=lambda n: -n[0].prefixlen):
+        hi, lo = _masks(net.version, net.prefixlen)
+        first = int(net.network_address)
+        inside = (F.col("_version") == net.version) & (F.col("_lo").bitwiseAND(F.lit(lo)) == F.lit(_signed(first & ((1 << 64) - 1))))
+        if hi and net.version == 6:
+            inside = inside & (F.col("_hi").bitwiseAND(F.lit(hi)) == F.lit(_signed(first >> 64)))
+        verdict = verdict.when(inside, F.lit(flag))
+    return F.coalesce(verdict.otherwise(F.lit(False)), F.lit(False))
+
+
+def _by_networks(df: DataFrame, networks: DataFrame, out: str) -> DataFrame:
+    """``out`` by the longest of ``networks`` (network, blocked) each address lies in; in none it is free.
+
+    Every distinct address meets the networks in one join, with one row for each prefix length that occurs, of which
+    there are at most 162.
+    """
+    cidr = networks.select(
+        F.lower(F.split_part("network", F.lit("/"), F.lit(1))).alias("_ip"), F.split_part("network", F.lit("/"), F.lit(2)).try_cast("int").alias("_len"),
+        (F.col("blocked") if "blocked" in networks.columns else F.lit(True)).alias("_blocked"))
+    known = with_address(cidr, "_ip").withColumn("_len", F.coalesce("_len", F.when(F.col("_version") == 4, 32).otherwise(128)))
+    # Written, so that addresses are taken apart once; plans that hold the steps several times are slow to make.
+    known = stored(known.filter(F.col("_version").isNotNull() & F.col("_len").between(0, F.when(F.col("_version") == 4, 32).otherwise(128))), "networks")
+    lengths = sorted((r["_version"], r["_len"]) for r in known.select("_version", "_len").distinct().collect())
+
+    def cut_to(version: int, length: int) -> list[Column]:
+        hi, lo = _masks(version, length)
+        return [F.col("_hi").bitwiseAND(F.lit(hi)), F.col("_lo").bitwiseAND(F.lit(lo))]
+
+    def keyed(rows: DataFrame, same: Column) -> DataFrame:
+        keys = [F.when((F.col("_version") == v) & same(n), F.struct(F.lit(n).alias("n"), cut_to(v, n)[0].alias("hi"), cut_to(v, n)[1].alias("lo"))) for v, n in lengths]
+        entries = F.array_compact(F.array(*keys)) if keys else F.array().cast("array<struct<n:int,hi:bigint,lo:bigint>>")
+        return rows.withColumn("_k", F.explode(entries)).withColumns({f"_k{c}": F.col(f"_k.{c}") for c in ("n", "hi", "lo")}).drop("_k")
+
+    on = ["_version", "_kn", "_khi", "_klo"]
+    table = keyed(known, lambda n: F.col("_len") == n).groupBy(*on).agg(F.bool_or("_blocked").alias("_blocked"))
+    address = ["_version", "_hi", "_lo"]
+    asked = stored(df.select(*address).filter("_version IS NOT NULL").distinct(), "asked")
+    hits = keyed(asked, lambda n: F.lit(True)).join(table, on).groupBy(*address).agg(F.max_by("_blocked", "_kn").alias("_net"))
+    return ordered.lookup(df, stored(hits, "addresses"), address).withColumn(out, F.coalesce("_net", F.lit(False))).drop("_net")
+
+
+def with_blocked(df: DataFrame, ip: str, out: str, networks: DataFrame | None = None) -> DataFrame:
+    """Add ``out``: true for an address that must not be reached, false for other text.
+
+    By default that is all that is not on the public internet; ``networks`` (network, and where given blocked) are the
+    caller's own, of any length and both versions, of which the longest that holds an address decides.
+    """
+    staged = with_address(df, ip)
+    judged = staged.withColumn(out, _default_blocked()) if networks is None else _by_networks(staged, networks, out)
+    return judged.drop("_hi", "_lo").withColumnRenamed("_version", f"{out}_version")
+
+
+def _resolved_verdicts(resolved: DataFrame, networks: DataFrame | None) -> DataFrame:
+    """One row per host: its first address that must not be reached, if any."""
+    judged = with_blocked(resolved.select(F.lower("host").alias("_host"), "ip", F.lower("ip").alias("_ip")), "_ip", "_bad", networks)
+    verdicts = judged.groupBy("_host").agg(
         F.min(F.when(F.col("_bad"), F.col("ip"))).alias("_bad_ip"), F.lit(True).alias("_known"))
+    return verdicts if networks is None else stored(verdicts, "verdicts")
 
 
 def guard_urls(df: DataFrame, url: str = "url", resolved: DataFrame | None = None,
-               allow_private: bool = False) -> DataFrame:
-    """``is_safe`` and ``reason``; host names are judged by the supplied ``resolved`` (host, ip) table."""
+               allow_private: bool = False, networks: DataFrame | None = None) -> DataFrame:
+    """``is_safe`` and ``reason``; host names are judged by the supplied ``resolved`` (host, ip) table.
+
+    ``networks`` (network as text, and where given blocked) replace the built-in ranges, see :func:`with_blocked`.
+    """
     out = with_blocked(df.withColumns({
-        "_scheme": F.coalesce(scheme_of(col(url)), F.lit("")), "_host": F.coalesce(host_of(col(url)), F.lit(""))}), "_host", "_inner")
+        "_scheme": F.coalesce(scheme_of(col(url)), F.lit("")), "_host": F.coalesce(host_of(col(url)), F.lit(""))}), "_host", "_inner", networks)
     if resolved is not None and not allow_private:
-        out = ordered.lookup(out, _resolved_verdicts(resolved), ["_host"])
+        out = ordered.lookup(out, _resolved_verdicts(resolved, networks), ["_host"])
     else:
         out = out.withColumn("_bad_ip", F.lit(None).cast("string")).withColumn("_known", F.lit(None).cast("boolean"))
     scheme, host = F.col("_scheme"), F.col("_host")
@@ -261,7 +344,7 @@ def guard_urls(df: DataFrame, url: str = "url", resolved: DataFrame | None = Non
         .when(host == "", "no_host")
         .when(F.lit(allow_private), "allow_private")
         .when(F.col("_inner"), F.concat(F.lit("ip_blocked:"), host))
-        .when(host.rlike(IPV4) | host.rlike(IPV6), "public_ip")
+        .when(F.col("_inner_version").isNotNull(), "public_ip")
         .when(F.col("_bad_ip").isNotNull(), F.concat(F.lit("resolves_internal:"), host, F.lit("->"), "_bad_ip"))
         .when(F.col("_known"), "public")
         .otherwise("resolve_failed_allow")

@@ -53,11 +53,19 @@ LANGUAGE_NAMES = {
 # --- addresses that must not be reached -------------------------------------------------------------
 # Private, loopback, link-local, reserved, multicast and unspecified IPv4 blocks.
 BLOCKED_IPV4 = [
-    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29",
-    "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24",
+    "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24",
     "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
 ]
 
+# Of IPv6 all but global unicast and old site-local addresses; of global unicast the special-purpose, documentation and
+# tunnel blocks.  The longest network an address lies in decides.
+BLOCKED_IPV6 = ["::/0", "2001::/23", "2001:db8::/32", "2002::/16"]
+PUBLIC_NETWORKS = [
+    "192.0.0.9/32", "192.0.0.10/32", "2000::/3", "fec0::/10", "2001:1::1/128", "2001:1::2/128", "2001:3::/32",
+    "2001:4:112::/48", "2001:20::/28", "2001:30::/28",
+]
+
 # --- files ------------------------------------------------------------------------------------------
 # Extensions by kind.
 IMAGE_EXTS = [".jpg", ".jpeg", ".png", ".webp", ".gif", ".bmp"]

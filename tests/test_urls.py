@@ -1,8 +1,10 @@
+import ipaddress
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from pagemill import rules
 from pagemill.operators import urls
 
 
@@ -96,6 +98,83 @@ def test_redirects(spark):
     assert got["http://d/"].status == 302 and got["http://none/"].error == "not_captured"
 
 
+def random_addresses(rng, n):
+    """Addresses of both versions, many of them near the edges of special blocks, in all spellings."""
+    edges = [ipaddress.ip_network(x) for x in (*rules.BLOCKED_IPV4, *rules.BLOCKED_IPV6, *rules.PUBLIC_NETWORKS, "64:ff9b::/96", "100::/64", "fc00::/7", "fe80::/10",
+                                               "ff00::/8", "::1/128", "::/128", "::ffff:0:0/96", "fe00::/9", "1000::/4", "e000::/4")]
+    out = []
+    for _ in range(n):
+        net = rng.choice(edges)
+        kind = ipaddress.IPv4Address if net.version == 4 else ipaddress.IPv6Address
+        top = (1 << (32 if net.version == 4 else 128)) - 1
+        number = rng.choice([rng.randint(0, top), int(net.network_address) + rng.randint(0, 3), int(net.broadcast_address) + rng.randint(-2, 2),
+                             rng.randint(int(net.network_address), int(net.broadcast_address))])
+        address = kind(min(top, max(0, number)))
+        out.append(rng.choice([str(address), address.exploded, str(address) + ("%eth0" if net.version == 6 else "")]))
+        if net.version == 4:
+            out.append(rng.choice(["::ffff:", "0:0:0:0:0:ffff:", "64:ff9b::", "1::"]) + str(address))
+    return out
+
+
+NO_ADDRESS = ["", "1.2.3", "1.2.3.256", "01.2.3.4", "a:b:c", ":::", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "12345::", ":1", "1:", "::g", "h.example",
+              "1:2:3:4::5:6:7:8", "::1.2.3.999", "1.2.3.4:80"]
+
+
+def test_addresses_equal_the_standard_library(spark):
+    texts = random_addresses(random.Random(5), 1500) + NO_ADDRESS
+    got = column(urls.with_blocked(frame(spark, texts, "ip").repartition(3), "ip", "bad"), "bad")
+    for i, text in enumerate(texts):
+        try:
+            ip = ipaddress.ip_address(text)
+        except ValueError:
+            assert got[i] is False, text
+            continue
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        want = ip.is_private or ip.is_loopback or ip.is_link_local or ip.is_reserved or ip.is_multicast or ip.is_unspecified
+        assert got[i] == want, text
+
+
+@pytest.mark.parametrize("broadcast", ["10MB", "-1"])
+def test_any_list_of_networks(spark, broadcast):
+    rng = random.Random(6)
+    nets = {}
+    while len(nets) < 300:
+        version = rng.choice([4, 6])
+        bits = 32 if version == 4 else 128
+        base = rng.choice([0x0A000000, 0xC0A80000, 0x08080000]) if version == 4 else rng.choice([0x20010DB8 << 96, 0x2606 << 112, 0])
+        length = rng.randint(0, bits) if rng.random() < 0.1 else rng.randint(bits // 4, bits)
+        address = (ipaddress.IPv4Address if version == 4 else ipaddress.IPv6Address)(base + rng.getrandbits(rng.randint(1, bits // 2)))
+        nets[ipaddress.ip_network((address, length), strict=False)] = rng.random() < 0.6
+    texts = NO_ADDRESS + random_addresses(rng, 200)
+    for net in nets:
+        texts += [str(net[0]), str(net[-1]), str(net[rng.randint(0, net.num_addresses - 1)])]
+    table = spark.createDataFrame([(str(n), f) for n, f in nets.items()] + [("nonsense", True), ("1.2.3.4/99", True), (None, True)], "network string, blocked boolean")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = column(urls.with_blocked(frame(spark, texts, "ip").repartition(3), "ip", "bad", table), "bad")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for i, text in enumerate(texts):
+        try:
+            ip = ipaddress.ip_address(text.split("%")[0])
+        except ValueError:
+            assert got[i] is False, text
+            continue
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        inside = [n for n in nets if n.version == ip.version and ip in n]
+        assert got[i] == (nets[max(inside, key=lambda n: n.prefixlen)] if inside else False), text
+
+
+def test_guard_with_networks_of_the_caller(spark):
+    nets = spark.createDataFrame([("8.8.0.0/16",), ("2606:4700::/32",)], "network string")
+    resolved = spark.createDataFrame([("dns", "8.8.4.4"), ("dns6", "2606:4700::5"), ("home", "10.0.0.1")], "host string, ip string")
+    got = column(urls.guard_urls(frame(spark, ["http://8.8.8.8/", "http://10.0.0.1/", "http://dns/", "http://dns6/", "http://home/", "http://[2606:4700::1]:80/"]),
+                                 "url", resolved, networks=nets), "reason")
+    assert list(got.values()) == ["ip_blocked:8.8.8.8", "public_ip", "resolves_internal:dns->8.8.4.4", "resolves_internal:dns6->2606:4700::5", "public",
+                                  "ip_blocked:2606:4700::1"]
+
+
 @pytest.mark.parametrize("limit", [0, 1, 2, 5, 10])
 def test_redirects_like_one_fetch_after_the_other(spark, limit):
     rng = random.Random(limit)
