@@ -248,17 +248,18 @@ UNION ALL SELECT concat('https://other.pstatic.net/i', p_partkey, '.jpg?type=w96
 
 @query("e13_pick_image_variant", ctes("image_urls") + f""",
 a AS ({_ANSWERS}),
-p AS (SELECT DISTINCT image_id, regexp_extract(url, '^https://([a-z]+)', 1) AS h, split_part(url, '?', 1) AS base FROM image_urls),
-c AS (SELECT image_id, 1 AS pr, 'original' AS label, base AS candidate FROM p WHERE h = 'blogfiles'
+p AS MATERIALIZED (SELECT DISTINCT image_id, regexp_extract(url, '^https://([a-z]+)', 1) AS h, split_part(url, '?', 1) AS base FROM image_urls),
+c AS MATERIALIZED (SELECT image_id, 1 AS pr, 'original' AS label, base AS candidate FROM p WHERE h = 'blogfiles'
   UNION ALL SELECT image_id, 2, 'original_w3840', base || '?type=w3840' FROM p WHERE h = 'blogfiles'
   UNION ALL SELECT image_id, 1, 'w966_ceiling', base || '?type=w966' FROM p WHERE h IN ('postfiles','blogthumb','mblogthumb')
   UNION ALL SELECT image_id, 1, 'thumbnail_fallback', base || '?type=w966' FROM p
     WHERE h NOT IN ('blogfiles','postfiles','blogthumb','mblogthumb')),
-j AS (SELECT c.*, status, bytes FROM c LEFT JOIN a ON a.url = c.candidate),
-g AS (SELECT image_id, min(CASE WHEN status = 200 AND bytes >= 1500 THEN pr END) AS best,
-  bool_or(coalesce(status IN (-1,403,408,429,500,502,503,504), false)) AS err FROM j GROUP BY image_id)
-SELECT g.image_id, coalesce(c.label, CASE WHEN err THEN 'failed:error' ELSE 'failed:notfound' END) AS label,
-  c.candidate AS used_url FROM g LEFT JOIN c ON c.image_id = g.image_id AND c.pr = g.best""")
+j AS MATERIALIZED (SELECT c.*, status IN (-1,403,408,429,500,502,503,504) AS err, status = 200 AND bytes >= 1500 AS ok
+  FROM c LEFT JOIN a ON a.url = c.candidate)
+SELECT image_id, coalesce(arg_min(CASE WHEN ok THEN label END, CASE WHEN ok THEN pr END),
+    CASE WHEN coalesce(bool_or(err), false) THEN 'failed:error' ELSE 'failed:notfound' END) AS label,
+  arg_min(CASE WHEN ok THEN candidate END, CASE WHEN ok THEN pr END) AS used_url
+FROM j GROUP BY image_id""")
 def e13(spark, sf):
     answers = spark.sql(_ANSWERS.replace("FROM part", "FROM {part}"), part=table(spark, sf, "part"))
     return blog.pick_image_variant(table(spark, sf, "image_urls"), answers, "image_id")
