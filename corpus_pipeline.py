@@ -1,4 +1,10 @@
-"""Documents to tokens in five stages, each written as Parquet and read again as the next one's documents."""
+"""Documents to tokens in five stages, each written as Parquet and read again as the next one's documents.
+
+Defined results: null texts, empty ones and those without letters go in the first stage; a corpus without a single label
+keeps all others there, as there is no language to learn.  Of equal texts the row with the smallest doc_id stays, of equal
+rows one; rows that share a doc_id but not a text all stay if any does, and rows without doc_id stay.  An empty
+table stays empty through all stages.  Extra columns come along to the last stage but one, whatever they are called.
+"""
 
 from __future__ import annotations
 
@@ -25,7 +31,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
     find_library(spark)
-    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    # The operator's own columns replace the caller's of these names, which are kept apart meanwhile.
+    own = {c: f"_own_{c}" for c in docs.columns if c in ("leak_items", "leak_score")}
+    clean = decontaminate.clean_documents(docs.withColumnsRenamed(own), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return clean.withColumnsRenamed({v: k for k, v in own.items()})
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
