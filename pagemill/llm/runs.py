@@ -15,8 +15,8 @@ word extends with the same period.  All runs of a text are found, of any period:
    in both directions by the trees' answers finds every run; a Lyndon root is primitive, so its length is the smallest
    period.
 
-A text is worked on whole in one task, in time and memory in proportion to its words: about 10 bytes a word where
-nothing repeats, about 700 bytes for each word of a stretch while its trees are built.
+A text is worked on whole in one task, in time and memory in proportion to its words: tens of bytes a word where nothing
+repeats, about 900 bytes for each word of a stretch while its trees are built.
 
 Defined results: a null, empty or blank text has no words, no runs and an empty collapsed text; rows keep their number,
 so equal rows and null ids come back as often as they came in; other columns are not read.  Runs may overlap; ties need
