@@ -3,9 +3,15 @@
 import base64
 import gzip
 import hashlib
+import os
 import time
+from html.parser import HTMLParser
 
-from pagemill.llm import warc
+import pytest
+
+from pagemill.llm import queries, warc
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 RESPONSES = "page_id long, record_id string, target_uri string, date string, http_header string, payload string, block string"
 PAGE = """<!DOCTYPE html><html><head><title>A &amp; B</title><style>p {color: red}</style></head><body>
@@ -68,3 +74,72 @@ def test_files_read_back_as_records(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.derivatives(spark.createDataFrame([], RESPONSES)).collect() == []
+
+
+class Reader(HTMLParser):
+    """Text, title and links as the standard library's parser sees a page."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.titles, self.links, self.hidden, self.in_title = [], [], [], [], False
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in warc._HIDDEN:
+            self.hidden.append(tag)
+        if tag == "title":
+            self.in_title = True
+            self.titles.append("")
+        if tag == "a" and not self.hidden:
+            self.links += [v.strip() for k, v in attrs if k == "href" and v and v.strip()][:1]
+        self.end_line(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.hidden:
+            self.hidden.remove(tag)
+        if tag == "title":
+            self.in_title = False
+        self.end_line(tag)
+
+    def end_line(self, tag):
+        if tag in warc._LINES and not self.hidden:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if self.in_title:
+            self.titles[-1] += data
+        elif not self.hidden:
+            self.parts.append(data)
+
+    def text(self):
+        lines = (" ".join(line.split()) for line in "".join(self.parts).split("\n"))
+        return "\n".join(line for line in lines if line)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no driver tables here")
+def test_query_equals_a_parser_on_every_page(spark):
+    """Both records of each page, from the page alone: text, title, links, lengths, digests and what refers to what."""
+    def sha1(text):
+        return "sha1:" + base64.b32encode(hashlib.sha1(text.encode()).digest()).decode()
+
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
+    got = queries.op9_warc_derivatives(spark, SF_DIR).collect()
+    assert len(got) == 2 * len(pages) and {(r["page_id"], r["record_type"]) for r in got} == {(p, k) for p in pages for k in ("metadata", "conversion")}
+    for r in got:
+        page = pages[r["page_id"]]["html"] or ""
+        want = Reader(page)
+        plain = hashlib.md5(f"{r['page_id']}\x00{pages[r['page_id']]['url'] or ''}".encode()).hexdigest()
+        assert r["refers_to"].replace("-", "") == f"<urn:uuid:{plain}>" and r["source_digest"] == sha1(page)
+        assert r["target_uri"] == (pages[r["page_id"]]["url"] or "") and r["block_digest"] == sha1(r["block"])
+        if r["record_type"] == "conversion":
+            assert r["block"] == want.text()
+            continue
+        lines = [line.split(": ", 1) for line in r["block"].split("\r\n") if line]
+        fields = {}
+        for name, value in ((p[0], p[1] if len(p) > 1 else "") for p in lines):
+            fields.setdefault(name.rstrip(":"), []).append(value)
+        assert fields.get("outlink", []) == [" ".join(u.split()) for u in want.links]
+        assert fields["title"] == [" ".join(" ".join(want.titles).split())]
+        assert fields["source-length"] == [str(len(page.encode()))] and fields["text-length"] == [str(len(want.text().encode()))]
+        assert fields["source-digest"] == [sha1(page)] and fields["text-digest"] == [sha1(want.text())] and fields["source-record"] == [r["refers_to"]]
