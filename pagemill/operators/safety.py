@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..functions.lineage import stored
 from ..functions.text import contains_any, strip, truthy
 
 
@@ -116,13 +117,46 @@ def wrap_untrusted(df: DataFrame, text: str = "text", url: str | None = None, ou
 _HOST_SCAN = rules.HOST_IN_TEXT.replace("(?i)", "(?iU)").replace(r"[\w-]+\.", r"(?:(?<![\w-])|\G)[\w-]++\.")
 
 
-def scan_lines(df: DataFrame, text: str = "text", deny: list[str] | None = None,
+# Longest part of a deny word that is looked up; shorter words are looked up whole.
+ANCHOR = 5
+
+
+def _denied_lines(rows: DataFrame, deny: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _i, line, _denied: lines that hold a word of the table ``deny`` (word, rank), with the first by rank.
+
+    Each word is entered under one of its parts of ``ANCHOR`` characters, the one fewest words share; a line's distinct
+    parts are joined to those, and only lines that hold a word's part are searched for the word.
+    """
+    words = deny.filter(truthy("word").isNotNull()).groupBy(F.lower("word").alias("_low")).agg(F.min(F.struct("rank", "word")).alias("_w"))
+    size = F.least(F.lit(ANCHOR), F.length("_low"))
+    parts = words.withColumn("_part", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("_low") - size + 1), lambda i: F.substring(F.col("_low"), i, size)))))
+    shared = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    anchors = parts.join(shared, "_part").groupBy("_low").agg(F.min(F.struct("_n", "_part")).alias("_a"), F.first("_w").alias("_w"))
+    anchors = stored(anchors.select(F.col("_a._part").alias("_part"), "_low", "_w"), "anchors")
+    # Lengths of the parts, five at most.
+    sizes = [r[0] for r in anchors.select(F.length("_part")).distinct().collect()]
+    low = F.lower("line")
+
+    def pieces_of(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.length(low) - n + 1)
+        return F.when(F.length(low) >= n, F.transform(places, lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>"))
+
+    pieces = F.array_distinct(F.flatten(F.array(*map(pieces_of, sizes))))
+    met = rows.withColumn("_part", F.explode(pieces)) if sizes else rows.withColumn("_part", F.lit("")).limit(0)
+    hits = met.join(anchors, "_part").filter(F.contains(F.lower("line"), F.col("_low")))
+    return hits.groupBy(*keys, "_i", "line").agg(F.min("_w")["word"].alias("_denied"))
+
+
+def scan_lines(df: DataFrame, text: str = "text", deny: list[str] | DataFrame | None = None,
                allow_hosts: list[str] | None = None, exempt_markers: list[str] | None = None,
                keys: list[str] | None = None) -> DataFrame:
     """Violations per line as (keys, line_no, kind, hit), at most one per line.
 
-    ``deny`` substrings come first (in list order, any case); otherwise the first host that is not allowed.
+    ``deny`` substrings come first (in list order, any case); otherwise the first host that is not allowed.  A table of
+    them (word, rank) may be of any length; then ``keys`` have to tell documents apart.
     """
+    table, deny = (deny, None) if isinstance(deny, DataFrame) else (None, deny)
     allowed = [h.lower() for h in (rules.NEUTRAL_HOSTS if allow_hosts is None else allow_hosts)]
     keys = keys or [c for c in df.columns if c != text]
     unified = F.replace(F.col(text), F.lit("\r\n"), F.lit("\n"))
@@ -133,8 +167,7 @@ def scan_lines(df: DataFrame, text: str = "text", deny: list[str] | None = None,
     suspect = F.col(text).rlike(r"\.\S|://")
     if deny:
         suspect = suspect | contains_any(F.lower(text), [d.lower() for d in deny])
-    df = df.filter(suspect)
-    rows = df.select(*keys, F.posexplode_outer(lines).alias("_i", "line"))
+    rows = (df if table is not None else df.filter(suspect)).select(*keys, F.posexplode_outer(lines).alias("_i", "line"))
     if exempt_markers:
         rows = rows.filter(~contains_any(F.col("line"), exempt_markers))
     lowered = F.lower("line")
@@ -149,10 +182,16 @@ def scan_lines(df: DataFrame, text: str = "text", deny: list[str] | None = None,
     foreign = F.filter(
         found,
         lambda h: ~h.isin(allowed) & ~h.endswith(".example.com") & ~h.endswith(".example.org"))
+    judged = rows.withColumn("_denied", denied).withColumn("_host", F.get(foreign, F.lit(0)))
+    if table is not None:
+        listed = stored(_denied_lines(rows, table, keys), "denied")
+        line = [*keys, "_i"]
+        # Lines without a word, which are few where hosts are looked for.
+        hosts = judged.filter("_host IS NOT NULL").join(listed.select(*line), line, "left_anti")
+        judged = hosts.select(*line, "line", "_denied", "_host").unionByName(
+            listed.select(*line, "line", "_denied", F.lit(None).cast("string").alias("_host")))
     return (
-        rows.withColumn("_denied", denied)
-        .withColumn("_host", F.get(foreign, F.lit(0)))
-        .filter(F.col("_denied").isNotNull() | F.col("_host").isNotNull())
+        judged.filter(F.col("_denied").isNotNull() | F.col("_host").isNotNull())
         .select(
             *keys,
             (F.col("_i") + 1).alias("line_no"),

@@ -197,6 +197,36 @@ def test_lines(spark):
     assert [(r.line_no, r.kind, r.hit) for r in got] == [(2, "deny", "token"), (4, "host", "bad.net")]
 
 
+def test_ten_thousand_deny_words_as_a_table(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdeé ") for _ in range(n))
+    deny = [(word(rng.randint(1, 3) if i < 3 else rng.randint(6, 14)).strip() or "zzz", i) for i in range(10_000)] + [("", 0), (None, 1), ("BAD.net", 77_777)]
+    docs = [(i, "\n".join(word(rng.randint(0, 60)).upper() if rng.random() < 0.3 else rng.choice(["zz q", "see http://bad.net/x", "ok # fine ab", "http://other.org"])
+                          for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc long, text string").repartition(3)
+    table = spark.createDataFrame(deny, "word string, rank long").repartition(2)
+    listed = [w for w, _ in sorted(((w, r) for w, r in deny if w), key=lambda d: d[1])]
+    want = []
+    for i, text in docs:
+        for n, line in enumerate(text.split("\n"), 1):
+            if "# fine" in line:
+                continue
+            low = line.lower()
+            hit = next((w for w in listed if w.lower() in low), None)
+            if hit is not None:
+                want.append((i, n, "deny", hit.lower()))
+            elif "other.org" in line:
+                want.append((i, n, "host", "other.org"))
+    got = safety.scan_lines(df, "text", table, exempt_markers=["# fine"])
+    assert sorted((r.doc, r.line_no, r.kind, r.hit.lower()) for r in got.collect()) == sorted(want) and {w[2] for w in want} == {"deny", "host"}
+    # A short list gives the same as a list and as a table.
+    few = listed[3:40]
+    as_list = safety.scan_lines(df, "text", few).collect()
+    as_table = safety.scan_lines(df, "text", spark.createDataFrame([(w, i) for i, w in enumerate(few)], "word string, rank long")).collect()
+    assert sorted(map(repr, ((r.doc, r.line_no, r.kind, r.hit.lower(), r.line) for r in as_list))) == sorted(map(repr, ((r.doc, r.line_no, r.kind, r.hit.lower(), r.line) for r in as_table)))
+    assert safety.scan_lines(df, "text", table.limit(0)).filter("kind = 'deny'").count() == 0
+
+
 def test_long_runs_cost_one_pass(spark):
     import time
 
