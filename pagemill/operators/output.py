@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import file_system
 from ..functions.text import join_lines, truthy
+from ..functions.workers import setting
 
 # Headings and labels of the rendered document.
 POST_WORD = "포스트"
@@ -137,34 +138,40 @@ def render_markdown(docs: DataFrame, path_mode: str = "absolute", relative_to: s
     open_media = when(first & (saved > 0), F.array(F.lit(""), F.lit(MEDIA_HEAD), F.lit("")))
     ocr = _section(F.lit(OCR_HEAD), ocr_lines, F.size("ocr_text") > 0)
     opening = F.concat(when(first, F.concat(F.array(title), body)), open_comments, bullets)
-    media = F.concat(open_media, media_lines)
-    closing = F.concat(transcript, when(last, footer))
-    sections = F.array(
-        *[F.struct(F.lit(i).alias("section"), lines.alias("lines")) for i, lines in
-          enumerate([opening, media, ocr, closing], 1)])
-    single = F.array(F.struct(F.lit(1).alias("section"), F.concat(opening, media, ocr, closing).alias("lines")))
-    chosen = F.filter(F.when(F.col("part_count") == 1, single).otherwise(sections), lambda s: F.size(s["lines"]) > 0)
-    return docs.select(*keys, "part_no", F.explode_outer(chosen).alias("_s")).filter("_s is not null").select(
+    # Columns of their own: each is worked out once, by generated code where Spark has it.
+    docs = docs.select(*keys, "part_no", "part_count", opening.alias("_opening"), F.concat(open_media, media_lines).alias("_media"),
+                       ocr.alias("_ocr"), F.concat(transcript, when(last, footer)).alias("_closing"))
+    named = ["_opening", "_media", "_ocr", "_closing"]
+    section = lambda i, lines: F.struct(F.lit(i).alias("section"), lines.alias("lines"))
+    chosen = F.when(F.col("part_count") == 1, F.array(section(1, F.concat(*named)))).otherwise(
+        F.array(*[section(i, F.col(c)) for i, c in enumerate(named, 1)]))
+    return docs.select(*keys, "part_no", F.explode_outer(chosen).alias("_s")).filter(F.size("_s.lines") > 0).select(
         *keys, F.col("_s.section").alias("section"), "part_no",
         F.concat(join_lines(F.col("_s.lines")), F.lit("\n")).alias("markdown"))
 
 
+# Files a task may have open at a time, one for each platform it meets; only a task that meets more sorts its rows first.
+OPEN_FILES = 16
+
+
 def write_documents(docs: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists", **render) -> None:
     """Write records as JSON lines, Markdown or Parquet, one folder per platform.
 
     Markdown comes as JSON lines too, each with source, platform, section and part_no beside the text, so that every
     document can be found and put together again.
-    The output committer publishes all files or none; nothing passes through the driver.
+    The output committer publishes all files or none; nothing passes through the driver.  JSON lines are compressed
+    (gzip): every record names all its fields.
     """
     # The folder column is a copy: the records keep all their fields.
     records = render_markdown(docs, **render) if fmt == "markdown" else docs
     rows = records.withColumn("by_platform", F.col("platform")).write.mode(mode).partitionBy("by_platform")
-    if fmt in ("json", "markdown"):
-        rows.option("ignoreNullFields", "false").json(path)
-    elif fmt == "parquet":
-        rows.parquet(path)
-    else:
-        raise ValueError(f"unknown format: {fmt!r}")
+    with setting(docs.sparkSession, "spark.sql.maxConcurrentOutputFileWriters", str(OPEN_FILES)):
+        if fmt in ("json", "markdown"):
+            rows.option("ignoreNullFields", "false").option("compression", "gzip").json(path)
+        elif fmt == "parquet":
+            rows.parquet(path)
+        else:
+            raise ValueError(f"unknown format: {fmt!r}")
 
 
 MANIFEST = "manifest"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions.lineage import cut, new_folder
+from ..functions.lineage import new_folder, stored
 from ..operators import enrich, output, threads
 from . import group_c, group_e
 from .group_d import THREADS_SQL, thread_inputs
@@ -253,8 +253,9 @@ def g1_documents(spark, sf):
 def g2(spark, sf):
     """Writes all records as JSON lines and reads them back."""
     path = new_folder(spark, "documents")
-    output.write_documents(group_e.documents(spark, sf), path, "json")
-    return spark.read.json(path).groupBy("platform").agg(F.count("*").alias("records"))
+    docs = group_e.documents(spark, sf)
+    output.write_documents(docs, path, "json")
+    return spark.read.schema(docs.schema).json(path).groupBy("platform").agg(F.count("*").alias("records"))
 
 
 @query("g2_publish_documents", "SELECT platform, records FROM (" + group_e.ORACLES["e27_union_documents"] + ")")
@@ -312,12 +313,12 @@ def enrich_all(spark, sf):
     """Every record of the union, given an image and a video, with its texts and honest labels."""
     path = lambda n, ext: F.concat(F.lit("/m/"), (F.length("source") % n).cast("string"), F.lit(ext))
     # Written once: the enrichments read it several times.
-    docs = cut(group_e.documents(spark, sf).withColumn("media_paths", F.array(path(7, ".jpg"), path(5, ".mp4"))))
-    paths = docs.select(F.explode("media_paths").alias("media_path")).distinct()
+    docs = stored(group_e.documents(spark, sf).withColumn("media_paths", F.array(path(7, ".jpg"), path(5, ".mp4"))), "documents")
+    paths = stored(docs.select(F.explode("media_paths").alias("media_path")).distinct(), "paths")
     results = paths.select(
         "media_path", F.concat(F.lit("text of "), "media_path").alias("text"), F.lit("m").alias("model"), F.lit("groq").alias("backend"),
         F.when(F.col("media_path").isin("/m/3.jpg", "/m/2.mp4"), "failed").otherwise("ok").alias("status"))
-    done = enrich.enrich_transcribe(cut(enrich.enrich_ocr(docs, results)), results)
+    done = enrich.enrich_transcribe(enrich.enrich_ocr(docs, results), results)
     return done.select("platform", "source", "meta.ocr_label", F.array_join(F.transform(
         "ocr_text", lambda o: o["text"]), ",").alias("ocr_text"), "meta.transcript_label", "transcript")
 

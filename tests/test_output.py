@@ -141,3 +141,29 @@ def test_client_that_cannot_start(spark):
 
     got = enrich.apply_provider(spark.range(5), lambda rows, client: [], "calls bigint", ["abc"], start=start, retries=3).collect()
     assert [(r.status, r.error) for r in got] == [("failed", "OSError: no ***REDACTED***")] * 5
+
+
+def test_json_lines_are_compressed_and_rows_not_sorted(spark, tmp_path):
+    docs = records(spark, [(f"s{i}", f"p{i % 3}", "x" * 50) for i in range(300)])
+    for fmt, end in (("json", ".json.gz"), ("markdown", ".json.gz"), ("parquet", ".parquet")):
+        output.write_documents(docs, str(tmp_path / fmt), fmt)
+        files = [f for f in (tmp_path / fmt).rglob("part-*")]
+        assert files and all(f.name.endswith(end) for f in files)
+    # Records name every field, so the same names fill most of a file.
+    assert sum(f.stat().st_size for f in (tmp_path / "json").rglob("part-*")) < 20_000
+    back = spark.read.schema(docs.schema).json(str(tmp_path / "json"))
+    assert sorted(r.source for r in back.collect()) == sorted(f"s{i}" for i in range(300))
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_documents_are_not_shuffled_for_few_lists(spark):
+    docs = records(spark, [(f"s{i}", "web", "b") for i in range(50)]).withColumn("media_paths", F.array(F.lit("/m/a.jpg"), F.lit("/m/b.mp4")))
+    # Of no known size, like the result of any earlier step.
+    docs = docs.repartition(3)
+    results = spark.createDataFrame([("/m/a.jpg", "seen", "m", "x", "ok"), ("/m/b.mp4", "heard", "m", "x", "ok")],
+                                    "media_path string, text string, model string, backend string, status string")
+    done = enrich.enrich_transcribe(enrich.enrich_ocr(docs, results), results)
+    plan = done._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    rows = done.select("ocr_text", "transcript", "meta.ocr_label", "meta.transcript_label").collect()
+    assert len(rows) == 50 and {(r.ocr_text[0].text, r.transcript, r.ocr_label, r.transcript_label) for r in rows} == {("seen", "heard", "done", "done")}
