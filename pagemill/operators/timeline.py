@@ -97,24 +97,28 @@ def dedup_media_across_posts(posts: DataFrame) -> DataFrame:
 
     ``images_to_fetch`` holds an image only where its base URL comes first; ``video_urls`` loses videos seen in
     earlier posts, repeats inside one post stay.  A base URL's first post is a minimum of numbers, hashed and combined
-    before the shuffle, so a picture half the profile repeats is reduced where it lies.  Rows then meet the winners by
-    post, which no picture makes hot.
+    before the shuffle, so a picture half the profile repeats is reduced where it lies.  What a post won meets it by
+    post, which no picture makes hot, and only media that won are regrouped, where the post lies.
     """
+    at = ["profile", "post_seq"]
     listed = lambda urls, kind: F.transform(
         F.coalesce(urls, schema.no_paths()), lambda u, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), u.alias("url")))
-    media = posts.select("profile", "post_seq", F.explode_outer(F.concat(
+    media = lambda df, *more: df.select(*at, *more, F.explode_outer(F.concat(
         listed(F.col("image_urls"), 0), listed(F.col("video_urls"), 1))).alias("m")).filter("m is not null").select(
-        "profile", "post_seq", "m.*", url_base("m.url").alias("base"))
-    first = media.groupBy("profile", "kind", "base").agg(F.min("post_seq").alias("post_seq"))
-    where = ["profile", "post_seq", "kind", "base"]
-    won = media.join(first, where, "left_semi")
+        *at, *more, "m.*", url_base("m.url").alias("base"))
+    # Every later step finds the posts where this puts them.
+    posts = posts.repartition(*at)
+    first = media(posts).filter("base is not null").groupBy("profile", "kind", "base").agg(F.min("post_seq").alias("post_seq"))
+    wins = first.groupBy(*at).agg(F.collect_list(F.struct("kind", "base")).alias("_wins"))
+    won = media(posts.join(wins, at), "_wins").filter(F.array_contains("_wins", F.struct("kind", "base"))).drop("_wins")
     # Of an image's repeats inside its post the first stays.
-    ahead = won.groupBy(*where).agg(F.min("pos").alias("first_pos"))
-    kept = won.join(ahead, where).filter((F.col("kind") == 1) | (F.col("pos") == F.col("first_pos")))
-    urls = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(
-        F.col("kind") == kind, F.struct("first_pos", "pos", "url")))), lambda x: x["url"])
-    lists = kept.groupBy("profile", "post_seq").agg(urls(0).alias("_i"), urls(1).alias("_v"))
-    return posts.drop("video_urls").join(lists, ["profile", "post_seq"], "left").withColumns({
+    items = won.groupBy(*at, "kind", "base").agg(F.min("pos").alias("first_pos"), F.collect_list(F.struct("pos", "url")).alias("_all"))
+    kept = F.filter("_all", lambda x: (F.col("kind") == 1) | (x["pos"] == F.col("first_pos")))
+    items = items.select(*at, "kind", F.transform(kept, lambda x: F.struct(F.col("first_pos"), x["pos"].alias("pos"), x["url"].alias("url"))).alias("_kept"))
+    urls = lambda kind: F.transform(F.array_sort(F.flatten(F.collect_list(F.when(
+        F.col("kind") == kind, F.col("_kept"))))), lambda x: x["url"])
+    lists = items.groupBy(*at).agg(urls(0).alias("_i"), urls(1).alias("_v"))
+    return posts.drop("video_urls").join(lists, at, "left").withColumns({
         "images_to_fetch": F.coalesce("_i", schema.no_paths()), "video_urls": F.coalesce("_v", schema.no_paths())}).drop("_i", "_v")
 
 

@@ -146,3 +146,30 @@ def test_group_aggregates_are_combined_first(spark, no_coalescing):
         F.lit("blocked").alias("verdict"), F.lit(None).cast("string").alias("error"))
     for result in (threads.assess_completeness(posts), fetchlog.resolve_attempts(attempts)):
         assert "partial_" in plan(result) and "collect_list" not in plan(result)
+
+
+def test_media_meet_their_winners_by_post_alone(spark):
+    """Media are shuffled as the posts they lie in, and once as base URLs; only what won is regrouped."""
+    from pagemill.operators import timeline
+
+    posts = spark.range(200).select(
+        (F.col("id") % 3).alias("profile"), F.col("id").alias("post_seq"),
+        F.array(F.concat(F.lit("a"), F.col("id") % 5, F.lit("?1")), F.concat(F.lit("a"), F.col("id") % 5, F.lit("?2"))).alias("image_urls"),
+        F.array(F.concat(F.lit("v"), F.col("id") % 4), F.lit(None).cast("string")).alias("video_urls"))
+    # A post met twice has the media of both.
+    posts = posts.unionByName(posts.filter("post_seq = 0").withColumn("image_urls", F.array(F.lit("z"), F.lit("a0?3"))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = timeline.dedup_media_across_posts(posts)
+        text = done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+        assert not [line for line in text.splitlines() if "Exchange hashpartitioning(profile" in line and "post_seq" in line and "kind" in line]
+        rows = done.collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    first = {(p, k): min(i for i in range(200) if i % 3 == p and i % 5 == k) for p in range(3) for k in range(5)}
+    for r in rows:
+        if r.post_seq == 0:
+            assert r.images_to_fetch == ["a0?1", "z"]
+        else:
+            k = r.post_seq % 5
+            assert r.images_to_fetch == ([f"a{k}?1"] if first[(r.profile, k)] == r.post_seq else [])
