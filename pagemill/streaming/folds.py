@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -50,16 +49,14 @@ class RouteFold(StatefulProcessor):
             self.handle.registerTimer(timer)
         self.entry.update((alive, route, wins, fails, used, success, seen, timer))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values(["at", *self.order], kind="stable")
-        alive, route, wins, fails, used, success, seen, timer = (False, None, 0, 0, 0, 0, None, None)
-        if self.entry.exists():
-            alive, route, wins, fails, used, success, seen, timer = self.entry.get()
-        changes = []
-        for at, ok, strike, new in zip(events["at"].tolist(), events["ok"].tolist(), events["strike"].tolist(), events["route"].tolist(), strict=True):
-            new = None if pd.isna(new) else new
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Nulls of the ties come last.
+        events = sorted(rows, key=lambda e: (e["at"], *((e[c] is None, e[c]) for c in self.order)))
+        alive, route, wins, fails, used, success, seen, timer = self.entry.get() or (False, None, 0, 0, 0, 0, None, None)
+        for event in events:
+            at, ok, strike, new = event["at"], event["ok"], event["strike"] or 0, event["route"]
             if seen is not None and at < seen:
-                changes.append((key[0], "late", new, 1 if ok else 0, strike, at, at if ok else None))
+                yield _change(key[0], "late", new, 1 if ok else 0, strike, at, at if ok else None)
                 continue
             seen = at
             if alive and at - used > self.ttl:
@@ -72,25 +69,24 @@ class RouteFold(StatefulProcessor):
                 alive = fails < rules.EVICT_AFTER
         if seen is not None:
             self._keep(timer, alive, route, wins, fails, used, success, seen)
-            changes.append((key[0], "learned", route, wins, fails, used, success) if alive else (key[0], "gone", None, None, None, seen, None))
-        yield _changes(changes)
+            yield _change(key[0], "learned", route, wins, fails, used, success) if alive else _change(key[0], "gone", seen=seen)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        changes = []
-        if self.entry.exists():
-            alive, *_, seen, timer = self.entry.get()
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        entry = self.entry.get()
+        if entry is not None:
+            alive, *_, seen, timer = entry
             if timer == expiredTimerInfo.getExpiryTimeInMs():
                 # Every outcome from now on is younger than the watermark, which is past all this key has seen.
                 self.entry.clear()
                 if alive:
-                    changes.append((key[0], "expired", None, None, None, seen, None))
-        yield _changes(changes)
+                    yield _change(key[0], "expired", seen=seen)
 
 
-def _changes(rows: list[tuple]) -> pd.DataFrame:
-    names = [f.strip().split(" ")[0] for f in _CHANGE.split(",")]
-    frame = pd.DataFrame(rows, columns=names)
-    return frame.astype({"wins": "Int64", "consecutive_fails": "Int32", "used": "Int64", "success": "Int64"})
+_changed = Row(*[f.strip().split(" ")[0] for f in _CHANGE.split(",")])
+
+
+def _change(key, change: str, route=None, wins=None, fails=None, seen=None, success=None) -> Row:
+    return _changed(key, change, route, wins, fails, seen, success)
 
 
 def _as_text(df: DataFrame, column: str) -> DataFrame:
@@ -119,7 +115,7 @@ def route_changes(stream: DataFrame, ttl_days: float = rules.ROUTE_TTL_DAYS, del
     events = _as_text(stream.withColumn("ts", F.col("ts").cast("timestamp")), "route").withWatermark("ts", delay).select(
         "key", "ts", F.unix_micros("ts").alias("at"), "ok", strike.alias("strike"), "route", *ties)
     fold = RouteFold(int(ttl_days * 86400 * 1_000_000), ties)
-    changes = events.groupBy("key").transformWithStateInPandas(fold, _CHANGE, "Append", "EventTime")
+    changes = events.groupBy("key").transformWithState(fold, _CHANGE, "Append", "EventTime")
     return _as_before(changes, "route", kind).select(
         "key", "change", "route", "wins", "consecutive_fails", F.timestamp_micros("used").alias("last_used"),
         F.timestamp_micros("success").alias("last_success"))
@@ -176,27 +172,28 @@ class ProviderHealth(StatefulProcessor):
         self.dead = handle.getValueState("dead", "seq long", self.keep_ms)
         self.told = handle.getListState("told", "seq long", self.keep_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        calls = pd.concat(list(rows))
-        before = self.dead.get()[0] if self.dead.exists() else None
-        quota = calls["seq"][calls["quota"]]
-        dead = min((s for s in (before, quota.min() if len(quota) else None) if s is not None), default=None)
-        if dead is not None:
-            dead = int(dead)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        calls, held = list(rows), self.dead.get()
+        before = held[0] if held is not None else None
+        dead = min([c["seq"] for c in calls if c["quota"]] + ([] if before is None else [before]), default=None)
         if dead != before:
             self.dead.update((dead,))
             # A quota error before the known one: calls behind it that were told otherwise are corrected.
-            told = [seq for (seq,) in self.told.get()] if self.told.exists() else []
+            told = [seq for (seq,) in self.told.get()]
             wrong = [seq for seq in told if seq > dead]
-            if wrong:
-                yield pd.DataFrame({"key": key[0], "seq": wrong, "row": None, "dead_before": True, "revision": 1})
+            for seq in wrong:
+                yield _told(key[0], seq, None, True, 1)
             if told:
                 self.told.put([(seq,) for seq in told if seq <= dead]) if len(wrong) < len(told) else self.told.clear()
-        after = calls["seq"] > dead if dead is not None else pd.Series(False, index=calls.index)
-        alive = calls["seq"][~after].tolist()
+        alive = [(c["seq"],) for c in calls if dead is None or c["seq"] <= dead]
         if alive:
-            self.told.appendList([(seq,) for seq in alive])
-        yield pd.DataFrame({"key": key[0], "seq": calls["seq"], "row": calls["row"], "dead_before": after, "revision": 0})
+            self.told.appendList(alive)
+        for c in calls:
+            yield _told(key[0], c["seq"], c["row"], dead is not None and c["seq"] > dead, 0)
+
+
+_TOLD = "key string, seq long, row string, dead_before boolean, revision int"
+_told = Row("key", "seq", "row", "dead_before", "revision")
 
 
 def provider_health_stream(stream: DataFrame, out_path: str, checkpoint: str, keep_hours: float | None = None,
@@ -218,9 +215,7 @@ def provider_health_stream(stream: DataFrame, out_path: str, checkpoint: str, ke
         F.to_json(F.struct(*keys)).alias("key"), F.col("seq").cast("long").alias("seq"),
         F.coalesce(F.col("error_class") == "quota", F.lit(False)).alias("quota"), F.to_json(F.struct(*rest)).alias("row"))
     health = ProviderHealth(int(keep_hours * 3_600_000) if keep_hours else None)
-    told = calls.groupBy("key").transformWithStateInPandas(
-        health, "key string, seq long, row string, dead_before boolean, revision int", "Append",
-        "ProcessingTime" if keep_hours else "None")
+    told = calls.groupBy("key").transformWithState(health, _TOLD, "Append", "ProcessingTime" if keep_hours else "None")
     kinds = {n: T.StructType([classed.schema[c] for c in cols]) for n, cols in (("key", keys), ("row", rest))}
     opened = told.withColumns({n: F.from_json(n, kind) for n, kind in kinds.items()})
     return _start(opened.select("key.*", "seq", "row.*", "dead_before", "revision"), out_path, checkpoint, available_now)

@@ -290,3 +290,42 @@ def test_provider_errors(spark, tmp_path):
         assert {r.seq: r.dead_before for r in got.collect()} == health and got.count() == len(health)
         assert {r.seq: (r.http_status, r.body) for r in got.collect()} == {r.seq: (r.http_status, r.body) for r in calls.collect()}
         assert (spark.read.parquet(str(base / "o")).filter("revision = 1").count() > 0) == bool(order)
+
+
+class _Kept:
+    """A state value, list or timer in memory."""
+
+    def __init__(self):
+        self.held = None
+
+    def get(self):
+        return self.held if self.held is not None else None
+
+    def update(self, value):
+        self.held = value
+
+
+class _Handle:
+    def getValueState(self, *_):
+        return _Kept()
+
+    def registerTimer(self, at):
+        self.timer = at
+
+    def deleteTimer(self, at):
+        pass
+
+
+def test_streams_fold_plain_rows():
+    """A key costs no data frame: rows come and go as they are, nulls among the ties last."""
+    from pyspark.sql import Row
+
+    from pagemill.streaming import folds
+
+    fold = folds.RouteFold(10**12, ["event_id"])
+    fold.init(_Handle())
+    event = Row("at", "ok", "strike", "route", "event_id")
+    out = list(fold.handleInputRows(("k",), iter([event(5, True, 0, "c", None), event(5, True, 0, "b", 2), event(1, True, 0, "a", 9)]), None))
+    assert [(r.change, r.route, r.wins, r.used) for r in out] == [("learned", "c", 1, 5)]
+    late = list(fold.handleInputRows(("k",), iter([event(4, False, 1, "x", 1)]), None))
+    assert [(r.change, r.wins, r.consecutive_fails) for r in late] == [("late", 0, 1), ("learned", 1, 0)]
