@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import rules
 from ..functions.lineage import stored
 from ..functions.text import contains_any, strip, truthy
+from ..functions.workers import ship
 
 
 # What a match needs: one of these words, and one of these letters at its start.  Most texts have none of the
@@ -121,11 +127,54 @@ _HOST_SCAN = rules.HOST_IN_TEXT.replace("(?i)", "(?iU)").replace(r"[\w-]+\.", r"
 ANCHOR = 5
 
 
+# Bits of the map that says which parts may be anchors; a part it wrongly lets through is dropped by the join.
+_BITS = 22
+
+
+def _buckets(data: np.ndarray, size: int) -> np.ndarray:
+    """A place in the map for each run of ``size`` bytes."""
+    n = len(data) - size + 1
+    value = np.full(n, size, np.uint64)
+    for j in range(size):
+        value = (value ^ data[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        value ^= value >> np.uint64(29)
+    return value >> np.uint64(64 - _BITS)
+
+
+# Bytes looked at together, besides the last of a run.
+_PIECE = 1 << 20
+
+
+def _parts_met(low: pa.Array, sizes: list[int], known: np.ndarray) -> list[list[str] | None]:
+    """For each text the distinct runs of ``sizes`` bytes that may be anchors by the map ``known``."""
+    low = low.fill_null("").cast(pa.large_string())
+    _, offsets, buffer = low.buffers()
+    ends = np.frombuffer(offsets, np.int64)[low.offset : low.offset + len(low) + 1]
+    first, last = int(ends[0]), int(ends[-1])
+    data, met = np.frombuffer(buffer or b"", np.uint8), {}
+    for at in range(first, last, _PIECE):
+        for size in sizes:
+            piece = data[at : min(at + _PIECE + size - 1, last)]
+            if len(piece) < size:
+                continue
+            place = _buckets(piece, size)
+            starts = at + np.flatnonzero(known[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1)
+            rows = np.searchsorted(ends, starts, "right") - 1
+            # Runs of whole characters inside one text.
+            stops = starts + size
+            begins = lambda i: (i >= last) | (data[np.minimum(i, last - 1)] & 0xC0 != 0x80)
+            inside = (stops <= ends[rows + 1]) & begins(starts) & begins(stops)
+            for row, start in zip(rows[inside].tolist(), starts[inside].tolist(), strict=True):
+                met.setdefault(row, set()).add(data[start : start + size].tobytes())
+    return [[p.decode("utf-8", "replace") for p in met[r]] if r in met else None for r in range(len(low))]
+
+
 def _denied_lines(rows: DataFrame, deny: DataFrame, keys: list[str]) -> DataFrame:
     """keys, _i, line, _denied: lines that hold a word of the table ``deny`` (word, rank), with the first by rank.
 
-    Each word is entered under one of its parts of ``ANCHOR`` characters, the one fewest words share; a line's distinct
-    parts are joined to those, and only lines that hold a word's part are searched for the word.
+    Each word is entered under one of its parts of ``ANCHOR`` characters, the one fewest words share.  A map of fixed
+    size, sent to all tasks, tells where a line may hold such a part, in time that follows its length; the parts found
+    are joined to the words, and only lines that hold a word's part are searched for the word.
     """
     words = deny.filter(truthy("word").isNotNull()).groupBy(F.lower("word").alias("_low")).agg(F.min(F.struct("rank", "word")).alias("_w"))
     size = F.least(F.lit(ANCHOR), F.length("_low"))
@@ -134,16 +183,33 @@ def _denied_lines(rows: DataFrame, deny: DataFrame, keys: list[str]) -> DataFram
     shared = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     anchors = parts.join(shared, "_part").groupBy("_low").agg(F.min(F.struct("_n", "_part")).alias("_a"), F.first("_w").alias("_w"))
     anchors = stored(anchors.select(F.col("_a._part").alias("_part"), "_low", "_w"), "anchors")
-    # Lengths of the parts, five at most.
-    sizes = [r[0] for r in anchors.select(F.length("_part")).distinct().collect()]
-    low = F.lower("line")
-
-    def pieces_of(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.length(low) - n + 1)
-        return F.when(F.length(low) >= n, F.transform(places, lambda i: F.substring(low, i, n))).otherwise(F.array().cast("array<string>"))
 
-    pieces = F.array_distinct(F.flatten(F.array(*map(pieces_of, sizes))))
-    met = rows.withColumn("_part", F.explode(pieces)) if sizes else rows.withColumn("_part", F.lit("")).limit(0)
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(len(p), int(_buckets(np.frombuffer(p, np.uint8), len(p))[0])) for p in (x.encode() for x in batch.column(0).to_pylist())}
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int32()) for c in zip(*found, strict=True)] or [pa.array([], pa.int32())] * 2, ["size", "place"])
+
+    # Five characters have twenty bytes at most, and a size has as many places as the map.
+    ship(rows.sparkSession)
+    entered = anchors.select("_part").distinct().mapInArrow(places, "size int, place int")
+    sizes = [r[0] for r in entered.select("size").distinct().collect()]
+    known = np.zeros(1 << (_BITS - 3), np.uint8)
+    taken = entered.groupBy(F.expr("place div 8").alias("byte")).agg(F.expr("bit_or(shiftleft(1, place % 8))").alias("bits"))
+    for byte, bits in taken.collect():
+        known[byte] = bits
+    own = [*keys, "_i", "line"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = _parts_met(batch.column("_low"), sizes, known)
+            hits = [r for r, p in enumerate(parts) if p]
+            held = batch.take(pa.array(hits, pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [*(held.column(c) for c in own), pa.array([parts[r] for r in hits], pa.list_(pa.string()))], names=[*own, "_parts"])
+
+    lines = rows.select(*own, F.lower("line").alias("_low"))
+    kinds = T.StructType([*rows.select(*own).schema, T.StructField("_parts", T.ArrayType(T.StringType()))])
+    met = lines.mapInArrow(meet, kinds).withColumn("_part", F.explode("_parts")).drop("_parts")
     hits = met.join(anchors, "_part").filter(F.contains(F.lower("line"), F.col("_low")))
     return hits.groupBy(*keys, "_i", "line").agg(F.min("_w")["word"].alias("_denied"))
 

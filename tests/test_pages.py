@@ -320,3 +320,17 @@ def test_text_behind_the_last_closer_changes_nothing(spark):
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
     assert pages.extract_paragraphs(df, None).first().body_text == "a\nb c"
     assert [r.json_text for r in pages.extract_embedded_json(df).collect()] == ['{"a": 1}']
+
+
+def test_parts_of_deny_words_are_found_in_time_with_the_line(spark):
+    """One long line beside short ones; characters of one to four bytes; parts at the ends of lines and of a piece."""
+    words = ["é", "ab", "가나다라마", "𝄞𝄞𝄞𝄞𝄞x", "needle in", "zzzzz"]
+    long = "q" * ((1 << 20) - 3) + "needle in" + "𝄞" * 6 + "x" + "r" * 300_000
+    lines = ["", "CAFÉ", "b a", "a", "b", "가나다라", "마", "x가나다라마", long, "zzzz", "z", "AB"]
+    df = spark.createDataFrame([(0, "\n".join(lines)), (1, None), (2, "zzzzz")], "doc int, text string")
+    started = time.time()
+    got = safety.scan_lines(df, "text", spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, rank int"), keys=["doc"])
+    assert sorted((r.doc, r.line_no, r.hit) for r in got.collect()) == [
+        (0, 2, "é"), (0, 8, "가나다라마"), (0, 9, "𝄞𝄞𝄞𝄞𝄞x"), (0, 12, "ab"), (2, 1, "zzzzz")]
+    # A substring for each of a million characters, each counted from the beginning of the line, takes hours.
+    assert time.time() - started < 120
