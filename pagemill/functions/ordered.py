@@ -96,7 +96,7 @@ def first_by(df: DataFrame, keys: list[str], order: list, n: int = 1) -> DataFra
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def _fits_broadcast(table: DataFrame) -> bool:
+def fits_broadcast(table: DataFrame) -> bool:
     """Whether Spark's own size check lets ``table`` be sent to all tasks."""
     state = table.sparkSession._jsparkSession.sessionState()
     size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -112,7 +112,7 @@ def lookup(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     rows spread too, and a task run again deals the same rows to the same parts.  Rows with a null key, which have no
     partner, spread likewise; all others go straight to the join.
     """
-    if _fits_broadcast(table):
+    if fits_broadcast(table):
         return df.join(table, keys, "left")
     known = F.lit(True)
     for k in keys:

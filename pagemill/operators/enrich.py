@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import ordered
+from ..functions.lineage import stored
 from ..functions.text import strip, suffix_of, truthy, whole_json
 
 
@@ -220,18 +221,22 @@ def _attached(docs: DataFrame, wanted: Column, kind: str, results: DataFrame, fi
     """``docs`` with the number of paths of a kind (``_total``) and the results found for them in order (``_hits``).
 
     What is found depends on the list of paths alone, so each distinct list is looked up once, whatever documents
-    share it or a ``source``.  Documents without such a path are not shuffled.
+    share it or a ``source``; the lists and what is found are written to the shared folder.  Documents without such a path
+    are not shuffled, and none is where the lists are few enough for Spark to broadcast.
     """
     has = wanted & F.exists("media_paths", lambda p: media_kind(p) == kind)
     marked = docs.withColumn("_list", F.when(F.coalesce(has, F.lit(False)), F.sha2(F.to_json(F.struct("media_paths")), 256)))
     with_paths = marked.filter("_list IS NOT NULL")
-    lists = with_paths.select("_list", "media_paths").dropDuplicates(["_list"])
+    # Stored, so that the documents are read once for them and Spark knows their size.
+    lists = stored(with_paths.select("_list", "media_paths").dropDuplicates(["_list"]), "lists")
     paths = lists.select("_list", F.posexplode("media_paths").alias("position", "media_path")).filter(
         media_kind(F.col("media_path")) == kind)
     joined = ordered.lookup(paths, results.select("media_path", F.struct(*fields).alias("_r")), ["media_path"])
     hit = F.when(F.col("_r").isNotNull(), F.struct("position", "media_path", F.col("_r")))
-    found = joined.groupBy("_list").agg(
-        F.count("*").alias("_total"), F.array_sort(F.collect_list(hit)).alias("_hits"))
+    found = stored(joined.groupBy("_list").agg(
+        F.count("*").alias("_total"), F.array_sort(F.collect_list(hit)).alias("_hits")), "found")
+    if ordered.fits_broadcast(found):
+        return marked.join(found, "_list", "left").drop("_list")
     return ordered.lookup(with_paths, found, ["_list"]).unionByName(
         marked.filter("_list IS NULL"), allowMissingColumns=True).drop("_list")
 
