@@ -206,9 +206,11 @@ def normalize_tiktok(df: DataFrame, dump: str = "dump", fetched_at: Column | Non
     payloads = F.filter(
         F.transform(entries, lambda e: F.try_variant_get(e, "$[1]", "variant")),
         lambda p: F.try_variant_get(p, "$", "map<string,variant>").isNotNull())
-    described = F.filter(payloads, lambda p: F.try_variant_get(p, "$.desc", "string").isNotNull())
-    found = F.coalesce(F.get(described, F.lit(0)), F.get(payloads, F.lit(0)))
-    picked = df.withColumn("_p", found)
+    # Columns of their own, so that a dump is read once.
+    listed = df.withColumn("_ps", payloads)
+    described = F.filter("_ps", lambda p: F.try_variant_get(p, "$.desc", "string").isNotNull())
+    found = F.coalesce(F.get(described, F.lit(0)), F.get("_ps", F.lit(0)))
+    picked = listed.withColumn("_p", found)
     p = F.col("_p")
     text = lambda path: F.try_variant_get(p, path, "string")
 
