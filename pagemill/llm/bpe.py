@@ -26,7 +26,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -211,25 +211,22 @@ def decode(encoded: DataFrame, pieces: DataFrame, key: str, ids: str = "ids") ->
     return encoded.select(key).join(joined, key, "left").select(key, F.coalesce("decoded", F.lit("")).alias("decoded"))
 
 
-def encoded_batches(docs: DataFrame, path: str) -> tuple[DataFrame, str]:
-    """ids, lengths, numbers, homes, found of each batch of rows of (doc_id, text), for :func:`ids_of_batch`; type of the ids."""
-    id_type = "string" if isinstance(docs.schema["doc_id"].dataType, T.StringType) else "bigint"
-    # The numbers are by far the largest part: bucketed, they stay where they are when the ids come back.
-    batches = bucketed(split_batches(docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("string")), id_type), "batches", "batch")
-    lists = batches.select("batch", F.posexplode("lists").alias("bucket", "list")).filter("list IS NOT NULL")
-    coded = encode_lists(lists, path)
-    back = coded.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "counts", "flat"))).alias("found"))
-    whole = batches.select("batch", "ids", "lengths", "numbers", "homes").hint("merge").join(back, "batch", "left")
-    return whole.select("ids", "lengths", "numbers", "homes", "found"), id_type
+def _gathered(counts: np.ndarray, starts: np.ndarray, flat: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of words one behind the other, and where those of each word begin; word w has counts[w] from starts[w] on in flat."""
+    n = counts[words]
+    stops = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(starts[words] - stops[:-1], n) + np.arange(int(stops[-1]))], stops
+
 
+def ids_of_batch(batch: pa.Table, coded: pa.Table) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """doc_ids, edges and ids of a batch's texts: about 250,000 words at a time, or one longer text.
 
-def ids_of_batch(batch: pa.RecordBatch, r: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
-    """doc_ids, edges and ids of the texts in row ``r``: about 250,000 words at a time, or one longer text."""
-    doc_ids, lengths, numbers, homes, found = (batch.column(c)[r] for c in range(5))
+    ``batch`` is one row of :func:`split_batches`, ``coded`` the rows of :func:`encode_lists` for it.
+    """
+    doc_ids, lengths, numbers, homes = (batch[c][0] for c in ("ids", "lengths", "numbers", "homes"))
     numbers, order = _unpack(numbers.as_py()), np.argsort(_unpack(homes.as_py()), kind="stable")
-    lists = found.as_py() or []
-    n = np.concatenate([_unpack(x["counts"]) for x in lists] or [np.empty(0, np.int64)])
-    flat = np.concatenate([_unpack(x["flat"]) for x in lists] or [np.empty(0, np.int64)])
+    coded = coded.sort_by("bucket")
+    n, flat = (np.concatenate([np.empty(0, np.int64), *map(_unpack, coded[c].to_pylist())]) for c in ("counts", "flat"))
     # The lists, bucket by bucket, hold the words in this order of their numbers.
     counts, starts = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     counts[order], starts[order] = n, np.cumsum(n) - n
@@ -238,42 +235,55 @@ def ids_of_batch(batch: pa.RecordBatch, r: int) -> Iterator[tuple[pa.Array, np.n
     while done < len(ends):
         first = ends[done - 1] if done else 0
         last = max(done + 1, int(np.searchsorted(ends, first + (1 << 18), "right")))
-        own = numbers[first : ends[last - 1]]
-        n = counts[own]
-        stops = np.concatenate([[0], np.cumsum(n)])
-        at = np.repeat(starts[own] - stops[:-1], n) + np.arange(int(stops[-1]))
-        yield doc_values.slice(done, last - done), stops[np.concatenate([[0], ends[done:last] - first])], flat[at]
+        ids, stops = _gathered(counts, starts, flat, numbers[first : ends[last - 1]])
+        yield doc_values.slice(done, last - done), stops[np.concatenate([[0], ends[done:last] - first])], ids
         done = last
 
 
-def _compose(id_type: str, pieces):
-    """Ids and decoded texts of a batch's rows.
+def encoded_texts(docs: DataFrame, path: str, compose: Callable[[pa.Array, np.ndarray, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``compose`` makes of doc_ids, edges and ids of texts, some at a time, for every row of (doc_id, text).
 
-    ``pieces`` is the broadcast vocabulary, as large as the tokenizer file: the side the ids are joined to.
+    ``schema`` are its columns, of which doc_id, a long or a string, is the first and left out.  Each batch meets its ids
+    alone, so a task never holds, here or in Spark, more than one of its batches.
     """
+    id_type = "string" if isinstance(docs.schema["doc_id"].dataType, T.StringType) else "bigint"
+    # The numbers are by far the largest part: bucketed, they stay where they are when the ids come back.
+    batches = bucketed(split_batches(docs.select(F.col("doc_id").cast(id_type), F.col("text").cast("string")), id_type), "batches", "batch")
+    lists = batches.select("batch", F.posexplode("lists").alias("bucket", "list")).filter("list IS NOT NULL")
+    whole = batches.select("batch", "ids", "lengths", "numbers", "homes").groupBy("batch")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.string() if id_type == "string" else pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
-        spelled = np.full(max(pieces.value, default=0) + 1, None, dtype=object)
-        for number, piece in pieces.value.items():
-            spelled[number] = piece
-        for batch in batches:
-            for r in range(batch.num_rows):
-                for doc_ids, edges, ids in ids_of_batch(batch, r):
-                    texts = spelled[ids].tolist()
-                    decoded = [" ".join([x for x in texts[a:b] if x is not None]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([
-                        doc_ids, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())],
-                        schema=schema)
+    def run(batch: pa.Table, coded: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([compose(*texts) for texts in ids_of_batch(batch, coded)])
+
+    return whole.cogroup(encode_lists(lists, path).groupBy("batch")).applyInArrow(run, f"doc_id {id_type}, {schema}")
+
+
+def _composed(pieces):
+    """Ids and decoded texts.
+
+    ``pieces`` is the broadcast vocabulary, as large as the tokenizer file: the side the ids are joined to.
+    """
+    spelled = None
+
+    def run(doc_ids: pa.Array, edges: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        nonlocal spelled
+        if spelled is None:
+            spelled = np.full(max(pieces.value, default=0) + 1, None, dtype=object)
+            for number, piece in pieces.value.items():
+                spelled[number] = piece
+        texts = spelled[ids].tolist()
+        decoded = [" ".join([x for x in texts[a:b] if x is not None]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([
+            doc_ids, pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(ids, pa.int32())), pa.array(decoded, pa.string())],
+            ["doc_id", "ids", "decoded"])
 
     return run
 
 
 def encode_decode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, decoded for every row of ``docs`` (doc_id, text), with the tokenizer file at ``path``."""
-    encoded, id_type = encoded_batches(docs, path)
     pieces = docs.sparkSession.sparkContext.broadcast(pieces_of(path))
-    return encoded.mapInArrow(_compose(id_type, pieces), f"doc_id {id_type}, ids array<int>, decoded string")
+    return encoded_texts(docs, path, _composed(pieces), "ids array<int>, decoded string")
 
 
 def digests(encoded: DataFrame, keep_ids: bool = False) -> DataFrame:

@@ -22,7 +22,6 @@ ones.  ``sequence_id`` and ``offset`` are the operator's own names: columns of t
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from itertools import islice
 
 import numpy as np
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import encoded_batches, ids_of_batch
+from .bpe import encoded_texts
 from .stored import stored
 
 # Pieces of a group, on average.
@@ -47,31 +46,26 @@ def token_pieces(docs: DataFrame, path: str, capacity: int, end_id: int, keep_id
 
     ``ids_crc32`` is that of the ids as little-endian 32-bit numbers.
     """
-    encoded, id_type = encoded_batches(docs, path)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                for doc_ids, edges, ids in ids_of_batch(batch, r):
-                    # An end id behind each document.
-                    lengths = np.diff(edges) + 1
-                    whole = np.insert(ids, edges[1:], end_id).astype("<u4")
-                    first = np.cumsum(lengths) - lengths
-                    n = -(-lengths // capacity)
-                    place = np.repeat(np.arange(len(n)), n)
-                    piece = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
-                    start = piece * capacity
-                    length = np.minimum(capacity, lengths[place] - start)
-                    lo = first[place] + start
-                    crc = [zlib.crc32(whole[a:b].data) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
-                    columns = [doc_ids.take(pa.array(place)), *(pa.array(c, pa.int64()) for c in (piece, start, length, crc))]
-                    if keep_ids:
-                        columns.append(pa.ListArray.from_arrays(pa.array(np.append(lo, len(whole)), pa.int32()), pa.array(whole.astype(np.int32))))
-                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    def run(doc_ids: pa.Array, edges: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        # An end id behind each document.
+        lengths = np.diff(edges) + 1
+        whole = np.insert(ids, edges[1:], end_id).astype("<u4")
+        first = np.cumsum(lengths) - lengths
+        n = -(-lengths // capacity)
+        place = np.repeat(np.arange(len(n)), n)
+        piece = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
+        start = piece * capacity
+        length = np.minimum(capacity, lengths[place] - start)
+        lo = first[place] + start
+        crc = [zlib.crc32(whole[a:b].data) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
+        columns = [doc_ids.take(pa.array(place)), *(pa.array(c, pa.int64()) for c in (piece, start, length, crc))]
+        if keep_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(np.append(lo, len(whole)), pa.int32()), pa.array(whole.astype(np.int32))))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if keep_ids else [])
-    return encoded.mapInArrow(
-        run, f"doc_id {id_type}, piece long, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
+    return encoded_texts(docs, path, run, "piece long, start long, length long, ids_crc32 long" + (", ids array<int>" if keep_ids else ""))
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:

@@ -1,6 +1,8 @@
 """Encoding and decoding against the tokenizers library."""
 
 import random
+from contextlib import redirect_stdout
+from io import StringIO
 
 import public_tokenizers
 import pytest
@@ -51,6 +53,18 @@ def test_splitting_never_changes_ids(library):
         assert parts == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_batch_meets_its_ids_alone(spark, library, monkeypatch):
+    monkeypatch.setattr(bpe, "BATCH_CHARS", 50)
+    texts = [*random_texts(80, seed=4), None, "", *["same text."] * 40]
+    encoded = bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), PATH)
+    with redirect_stdout(StringIO()) as plan:
+        encoded.explain()
+    # No Arrow batch of many batches' numbers, no lists of ids on the heap, and numbers that stay where they are.
+    assert "FlatMapCoGroupsInArrow" in plan.getvalue() and "collect_list" not in plan.getvalue()
+    assert plan.getvalue().count("Exchange hashpartitioning(batch") == 1
+    assert sorted((r["doc_id"], r["ids"], r["decoded"]) for r in encoded.collect()) == [(i, *expected(library, t)) for i, t in enumerate(texts)]
+
+
 def test_signs_behind_a_word_are_encoded_alone(library):
     rng = random.Random(12)
     letters = "abzé́ΣǅßªʰK١¼Ⅷ가ﬁ'’<>|=~^`\u0338"
