@@ -13,7 +13,7 @@ of its words in turn; ``tests/llm`` checks that against the tokenizers library o
 
 Word lists repeat between batches but not between texts, and numbers compress to under half of the text, so far less
 than the texts is shuffled; no word, however frequent, has more entries than there are batches.  A batch holds
-``BATCH_CHARS`` characters or one longer text, a bucket 1 / ``BUCKETS`` of all distinct words.
+about ``BATCH_CHARS`` bytes or one longer text, a bucket 1 / ``BUCKETS`` of all distinct words.
 
 Decoding joins ids to pieces and puts a space between pieces, as the library does for a tokenizer without decoder.
 
@@ -39,16 +39,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stored import bucketed
+from .words import _bytes_of
 
-# Characters of text, or distinct words, after which a batch is closed.
+# Bytes of text after which a batch is closed.
 BATCH_CHARS = 8_000_000
-BATCH_WORDS = 200_000
 BUCKETS = 256
+# Bytes of words of a bucket, or one list, that are encoded at a time.
+LIST_BYTES = 4_000_000
 # Python's split also parts at 0x1c-0x1f, which the tokenizer does not take for white space.
 _NOT_SPACE = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 # The marks that compose with A-Z or a-z.
 _MARK = re.compile("[\u0300-\u036f]")
 _EXTRA = re.compile("[\x1c-\x1f]")
+# White space of one byte in UTF-8, and the first byte of longer ones.
+_WHITE_BYTE, _WHITE_LEAD = (np.isin(np.arange(256), own) for own in ([*range(0x09, 0x0E), 0x20], [0xC2, 0xE1, 0xE2, 0xE3]))
 # Signs the pre-tokenizer parts from a letter before them, and that compose with none.  Apostrophes may begin an ending.
 _SIGNS = "!\"#$%&()*+,-./:;?@[]_"
 
@@ -77,24 +81,72 @@ def parted(word: str) -> tuple[str, str]:
     return stem, word[len(stem) :]
 
 
-class _WordNumbers(dict):
-    """Numbers words in the order they come."""
-
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        return number
+@lru_cache(maxsize=1)
+def _packers() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each for all calls of a worker: to make one costs as much as to pack a short list."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def _pack(numbers: np.ndarray) -> bytes:
     """Numbers below 2^32, byte planes apart, which compress better."""
-    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return _packers()[0].compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_packers()[1].decompress(data), dtype=np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
 
 
+def _lowered(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """:func:`lowered` for texts as bytes, one behind the other from the offsets ``at`` on."""
+    low = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+    pairs = data[:-1], data[1:]
+    kept = (pairs[0] == 0x3C) & (pairs[1] == 0x7C) | (pairs[0] == 0xCC) | (pairs[0] == 0xCD) & (pairs[1] < 0xB0)
+    for row in np.unique(np.searchsorted(at, np.flatnonzero(kept), "right") - 1).tolist():
+        low[at[row] : at[row + 1]] = data[at[row] : at[row + 1]]
+    return low
+
+
+def _white(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space, as :func:`split_words` has it."""
+    white = _WHITE_BYTE[data]
+    at = np.flatnonzero(_WHITE_LEAD[data])
+    if len(at):
+        padded = np.append(data, np.zeros(2, np.uint8))
+        one, two, three = (padded[at + k] for k in range(3))
+        short = (one == 0xC2) & ((two == 0x85) | (two == 0xA0))
+        long = (one == 0xE1) & (two == 0x9A) & (three == 0x80)
+        long |= (one == 0xE2) & (two == 0x80) & ((three <= 0x8A) | (three == 0xA8) | (three == 0xA9) | (three == 0xAF))
+        long |= (one == 0xE2) & (two == 0x81) & (three == 0x9F) | (one == 0xE3) & (two == 0x80) & (three == 0x80)
+        for k in range(3):
+            white[at[long | short if k < 2 else long] + k] = True
+    return white
+
+
+def _runs(data: np.ndarray, letter: np.ndarray, first: np.ndarray) -> pa.Array:
+    """The runs of bytes marked in ``letter``, each from a byte marked in ``first`` on."""
+    own = data[letter]
+    offsets = np.append(np.flatnonzero(first[letter]), len(own))
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(own)])
+
+
+def number_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words of each text, the number of each word, and the distinct words by number, A-Z lowered.
+
+    ``data`` are the texts' bytes, one behind the other from the offsets ``at`` on.
+    """
+    data = _lowered(data, at)
+    letter = ~_white(data)
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    # A text's first byte begins a word even behind another text's letter.
+    begin = at[:-1][at[:-1] < len(data)]
+    first[begin] = letter[begin]
+    counts = np.diff(np.searchsorted(np.flatnonzero(first), at))
+    found = _runs(data, letter, first).dictionary_encode()
+    return counts, found.indices.to_numpy(), found.dictionary
+
+
 def split_batches(docs: DataFrame, id_type: str) -> DataFrame:
     """batch, ids, lengths, numbers, homes, lists: one row per batch.
 
@@ -106,35 +158,40 @@ def split_batches(docs: DataFrame, id_type: str) -> DataFrame:
         from pyspark import TaskContext
 
         part, made, signs = TaskContext.get().partitionId(), 0, _SIGNS.encode()
-        packer = zstandard.ZstdCompressor(level=3)
 
         def close() -> pa.RecordBatch:
+            keys = pa.concat_arrays([k for k, _, _ in held])
+            ends = np.cumsum(np.concatenate([[0], *(n for _, _, n in held)]))
+            lengths, numbers, found = number_words(np.concatenate([d for _, d, _ in held]), ends)
+            words = found.to_numpy(zero_copy_only=False).tolist()
             # Words that differ in the signs behind them only meet in one bucket.
-            homes = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass").rstrip(signs)) % BUCKETS for w in words], dtype=np.int64)
-            lists: list[list[str]] = [[] for _ in range(BUCKETS)]
-            for word, home in zip(words, homes.tolist(), strict=True):
+            homes = [zlib.crc32(w.rstrip(signs)) % BUCKETS for w in words]
+            lists: list[list[bytes]] = [[] for _ in range(BUCKETS)]
+            for word, home in zip(words, homes, strict=True):
                 lists[home].append(word)
-            packed = [packer.compress(" ".join(own).encode("utf-8", "surrogatepass")) if own else None for own in lists]
+            packed = [_packers()[0].compress(b" ".join(own)) if own else None for own in lists]
             return pa.RecordBatch.from_arrays([
-                pa.array([(part << 32) | made], pa.int64()), pa.array([ids], pa.list_(id_kind)), pa.array([lengths], pa.list_(pa.int32())),
-                pa.array([_pack(np.concatenate(numbers))], pa.binary()), pa.array([_pack(homes)], pa.binary()),
+                pa.array([(part << 32) | made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                pa.ListArray.from_arrays(pa.array([0, len(lengths)], pa.int32()), pa.array(lengths, pa.int32())),
+                pa.array([_pack(numbers)], pa.binary()), pa.array([_pack(np.array(homes, dtype=np.int64))], pa.binary()),
                 pa.array([packed], pa.list_(pa.binary()))], ["batch", "ids", "lengths", "numbers", "homes", "lists"])
 
-        id_kind = pa.string() if id_type == "string" else pa.int64()
-        words, ids, lengths, numbers, chars = _WordNumbers(), [], [], [], 0
+        held, size = [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0), batch.column(1), strict=True):
-                text = text.as_py() or ""
-                own = split_words(lowered(text))
-                numbers.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
-                ids.append(key.as_py())
-                lengths.append(len(own))
-                chars += len(text)
-                if chars >= BATCH_CHARS or len(words) >= BATCH_WORDS:
+            data, at = _bytes_of(batch.column(1))
+            # Each text counts for one more than its bytes, so empty ones fill a batch too.
+            cost, row = at + np.arange(len(at)), 0
+            while row < batch.num_rows:
+                last = min(batch.num_rows, int(np.searchsorted(cost, cost[row] + BATCH_CHARS - size)))
+                # Copies, so that no more than a batch of what is read is held.
+                held.append((pa.concat_arrays([batch.column(0).slice(row, last - row)]), data[at[row] : at[last]].copy(), np.diff(at[row : last + 1])))
+                size += int(cost[last] - cost[row])
+                row = last
+                if size >= BATCH_CHARS:
                     yield close()
                     made += 1
-                    words, ids, lengths, numbers, chars = _WordNumbers(), [], [], [], 0
-        if ids:
+                    held, size = [], 0
+        if held:
             yield close()
 
     return docs.mapInArrow(
@@ -158,28 +215,45 @@ def encode_lists(lists: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, unpacker = _tokenizer(path), zstandard.ZstdDecompressor()
+        tokenizer = _tokenizer(path)
         bucket, known = None, {}
+
+        def encoded(numbers: pa.Array, texts: list[bytes]) -> pa.RecordBatch:
+            data = np.frombuffer(b" ".join(texts), np.uint8)
+            letter = data != 32
+            first = np.append(True, ~letter[:-1])
+            found = _runs(data, letter, first).dictionary_encode()
+            words = [w.decode("utf-8", "surrogatepass") for w in found.dictionary.to_numpy(zero_copy_only=False).tolist()]
+            parts = [parted(w) for w in words if w not in known]
+            new = list({p for pair in parts for p in pair if p not in known})
+            if new:
+                known.update(zip(new, (e.ids for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            known.update((a + b, known[a] + known[b]) for a, b in parts)
+            own = [known[w] for w in words]
+            counts = np.fromiter(map(len, own), np.int64, len(own))
+            flat = np.fromiter(chain.from_iterable(own), np.int64, int(counts.sum()))
+            place = found.indices.to_numpy()
+            ids, stops = _gathered(counts, np.cumsum(counts) - counts, flat, place)
+            # The words of each list.
+            edges = np.cumsum([0, *(t.count(b" ") + 1 for t in texts)]).tolist()
+            spans = list(zip(edges[:-1], edges[1:], strict=True))
+            return pa.RecordBatch.from_arrays([
+                numbers, pa.array([bucket] * len(texts), pa.int32()), pa.array([_pack(counts[place[a:b]]) for a, b in spans], pa.binary()),
+                pa.array([_pack(ids[stops[a] : stops[b]]) for a, b in spans], pa.binary())], ["batch", "bucket", "counts", "flat"])
+
         for batch in batches:
-            out = []
-            for r in range(batch.num_rows):
-                number, home, packed = (batch.column(c)[r].as_py() for c in range(3))
+            numbers, homes, packed = batch.columns
+            start, texts, size = 0, [], 0
+            for r, home in enumerate(homes.to_pylist()):
+                if texts and (home != bucket or size >= LIST_BYTES):
+                    yield encoded(numbers.slice(start, r - start), texts)
+                    start, texts, size = r, [], 0
                 if home != bucket:
                     bucket, known = home, {}
-                words = unpacker.decompress(packed).decode("utf-8", "surrogatepass").split(" ")
-                parts = [parted(w) for w in words if w not in known]
-                new = list({p for pair in parts for p in pair if p not in known})
-                if new:
-                    found = tokenizer.encode_batch_fast(new, add_special_tokens=False)
-                    known.update(zip(new, (e.ids for e in found), strict=True))
-                known.update((a + b, known[a] + known[b]) for a, b in parts)
-                own = [known[w] for w in words]
-                counts = np.fromiter(map(len, own), np.int64, len(own))
-                out.append((number, home, _pack(counts), _pack(np.fromiter(chain.from_iterable(own), np.int64, int(counts.sum())))))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)],
-                    ["batch", "bucket", "counts", "flat"])
+                texts.append(_packers()[1].decompress(packed[r].as_py()))
+                size += len(texts[-1])
+            if texts:
+                yield encoded(numbers.slice(start), texts)
 
     n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = lists.select("batch", "bucket", "list").repartition(n, "bucket").sortWithinPartitions("bucket", "batch")

@@ -4,6 +4,7 @@ import random
 from contextlib import redirect_stdout
 from io import StringIO
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -53,8 +54,28 @@ def test_splitting_never_changes_ids(library):
         assert parts == library.encode(text, add_special_tokens=False).ids
 
 
+def test_words_of_many_texts_are_numbered_at_once():
+    white = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace()]
+    # Characters that share bytes with white space, and texts that end and begin amid a word, or are empty.
+    near = ["\u0084", "\u2007", "\u200b", "\u2030", "\u2060", "\u20df", "\u3001", "\u0380", "\u1681", "\U0002f000", "A\u0301", "Z\u036f", "A\u0370"]
+    rng = random.Random(2)
+    noise = ["".join(rng.choice([*white, *near, "AbZ@[", "<", "|", "é"]) for _ in range(rng.randint(0, 20))) for _ in range(3000)]
+    for texts in ([*random_texts(3000, seed=5), *noise, "", "A", "b<", "|c"], ["", ""], []):
+        data = [t.encode() for t in texts]
+        at = np.cumsum([0, *map(len, data)])
+        counts, numbers, found = bpe.number_words(np.frombuffer(b"".join(data), np.uint8), at)
+        assert counts.tolist() == [len(bpe.split_words(t)) for t in texts]
+        words = [w.decode() for w in found.to_pylist()]
+        # Next to "<" or "|" of another text, capitals may be kept: they give the same ids.
+        assert [words[n].lower() for n in numbers] == [w.lower() for t in texts for w in bpe.split_words(bpe.lowered(t))]
+        for text, own in zip(texts, np.split(numbers, np.cumsum(counts)[:-1]) if texts else [], strict=True):
+            kept = "<|" in text or bpe.lowered(text) != text.encode().lower().decode()
+            assert not kept or [words[n] for n in own] == bpe.split_words(text)
+
+
 def test_a_batch_meets_its_ids_alone(spark, library, monkeypatch):
     monkeypatch.setattr(bpe, "BATCH_CHARS", 50)
+    monkeypatch.setattr(bpe, "LIST_BYTES", 20)
     texts = [*random_texts(80, seed=4), None, "", *["same text."] * 40]
     encoded = bpe.encode_decode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2), PATH)
     with redirect_stdout(StringIO()) as plan:
