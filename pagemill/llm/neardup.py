@@ -17,6 +17,9 @@ no bucket with a probability of (1 - s^rows)^bands, 1e-5 at 0.85 and 1e-3 at 0.8
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; a null ``doc_id`` takes no
 part and comes back with a null component and ``kept``; equal rows are one group; rows that share a ``doc_id`` but not
 a set are only linked by their texts.
+
+The driver holds no table that grows with the input.  Texts meet lists of ids as sorted arrays, and tables whose rows are
+multiplied before a join are merged: Spark knows their size only from before, and would broadcast them.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -37,7 +40,7 @@ ROWS, BANDS = 6, 24
 BLOCK_SHINGLES = 1 << 18
 # Tasks that the nodes of one pivot are dealt to in joins on it.
 SALTS = 32
-# Candidate ids up to this number are sent to all executors; beyond it the join shuffles.
+# Candidate ids up to this number are sent to all executors, 8 bytes each; beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -125,11 +128,30 @@ def _compare(percent: int):
     return run
 
 
+def _among(ids: DataFrame) -> Column:
+    """Whether doc_id is one of ``ids`` (long, no nulls), which go to all tasks as one sorted array.
+
+    A broadcast join would cost the driver over a hundred bytes an id.
+    """
+    known = ids.sparkSession.sparkContext.broadcast(np.sort(ids.toArrow().column(0).to_numpy()))
+
+    @F.arrow_udf("boolean")
+    def found(doc_id: pa.Array) -> pa.Array:
+        own = doc_id.fill_null(0).to_numpy(zero_copy_only=False)
+        if not len(known.value):
+            return pa.array(np.zeros(len(own), dtype=bool))
+        at = np.minimum(np.searchsorted(known.value, own), len(known.value) - 1)
+        return pa.array((known.value[at] == own) & doc_id.is_valid().to_numpy(zero_copy_only=False))
+
+    whole = F.col("doc_id").cast("long")
+    return found(whole) & F.coalesce(whole == F.col("doc_id"), F.lit(False))
+
+
 def _with_pivot(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Join a table of one row per pivot to its nodes; the nodes of a large group go to several tasks."""
     salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")
     spread = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", salt).join(spread, ["pivot", "salt"]).drop("salt")
+    return rows.withColumn("salt", salt).join(spread.hint("merge"), ["pivot", "salt"]).drop("salt")
 
 
 def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -144,7 +166,7 @@ def _links(groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.pmod(F.xxhash64("node", F.lit(2)), F.col("n_right")).cast("int").alias("j"))
     lefts = placed.filter("left").select("pivot", "node", "label", F.lit(0).alias("side"), "i", F.explode(F.sequence(F.lit(0), F.col("n_right") - 1)).alias("j"))
     rights = placed.select("pivot", "node", "label", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("n_left") - 1)).alias("i"), "j")
-    blocks = lefts.unionByName(rights).join(sets.select("node", "set"), "node")
+    blocks = lefts.unionByName(rights).join(sets.select("node", "set").hint("merge"), "node")
     return blocks.groupBy("pivot", "i", "j").applyInPandas(_compare(percent), "a long, b long")
 
 
@@ -193,7 +215,7 @@ def near_duplicates(
         nodes.withColumnRenamed("node", "doc_id"), ["doc_id", *digest], "left_semi").dropDuplicates(["doc_id", *digest])
     entries = firsts.select(F.col("doc_id").alias("node"), F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    members = stored(entries.join(shared, "key"), "members")
+    members = stored(entries.join(shared.hint("merge"), "key"), "members")
     popular = members.groupBy("node").agg(F.sum("c").alias("pop"))
     ranked = members.select("key", "node").join(popular, "node")
     pivots = ranked.groupBy("key").agg(F.max("pop").alias("pop")).join(ranked, ["key", "pop"]).groupBy("key").agg(
@@ -201,7 +223,7 @@ def near_duplicates(
     groups = stored(members.select("key", "node").join(pivots, "key").select("pivot", "node").distinct(), "groups")
     wanted = groups.select(F.col("node").alias("doc_id")).distinct()
     few = wanted.count() <= broadcast_ids
-    texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
+    texts = docs.filter(_among(wanted)) if few else docs.join(wanted.hint("merge"), "doc_id", "left_semi")
     # A doc_id may stand at several texts: the text of the node is the one with its digest.
     sets = stored(_sets(texts, shingle_words).dropDuplicates(["node", "set"]), "sets")
     first = groups.select("pivot", "node", F.col("node").alias("label"), (F.col("node") == F.col("pivot")).alias("left"))
@@ -218,7 +240,7 @@ def near_duplicates(
     component = nodes.join(final, "node", "left").select(*digest, F.coalesce("label", "node").alias("component_id"))
     hot = F.pmod(F.xxhash64("doc_id"), F.lit(16))
     spread = component.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    found = usable.select("doc_id", *digest).withColumn("salt", hot).join(spread, [*digest, "salt"]).select(
+    found = usable.select("doc_id", *digest).withColumn("salt", hot).join(spread.hint("merge"), [*digest, "salt"]).select(
         "doc_id", "n_shingles", "component_id")
     rest = signed.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return found.union(rest).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -116,3 +116,42 @@ def test_min_and_max_estimate_the_similarity():
     s = words.min_max_signature(np.concatenate([a, b]), np.array([2000, 2000]), 400)
     assert abs((s[0] == s[1]).mean() - 1500 / 2500) < 0.06
     assert abs((s[0, ::2] == s[1, ::2]).mean() - 0.6) < 0.08 and abs((s[0, 1::2] == s[1, 1::2]).mean() - 0.6) < 0.08
+
+
+def _broadcasts(df):
+    """What lies below each broadcast in the plan of ``df``."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(re.match(r"[\s:+\-|*()\d]*", x).group()) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = itertools.takewhile(lambda j: depth[j] > depth[i], range(i + 1, len(lines)))
+            yield "\n".join(lines[j] for j in below)
+
+
+def test_the_driver_holds_no_multiplied_table_and_no_ids(spark, prose, monkeypatch):
+    # Spark would take these tables for small, whatever their rows are multiplied by.
+    seen, write = {}, neardup.write
+    watch = lambda df, name: seen.setdefault(f"{name} {len(seen)}", df) and write(df, name)
+    monkeypatch.setattr(neardup, "write", watch)
+    monkeypatch.setattr(neardup, "stored", lambda df, name: df.sparkSession.read.schema(df.schema).parquet(watch(df, name)))
+    docs = spark.createDataFrame(list(enumerate(variants(prose, prose(80), 20, 6))), DOCS)
+    seen["result"] = neardup.near_duplicates(docs, 3, 85)
+    assert len(seen) > 6
+    assert [k for k, df in seen.items() if any("Generate" in x for x in _broadcasts(df))] == []
+    assert [k for k, df in seen.items() if k.startswith("sets") and any(True for _ in _broadcasts(df))] == []
+
+
+def test_ids_are_looked_up_as_a_join_would(spark):
+    docs = spark.createDataFrame([(i,) for i in (5, -(1 << 63), 0, None, 7, (1 << 63) - 1, 5)], "doc_id long")
+    for ids in ([], [0], [5, 7, -(1 << 63)], [(1 << 63) - 1, 6]):
+        known = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+        inside = neardup._among(known)
+        assert sorted(r[0] for r in docs.filter(inside).collect()) == sorted(r[0] for r in docs.join(known, "doc_id", "left_semi").collect())
+        key = lambda r: (r[0] is None, r[0] or 0)
+        assert sorted(docs.filter(~inside).collect(), key=key) == sorted(docs.join(known, "doc_id", "left_anti").collect(), key=key)
+
+
+def test_ids_of_other_types_are_not_rounded(spark):
+    known = spark.createDataFrame([(1,)], "doc_id long")
+    docs = spark.createDataFrame([("1.0", "a"), ("1.5", "b")], "d string, n string").selectExpr("cast(d AS decimal(3, 1)) AS doc_id", "n")
+    assert [r["n"] for r in docs.filter(neardup._among(known)).collect()] == ["a"]
