@@ -256,12 +256,16 @@ def keep_one(docs: DataFrame, shingle_words: int = 5, percent: int = 80, broadca
     per_id = found.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     gone, repeated = per_id.filter("NOT kept").select("doc_id"), per_id.filter("kept AND n > 1").select("doc_id")
 
-    def sized(ids: DataFrame) -> DataFrame:
-        return F.broadcast(ids) if ids.count() <= broadcast_ids else ids
-
-    rest = docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    def parts(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows whose doc_id is one of ``ids``, and the others."""
+        if ids.count() <= broadcast_ids:
+            known = _among(ids)
+            return rows.filter(known), rows.filter(~known)
+        with_ids, without = (rows.join(ids.hint("merge"), "doc_id", how) for how in ("left_semi", "left_anti"))
+        return with_ids.select(*docs.columns), without.select(*docs.columns)
+
+    rest = parts(docs, gone)[1]
     if repeated.isEmpty():
         return rest
-    several = sized(repeated)
-    return rest.join(several, "doc_id", "left_anti").select(*docs.columns).union(
-        rest.join(several, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns))
+    several, single = parts(rest, repeated)
+    return single.union(several.dropDuplicates(["doc_id", "text"]))

@@ -155,3 +155,19 @@ def test_ids_of_other_types_are_not_rounded(spark):
     known = spark.createDataFrame([(1,)], "doc_id long")
     docs = spark.createDataFrame([("1.0", "a"), ("1.5", "b")], "d string, n string").selectExpr("cast(d AS decimal(3, 1)) AS doc_id", "n")
     assert [r["n"] for r in docs.filter(neardup._among(known)).collect()] == ["a"]
+
+
+def test_keep_one_drops_the_same_rows_both_ways(spark, prose):
+    base, other = prose(60), prose(60)
+    rows = [(5, base), (2, base + " end"), (9, other), (9, prose(30)), (9, other), (None, base), (7, None), (None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    ways = [sorted(map(str, neardup.keep_one(docs, broadcast_ids=n).collect())) for n in (0, 1, neardup.BROADCAST_IDS)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == 6
+
+
+def test_keep_one_sends_no_ids_as_a_table(spark, prose):
+    docs = spark.createDataFrame(list(enumerate(variants(prose, prose(80), 20, 6))), DOCS)
+    for most in (0, neardup.BROADCAST_IDS):
+        kept = neardup.keep_one(docs, 3, 85, broadcast_ids=most)
+        assert "BroadcastExchange" not in kept._jdf.queryExecution().executedPlan().toString()
+        assert 0 < kept.count() < 20
